@@ -30,13 +30,17 @@ GRAMS = ((1, (0,)), (2, (0, 1)), (3, (0, 1, 2)), (4, (0, 2)), (5, (0, 3)))
 
 @dataclass(frozen=True)
 class Ftrl:
-    """alpha, beta: learning rate; l1, l2: penalties; epochs over the sample; prior: score without any label."""
+    """alpha, beta: learning rate; l1, l2: penalties; epochs over the sample; prior: score without any label.
 
-    alpha: float = 0.08
+    A feature has to be in ``examples`` examples: what is in one or two can only be learned by heart.
+    """
+
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 1.0
+    l1: float = 5.0
+    l2: float = 0.01
     epochs: int = 3
+    examples: int = 5
     prior: float = 0.05
 
 
@@ -48,7 +52,7 @@ def features(words: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
         n = len(words.hash) - places[-1]
         if n <= 0:
             continue
-        total = np.full(n, np.uint64(kind) * PLACES[40])
+        total = np.full(n, PLACES[40 + kind])
         for p in places:
             total += words.hash[p : n + p] * PLACES[p + 8 * kind]
         same = words.doc[:n] == words.doc[places[-1] :]
@@ -77,6 +81,11 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray]], how: Ftrl, bits: int) -> dict[i
     """(label, distinct indices) examples -> non-zero weights; index 0 is the intercept."""
     positive = sum(y for y, _ in rows)
     rate = (positive + how.prior * 20) / (len(rows) + 20)
+    often = np.zeros(2**bits, np.int64)
+    for _, at in rows:
+        often[at] += 1
+    often = often >= how.examples
+    rows = [(y, at[often[at]]) for y, at in rows]
     z, n = np.zeros(2**bits), np.zeros(2**bits)
     bias, bias_n = float(np.log(rate / (1 - rate))), 0.0
     for _ in range(how.epochs):
