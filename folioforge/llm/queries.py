@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .decontamination import benchmark_hits
 from .jaccard import jaccard_components
+from .licences import scan_licences
 from .packing import pack_documents
+from .pii import find_pii, train_pii
 from .sharding import shard_documents
 from .toxicity import score_toxicity, train_toxicity
 
@@ -47,6 +49,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~may_learn(4)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(_table(spark, sf_dir, "documents"), threshold=0.8)
+    names = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *names, "score")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -55,7 +63,21 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op7_benchmark_decontamination)
+def _spelled(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = find_pii(docs, train_pii(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(_spelled("base").cast("binary"), 256).alias("base_sha256"), _spelled("spans").alias("spans"))
+
+
+_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op6_license_scans, op7_benchmark_decontamination, op9_pii)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
