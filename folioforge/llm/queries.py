@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontamination import benchmark_hits
 from .jaccard import jaccard_components
 from .licences import scan_licences
+from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pii import find_pii, train_pii
 from .sharding import shard_documents
@@ -49,6 +50,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~may_learn(4)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, neighbours=20)
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licences(_table(spark, sf_dir, "documents"), threshold=0.8)
     names = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
@@ -77,7 +82,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(_spelled("base").cast("binary"), 256).alias("base_sha256"), _spelled("spans").alias("spans"))
 
 
-_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op6_license_scans, op7_benchmark_decontamination, op9_pii)
+_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op5_nearest_neighbours, op6_license_scans, op7_benchmark_decontamination, op9_pii)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
