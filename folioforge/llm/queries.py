@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import benchmark_hits
+from .edits import count_tokens, masking_edits
 from .jaccard import jaccard_components
+from .lattice import score_texts
 from .licences import scan_licences
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
@@ -68,6 +70,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), may_learn(7), _tokenizer("piece_bpe_32k.model"))
+    return scored.select("doc_id", (~may_learn(7)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _spelled(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -82,7 +89,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(_spelled("base").cast("binary"), 256).alias("base_sha256"), _spelled("spans").alias("spans"))
 
 
-_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op5_nearest_neighbours, op6_license_scans, op7_benchmark_decontamination, op9_pii)
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(masking_edits(_table(spark, sf_dir, "documents")), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
+_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op5_nearest_neighbours, op6_license_scans, op7_benchmark_decontamination, op8_lm_scoring, op9_pii, op10_token_counts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
