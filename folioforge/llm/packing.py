@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import materialise
-from .tokens import RunEncoder
+from .tokens import encoder
 from .words import text_batches
 
 CAPACITY = 2048
@@ -119,10 +119,10 @@ def _tokenise(path: str, id_type: pa.DataType, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, seen = RunEncoder(path), np.zeros(capacity + 1, np.int64)
+        own_encoder, seen = encoder(path), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo, texts in text_batches(batch):
-                flat, bounds = encoder.encode(texts)
+                flat, bounds = own_encoder.encode(texts)
                 row, piece, start, length, rank, ids = [], [], [], [], [], []
                 for k in range(len(texts)):
                     own = np.append(flat[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
-from .words import split_words
+from .words import SPACED, split_words
 
 #: Distinct runs remembered by a worker; beyond that it starts over.
 REMEMBERED = 600_000
@@ -13,14 +15,15 @@ _KEPT_CASE = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 
 
 class RunEncoder:
-    """Ids of texts under a tokenizer whose pre-tokens never cross white space.
+    """Ids of texts under a tokenizer that folds case and whose pre-tokens never cross white space.
 
     Such a tokenizer drops white space and treats what lies between on its own, so a text's ids are those of
-    its runs, one after the other. Runs are found and compared as arrays; the tokenizer sees each new run
-    once. The tokenizer file is opened by the worker that uses it.
+    its runs, one after the other; a mark after a letter is a pre-token by itself. Runs are found and compared
+    as arrays; the tokenizer sees each new run once. The tokenizer file is opened by the worker that uses it.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,21 +36,26 @@ class RunEncoder:
         self.n = self.used = 0
 
     def _learn(self, hashes: list[int], runs: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(runs, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if self.n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[h] = self.n
-            self.n += 1
-            self.starts[self.n] = self.used
+        ids: list[int] = []
+        ends = []
+        for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
+            ids += e.ids
+            ends.append(len(ids))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(runs) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n + 1 : self.n + 1 + len(runs)] = np.array(ends) + self.used
+        self.known.update(zip(hashes, range(self.n, self.n + len(runs)), strict=True))
+        self.used += len(ids)
+        self.n += len(runs)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the end)."""
-        words = split_words(texts, _KEPT_CASE)
+        # added tokens such as "<|name|>" are case-sensitive
+        plain = not any(b"<|" in t for t in texts if t)
+        words = split_words(texts, SPACED if plain else _KEPT_CASE, detach=plain)
         if len(self.known) > REMEMBERED:
             self._forget()
         distinct, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -63,3 +71,13 @@ class RunEncoder:
         ends = np.cumsum(sizes)
         take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
         return self.flat[take], np.concatenate(([0], ends))[words.bounds()]
+
+
+_OPEN: dict[str, RunEncoder] = {}
+
+
+def encoder(path: str) -> RunEncoder:
+    """This worker's encoder for a tokenizer file: what it has learned serves all tasks of the worker."""
+    if path not in _OPEN:
+        _OPEN[path] = RunEncoder(path)
+    return _OPEN[path]

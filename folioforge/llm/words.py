@@ -70,18 +70,34 @@ class Words:
         return self.data[self.start[i] : self.end[i]]
 
 
-def split_words(texts: list[bytes | None], table: bytes) -> Words:
+def split_words(texts: list[bytes | None], table: bytes, detach: bool = False) -> Words:
+    """Words of the texts; with detach, one ASCII mark that ends a word after a letter or digit is its own word."""
     texts = [t or b"" for t in texts]
     data = (b"\n".join(texts) + b"\n").translate(table)
     b = np.frombuffer(data, np.uint8)
     inside = np.concatenate(([False], b != 32))
     start = np.flatnonzero(inside[1:] & ~inside[:-1])
     end = np.flatnonzero(inside[:-1] & ~inside[1:])
+    if detach:
+        cut = _ends_in_mark(b, start, end)
+        at = np.flatnonzero(cut) + 1
+        start, end = np.insert(start, at, end[cut] - 1), np.insert(end - cut, at, end[cut])
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
     doc = np.searchsorted(offsets, start, "right") - 1
     return Words(data, start, end, doc, _hashes(b, start), len(texts))
 
 
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+_PLAIN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+
+
+def _ends_in_mark(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    long = end - start >= 3
+    last, before, lead = b[end - 1], b[np.maximum(end - 2, 0)], b[np.maximum(end - 3, 0)]
+    letter = _PLAIN[before] | ((lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))  # Latin-1 letters
+    return long & _MARK[last] & letter
+
+
 def _hashes(b: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Hashes of the runs that begin at start; in blocks of words, so that long texts stay cheap."""
     out = np.empty(len(start), np.uint64)
