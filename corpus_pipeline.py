@@ -1,25 +1,78 @@
-"""A corpus pipeline of the llm operators; see STAGES."""
+"""A corpus pipeline of the llm operators.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame;
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioforge.llm.decontamination import benchmark_hits
 from folioforge.llm.jaccard import jaccard_components
+from folioforge.llm.packing import pack_documents
+from folioforge.llm.pii import mask_column, train_pii
+from folioforge.llm.queries import may_learn
+from folioforge.llm.scratch import drop_spent_shuffles, materialise
+from folioforge.llm.toxicity import score_toxicity, train_toxicity
 
+#: The stages score, join and count; SQL cannot express training, the tagger or the packing.
 ORACLE_SQL = None
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: that with the smallest doc_id."""
-    groups = jaccard_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi")
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among the rejected ids; null ids stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is at least 0.3 go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = materialise(score_toxicity(docs, train_toxicity(docs, labels.filter(may_learn(4)))).filter("score >= 0.3"), "toxic")
+    return _without(docs, scored)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    rejected = materialise(jaccard_components(docs).filter("doc_id <> component_id"), "duplicates")
+    drop_spent_shuffles(spark)
+    return _without(docs, rejected)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words at least a twentieth stand in benchmark windows go."""
+    found = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, materialise(found.filter("n_hit > 0 and n_hit * 20 >= n_words"), "contaminated"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; n_chars follows the new text."""
+    masked = docs.withColumn("text", mask_column(train_pii(docs)))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents left, packed into sequences of 2048."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs, name)
     return docs

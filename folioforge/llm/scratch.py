@@ -55,7 +55,9 @@ def drop_spent_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
     The cleaner acts when the driver's garbage is collected, which may be long after the files stopped
-    being useful; multi-pass operators call this between passes so that disk holds one pass at a time.
+    being useful; multi-pass operators call this between passes so that disk holds one pass at a time. The
+    session keeps hold of its latest plan, so a trivial one takes that place first.
     """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
