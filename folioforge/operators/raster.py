@@ -53,11 +53,11 @@ def entropy(gray: np.ndarray) -> float:
 
 
 def page_features(gray: np.ndarray) -> dict[str, float]:
-    ink = gray < otsu_threshold(gray)
+    ink = gray <= otsu_threshold(gray)
     low, high = np.percentile(gray, (10, 90))
     return {
         "gray_mean": float(gray.mean()), "gray_std": float(gray.std()), "gray_median": float(np.median(gray)), "gray_p10": float(low), "gray_p90": float(high), "entropy": entropy(gray),
-        "edge_density": edge_density(gray), "ink_ratio": float(ink.mean()), "row_variance": float(ink.mean(axis=1).var()), "column_variance": float(ink.mean(axis=0).var()),
+        "edge_density": edge_density(gray), "ink_ratio": float(ink.mean()), "row_variance": float(ink.sum(axis=1).var()), "column_variance": float(ink.sum(axis=0).var()),
     }
 
 
