@@ -13,10 +13,11 @@ similarity reaches the threshold, in three passes:
 3. *Vertical verification.* The global order is cut into fragments; each candidate pair's overlap is counted
    in every fragment by itself and summed for the pair.
 
-Candidates of a posting list never become all its pairs: each member meets a few pivots of its list first;
-verified links are contracted to components, and only members of different components meet afterwards. So a
-group of thousands of near copies costs a few comparisons for each member, while no link between components
-is lost.
+Candidates of a posting list never become all its pairs: each member meets a few pivots of its list first, those
+that consist most of what the list's documents share; verified links are contracted to components. Afterwards only
+members of different components are compared, inside the join, by size and by parity signatures: the
+signatures' Hamming distance is a lower bound of the sets' symmetric difference, so a pair beyond the
+allowed difference is never emitted, and none within it is lost. What remains is verified.
 
 Hot n-grams: counts are combined before the shuffle, and the joins on n-grams are plain sort-merge joins that
 adaptive execution splits when one key is hot.
@@ -36,11 +37,15 @@ from .scratch import drop_spent_shuffles, materialise
 from .words import PLACES, SPACED, mix, shingles, split_words, text_batches
 
 #: Parts of the global order in which overlaps are counted by themselves.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Pivots that every member of a posting list meets.
 PIVOTS = 2
 #: Classes whose ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: 64-bit words of a parity signature.
+SIGNATURE = 8
+
+_SIGNATURE = [f"s{i}" for i in range(SIGNATURE)]
 
 
 
@@ -107,15 +112,19 @@ def _scan(id_type: pa.DataType, n: int, percent: int):
     return run
 
 
+def signature(grams: np.ndarray) -> np.ndarray:
+    """Parity of the number of n-grams at each place: sets that differ in d n-grams differ in d places at most."""
+    place = (mix(grams.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % (64 * SIGNATURE)
+    return np.packbits((np.bincount(place, minlength=64 * SIGNATURE) & 1).astype(bool)).view(np.int64)
+
+
 def _full(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in text_batches(batch):
-                ids, sets = [], []
-                for grams in _sets(texts, n):
-                    ids.append(_class_id(grams))
-                    sets.append(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["class", "grams"])
+                sets = list(_sets(texts, n))
+                marks = np.array([signature(grams) for grams in sets], np.int64).reshape(-1, SIGNATURE)
+                yield pa.RecordBatch.from_arrays([pa.array([_class_id(g) for g in sets], pa.int64()), _lists(sets), *(pa.array(m) for m in marks.T.copy())], ["class", "grams", *_SIGNATURE])
 
     return run
 
@@ -150,22 +159,24 @@ def _grams_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     if chosen.count() <= BROADCAST_ROWS:
         chosen_docs = F.broadcast(chosen_docs)
     picked = docs.join(chosen_docs, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left_semi")
-    sets = materialise(picked.select("doc_id", "text", "text_hash").mapInArrow(_full(n), "class long, grams array<long>"), "sets")
+    sets = materialise(picked.select("doc_id", "text", "text_hash").mapInArrow(_full(n), "class long, grams array<long>, " + ", ".join(f"{c} long" for c in _SIGNATURE)), "sets")
     counted = sets.agg(F.count("class"), F.countDistinct("class")).first()
     return sets if counted[0] == counted[1] else materialise(sets.dropDuplicates(["class"]), "sets")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """Pass 2: (class, n, gram) of the rarest repeated n-grams, enough to meet every partner in one."""
+    """Pass 2: (class, n, shared, gram) of the rarest repeated n-grams, enough to meet every partner in one.
+
+    shared: the share of the set, in 1/10000, that is repeated in the corpus.
+    """
     grams = sets.select("class", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1")
     rare = grams.join(counts, "gram").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("list"))
     need = F.ceil(F.col("n") * percent / 100)
-    kept = rare.join(sets.select("class", F.size("grams").alias("n")), "class").filter(F.size("list") >= need)
-    return materialise(
-        kept.select("class", "n", F.explode(F.slice("list", F.lit(1), (F.size("list") - need + 1).cast("int"))).alias("p")).select("class", F.col("n").cast("long").alias("n"), "p.gram"),
-        "postings",
-    )
+    kept = rare.join(sets.select("class", F.size("grams").cast("long").alias("n")), "class").filter(F.size("list") >= need)
+    rarest = F.slice("list", F.lit(1), (F.size("list") - need + 1).cast("int"))
+    shared = F.floor(F.size("list") * 10000 / F.col("n"))
+    return materialise(kept.select("class", "n", shared.alias("shared"), F.explode(rarest).alias("p")).select("class", "n", "shared", "p.gram"), "postings")
 
 
 def _between(lo: int, hi: int, last: bool):
@@ -183,28 +194,33 @@ def _parts(sets: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _pivot_pairs(postings: DataFrame) -> DataFrame:
     """Each member of a posting list with the list's pivots; pivots follow one order for all lists."""
-    order = [F.xxhash64("class", F.lit(k)) for k in range(PIVOTS)]
+    order = [F.struct(-F.col("shared"), F.xxhash64("class", F.lit(k))) for k in range(PIVOTS)]
     pivots = postings.groupBy("gram").agg(F.count("*").alias("c"), *(F.min(F.struct(o.alias("o"), F.col("class"), F.col("n"))).alias(f"p{k}") for k, o in enumerate(order))).filter("c > 1")
     each = F.explode(F.array(*(F.struct(F.col(f"p{k}.class").alias("a"), F.col(f"p{k}.n").alias("na")) for k in range(PIVOTS)))).alias("p")
     pairs = postings.join(pivots, "gram").select(F.col("class").alias("b"), F.col("n").alias("nb"), each)
     return pairs.select(F.col("p.a").alias("a"), "b", F.col("p.na").alias("na"), "nb")
 
 
-def _cross_pairs(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of one posting list that are in different components so far."""
-    tagged = postings.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", F.coalesce("root", "class").alias("comp"))
+def _cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one posting list, of different components so far, whose sizes and signatures allow a link."""
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    tagged = materialise(tagged.withColumn("level", level), "tagged")
-    # lists that hold one component have no such pair
+    tagged = postings.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", F.coalesce("root", "class").alias("comp"), level.alias("level"))
+    tagged = materialise(tagged, "tagged")
+    # lists of one component have no such pair
     mixed = tagged.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    tagged = tagged.join(mixed, "gram", "left_semi")
-    groups = tagged.select("gram", "comp", "level").distinct()
-    left = groups.select("gram", F.col("comp").alias("ca"), F.col("level").alias("la"))
-    right = groups.select("gram", F.col("comp").alias("cb"), F.col("level").alias("lb"))
-    met = left.join(right, "gram").filter("ca < cb and abs(la - lb) <= 2")
-    a = tagged.select("gram", F.col("comp").alias("ca"), F.col("level").alias("la"), F.col("class").alias("a"), F.col("n").alias("na"))
-    b = tagged.select("gram", F.col("comp").alias("cb"), F.col("level").alias("lb"), F.col("class").alias("b"), F.col("n").alias("nb"))
-    return met.join(a, ["gram", "ca", "la"]).join(b, ["gram", "cb", "lb"]).select("a", "b", "na", "nb")
+    marks = sets.select("class", *_SIGNATURE)
+    tagged = materialise(tagged.join(mixed, "gram", "left_semi").join(marks, "class"), "mixed")
+    # sizes within 5 : 4 are at most one level apart; rounding of the logarithm can make it two
+    names = {"class": "a", "n": "na", "comp": "ca"} | {c: f"a{c}" for c in _SIGNATURE}
+    left = tagged.select("gram", "level", *(F.col(c).alias(to) for c, to in names.items()))
+    names = {"class": "b", "n": "nb", "comp": "cb", "level": "lb"} | {c: f"b{c}" for c in _SIGNATURE}
+    right = tagged.select("gram", *(F.col(c).alias(to) for c, to in names.items()), F.explode(F.array(*(F.col("level") + k for k in range(3)))).alias("level"))
+    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SIGNATURE), F.lit(0))
+    allowed = differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    l, r = left.alias("l"), right.alias("r")
+    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.level") == F.col("r.level")) & (F.col("ca") != F.col("cb")) & _in_reach(percent) & allowed
+    met = l.join(r, on & ((F.col("l.level") > F.col("lb")) | (F.col("a") > F.col("b"))))
+    return met.select("a", "b", "na", "nb")
 
 
 def _distinct_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +264,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     links = materialise(_linked(_distinct_pairs(_pivot_pairs(postings), percent), parts, percent), "links")
     drop_spent_shuffles(spark)
     roots = connected_components(links)
-    more = materialise(_linked(_distinct_pairs(_cross_pairs(postings, roots), percent), parts, percent), "links")
+    more = materialise(_linked(_distinct_pairs(_cross_pairs(postings, sets, roots, percent), percent), parts, percent), "links")
     drop_spent_shuffles(spark)
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
