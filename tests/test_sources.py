@@ -73,3 +73,37 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         spark.range(k, k + 1).write.mode("append").parquet(source)
         ingest.run_available(ingest.new_files(spark, source, spark.range(1).schema), out, progress)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_pages_of_text_and_unreadable_files(spark):
+    from folioforge.sources import pages
+
+    def picky(content):
+        if content == b"bad":
+            raise ValueError("no")
+        return pages.plain_text(content)
+
+    files_ = spark.createDataFrame([("a", bytearray(b"one\ftwo\fthree")), ("b", bytearray(b"bad"))], "path string, content binary")
+    found = pages.extract_pages(files_, picky, max_pages=2)
+    assert sorted((r.path, r.page_num, r.text) for r in found.filter("error is null").collect()) == [("a", 1, "one"), ("a", 2, "two")]
+    assert [(r.path, r.error) for r in pages.errors(found).collect()] == [("b", "ValueError: no")]
+
+
+def test_exports_hold_no_text(spark, tmp_path):
+    from folioforge.sources import export
+
+    export.write_json(spark.createDataFrame([("a",)], "title string"), str(tmp_path / "j"))
+    export.write_csv(spark.createDataFrame([("a",)], "title string"), str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 1
+    with pytest.raises(ValueError):
+        export.write_json(spark.createDataFrame([("x" * 301,)], "title string"), str(tmp_path / "k"))
+
+
+def test_selection_by_path_or_id(spark):
+    from folioforge.operators import probe
+
+    rows = spark.createDataFrame([(1, "A/x.pdf"), (2, "B/y.pdf")], "doc_id long, rel_path string")
+    assert [r.doc_id for r in probe.select_listed(rows, spark.createDataFrame([("A\\x.pdf",)], "rel_path string")).collect()] == [1]
+    assert [r.doc_id for r in probe.select_listed(rows, spark.createDataFrame([(2,)], "doc_id long")).collect()] == [2]
+    with pytest.raises(ValueError):
+        probe.select_listed(rows, spark.createDataFrame([(2,)], "other long"))
