@@ -398,7 +398,7 @@ query("pdf_candidates", _INV + "SELECT hash_value AS doc_key, rel_path FROM inv
 query("ignored_counts", _INV + "SELECT 'extension' AS level, extension AS value, count(*) AS files FROM inv WHERE extension <> 'pdf' GROUP BY 2 UNION ALL SELECT 'mime', detected_mime, count(*) FROM inv WHERE extension <> 'pdf' GROUP BY 2")(lambda s, d: probe.ignored_counts(adapters.inventory(s, d)))
 query("selected_rows", _INV + "SELECT doc_id FROM inv WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")(lambda s, d: probe.select_listed(adapters.inventory(s, d), table(s, d, "labels").filter("toxic = 1").select("doc_id")).select("doc_id"))
 query("sanitized_labels", "SELECT url, trim(regexp_replace(url, '[^A-Za-z0-9.-]+', '_', 'g'), '_') AS label FROM pages")(lambda s, d: table(s, d, "pages").select("url", probe.sanitized_label(F.col("url")).alias("label")))
-query("reason_features", sql.quality(4) + ", c AS (SELECT doc_id, unnest([{'f': 'alpha_ratio', 'c': alpha_ratio * 2}, {'f': 'digit_ratio', 'c': digit_ratio * -30}, {'f': 'printable_ratio', 'c': printable_ratio * 0.5}]) AS p FROM quality) SELECT doc_id, string_agg(p.f || ':' || printf('%.4f', round(p.c, 6) + 0.0::DOUBLE), ',' ORDER BY -abs(p.c), p.f) AS reason_features FROM c GROUP BY 1")(
+query("reason_features", sql.quality(4) + ", c AS (SELECT doc_id, unnest([{'f': 'alpha_ratio', 'c': alpha_ratio * 2}, {'f': 'digit_ratio', 'c': digit_ratio * -30}, {'f': 'printable_ratio', 'c': printable_ratio * 0.5}]) AS p FROM quality) SELECT doc_id, string_agg(p.f || ':' || printf('%.6f', round(p.c, 6) + 0.0::DOUBLE), ',' ORDER BY -abs(p.c), p.f) AS reason_features FROM c GROUP BY 1")(
     lambda s, d: probe.reasons(_quality(s, d), {"alpha_ratio": 2.0, "digit_ratio": -30.0, "printable_ratio": 0.5})
 )
 query("run_index", _RUNS + "SELECT source_root, max(CASE WHEN stage = 'inventory' THEN r END) AS inventory_run, max(CASE WHEN stage = 'probe' THEN r END) AS probe_run, max(ts) AS updated_at FROM (SELECT source_root, stage, arg_max(run_id, coalesce(ts, TIMESTAMP '1900-01-01')) AS r, max(ts) AS ts FROM runs GROUP BY ALL) GROUP BY 1")(lambda s, d: export.run_index(fixtures.run_table(s)))

@@ -52,5 +52,5 @@ def volume_of(title):
 def reasons(rows: DataFrame, weights: dict[str, float], n: int = 5) -> DataFrame:
     """The n features with the largest absolute contribution, as JSON in falling order."""
     parts = F.array(*(F.struct((-F.abs(F.col(f) * w)).alias("rank"), F.lit(f).alias("feature"), F.round(F.col(f) * w, 6).alias("contribution")) for f, w in sorted(weights.items())))
-    top = F.transform(F.slice(F.array_sort(parts), 1, n), lambda p: F.concat_ws(":", p["feature"], F.format_string("%.4f", p["contribution"])))
+    top = F.transform(F.slice(F.array_sort(parts), 1, n), lambda p: F.concat_ws(":", p["feature"], F.format_string("%.6f", p["contribution"])))
     return rows.select("doc_id", F.array_join(top, ",").alias("reason_features"))

@@ -39,14 +39,17 @@ def _share(a: Column, b: Column) -> Column:
 def page_statistics(page_text: DataFrame, at: Quality = Quality()) -> DataFrame:
     """Counts of each page that has text."""
     text = F.col("text")
-    lengths = F.transform(t.lines(text), lambda line: F.length(t.strip(line)).cast("long"))
-    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
-    squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    return page_text.filter("text <> ''").select(
-        "doc_id", "rel_path", "page_num", "text", F.length(text).alias("chars"), t.words(text).alias("words"), t.letters(text).alias("letters"), t.digits(text).alias("digits"),
-        (F.length(text) - t.spaces(text)).alias("solid"), t.printable(text).alias("printable"), t.count(text, "\\x{fffd}").alias("replaced"),
-        (F.length(text) - t.spaces(text) - t.printable(text) + t.count(text, r"\x20")).alias("control"), t.run_characters(text, at.run).alias("runs"),
-        F.size(lengths).alias("lines"), total.alias("line_chars"), squares.alias("line_squares"), F.array_distinct(F.split(text, "")).alias("kinds"),
+    # what several columns need is a column first, so that it is computed once
+    pages = page_text.filter("text <> ''").select(
+        "doc_id", "rel_path", "page_num", "text", F.length(text).alias("chars"), t.spaces(text).alias("spaces"), t.printable(text).alias("printable"),
+        F.transform(t.lines(text), lambda line: F.length(t.strip(line)).cast("long")).alias("lengths"),
+    )
+    zero = F.lit(0).cast("long")
+    return pages.select(
+        "doc_id", "rel_path", "page_num", "text", "chars", t.words(text).alias("words"), t.letters(text).alias("letters"), t.digits(text).alias("digits"),
+        (F.col("chars") - F.col("spaces")).alias("solid"), "printable", t.count(text, "\\x{fffd}").alias("replaced"),
+        (F.col("chars") - F.col("spaces") - F.col("printable") + t.count(text, r"\x20")).alias("control"), t.run_characters(text, at.run).alias("runs"), F.size("lengths").alias("lines"),
+        F.aggregate("lengths", zero, lambda a, x: a + x).alias("line_chars"), F.aggregate("lengths", zero, lambda a, x: a + x * x).alias("line_squares"), F.array_distinct(F.split(text, "")).alias("kinds"),
     )
 
 
