@@ -26,8 +26,9 @@ from .scratch import materialise
 SAMPLE = 40_000
 #: Sample vectors that calibration takes as queries at most.
 CALIBRATION = 300
-#: Children of a node, sample vectors of a leaf at most, vectors and queries of a cell at most.
-BRANCHES, LEAF, CELL = 8, 512, 4096
+#: Children of a node; rows of the whole table that a leaf should hold (but LEAST sample vectors at least);
+#: vectors and queries of a cell at most.
+BRANCHES, LEAF_ROWS, LEAST, CELL = 8, 8192, 16, 8192
 
 
 @dataclass
@@ -86,15 +87,18 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
     return choice if len(np.unique(choice)) > 1 else None
 
 
-def fit_tree(x: np.ndarray, *, neighbours: int, recall: float, seed: int = 11) -> Tree:
-    """A tree of the rows, with the number of leaf visits that reaches the recall among them."""
+def fit_tree(x: np.ndarray, *, neighbours: int, recall: float, leaf_size: int = LEAF_ROWS, seed: int = 11) -> Tree:
+    """A tree of the rows, with the number of leaf visits that reaches the recall among them.
+
+    Nodes of more than leaf_size rows are split, unless their rows are all the same.
+    """
     rng = np.random.default_rng(seed)
     x = x.astype(np.float64)
     centres, children, leaf, members = [x.mean(axis=0) if len(x) else np.zeros(x.shape[1])], [[]], [-1], [np.arange(len(x))]
     node = leaves = 0
     while node < len(members):
         rows = members[node]
-        choice = _split(x[rows], rng) if len(rows) > LEAF else None
+        choice = _split(x[rows], rng) if len(rows) > leaf_size else None
         if choice is None:
             leaf[node] = leaves
             leaves += 1
@@ -184,8 +188,9 @@ def _cell(neighbours: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         x, q = (np.stack(f[c].to_numpy()).astype(np.float64) for f, c in ((vectors, "vector"), (queries, "query")))
         ids, own = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        parts = [pd.DataFrame({"query_id": own[k], "vec_id": ids[at], "score": exact}) for k, at, exact in best_of(q, own, x, ids, neighbours)]
-        return pd.concat(parts, ignore_index=True)
+        found = list(best_of(q, own, x, ids, neighbours))
+        asked = np.repeat(own[[k for k, _, _ in found]], [len(at) for _, at, _ in found])
+        return pd.DataFrame({"query_id": asked, "vec_id": ids[np.concatenate([at for _, at, _ in found])], "score": np.concatenate([s for _, _, s in found])})
 
     return run
 
@@ -214,7 +219,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, neighbours: int = 20, re
     dims = common["size"]
     usable = usable.filter(F.col("size") == dims).select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
     taken = usable.withColumn("place", F.xxhash64("vec_id")).orderBy("place").limit(sample).select("vector").toArrow()  # bounded by sample
-    tree = fit_tree(_matrix(taken.column(0), dims), neighbours=neighbours, recall=recall)
+    leaf_size = max(LEAST, LEAF_ROWS * taken.num_rows // max(1, usable.count()))
+    tree = fit_tree(_matrix(taken.column(0), dims), neighbours=neighbours, recall=recall, leaf_size=leaf_size)
     index = materialise(usable.mapInArrow(_leaves(tree, dims), "vec_id long, vector array<double>, leaf int"), "index")
     held = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
     counts = np.array([held.get(i, 0) for i in range(tree.leaves)], np.int64)

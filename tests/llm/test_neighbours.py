@@ -44,6 +44,16 @@ def test_exact_with_full_recall(table):
     assert {q: [j for j, _ in b] for q, b in got.items()} == {q: [j for j, _ in b] for q, b in expected.items()}
 
 
+def test_small_leaves_and_cells_give_the_same(table, monkeypatch):
+    from folioforge.llm import neighbours
+
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for k in range(400)]
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 40)
+    monkeypatch.setattr(neighbours, "CELL", 7)
+    assert recall(found(nearest_neighbours(table(rows), F.col("vec_id") % 10 == 0, neighbours=5)), brute(rows, 5, 10)) >= 0.9
+
+
 def test_many_equal_vectors_tie_to_small_ids(table):
     rows = [(k, [1.0, 0.0]) for k in range(5000)] + [(6000 + k, [0.0, 1.0]) for k in range(10)]
     got = found(nearest_neighbours(table(rows), F.col("vec_id") % 2500 == 0, neighbours=5))
@@ -60,7 +70,7 @@ def test_odd_rows(table):
 
 def test_tree_leads_each_vector_to_its_leaf():
     x = np.random.default_rng(2).normal(size=(3000, 8))
-    tree = fit_tree(x, neighbours=10, recall=0.9)
+    tree = fit_tree(x, neighbours=10, recall=0.9, leaf_size=200)
     leaves = tree.assign(x)
     assert tree.leaves > 3 and 1 <= tree.visits <= tree.leaves
     assert sorted(tree.order(x[0])) == list(range(tree.leaves)) and next(iter(tree.order(x[0]))) in leaves
