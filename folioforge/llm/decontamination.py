@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
+from .memory import lean
 from .words import ALNUM, Words, sequence_hash, shingles, split_words, text_batches
 
 #: Words in a shingle.
@@ -132,75 +133,85 @@ def occurrences(words: Words, index: list[Windows], lookups: list[Lookup]) -> It
         yield start[same], own.size, own.items, which[same]
 
 
-_STATE = "marks binary, items array<string>"
-_RESULT = "n_words long, n_hit long, items array<string>, hits array<struct<first: long, last: long>>"
-_HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_HIT_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_MARKS, _ITEMS = "__marks", "__items"
 
 
-def _mark(index: list[Windows], id_type: pa.DataType, last: bool):
+def _mark(index: list[Windows], carried: int, last: bool):
+    """carried: columns before the two of the state, which are passed on as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = [Lookup(np.unique(w.token)) for w in index]
         for batch in batches:
+            names = batch.schema.names[:carried]
             for lo, texts in text_batches(batch):
                 words = split_words(texts, ALNUM)
                 bounds, n = words.bounds(), len(texts)
                 edge = np.zeros(len(words.hash) + 1, np.int64)
                 held: dict[int, set[str]] = {}
-                for start, size, names, which in occurrences(words, index, lookups):
+                for start, size, found, which in occurrences(words, index, lookups):
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + size, -1)
                     for k, w in set(zip(words.doc[start].tolist(), which.tolist(), strict=True)):
-                        held.setdefault(k, set()).update(names[w])
+                        held.setdefault(k, set()).update(found[w])
                 hit = np.cumsum(edge[:-1]) > 0
-                before, names_before = (batch.column(i).slice(lo, n).to_pylist() for i in (2, 3))
+                part = batch.slice(lo, n)
+                before, names_before = (part.column(carried + i).to_pylist() for i in (0, 1))
                 for k in (i for i in range(n) if before[i] is not None):
                     hit[bounds[k] : bounds[k + 1]] |= np.unpackbits(np.frombuffer(before[k], np.uint8), count=bounds[k + 1] - bounds[k]).astype(bool)
                     held.setdefault(k, set()).update(names_before[k])
                 items = [sorted(held.get(k, ())) for k in range(n)]
-                ids = batch.column(0).slice(lo, n).cast(id_type)
                 own = [hit[bounds[k] : bounds[k + 1]] for k in range(n)]
+                kept, listed = part.columns[:carried], pa.array(items, pa.list_(pa.string()))
                 if not last:
                     marks = [np.packbits(x).tobytes() if items[k] else None for k, x in enumerate(own)]
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(lo, n), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "marks", "items"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.binary()), listed], [*names, _MARKS, _ITEMS])
                     continue
                 spans = []
                 for k, x in enumerate(own):
                     step = np.flatnonzero(np.diff(np.concatenate(([0], x.view(np.int8), [0])))) if items[k] else np.empty(0, np.int64)
                     spans.append([{"first": a, "last": b - 1} for a, b in step.reshape(-1, 2).tolist()])
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(bounds)), pa.array([int(x.sum()) for x in own], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _HITS)],
-                    ["doc_id", "n_words", "n_hit", "items", "hits"],
+                    [*kept, pa.array(np.diff(bounds)), pa.array([int(x.sum()) for x in own], pa.int64()), listed, pa.array(spans, _HIT_TYPE)],
+                    [*names, "n_words", "n_hit", "items", "hits"],
                 )
 
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, slice_bytes: int = SLICE_BYTES, record: bool = False) -> DataFrame:
     """Find the words of documents that stand inside an occurrence of a benchmark window.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A window is ``window`` consecutive
-    words of an item; an item of fewer, but not none, is one window. Returns for each row of docs: doc_id,
-    n_words, n_hit, items (ids as strings, sorted, of items with occurring windows) and hits (ranges of hit
-    words, first to last, from 0).
+    words of an item; an item of fewer, but not none, is one window. Returns for each row of docs: doc_id (with
+    record: ``record``, a struct of all its columns), n_words, n_hit, items (ids as strings, sorted, of items with
+    occurring windows) and hits (ranges of hit words, first to last, from 0).
 
     Null and empty texts have no words. Repeated items count once for their id, null item ids are left out;
-    repeated documents are rows of their own. An empty benchmark hits nothing.
+    repeated documents are rows of their own. An empty benchmark hits nothing. A window that many items share
+    lists at most the items of one slice.
     """
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType
-    id_sql, id_type = kind.simpleString(), to_arrow_type(kind)
+    inner = docs if record else docs.select("doc_id", "text")
+    names, fields = inner.columns, list(inner.schema)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).filter("item is not null and body is not null").distinct()
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     slices = max(1, -(-size // slice_bytes))
-    state = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("marks"), F.array().cast("array<string>").alias("items"))
+    carried = [f"__{i}" if n != "text" else n for i, n in enumerate(names)]  # apart from the names added
+    state = inner.toDF(*carried).withColumns({_MARKS: F.lit(None).cast("binary"), _ITEMS: F.array().cast("array<string>")})
+    fields = [StructField(n, f.dataType) for n, f in zip(carried, fields, strict=True)]
+    listed = ArrayType(StringType())
     for k in range(slices):
         own = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(slices)) == k).collect()  # about slice_bytes
         found = item_windows(sorted((r["item"], r["body"].encode()) for r in own), window)
         rows = [np.frombuffer(b, np.uint64) for held in found.values() for b in held]
         grams = np.unique(np.array([g for row in rows for g in _grams(row)], np.uint64))
         sizes = sorted({min(SHINGLE, n) for n in found})
-        counted = docs.select("text").mapInArrow(_count(grams, sizes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect() if sizes else []
+        counted = docs.select("text").mapInArrow(lean(_count(grams, sizes)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect() if sizes else []
         index = build_index(found, {r["gram"] & (2**64 - 1): r["n"] for r in counted})
         last = k == slices - 1
-        state = state.mapInArrow(_mark(index, id_type, last), f"doc_id {id_sql}, " + (_RESULT if last else f"text string, {_STATE}"))
-    return state
+        more = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", listed), StructField("hits", ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType())])))] if last else [StructField(_MARKS, BinaryType()), StructField(_ITEMS, listed)]
+        state = state.mapInArrow(lean(_mark(index, len(carried), last)), StructType([*fields, *more]))
+    results = ("n_words", "n_hit", "items", "hits")
+    if record:
+        return state.select(F.struct(*(F.col(c).alias(n) for c, n in zip(carried, names, strict=True))).alias("record"), *results)
+    return state.select(F.col(carried[0]).alias("doc_id"), *results)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .memory import lean
 from .scratch import drop_spent_shuffles, materialise
 from .words import PLACES, SPACED, mix, shingles, split_words, text_batches
 
@@ -159,7 +160,7 @@ def _grams_of(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     if chosen.count() <= BROADCAST_ROWS:
         chosen_docs = F.broadcast(chosen_docs)
     picked = docs.join(chosen_docs, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left_semi")
-    sets = materialise(picked.select("doc_id", "text", "text_hash").mapInArrow(_full(n), "class long, grams array<long>, " + ", ".join(f"{c} long" for c in _SIGNATURE)), "sets")
+    sets = materialise(picked.select("doc_id", "text", "text_hash").mapInArrow(lean(_full(n)), "class long, grams array<long>, " + ", ".join(f"{c} long" for c in _SIGNATURE)), "sets")
     counted = sets.agg(F.count("class"), F.countDistinct("class")).first()
     return sets if counted[0] == counted[1] else materialise(sets.dropDuplicates(["class"]), "sets")
 
@@ -251,7 +252,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
     schema = f"doc_id {id_type.simpleString()}, text_hash long, n_shingles long, class long, prefix array<long>"
     from pyspark.sql.pandas.types import to_arrow_type
 
-    scan = materialise(docs.mapInArrow(_scan(to_arrow_type(id_type), n, percent), schema), "scan")
+    scan = materialise(docs.mapInArrow(lean(_scan(to_arrow_type(id_type), n, percent)), schema), "scan")
     drop_spent_shuffles(spark)
     chosen = _survivors(scan, percent)
     drop_spent_shuffles(spark)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .memory import lean
 from .scratch import materialise
 from .tokens import encoder
 from .words import text_batches
@@ -179,7 +180,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids binary, part int, rank long"
-    pieces = docs.mapInArrow(_tokenise(tokenizer_path, to_arrow_type(kind), capacity, end_id), schema)
+    pieces = docs.mapInArrow(lean(_tokenise(tokenizer_path, to_arrow_type(kind), capacity, end_id)), schema)
     pieces = materialise(pieces.select("doc_id", "piece", "start", "length", *(c.alias(n) for n, c in payload.items()), "part", "rank"), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows

@@ -1,10 +1,14 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The patterns give the base spans (email, ip, card, phone), which always stay. The tagger is trained in numpy on
-windows of text whose base spans are the labels, and adds spans that look alike but that no pattern covers.
-Every kind of span needs a digit or an at sign, which the decoder enforces; so windows without either cannot hold one
-and are not decoded, which is exact and leaves a small part of ordinary text. Windows overlap; each character
-takes its tag from the window in which it is furthest from an edge, and spans are read off the joined tags.
+windows of the documents: spans that the patterns label, and spans written into other windows in the ways that
+patterns miss ("a [at] b dot com", spaced dots, numbers without their plus, secrets after a name). It adds what
+it then finds, as far as a check of each kind holds (a card's digits pass Luhn, an address's parts fit a byte).
+
+Every kind of span needs a digit, an at sign or a spelled one, which the check enforces; windows without such a
+trigger are skipped, which loses nothing and leaves a small part of ordinary text. Windows overlap by half, so spans
+of up to 48 characters stand whole in one of them; each character takes its tag from the window in which it is
+furthest from an edge, and spans are read off the joined tags. Longer spans may come out in parts.
 """
 
 from __future__ import annotations
@@ -14,20 +18,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .memory import lean
 from .scratch import materialise
+from .words import text_batches
 
-#: Kinds in the order in which spans with one start are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order in which spans with one start are listed; the last is the tagger's alone.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Characters of a window, and how far apart windows start.
 WINDOW, STRIDE = 96, 48
 #: Windows that training takes at most (those with the smallest hash of their text).
 TRAIN_WINDOWS = 3_000
+#: Bytes of text that are decoded together.
+SLICE_BYTES = 1 << 18
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +42,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]| [dD][oO][tT] ")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -66,13 +74,18 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _byte(digits: str) -> bool:
+    digits = digits.lstrip("0")  # so that no number gets too long to read
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of the patterns' matches, sorted."""
-    if not _TRIGGER.search(text):
+    if not _DIGIT.search(text):
         return []
     found = [(s, 0, e) for s, e in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p) < 20 and int(p) <= 255 for p in m[0].split(".")):
+        if all(_byte(p) for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and passes_luhn(d):
@@ -120,13 +133,14 @@ _SHUT = np.float32(-1e4)
 
 @dataclass(frozen=True)
 class Tagger:
-    """Sizes and training of the network."""
+    """Sizes and training of the network; examples: windows made from those at hand, however few these are."""
 
     embedding: int = 12
-    hidden: int = 20
-    epochs: int = 8
-    batch: int = 48
-    rate: float = 0.02
+    hidden: int = 24
+    examples: int = 4096
+    epochs: int = 12
+    batch: int = 64
+    rate: float = 0.015
     seed: int = 7
 
 
@@ -229,6 +243,7 @@ def train_tagger(inputs: np.ndarray, tags: np.ndarray, how: Tagger = Tagger()) -
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     rng, step = np.random.default_rng(how.seed), 0
     shut = np.where(LEGAL, 0, _SHUT).astype(np.float32)
+    steps = how.epochs * -(-len(inputs) // how.batch)
     for _ in range(how.epochs):
         order = rng.permutation(len(inputs))
         for lo in range(0, len(order), how.batch):
@@ -252,7 +267,7 @@ def train_tagger(inputs: np.ndarray, tags: np.ndarray, how: Tagger = Tagger()) -
                 q = q * min(1, 5 / (norm + 1e-9))
                 m[name] = 0.9 * m[name] + 0.1 * q
                 v[name] = 0.999 * v[name] + 0.001 * q * q
-                w[name] = (w[name] - how.rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                w[name] = (w[name] - how.rate * (1 - 0.95 * step / steps) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return w
 
 
@@ -284,10 +299,141 @@ def trigger_windows(text: str) -> list[int]:
     return [s * STRIDE for s in sorted({*np.clip(at, 0, last).tolist(), *np.clip(at - 1, 0, last).tolist()})]
 
 
+_SPELLED = re.compile(r"(?i)[\[(] ?at ?[\])]| at ")
+_DOTS = re.compile(r"(?i)\[\.\]|\(\.\)| ?[\[(]dot[\])] ?| dot | ?\. ?| ?, ?")
+_COLONS = re.compile(r"(?i)[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}")
+
+
 def valid(kind: int, text: str) -> bool:
     """What any span of a kind has to hold."""
-    digits = len(_digits(text))
-    return (0 < text.find("@") < len(text) - 1, text.count(".") >= 3 and digits >= 4, 12 <= digits <= 19, 7 <= digits <= 15)[kind]
+    digits = _digits(text)
+    if kind == 0:
+        return ("@" in text[1:-1] or bool(_SPELLED.search(text))) and ("." in text[1:-1] or " dot " in text.lower() or "dot]" in text.lower() or "dot)" in text.lower())
+    if kind == 1:
+        parts = _DOTS.split(text)
+        return (len(parts) == 4 and all(p and p == _digits(p) and _byte(p) for p in parts)) or (bool(digits) and text.count(":") >= 2 and bool(_COLONS.fullmatch(text)))
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and passes_luhn(digits)
+    if kind == 3:
+        return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in text)
+    return len(text) >= 16 and not any(c.isspace() for c in text) and bool(digits) and any(c.isalpha() for c in text)
+
+
+# Spans as people write them. Each maker takes a random generator and gives a span of its kind.
+
+
+def _pick(rng: np.random.Generator, *choices):
+    return choices[int(rng.integers(len(choices)))]
+
+
+def _number(rng: np.random.Generator, digits: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, digits)))
+
+
+def _name(rng: np.random.Generator, least: int = 2, most: int = 9) -> str:
+    return "".join(_pick(rng, *"abcdefghijklmnopqrstuvwxyz") for _ in range(rng.integers(least, most + 1)))
+
+
+def _make_email(rng: np.random.Generator) -> str:
+    first, dot = _name(rng), _pick(rng, ".", ".", " dot ", " [dot] ", "(dot)", " . ")
+    at = _pick(rng, "@", "@", " @ ", " at ", "[at]", " [at] ", "(at)", " (at) ") if dot in (".", " . ") else _pick(rng, " at ", " [at] ", "(at)", "@")
+    if at == " at ":
+        dot = " dot "  # a plain "at" counts with a spelled dot only
+    local = _pick(rng, first, first + _number(rng, 2), first + "." + _name(rng), first + _pick(rng, ".", "_", "-") + _number(rng, 2), first.capitalize())
+    return local + at + dot.join([_name(rng) + _pick(rng, "", _number(rng, 1)), *([_name(rng)] if rng.random() < 0.4 else []), _pick(rng, "com", "org", "net", "de", "es", "fr", "example")])
+
+
+def _make_ip(rng: np.random.Generator) -> str:
+    if rng.random() < 0.15:
+        return ":".join(f"{rng.integers(1 << 16):x}" for _ in range(8))
+    return _pick(rng, ".", ".", "[.]", "(.)", " . ", " dot ", "[dot]", ". ").join(str(rng.integers(256)) for _ in range(4))
+
+
+def _make_card(rng: np.random.Generator) -> str:
+    size = int(_pick(rng, 13, 15, 16, 16, 16, 16, 19))
+    body = _number(rng, size - 1)
+    digits = next(body + str(d) for d in range(10) if passes_luhn(body + str(d)))
+    by = _pick(rng, "", "", " ", "-", ".", "/", " - ", "  ", "_")
+    return by.join(digits[i : i + 4] for i in range(0, size, 4))
+
+
+def _make_phone(rng: np.random.Generator) -> str:
+    a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
+    return _pick(
+        rng, f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"+{rng.integers(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}",
+        f"00{rng.integers(1, 99)} {a} {b}{c}", f"0{a}/{b}{c}", f"0{a}-{b}{c}", f"({a}){b}-{c}", f"+{rng.integers(1, 99)}-{a}/{b}-{c}",
+    )
+
+
+def _make_secret(rng: np.random.Generator) -> str:
+    letters = _pick(rng, "0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    while True:
+        found = _pick(rng, "", "", "", "sk-", "ghp_", "AKIA") + "".join(_pick(rng, *letters) for _ in range(rng.integers(20, 45)))
+        if valid(4, found):
+            return found
+
+
+def _lead(rng: np.random.Generator, kind: int) -> str:
+    """What often stands before a span of a kind."""
+    if kind == 4:
+        key = _pick(rng, "token", "secret", "password", "api_key", "apikey", "key", "access_token", "TOKEN", "API_KEY")
+        return key + _pick(rng, " = ", "=", ": ", " : ", ":") + _pick(rng, '"', '"', "'", "")
+    return _pick(rng, "", "", (("mail ", "e-mail: "), ("ip ", "host: "), ("card ", "no. "), ("tel ", "phone: "))[kind][int(rng.integers(2))])
+
+
+_MAKERS = (_make_email, _make_ip, _make_card, _make_phone, _make_secret)
+
+
+def _make_other(rng: np.random.Generator) -> str:
+    """Numbers and words that are no personal data."""
+    n = _number
+    return _pick(
+        rng, f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}", f"{rng.integers(24)}:{rng.integers(60):02}", f"{n(rng, 3)},{n(rng, 3)}.{n(rng, 2)}", f"{n(rng, 1)}.{n(rng, 1)}",
+        f"v{n(rng, 1)}.{n(rng, 1)}.{n(rng, 2)}", f"{rng.integers(1, 400)}", f"{rng.integers(1900, 2100)}", f"{n(rng, 2)}%", f"{n(rng, 3)}-{n(rng, 3)}", f"{n(rng, 5)}", f"{n(rng, 8)}", f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.{rng.integers(1900, 2100)}",
+        f"{_name(rng)} at {_name(rng)}", f"{_name(rng)} dot {_name(rng)}", f"@{_name(rng)}", f"{_name(rng)}{n(rng, 2)}", f"{_name(rng)}-{n(rng, 4)}", f"{n(rng, 2)}/{n(rng, 2)}",
+    )
+
+
+def make_examples(parts: list[tuple[str, bytes]], how: Tagger) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags to train on, how.examples of them: two fifths as they are, the others with one or two
+    spans, or numbers that are none, written over a part of them. parts: text and tags of windows at hand.
+    """
+    rng = np.random.default_rng(how.seed)
+    inputs, tags = np.zeros((how.examples, WINDOW), np.int64), np.zeros((how.examples, WINDOW), np.int64)
+    for i in range(how.examples):
+        text, own = parts[i % len(parts)]
+        text, own = text[:WINDOW], np.frombuffer(own, np.int8)[: min(len(text), WINDOW)]
+        if rng.random() < 0.6:
+            text, own = _written_over(rng, text, own)
+            text, own = text[:WINDOW], own[:WINDOW]
+        c = codes(text)
+        inputs[i, : len(c)] = c
+        tags[i, : len(own)] = own
+    return inputs, tags
+
+
+def _written_over(rng: np.random.Generator, text: str, own: np.ndarray) -> tuple[str, np.ndarray]:
+    cut = int(rng.integers(0, max(1, min(40, len(text)))))
+    while 0 < cut < len(own) and own[cut] and own[cut] % 2 == 0:  # not inside a span
+        cut -= 1
+    kind = int(rng.integers(0, len(KINDS) + 2))
+    if kind >= len(KINDS):
+        lead, new, marks = "", _make_other(rng), None
+    else:
+        lead, new = _lead(rng, kind), _MAKERS[kind](rng)
+        marks = tags_of([(0, kind, len(new))], len(new))
+    before, after = _pick(rng, " ", " ", " ", "\n", "", "("), _pick(rng, " ", " ", ", ", ". ", "\n", ")", "")
+    if before == "" and cut and text[cut - 1].isalnum():
+        before = " "
+    if kind == 4 and lead and lead[-1] in "\"'":
+        after = lead[-1] + " "
+    keep = cut + len(before) + len(lead)
+    rest = text[cut:]
+    if after == "" and rest[:1].isalnum():
+        after = " "
+    none = lambda n: np.zeros(n, np.int64)
+    out = np.concatenate([own[:cut], none(keep - cut), marks if marks is not None else none(len(new)), none(len(after)), own[cut:]])
+    return text[:cut] + before + lead + new + after + rest, out
 
 
 def tagged_spans(w: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -341,45 +487,60 @@ def all_spans(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]
 
 
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with a trigger, and one of each text wherever its length puts it; tags of their base spans."""
     for batch in batches:
-        rows, starts, labels = [], [], []
-        for text in batch.column(0).to_pylist():
-            text = text or ""
-            spans = base_spans(text)
-            for s in trigger_windows(text)[:: 2 if spans else 1]:
-                own = [(a - s, k, b - s) for a, k, b in spans if a >= s and b <= s + WINDOW]
-                if any(s < b and a < s + WINDOW and not (a >= s and b <= s + WINDOW) for a, _, b in spans):
-                    continue
-                rows.append(text[s : s + WINDOW])
-                starts.append(s)
-                labels.append(tags_of(own, WINDOW).astype(np.int8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(labels, pa.binary())], ["part", "tags"])
-
-
-def _fit(how: Tagger):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, texts in text_batches(batch, limit=SLICE_BYTES):
+            rows, labels = [], []
+            for text in (t.decode() for t in texts if t):
+                spans = _labelled(text)
+                for s in {*trigger_windows(text), len(text) * 7919 % max(1, len(text) - WINDOW + 1)}:
+                    if any(a < s < b or a < s + WINDOW < b for a, _, b in spans):
+                        continue  # cuts a span
+                    own = [(a - s, k, b - s) for a, k, b in spans if a >= s and b <= s + WINDOW]
+                    rows.append(text[s : s + WINDOW])
+                    labels.append(tags_of(own, WINDOW).astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(labels, pa.binary())], ["part", "tags"])
+
+
+_NAMED = re.compile(r"(?i)(?:token|secret|password|passwd|key)[\"']? ?[:=] ?[\"']?([a-z0-9_+/-]{16,})")
+
+
+def _labelled(text: str) -> list[tuple[int, int, int]]:
+    """Base spans; values named as secrets; and numbers as long as a card's whose check digit is wrong, which
+    no network sees, but valid() does.
+    """
+    found = base_spans(text)
+    for m in _NAMED.finditer(text):
+        if valid(4, m[1]) and not any(a < m.end(1) and m.start(1) < b for a, _, b in found):
+            found.append((m.start(1), 4, m.end(1)))
+    for m in _CARD.finditer(text):
+        if 12 <= len(_digits(m[0])) <= 19 and not any(a < m.end() and m.start() < b for a, _, b in found):
+            found.append((m.start(), 2, m.end()))
+    return sorted(found)
+
+
+def _fit(how: Tagger, windows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        rows = pd.concat([pd.DataFrame({"part": [], "tags": []}), *parts])
-        inputs, tags = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64)
-        for i, (text, own) in enumerate(zip(rows["part"], rows["tags"], strict=True)):
-            c = codes(text)
-            inputs[i, : len(c)] = c
-            tags[i] = np.frombuffer(own, np.int8)
-        if len(rows):
-            yield pd.DataFrame({"weights": [pickle.dumps(train_tagger(inputs, tags, how))]})
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)][:windows]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_tagger(*make_examples(rows, how), how))], pa.binary())], ["weights"])
 
     return run
 
 
 def train_pii(docs: DataFrame, *, windows: int = TRAIN_WINDOWS, how: Tagger = Tagger()) -> dict[str, np.ndarray] | None:
-    """Tagger weights learned from at most ``windows`` labelled windows; None if the documents have no window."""
+    """Tagger weights learned from at most ``windows`` windows of the documents; None without any text.
+
+    The windows are the distinct ones with the smallest hashes. One task trains: its size is bounded by
+    ``windows``, its work by ``how``.
+    """
     import pickle
 
-    found = docs.select("text").mapInArrow(_training_windows, "part string, tags binary")
-    order = F.xxhash64("part")
-    sample = materialise(found.withColumn("place", order).orderBy("place", "part").limit(windows), "windows")
-    fitted = sample.orderBy("place", "part").limit(windows).select("part", "tags").coalesce(1).mapInPandas(_fit(how), "weights binary").collect()
+    found = docs.select("text").mapInArrow(lean(_training_windows), "part string, tags binary").withColumn("place", F.xxhash64("part"))
+    sample = materialise(found.distinct().orderBy("place", "part").limit(windows), "windows")
+    fitted = sample.repartition(1).sortWithinPartitions("place", "part", "tags").select("part", "tags").mapInArrow(lean(_fit(how, windows)), "weights binary").collect()
     return pickle.loads(fitted[0]["weights"]) if fitted else None
 
 
@@ -391,17 +552,21 @@ def _listed(spans: list[tuple[int, int, int]]) -> list[dict]:
     return [{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in spans]
 
 
+def _texts(batch: pa.RecordBatch, column: int, w: dict[str, np.ndarray] | None) -> Iterator[tuple[int, list[str | None], list, list]]:
+    """(first row, texts, base spans, all spans) of slices of a batch."""
+    for lo, raw in text_batches(batch, batch.schema.names[column], SLICE_BYTES):
+        texts = [None if t is None else t.decode() for t in raw]
+        base = [base_spans(t or "") for t in texts]
+        more = tagged_spans(w, [t or "" for t in texts]) if w else [[] for _ in texts]
+        yield lo, texts, base, [all_spans(b, m) for b, m in zip(base, more, strict=True)]
+
+
 def _find(w: dict[str, np.ndarray] | None, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                base = [base_spans(t) for t in texts]
-                more = tagged_spans(w, texts) if w else [[] for _ in texts]
+            for lo, texts, base, spans in _texts(batch, 1, w):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(id_type), pa.array([_listed(b) for b in base], _SPAN_TYPE), pa.array([_listed(all_spans(b, m)) for b, m in zip(base, more, strict=True)], _SPAN_TYPE)],
-                    ["doc_id", "base", "spans"],
+                    [batch.column(0).slice(lo, len(texts)).cast(id_type), pa.array(map(_listed, base), _SPAN_TYPE), pa.array(map(_listed, spans), _SPAN_TYPE)], ["doc_id", "base", "spans"]
                 )
 
     return run
@@ -416,7 +581,7 @@ def find_pii(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
-    return docs.mapInArrow(_find(model, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, base {_SPANS}, spans {_SPANS}")
+    return docs.mapInArrow(lean(_find(model, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, base {_SPANS}, spans {_SPANS}")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -429,20 +594,17 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _masked(w: dict[str, np.ndarray] | None):
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            out = []
-            for lo in range(0, len(series), 256):
-                part = [None if t is None else t for t in series.iloc[lo : lo + 256]]
-                filled = [t or "" for t in part]
-                more = tagged_spans(w, filled) if w else [[] for _ in filled]
-                out += [None if t is None else mask(t, all_spans(base_spans(t), m)) for t, m in zip(part, more, strict=True)]
-            yield pd.Series(out, dtype=object)
+def _masked(w: dict[str, np.ndarray] | None, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts, _, spans in _texts(batch, column, w):
+                part = batch.slice(lo, len(texts))
+                new = pa.array([None if t is None else mask(t, s) for t, s in zip(texts, spans, strict=True)], part.column(column).type)
+                yield part.set_column(column, part.schema.field(column), new)
 
     return run
 
 
-def mask_column(model: dict[str, np.ndarray] | None, column: str = "text"):
-    """A column expression: the text with personal data masked; null stays null."""
-    return F.pandas_udf(_masked(model), "string")(F.col(column))
+def mask_pii(docs: DataFrame, model: dict[str, np.ndarray] | None, column: str = "text") -> DataFrame:
+    """docs with personal data in ``column`` masked; all columns and rows stay, null stays null."""
+    return docs.mapInArrow(lean(_masked(model, docs.columns.index(column))), docs.schema)

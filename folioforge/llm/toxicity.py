@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct hashes of its words, word pairs, triples and pairs with one or two words
-between. Each coordinate has its own learning rate; L1 keeps most weights at zero, so the model is a short list of (index, weight), which is what gets broadcast. Scoring
-is one map over the documents.
+between. Each coordinate has its own learning rate; L1 keeps most weights at zero, so the model is a short list
+of (index, weight), which is what gets broadcast. Scoring is one map over the documents.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .memory import lean
 from .scratch import materialise
 from .words import ALNUM, PLACES, Words, mix, split_words, text_batches
 
@@ -63,6 +63,17 @@ def features(words: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found)
 
 
+def _pack(index: np.ndarray, bits: int) -> bytes:
+    """Sorted distinct indices as bytes: how many there are for each value of the high bits, then the low 16 bits."""
+    return np.bincount(index >> 16, minlength=1 << max(0, bits - 16)).astype("<u4").tobytes() + (index & 0xFFFF).astype("<u2").tobytes()
+
+
+def _unpack(packed: np.ndarray, bits: int) -> np.ndarray:
+    """The indices that _pack() was given; packed: its bytes as 16-bit numbers."""
+    high = 1 << max(0, bits - 16)
+    return np.repeat(np.arange(high, dtype=np.int64) << 16, packed[: 2 * high].view("<u4")) + packed[2 * high :]
+
+
 def _extract(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,46 +81,57 @@ def _extract(bits: int):
                 doc, index = features(split_words(texts, ALNUM), bits)
                 pairs = np.unique((doc << 32) | index)
                 cuts = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1))
-                ids = (pairs & 0xFFFFFFFF).astype("<u4")
-                rows = [ids[cuts[k] : cuts[k + 1]].tobytes() for k in range(len(texts))]
+                rows = [_pack(pairs[cuts[k] : cuts[k + 1]] & 0xFFFFFFFF, bits) for k in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, len(texts)), batch.column(2).slice(lo, len(texts)), pa.array(rows, pa.binary())], ["place", "label", "indices"])
 
     return run
 
 
-def fit_ftrl(rows: list[tuple[int, np.ndarray]], how: Ftrl, bits: int) -> dict[int, float]:
-    """(label, distinct indices) examples -> non-zero weights; index 0 is the intercept."""
-    positive = sum(y for y, _ in rows)
-    rate = (positive + how.prior * 20) / (len(rows) + 20)
-    often = np.zeros(2**bits, np.int64)
-    for _, at in rows:
-        often[at] += 1
+def _weights(z: np.ndarray, n: np.ndarray, how: Ftrl) -> np.ndarray:
+    """The closed form of a weight from its two sums: zero within the L1 bound."""
+    return np.where(np.abs(z) > how.l1, (np.sign(z) * how.l1 - z) / ((how.beta + np.sqrt(n)) / how.alpha + how.l2), 0.0)
+
+
+def fit_ftrl(labels: list[int], examples: list[np.ndarray], how: Ftrl, bits: int) -> dict[int, float]:
+    """Labels and packed indices of the examples -> non-zero weights. Index 0 is the intercept: a coordinate
+    like the others, in every example, but without the L1 bound; it starts at the labels' smoothed share.
+    """
+    rate = (sum(labels) + how.prior * 20) / (len(labels) + 20)
+    often = np.zeros(2**bits, np.int32)
+    for packed in examples:
+        often[_unpack(packed, bits)] += 1
     often = often >= how.examples
-    rows = [(y, at[often[at]]) for y, at in rows]
     z, n = np.zeros(2**bits), np.zeros(2**bits)
-    bias, bias_n = float(np.log(rate / (1 - rate))), 0.0
+    z0, n0 = -float(np.log(rate / (1 - rate))) * (how.beta / how.alpha + how.l2), 0.0
     for _ in range(how.epochs):
-        for y, at in rows:
+        for y, packed in zip(labels, examples, strict=True):
+            at = _unpack(packed, bits)
+            at = at[often[at]]
             za, na = z[at], n[at]
-            root = np.sqrt(na)
-            w = np.where(np.abs(za) > how.l1, (np.sign(za) * how.l1 - za) / ((how.beta + root) / how.alpha + how.l2), 0.0)
-            p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35)))
-            g = p - y
-            z[at] = za + g - (np.sqrt(na + g * g) - root) / how.alpha * w
+            w = _weights(za, na, how)
+            w0 = -z0 / ((how.beta + n0**0.5) / how.alpha + how.l2)
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y
+            z[at] = za + g - (np.sqrt(na + g * g) - np.sqrt(na)) / how.alpha * w
             n[at] = na + g * g
-            bias_n += g * g
-            bias -= 0.05 * g / (1 + np.sqrt(bias_n))
+            z0 += g - ((n0 + g * g) ** 0.5 - n0**0.5) / how.alpha * w0
+            n0 += g * g
     live = np.flatnonzero(np.abs(z) > how.l1)
-    w = (np.sign(z[live]) * how.l1 - z[live]) / ((how.beta + np.sqrt(n[live])) / how.alpha + how.l2)
-    return {0: bias} | dict(zip(live.tolist(), w.tolist(), strict=True))
+    bias = -z0 / ((how.beta + n0**0.5) / how.alpha + how.l2)
+    return {0: float(bias)} | dict(zip(live.tolist(), _weights(z[live], n[live], how).tolist(), strict=True))
 
 
-def _fit(how: Ftrl, bits: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat([pd.DataFrame({"place": [], "label": [], "indices": []}), *parts]).sort_values("place", kind="stable")
-        rows = [(int(y), np.frombuffer(b, "<u4").astype(np.int64)) for y, b in zip(sample["label"], sample["indices"], strict=True)]
-        model = fit_ftrl(rows, how, bits)
-        yield pd.DataFrame({"index": list(model), "weight": list(model.values())})
+def _fit(how: Ftrl, bits: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[int] = []
+        examples: list[np.ndarray] = []
+        for batch in batches:  # in order of place
+            taken = batch.slice(0, max(0, rows - len(labels)))
+            labels += taken.column(1).to_pylist()
+            # copies, so that a batch can go as soon as it is read
+            examples += [np.frombuffer(v.as_buffer(), "<u2").copy() for v in taken.column(2)]
+        if labels:
+            model = fit_ftrl(labels, examples, how, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.int64()), pa.array(list(model.values()), pa.float64())], ["index", "weight"])
 
     return run
 
@@ -118,18 +140,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS
     """Weights learned from at most ``rows`` labelled documents.
 
     labels: doc_id and toxic (0 or 1; other and null values are left out), already restricted to what may be
-    learned from. The sample is the rows with the smallest hash of doc_id, whatever their label. One task fits
-    it: its size is bounded by ``rows``.
+    learned from. The sample is the rows with the smallest hash of doc_id, whatever their label; with repeated
+    ids, among documents or labels, the first ``rows`` pairs in that order. One task fits it: its size is
+    bounded by ``rows``, and an example is two bytes a feature. Without a usable label every score is ``prior``.
     """
     chosen = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).orderBy("place").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "place", "label")
-    held = materialise(sample.mapInArrow(_extract(bits), "place long, label int, indices binary"), "examples")
-    fitted = held.orderBy("place").limit(4 * rows).coalesce(1).mapInPandas(_fit(how, bits), "index long, weight double")
+    held = materialise(sample.mapInArrow(lean(_extract(bits)), "place long, label int, indices binary"), "examples")
+    fitted = held.repartition(1).sortWithinPartitions("place", "label", "indices").mapInArrow(lean(_fit(how, bits, rows)), "index long, weight double")
     found = {r["index"]: r["weight"] for r in fitted.collect()}  # at most 2**bits
     return found or {0: float(np.log(how.prior / (1 - how.prior)))}
 
 
-def _score(model: dict[int, float], id_type: pa.DataType, bits: int):
+def _score(model: dict[int, float], bits: int, name: str):
     weights = np.array(sorted(model.items()), np.float64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +166,19 @@ def _score(model: dict[int, float], id_type: pa.DataType, bits: int):
                 kept = live[index]
                 pairs = np.unique((doc[kept] << 32) | index[kept])
                 total = bias + np.bincount(pairs >> 32, table[pairs & 0xFFFFFFFF], len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)).cast(id_type), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], ["doc_id", "score"])
+                yield batch.slice(lo, len(texts)).append_column(name, pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500)))))
 
     return run
 
 
+def add_toxicity(docs: DataFrame, model: dict[int, float], name: str = "score", *, bits: int = BITS) -> DataFrame:
+    """docs, rows and columns as they are, with the toxicity score (0 to 1) of ``text`` in a further column."""
+    return docs.mapInArrow(lean(_score(model, bits, name)), StructType([*docs.schema, StructField(name, DoubleType())]))
+
+
 def score_toxicity(docs: DataFrame, model: dict[int, float], *, bits: int = BITS) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs: doc_id and text, other columns ignored.
 
     Null and empty texts get the intercept's score, repeated rows the same score. Whole texts are scored.
     """
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType
-    return docs.mapInArrow(_score(model, to_arrow_type(kind), bits), f"doc_id {kind.simpleString()}, score double")
+    return add_toxicity(docs.select("doc_id", "text"), model, bits=bits).select("doc_id", "score")
