@@ -1,7 +1,8 @@
 """A corpus pipeline of the llm operators.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame;
-all but the last return the columns of documents.
+all but the last return the columns of documents. Decisions fall on rows: rows that share a doc_id, or have none,
+are judged each by its own text. Without a labels or benchmark row nothing is learned or found, and all rows stay.
 """
 
 from __future__ import annotations
@@ -12,43 +13,45 @@ from pyspark.sql import functions as F
 from folioforge.llm.decontamination import benchmark_hits
 from folioforge.llm.jaccard import jaccard_components
 from folioforge.llm.packing import pack_documents
-from folioforge.llm.pii import mask_column, train_pii
+from folioforge.llm.pii import mask_pii, train_pii
 from folioforge.llm.queries import may_learn
 from folioforge.llm.scratch import drop_spent_shuffles, materialise
-from folioforge.llm.toxicity import score_toxicity, train_toxicity
+from folioforge.llm.toxicity import add_toxicity, train_toxicity
 
 #: The stages score, join and count; SQL cannot express training, the tagger or the packing.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among the rejected ids; null ids stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is at least 0.3 go."""
+    """Rows whose toxicity score is at least 0.3 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = materialise(score_toxicity(docs, train_toxicity(docs, labels.filter(may_learn(4)))).filter("score >= 0.3"), "toxic")
-    return _without(docs, scored)
+    scored = add_toxicity(docs, train_toxicity(docs, labels.filter(may_learn(4))), "__toxicity")
+    return scored.filter("__toxicity < 0.3").drop("__toxicity")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    rejected = materialise(jaccard_components(docs).filter("doc_id <> component_id"), "duplicates")
+    """Of each group of near duplicates one row stays: that with the smallest doc_id, a null id last; of rows
+    alike in doc_id and text, any one. Rows without words are in no group and stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"))
+    found = materialise(jaccard_components(docs.select(key.alias("doc_id"), "text")).filter("class is not null").select("doc_id", "component_id"), "components")
     drop_spent_shuffles(spark)
-    return _without(docs, rejected)
+    rejected = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
+    repeated = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).count().filter("count > 1").select("__key")
+    left = docs.withColumn("__key", key).join(rejected, "__key", "left_anti")
+    once = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+    return left.join(repeated, "__key", "left_anti").unionByName(once).drop("__key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words at least a twentieth stand in benchmark windows go."""
-    found = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, materialise(found.filter("n_hit > 0 and n_hit * 20 >= n_words"), "contaminated"))
+    """Rows of whose words at least a twentieth stand in benchmark windows go."""
+    found = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), record=True)
+    return found.filter("n_hit = 0 or n_hit * 20 < n_words").select("record.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the new text."""
-    masked = docs.withColumn("text", mask_column(train_pii(docs)))
+    masked = mask_pii(docs, train_pii(docs))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
