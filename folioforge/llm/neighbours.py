@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is put into the leaf that it descends to. A query walks the
-tree with a priority queue of nodes by nearness of their centres, taking the best node each time, until it has visited as
-many leaves as calibration on the sample found necessary for the recall asked for (and leaves enough for a
-full answer). Vectors and queries then meet by leaf. A leaf with many vectors or many queries is cut
-into a grid of cells of bounded size on both sides, so a vector that a third of all rows share costs more cells, not a
-larger task. Cells return the best of each query with exact scores on the original vectors.
+Equal vectors are one row of the index with the smallest ids that hold them, as many as an answer can list; equal
+queries are searched once. So a vector that a third of all rows share is no more work than another.
+
+The tree is fitted on one half of a bounded sample; every vector is put into the leaf that it descends to. Leaves
+are small, in number proportional to the table. A query walks the tree with a priority queue of nodes by nearness
+of their centres, taking the best node each time, until it has visited as many leaves as calibration on the
+sample's other half found necessary for the recall asked for (and leaves enough for a full answer).
+
+Subtrees of bounded size are cells: a query travels once to each cell in which it has leaves to visit, with their
+list, and there only rows of these leaves are scored. Where the table is so large against the sample that a single leaf
+exceeds a cell, its rows are dealt to several, and the tree goes on inside the task: each is fitted, calibrated
+and searched in the same way. Cells return the best of each query with exact scores on the original vectors.
 """
 
 from __future__ import annotations
@@ -15,20 +21,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .scratch import materialise
 
-#: Vectors that the tree is fitted on at most: those with the smallest hash of their id.
-SAMPLE = 40_000
+#: Vectors that the tree is fitted and calibrated on at most (those with the smallest hash), in number and bytes.
+SAMPLE, SAMPLE_BYTES = 100_000, 64 << 20
 #: Sample vectors that calibration takes as queries at most.
-CALIBRATION = 300
-#: Children of a node; rows of the whole table that a leaf should hold (but LEAST sample vectors at least);
-#: vectors and queries of a cell at most.
-BRANCHES, LEAF_ROWS, LEAST, CELL = 8, 8192, 16, 8192
+CALIBRATION = 400
+#: Children of a node; rows of the whole table that a leaf should hold; sample vectors it is fitted on at least.
+BRANCHES, LEAF_ROWS, LEAST = 8, 32, 6
+#: Rows of a cell, and queries that meet them in one task; rows from which a leaf is a tree of its own in the task.
+CELL, SUBTREE = 8192, 1024
 
 
 @dataclass
@@ -58,9 +65,9 @@ class Tree:
             todo += [(child, rows[choice == i]) for i, child in enumerate(below) if (choice == i).any()]
         return out
 
-    def order(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves, best bin first."""
-        near = ((self.centres - q) ** 2).sum(axis=1)
+    def order(self, q: np.ndarray, near: np.ndarray | None = None) -> Iterator[int]:
+        """Leaves, best bin first: a queue of nodes by nearness of their centres, the nearest taken each time."""
+        near = ((self.centres - q) ** 2).sum(axis=1) if near is None else near
         queue = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
@@ -69,6 +76,32 @@ class Tree:
             for child in self.children[node]:
                 heapq.heappush(queue, (float(near[child]), child))
 
+    def visited(self, q: np.ndarray, held: np.ndarray, least: int, near: np.ndarray | None = None) -> list[int]:
+        """The leaves with rows that a search visits: ``visits`` of them, and on until ``least`` rows are held."""
+        out, enough = [], 0
+        for at in self.order(q, near):
+            if held[at]:
+                out.append(at)
+                enough += int(held[at])
+                if len(out) >= self.visits and enough >= least:
+                    break
+        return out
+
+    def cells(self, held: np.ndarray, most: int) -> np.ndarray:
+        """For each leaf its cell: the highest node above it whose leaves hold ``most`` rows at most."""
+        rows = np.zeros(len(self.children), np.int64)
+        for node in range(len(self.children) - 1, -1, -1):
+            below = self.children[node]
+            rows[node] = rows[below].sum() if below else held[self.leaf[node]]
+        out, todo = np.zeros(self.leaves, np.int32), [(0, -1)]
+        while todo:
+            node, cell = todo.pop()
+            cell = node if cell < 0 and (rows[node] <= most or not self.children[node]) else cell
+            if not self.children[node]:
+                out[self.leaf[node]] = cell
+            todo += [(child, cell) for child in self.children[node]]
+        return out
+
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
@@ -87,153 +120,215 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
     return choice if len(np.unique(choice)) > 1 else None
 
 
-def fit_tree(x: np.ndarray, *, neighbours: int, recall: float, leaf_size: int = LEAF_ROWS, seed: int = 11) -> Tree:
-    """A tree of the rows, with the number of leaf visits that reaches the recall among them.
+def fit_tree(x: np.ndarray, *, neighbours: int, recall: float, leaf_size: int, seed: int = 11) -> Tree:
+    """A tree of one half of the rows, with the leaf visits that reach the recall among the other half.
 
     Nodes of more than leaf_size rows are split, unless their rows are all the same.
     """
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float64)
-    centres, children, leaf, members = [x.mean(axis=0) if len(x) else np.zeros(x.shape[1])], [[]], [-1], [np.arange(len(x))]
+    order = rng.permutation(len(x))
+    own, held_out = (x[order[: -(-len(x) // 2)]], x[order[-(-len(x) // 2) :]]) if len(x) > 1 else (x, x)
+    centres, children, leaf, members = [own.mean(axis=0) if len(own) else np.zeros(x.shape[1])], [[]], [-1], [np.arange(len(own))]
     node = leaves = 0
     while node < len(members):
         rows = members[node]
-        choice = _split(x[rows], rng) if len(rows) > leaf_size else None
+        choice = _split(own[rows], rng) if len(rows) > leaf_size else None
         if choice is None:
             leaf[node] = leaves
             leaves += 1
         else:
             for i in np.unique(choice).tolist():
                 children[node].append(len(members))
-                own = rows[choice == i]
-                members.append(own)
-                centres.append(x[own].mean(axis=0))
+                members.append(rows[choice == i])
+                centres.append(own[members[-1]].mean(axis=0))
                 children.append([])
                 leaf.append(-1)
         node += 1
     tree = Tree(np.array(centres), children, leaf)
-    tree.visits = _calibrate(tree, x, neighbours, recall, rng)
+    tree.visits = _calibrate(tree, held_out, neighbours, recall, rng)
     return tree
 
 
 def _calibrate(tree: Tree, x: np.ndarray, neighbours: int, recall: float, rng: np.random.Generator) -> int:
-    if len(x) < 2:
+    """Visits, of leaves that hold rows, after which ``recall`` of the rows' own nearest have been met; all for 1."""
+    if len(x) < 2 or recall >= 1:
         return tree.leaves
     of = tree.assign(x)
+    held = np.bincount(of, minlength=tree.leaves)
     ranks = []
     for q in rng.choice(len(x), min(CALIBRATION, len(x)), replace=False).tolist():
         score = x @ x[q]
         score[q] = -np.inf
-        best = np.argsort(-score, kind="stable")[:neighbours]
-        place = np.empty(tree.leaves, np.int64)
-        place[list(tree.order(x[q]))] = np.arange(tree.leaves)
+        best = np.argsort(-score, kind="stable")[: min(neighbours, len(x) - 1)]
+        place = np.full(tree.leaves, tree.leaves, np.int64)
+        met = [at for at in tree.order(x[q]) if held[at]]
+        place[met] = np.arange(len(met))
         ranks.append(place[of[best]])
     ranks = np.sort(np.concatenate(ranks))
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    flat = column.flatten() if isinstance(column, pa.ListArray) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
 
 def _leaves(tree: Tree, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tree.assign(_matrix(batch.column(1), size)).astype(np.int32))], ["vec_id", "vector", "leaf"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.assign(_matrix(batch.column(0), size)).astype(np.int32))], [*batch.schema.names, "leaf"])
 
     return run
 
 
-def _visits(tree: Tree, size: int, held: np.ndarray, neighbours: int):
+def _visits(tree: Tree, size: int, held: np.ndarray, cell_of: np.ndarray, least: int):
+    """Each query once for each cell that it visits, with its leaves there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squares = (tree.centres**2).sum(axis=1)
         for batch in batches:
-            row, leaf = [], []
-            for k, q in enumerate(_matrix(batch.column(1), size) if batch.num_rows else ()):
-                visited = enough = 0
-                for at in tree.order(q):
-                    if held[at]:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                row, cells, leaves = [], [], []
+                q = _matrix(part.column(2), size)
+                near = squares - 2 * (q @ tree.centres.T)
+                for k in range(len(q)):
+                    visited = np.array(tree.visited(q[k], held, least, near[k]), np.int32)
+                    where = cell_of[visited]
+                    for cell in np.unique(where).tolist():
                         row.append(k)
-                        leaf.append(at)
-                        enough += held[at]
-                    visited += 1
-                    if visited >= tree.visits and enough > neighbours:
-                        break
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(leaf, pa.int32())], ["query_id", "query", "leaf"])
+                        cells.append(cell)
+                        leaves.append(visited[where == cell])
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(cells, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], [*part.schema.names, "cell", "leaves"])
 
     return run
 
 
-def best_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, neighbours: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, places of its best vectors, exact scores): best first, ties to smaller ids, never its own id."""
-    for lo in range(0, len(queries), 256):
-        rough = queries[lo : lo + 256] @ vectors.T
-        rough[own[lo : lo + 256, None] == ids[None, :]] = -np.inf
-        for k, score in enumerate(rough):
-            if len(score) > neighbours:
-                least = np.partition(score, len(score) - neighbours)[len(score) - neighbours]
-                at = np.flatnonzero(score >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else np.isfinite(score))
-            else:
-                at = np.flatnonzero(np.isfinite(score))
-            exact = (vectors[at] * queries[lo + k]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:neighbours]
-            yield lo + k, at[order], exact[order]
-
-
-def _cell(neighbours: int):
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        x, q = (np.stack(f[c].to_numpy()).astype(np.float64) for f, c in ((vectors, "vector"), (queries, "query")))
-        ids, own = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        found = list(best_of(q, own, x, ids, neighbours))
-        asked = np.repeat(own[[k for k, _, _ in found]], [len(at) for _, at, _ in found])
-        return pd.DataFrame({"query_id": asked, "vec_id": ids[np.concatenate([at for _, at, _ in found])], "score": np.concatenate([s for _, _, s in found])})
+def best_of(q: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], neighbours: int) -> tuple[list[int], list[float]]:
+    """The nearest ids to q by exact score, ties to smaller ids, each id once with its best; ids: of each row."""
+    rough = vectors @ q
+    take = neighbours
+    while True:
+        if take < len(rough):
+            least = np.partition(rough, len(rough) - take)[len(rough) - take]
+            at = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least)))
+        else:
+            at = np.arange(len(rough))
+        exact = (vectors[at] * q).sum(axis=1)
+        found = sorted((-score, i) for score, k in zip(exact.tolist(), at.tolist(), strict=True) for i in ids[k])
+        best: dict[int, float] = {}
+        for score, i in found:
+            best.setdefault(i, -score)
+        if len(best) >= neighbours or len(at) == len(rough):
+            names = list(best)[:neighbours]
+            return names, [best[i] for i in names]
+        take *= 4  # ids that stand for several vectors
+
+
+def _rows_of(q: np.ndarray, leaves: np.ndarray, bounds: np.ndarray, below: dict[int, tuple[Tree, np.ndarray, np.ndarray]], least: int) -> np.ndarray:
+    """The places of a cell's rows in the leaves that q visits, further down in leaves that are trees."""
+    out = []
+    for leaf in leaves.tolist():
+        if leaf in below:
+            tree, order, starts = below[leaf]
+            out += [order[starts[at] : starts[at + 1]] for at in tree.visited(q, np.diff(starts), least)]
+        else:
+            out.append(np.arange(bounds[leaf], bounds[leaf + 1]))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _subtree(x: np.ndarray, at: int, neighbours: int, recall: float) -> tuple[Tree, np.ndarray, np.ndarray]:
+    tree = fit_tree(x, neighbours=neighbours, recall=recall, leaf_size=LEAF_ROWS // 2)
+    of = tree.assign(x)
+    return tree, np.argsort(of, kind="stable") + at, np.concatenate(([0], np.cumsum(np.bincount(of, minlength=tree.leaves))))
+
+
+def _cell(size: int, leaves: int, neighbours: int, recall: float, subtree: int):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        asked, names, scores = [], [], []
+        if vectors.num_rows and queries.num_rows:
+            leaf = vectors.column("leaf").to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            x = _matrix(vectors.column("vector"), size)[order]
+            ids = [vectors.column("ids")[int(i)].as_py() for i in order]
+            bounds = np.searchsorted(leaf[order], np.arange(leaves + 1))
+            large = np.flatnonzero(np.diff(bounds) >= subtree).tolist()
+            below = {k: _subtree(x[bounds[k] : bounds[k + 1]], int(bounds[k]), neighbours, recall) for k in large}
+            keys = queries.column("query").to_pylist()
+            wanted = queries.column("leaves").to_pylist()
+            for key, q, own in zip(keys, _matrix(queries.column("asking"), size), wanted, strict=True):
+                at = _rows_of(q, np.array(own, np.int64), bounds, below, neighbours)
+                best, score = best_of(q, x[at], [ids[i] for i in at.tolist()], neighbours)
+                asked += [key] * len(best)
+                names += best
+                scores += score
+        pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+        return pa.table({"query": pa.array(asked, pair), "vec_id": pa.array(names, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, *, neighbours: int = 20, recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
+def _usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, vector and its size of the rows that take part."""
+    value = lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))
+    whole = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", value) & F.exists("embedding", lambda v: v != 0)
+    return vectors.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.size("embedding").alias("size"))
+
+
+def nearest_neighbours(vectors: DataFrame, is_query, *, neighbours: int = 20, recall: float = 0.95, sample: int = SAMPLE, subtree: int = SUBTREE) -> DataFrame:
     """Each query's nearest other vectors by inner product in double precision.
 
     vectors: vec_id and embedding (other columns are ignored); is_query: a condition on vec_id. Returns query_id,
     rank (from 1), vec_id and score, nearest first, ties to the smaller vec_id; fewer than ``neighbours`` only if
-    there are fewer candidates. ``recall`` is what calibration aims at on the sample.
+    there are fewer candidates. ``recall`` is what calibration aims at on the sample's half that was not fitted.
 
     Rows take no part if the id is null, or the vector is null, empty, zero, or holds a null or non-finite
     component, or has another length than the commonest. Of repeated ids as queries the least vector asks; as
-    candidates, an id is listed once with its best score. No usable vectors give an empty result.
+    candidates, an id is listed once with its best score. No usable vectors give an empty result. Equal vectors
+    are recognised by 128 bits of hashes among queries, by their components in the index.
     """
     spark = vectors.sparkSession
-    size = F.size("embedding")
-    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), size.alias("size")).filter(
-        F.col("vec_id").isNotNull() & (size > 0)
-        & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    )
+    usable = _usable(vectors)
     common = usable.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if common is None:
         return empty
-    dims = common["size"]
-    usable = usable.filter(F.col("size") == dims).select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
-    taken = usable.withColumn("place", F.xxhash64("vec_id")).orderBy("place").limit(sample).select("vector").toArrow()  # bounded by sample
-    leaf_size = max(LEAST, LEAF_ROWS * taken.num_rows // max(1, usable.count()))
+    dims, listed = common["size"], neighbours + 1  # an answer may have to leave out the query itself
+    usable = usable.filter(F.col("size") == dims).select("vec_id", "vector").distinct()
+    hashed = usable.withColumn("place", F.xxhash64("vector"))
+    rank = F.row_number().over(Window.partitionBy("place", "vector").orderBy("vec_id"))
+    index = hashed.withColumn("nth", rank).filter(F.col("nth") <= listed).groupBy("place", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    index = materialise(index.select("vector", "ids", "place"), "distinct")
+    taken = index.orderBy("place").limit(min(sample, SAMPLE_BYTES // (8 * dims))).select("vector").toArrow()  # bounded
+    leaf_size = max(LEAST, LEAF_ROWS * taken.num_rows // 2 // max(1, index.count()))
     tree = fit_tree(_matrix(taken.column(0), dims), neighbours=neighbours, recall=recall, leaf_size=leaf_size)
-    index = materialise(usable.mapInArrow(_leaves(tree, dims), "vec_id long, vector array<double>, leaf int"), "index")
-    held = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    counts = np.array([held.get(i, 0) for i in range(tree.leaves)], np.int64)
-    asking = index.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = materialise(asking.mapInArrow(_visits(tree, dims, counts, neighbours), "query_id long, query array<double>, leaf int"), "queries")
-    wanted = asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()
+    index = materialise(index.select("vector", "ids").mapInArrow(lean(_leaves(tree, dims)), "vector array<double>, ids array<long>, leaf int"), "index")
+    counted = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    held = np.array([counted.get(i, 0) for i in range(tree.leaves)], np.int64)
+    cell_of = tree.cells(held, CELL)
+    asking = usable.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("asking"))
+    asking = materialise(asking.select("vec_id", F.struct(F.xxhash64("asking").alias("a"), F.xxhash64(F.lit(1), "asking").alias("b")).alias("query"), "asking"), "asking")
+    distinct = asking.groupBy("query").agg(F.count("*").alias("askers"), F.first("asking").alias("asking"))
+    pair = "struct<a: long, b: long>"
+    asked = materialise(distinct.mapInArrow(lean(_visits(tree, dims, held, cell_of, listed)), f"query {pair}, askers long, asking array<double>, cell int, leaves array<int>"), "queries")
+    wanted = asked.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each cell
     if not wanted:
         return empty
-    grid = spark.createDataFrame([(r["leaf"], -(-int(counts[r["leaf"]]) // CELL), -(-r["n"] // CELL)) for r in wanted], "leaf int, rows int, columns int")
-    left = index.join(F.broadcast(grid), "leaf").select("leaf", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.col("rows")).alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-    right = asked.join(F.broadcast(grid), "leaf").select("leaf", "query_id", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - F.lit(1).cast("long"))).alias("row"), F.pmod(F.xxhash64("query_id"), F.col("columns")).cast("int").alias("column"))
-    cell = ["leaf", "row", "column"]
-    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell(neighbours), "query_id long, vec_id long, score double")
-    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    rows_of = np.bincount(cell_of, held, int(cell_of.max()) + 1).astype(np.int64)
+    grid = spark.createDataFrame([(r["cell"], -(-int(rows_of[r["cell"]]) // CELL), -(-r["n"] // CELL)) for r in wanted], "cell int, rows int, columns int")
+    cells = spark.createDataFrame(pa.table({"leaf": pa.array(range(tree.leaves), pa.int32()), "cell": pa.array(cell_of)}))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(F.broadcast(cells), "leaf").join(F.broadcast(grid), "cell")  # at most a row for each leaf
+    left = left.select("cell", "leaf", "ids", "vector", F.pmod(F.xxhash64("vector"), F.col("rows")).cast("int").alias("row"), each("columns").alias("column"))
+    right = asked.join(F.broadcast(grid), "cell").select("cell", "query", "asking", "leaves", each("rows").alias("row"), F.pmod(F.xxhash64("query"), F.col("columns")).cast("int").alias("column"))
+    by = ["cell", "row", "column"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_cell(dims, tree.leaves, listed, recall, subtree), f"query {pair}, vec_id long, score double")
+    once = met.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = once.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= listed)
+    best = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))
+    answers = asking.select(F.col("vec_id").alias("query_id"), "query").join(best, "query")
+    others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, neighbours)
+    return answers.select("query_id", F.posexplode(others).alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")

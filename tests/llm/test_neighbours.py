@@ -44,14 +44,47 @@ def test_exact_with_full_recall(table):
     assert {q: [j for j, _ in b] for q, b in got.items()} == {q: [j for j, _ in b] for q, b in expected.items()}
 
 
-def test_small_leaves_and_cells_give_the_same(table, monkeypatch):
+def clustered(n, dims, seed, centres=12):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dims))
+    x = c[rng.integers(0, centres, n)] + 0.35 * rng.normal(size=(n, dims))
+    return [(k, [float(v) for v in row]) for k, row in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))]
+
+
+def test_recall_with_many_more_leaves_than_visits(table, monkeypatch):
     from folioforge.llm import neighbours
 
-    rng = np.random.default_rng(4)
-    rows = [(k, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for k in range(400)]
-    monkeypatch.setattr(neighbours, "LEAF_ROWS", 40)
-    monkeypatch.setattr(neighbours, "CELL", 7)
-    assert recall(found(nearest_neighbours(table(rows), F.col("vec_id") % 10 == 0, neighbours=5)), brute(rows, 5, 10)) >= 0.9
+    trees = []
+    monkeypatch.setattr(neighbours, "fit_tree", lambda *a, **b: trees.append(fit_tree(*a, **b)) or trees[-1])
+    rows = clustered(6000, 8, 5)
+    got = found(nearest_neighbours(table(rows), F.col("vec_id") % 40 == 0, neighbours=10))
+    assert recall(got, brute(rows, 10, 40)) >= 0.9
+    assert trees[0].leaves > 100 and trees[0].visits * 5 < trees[0].leaves
+
+
+def test_small_cells_give_the_same(table, monkeypatch):
+    from folioforge.llm import neighbours
+
+    rows = clustered(600, 5, 4)
+    whole = found(nearest_neighbours(table(rows), F.col("vec_id") % 10 == 0, neighbours=5))
+    monkeypatch.setattr(neighbours, "CELL", 50)
+    assert found(nearest_neighbours(table(rows), F.col("vec_id") % 10 == 0, neighbours=5)) == whole
+
+
+def test_tree_goes_on_inside_large_leaves(table):
+    """A sample far smaller than the table: leaves of hundreds of rows, each searched as a tree."""
+    rows = clustered(4000, 8, 6)
+    got = found(nearest_neighbours(table(rows), F.col("vec_id") % 40 == 0, neighbours=10, sample=60, recall=0.97, subtree=100))
+    assert recall(got, brute(rows, 10, 40)) >= 0.9
+
+
+def test_cells_hold_whole_subtrees():
+    x = np.random.default_rng(3).normal(size=(2000, 4))
+    tree = fit_tree(x, neighbours=5, recall=0.9, leaf_size=10)
+    held = np.bincount(tree.assign(x), minlength=tree.leaves)
+    cells = tree.cells(held, 300)
+    sizes = np.bincount(cells, held)
+    assert sizes.sum() == 2000 and sizes.max() <= 300 and (sizes > 0).sum() < tree.leaves
 
 
 def test_many_equal_vectors_tie_to_small_ids(table):
@@ -60,6 +93,19 @@ def test_many_equal_vectors_tie_to_small_ids(table):
     assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[2500]] == [0, 1, 2, 3, 4]
 
 
+def test_a_common_vector_is_searched_once(table):
+    """A third of all rows share a vector: as candidates and as queries."""
+    rows = [(3 * k, [1.0, 1.0]) for k in range(400)] + [(3 * k + 1, [float(k % 7), 1.0]) for k in range(400)]
+    got = found(nearest_neighbours(table(rows), F.col("vec_id") % 2 == 0, neighbours=4, recall=1.0))
+    assert got == brute(rows, 4, 2)
+
+
+def test_ids_of_several_vectors_are_listed_once(table):
+    rows = [(0, [1.0, 0.0]), *((1, [k / 50, 1.0]) for k in range(50)), (2, [0.5, 0.0]), (3, [0.2, 0.1])]
+    got = found(nearest_neighbours(table(rows), F.col("vec_id") == 0, neighbours=3, recall=1.0))[0]
+    assert [j for j, _ in got] == [1, 2, 3] and abs(got[0][1] - 0.98) < 1e-6
+
+
 def test_odd_rows(table):
     rows = [(0, [1.0, 2.0]), (20, None), (40, []), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [None, 1.0]), (120, [float("inf"), 1.0]), (140, [1.0]), (None, [1.0, 1.0]), (3, [2.0, 1.0]), (3, [2.0, 1.0]), (160, [1.0, 0.0])]
     got = found(nearest_neighbours(table(rows), F.col("vec_id") % 20 == 0))
@@ -70,9 +116,12 @@ def test_odd_rows(table):
 
 def test_tree_leads_each_vector_to_its_leaf():
     x = np.random.default_rng(2).normal(size=(3000, 8))
-    tree = fit_tree(x, neighbours=10, recall=0.9, leaf_size=200)
+    tree = fit_tree(x, neighbours=10, recall=0.9, leaf_size=60)
     leaves = tree.assign(x)
-    assert tree.leaves > 3 and 1 <= tree.visits <= tree.leaves
+    assert tree.leaves > 3 and 1 <= tree.visits <= tree.leaves and leaves.max() < tree.leaves
+    held = np.bincount(leaves, minlength=tree.leaves)
+    seen = tree.visited(x[0], held, 10)
+    assert len(seen) == max(tree.visits, len(seen)) and sum(held[seen]) >= 10
     assert sorted(tree.order(x[0])) == list(range(tree.leaves)) and next(iter(tree.order(x[0]))) in leaves
 
 
