@@ -1,10 +1,13 @@
 """Edit-aware token counts.
 
-A document keeps the token counts of its pre-tokens in a segment tree: leaves are short runs of pre-tokens,
-inner nodes hold sums of characters and tokens. An edit is found in the tree by its character offset;
-pre-tokens are cut again from a little before it (the pattern looks two characters ahead) until a cut falls on an old one
+A document keeps its text and the token counts of its pre-tokens in a segment tree: a node is a short run of
+pre-tokens with its own characters, and knows the sums of characters and tokens of its subtree. An edit is found by
+its character offset. The tree is split there, runs are taken off behind it one by one, and pre-tokens are cut
+again from a little before the edit (the pattern looks two characters ahead) until a cut falls on an old one
 behind it, from where everything is as before, since the pattern looks at nothing further back. Only these
-pre-tokens are encoded, their leaves replaced and the sums above them updated.
+pre-tokens are encoded; their runs are put in the place of the old ones and the sums on the way up are updated.
+Splits and joins walk one path each, so an edit costs the logarithm of the text and what it touches, never the
+text: the tree stays balanced by choosing roots at random in proportion to size.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Pre-tokens of a leaf when it is made; a leaf of over four times as many is cut.
+from .memory import lean
+
+#: Pre-tokens of a run when it is made.
 RUN = 32
 #: Characters before an edit whose pre-token may end otherwise because of it.
 CONTEXT = 3
@@ -52,92 +57,161 @@ class Counter:
         return found
 
 
+class Run:
+    """A node: a run of pre-tokens as (characters, tokens), its text, and the sums of its subtree."""
+
+    __slots__ = ("text", "pieces", "own", "chars", "tokens", "size", "left", "right")
+
+    def __init__(self, text: str, pieces: list[tuple[int, int]]):
+        self.text, self.pieces, self.own = text, pieces, sum(t for _, t in pieces)
+        self.left: Run | None = None
+        self.right: Run | None = None
+        self.sum()
+
+    def sum(self) -> Run:
+        a, b = self.left, self.right
+        self.chars = len(self.text) + (a.chars if a else 0) + (b.chars if b else 0)
+        self.tokens = self.own + (a.tokens if a else 0) + (b.tokens if b else 0)
+        self.size = 1 + (a.size if a else 0) + (b.size if b else 0)
+        return self
+
+
+def _build(runs: list[Run], lo: int, hi: int) -> Run | None:
+    if lo >= hi:
+        return None
+    node = runs[(lo + hi) // 2]
+    node.left, node.right = _build(runs, lo, (lo + hi) // 2), _build(runs, (lo + hi) // 2 + 1, hi)
+    return node.sum()
+
+
 class CountTree:
-    """A text's pre-tokens: (characters, tokens) runs at the leaves, sums above them."""
+    """The pre-tokens of a text as a balanced tree of runs."""
 
     def __init__(self, counter: Counter, text: str):
-        self.counter, self.text, self.encoded = counter, text, 0
-        pieces = [(len(p), counter.count(p)) for p in counter.cut(text)]
-        self._grow([pieces[i : i + RUN] for i in range(0, len(pieces), RUN)])
-
-    def _grow(self, leaves: list[list[tuple[int, int]]]) -> None:
-        self.leaves = leaves
-        self.half = 1 << max(0, len(leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.half), [0] * (2 * self.half)
-        for i, leaf in enumerate(leaves):
-            self.chars[self.half + i], self.tokens[self.half + i] = sum(c for c, _ in leaf), sum(t for _, t in leaf)
-        for i in range(self.half - 1, 0, -1):
-            self._add(i)
-
-    def _add(self, i: int) -> None:
-        self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.counter, self.encoded, self.touched = counter, 0, 0
+        self._seed = 1
+        runs = self._runs(text, [(len(p), counter.count(p)) for p in counter.cut(text)])
+        self.root = _build(runs, 0, len(runs))
+
+    @staticmethod
+    def _runs(text: str, pieces: list[tuple[int, int]]) -> list[Run]:
+        out, at = [], 0
+        for i in range(0, len(pieces), RUN):
+            own = pieces[i : i + RUN]
+            size = sum(c for c, _ in own)
+            out.append(Run(text[at : at + size], own))
+            at += size
+        return out
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
+
+    @property
+    def chars(self) -> int:
+        return self.root.chars if self.root else 0
+
+    def __iter__(self) -> Iterator[Run]:
+        """The runs in order."""
+        path, node = [], self.root
+        while path or node:
+            while node:
+                path.append(node)
+                node = node.left
+            node = path.pop()
+            yield node
+            node = node.right
+
+    @property
+    def text(self) -> str:
+        return "".join(run.text for run in self)
 
     def pretokens(self) -> int:
-        return sum(map(len, self.leaves))
-
-    def _seek(self, at: int) -> tuple[int, int]:
-        """(leaf, character where it begins) of the leaf that holds a character."""
-        i, begin = 1, 0
-        while i < self.half:
-            i *= 2
-            if begin + self.chars[i] <= at:
-                begin += self.chars[i]
-                i += 1
-        if i - self.half < len(self.leaves):
-            return i - self.half, begin
-        return len(self.leaves) - 1, self.chars[1] - self.chars[self.half + len(self.leaves) - 1]  # behind the end
+        return sum(len(run.pieces) for run in self)
+
+    def _join(self, a: Run | None, b: Run | None) -> Run | None:
+        """One tree of two: either root stays on top, in proportion to the sizes."""
+        if a is None or b is None:
+            return a or b
+        self.touched += 1
+        self._seed = self._seed * 6364136223846793005 + 1442695040888963407 & 0xFFFFFFFFFFFFFFFF
+        if (self._seed >> 33) % (a.size + b.size) < a.size:
+            a.right = self._join(a.right, b)
+            return a.sum()
+        b.left = self._join(a, b.left)
+        return b.sum()
+
+    def _split(self, node: Run | None, at: int) -> tuple[Run | None, Run | None]:
+        """The runs that end at or before a character, and the others."""
+        if node is None:
+            return None, None
+        self.touched += 1
+        here = (node.left.chars if node.left else 0) + len(node.text)
+        if here <= at:
+            node.right, rest = self._split(node.right, at - here)
+            return node.sum(), rest
+        left, node.left = self._split(node.left, at)
+        return left, node.sum()
+
+    def _first(self, node: Run) -> tuple[Run, Run | None]:
+        """The first run of a tree, and the tree without it."""
+        self.touched += 1
+        if node.left is None:
+            rest, node.right = node.right, None
+            return node.sum(), rest
+        first, node.left = self._first(node.left)
+        return first, node.sum()
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Put replacement in the place of characters start to end (exclusive)."""
-        if not 0 <= start <= end <= len(self.text):
-            raise ValueError(f"no characters {start} to {end} in {len(self.text)}")
+        if not 0 <= start <= end <= self.chars:
+            raise ValueError(f"no characters {start} to {end} in {self.chars}")
+        before, after = self._split(self.root, max(0, start - CONTEXT))
+        begin = before.chars if before else 0
+        taken: list[Run] = []
+        window, held = "", 0  # the old text from begin on as far as it is taken off the tree
+        while after and begin + held < end + CONTEXT:
+            run, after = self._first(after)
+            taken.append(run)
+            held += len(run.text)
         shift = len(replacement) - (end - start)
-        self.text = self.text[:start] + replacement + self.text[end:]
-        if not self.leaves:
-            pieces = [(len(p), self.counter.count(p)) for p in self.counter.cut(self.text)]
-            self.encoded += len(pieces)
-            self._grow([pieces[i : i + RUN] for i in range(0, len(pieces), RUN)])
-            return
-        first, begin = self._seek(max(0, start - CONTEXT))
-        inside = 0  # pre-tokens of the first leaf that stay
-        at = begin
-        while inside < len(self.leaves[first]) and at + self.leaves[first][inside][0] <= start - CONTEXT:
-            at += self.leaves[first][inside][0]
+        while True:
+            old = "".join(run.text for run in taken)
+            window = old[: start - begin] + replacement + old[end - begin :]
+            found = self._cut_again(window, taken, begin, start, end, shift, after is None)
+            if found is not None:
+                break
+            for _ in range(len(taken)):  # as many again: a cut may be far off
+                if after:
+                    run, after = self._first(after)
+                    taken.append(run)
+        runs = self._runs(window, found)
+        self.root = self._join(self._join(before, _build(runs, 0, len(runs))), after)
+
+    def _cut_again(self, window: str, taken: list[Run], begin: int, start: int, end: int, shift: int, whole: bool) -> list[tuple[int, int]] | None:
+        """The pre-tokens of a window that begins like an old one; None if its last cuts need the text behind it."""
+        old = [piece for run in taken for piece in run.pieces]
+        inside = at = 0  # pre-tokens before the edit that stay
+        while inside < len(old) and begin + at + old[inside][0] <= start - CONTEXT:
+            at += old[inside][0]
             inside += 1
-        leaf, place, old = first, inside, at  # the next old pre-token and where it begins in the old text
+        place, behind = inside, begin + at  # the next old pre-token and where it begins in the old text
         new, fresh = at, []
-        for piece in self.counter.cut(self.text, at):
-            while old < end or old + shift < new:
-                if leaf >= len(self.leaves):
-                    break
-                if place >= len(self.leaves[leaf]):
-                    leaf, place = leaf + 1, 0
-                    continue
-                old += self.leaves[leaf][place][0]
+        for piece in self.counter.cut(window, at):
+            while place < len(old) and (behind < end or behind + shift < begin + new):
+                behind += old[place][0]
                 place += 1
-            if old >= end and old + shift == new:
-                break
+            if behind >= end and behind + shift == begin + new and (whole or place < len(old)):
+                self.encoded += len(fresh)
+                return old[:inside] + fresh + old[place:]
+            if not whole and new + len(piece) + CONTEXT > len(window):
+                return None
             fresh.append((len(piece), self.counter.count(piece)))
             new += len(piece)
-        else:
-            leaf, place = len(self.leaves), 0
+        if not whole:
+            return None
         self.encoded += len(fresh)
-        last = min(leaf, len(self.leaves) - 1)
-        rest = self.leaves[leaf][place:] if leaf < len(self.leaves) else []
-        merged = self.leaves[first][:inside] + fresh + rest
-        if last == first and len(merged) <= 4 * RUN:
-            self.leaves[first] = merged
-            i = self.half + first
-            self.chars[i], self.tokens[i] = sum(c for c, _ in merged), sum(t for _, t in merged)
-            while i > 1:
-                i //= 2
-                self._add(i)
-        else:
-            self._grow(self.leaves[:first] + [merged[i : i + RUN] for i in range(0, len(merged), RUN)] + self.leaves[last + 1 :])
+        return old[:inside] + fresh
 
 
 _OPEN: dict[str, Counter] = {}
@@ -178,7 +252,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, edits: str = "edits") ->
     docs = docs.select("doc_id", "text", F.col(edits).alias("edits"))
     kind = docs.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, n_edits long, n_pretokens long, n_tokens long, n_tokens_after long, n_encoded_again long"
-    return docs.mapInArrow(_count(tokenizer_path, to_arrow_type(kind)), schema)
+    return docs.mapInArrow(lean(_count(tokenizer_path, to_arrow_type(kind))), schema)
 
 
 def masking_edits(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def test_random_edits_equal_encoding_all_again(counter):
             new = make(rng.choice([0, 1, 4, 100]))
             tree.edit(start, end, new)
             text = text[:start] + new + text[end:]
-            assert (tree.text, tree.total, tree.chars[1]) == (text, full(counter, text), len(text))
+            assert (tree.text, tree.total, tree.chars) == (text, full(counter, text), len(text))
 
 
 def test_only_the_touched_region_is_encoded(counter):
@@ -44,6 +44,44 @@ def test_only_the_touched_region_is_encoded(counter):
     assert tree.encoded < 10
 
 
+def depth(node):
+    """Of the tree, and whether the sums of every node hold."""
+    if node is None:
+        return 0
+    below = [n for n in (node.left, node.right) if n]
+    assert node.chars == len(node.text) + sum(n.chars for n in below) and node.tokens == sum(t for _, t in node.pieces) + sum(n.tokens for n in below)
+    assert node.size == 1 + sum(n.size for n in below) and len(node.text) == sum(c for c, _ in node.pieces)
+    return 1 + max(depth(node.left), depth(node.right))
+
+
+def test_edits_across_runs_touch_a_path(counter):
+    """Edits that cut, join and add runs, in a long text: work per edit stays near the logarithm of the text."""
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma's", "42", "\n\n", "é"]) for _ in range(60_000))
+    tree = CountTree(counter, text)
+    n, worst = 0, 0
+    for _ in range(300):
+        start = rng.randrange(len(text))
+        end, new = min(len(text), start + rng.choice([0, 5, 900])), " new words" * rng.choice([0, 1, 200])
+        touched, encoded = tree.touched, tree.encoded
+        tree.edit(start, end, new)
+        text = text[:start] + new + text[end:]
+        worst = max(worst, tree.touched - touched)
+        assert tree.encoded - encoded <= 2 * len(new.split()) + 12
+        n += 1
+    assert (tree.text, tree.total) == (text, full(counter, text))
+    assert worst < 250 and depth(tree.root) < 60 and tree.root.size > 1500
+
+
+def test_many_edits_keep_balance(counter):
+    tree, text = CountTree(counter, ""), ""
+    for k in range(1500):
+        new = f"word{k} and more words to fill a run, "
+        tree.edit(len(text), len(text), new)
+        text += new
+    assert tree.total == full(counter, text) and depth(tree.root) < 60
+
+
 def test_edits_out_of_range_are_errors(counter):
     with pytest.raises(ValueError):
         CountTree(counter, "abc").edit(2, 9, "")
