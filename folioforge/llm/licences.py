@@ -1,16 +1,16 @@
 """Licence scan: an exact set-similarity join of licence templates with text blocks.
 
-A block is a window of as many words as a template has; its containment is the share of the template's
-distinct words that it holds. Template words are ordered by their frequency over all documents. A block that
-holds o = ceil(threshold * k) of k words must hold one of the k - o + 1 rarest (prefix filter), so only windows
-around those words are looked at; windows stay inside the text and keep the template's length (positional
-and length filters), and their distinct words are counted exactly. Plain phrases are found beside this and
-always count.
+A block is a window of as many words as a template has (a shorter text is one block); its containment is the share
+of the template's distinct words that it holds. Every block that meets the threshold is found and reported, as runs
+of consecutive windows. Template words are ordered by their frequency over all documents: a block that holds
+o = ceil(threshold * k) of k words must hold one of the k - o + 1 rarest (prefix filter), so only windows around those
+words are looked at; texts of fewer than o words have no block (length filter), and windows stay inside the text and
+keep the template's length (positional filter). Exact counts of all windows in reach come from one pass: a word
+counts for the windows that begin after its previous occurrence. Plain phrases are found beside this and always count.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .decontamination import Lookup
+from .memory import lean
 from .words import ALNUM, Words, split_words, text_batches
 
 #: Phrases whose words, standing consecutively, give a label by themselves.
@@ -30,21 +31,85 @@ PHRASES = (
     ("gpl", "general public license"),
 )
 
-#: Notices by which public licences ask to be named.
+#: Public licences' texts, and the notices by which licences ask to be named.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+    whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+    notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+    WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+    PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+    OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+    SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+    the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+    law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+    limitations under the License."""),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+    This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
+    received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+    Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+    version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+    warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+    Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+    version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+    warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+    of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS
+    SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+    COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+    (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+    INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+    OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+    of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither
+    the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+    software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+    AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+    PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+    INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+    SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN
+    IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+    provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+    AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+    EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+    FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+    CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+    for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+    including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin
+    of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+    product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must
+    be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or
+    altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+    compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+    non-commercial, and by any means."""),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+    distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-)
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+)
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
@@ -95,56 +160,48 @@ class Scanner:
             out += [(int(x), label) for x in at]
         return out
 
-    def blocks(self, words: Words) -> list[tuple[int, int, str, float]]:
-        """(first word, words, label, containment) of the best block of each run of overlapping ones."""
+    def blocks(self, words: Words) -> list[tuple[int, int, int, int, float, int]]:
+        """Runs of windows that reach the threshold: (first window's first word, windows, template, first word of
+        the best, its containment, its words), sorted.
+        """
         bounds = words.bounds()
-        starts: dict[int, set[int]] = {}
+        reach: dict[tuple[int, int], list[int]] = {}  # of a text and template: from where to where its prefix words stand
         for at in self.lookup.find(words.hash)[0].tolist():
+            doc = int(words.doc[at])
             for i in self.of_token[int(words.hash[at])]:
-                size, doc = self.templates[i][1], words.doc[at]
-                starts.setdefault(i, set()).update(range(max(bounds[doc], at - size + 1), max(bounds[doc], min(at, bounds[doc + 1] - size)) + 1))
+                reach.setdefault((doc, i), [at, at])[1] = at
         out = []
-        for i, tried in starts.items():
-            label, size, tokens, need, _ = self.templates[i]
-            first = np.sort(np.fromiter(tried, np.int64, len(tried)))
-            for lo in range(0, len(first), 1 << 14):
-                part = first[lo : lo + (1 << 14)]
-                last = np.minimum(part + size, bounds[words.doc[part] + 1])
-                places = part[:, None] + np.arange(size)
-                inside = places < last[:, None]
-                held = words.hash[np.minimum(places, len(words.hash) - 1)]
-                kind = np.searchsorted(tokens, held)
-                kind = np.where(inside & (tokens[np.minimum(kind, len(tokens) - 1)] == held), kind, len(tokens))
-                seen = np.zeros((len(part), len(tokens) + 1), bool)
-                np.put_along_axis(seen, kind, True, axis=1)
-                share = seen[:, :-1].sum(axis=1)
-                for k in np.flatnonzero(share >= need).tolist():
-                    out.append((int(part[k]), int(last[k] - part[k]), label, float(share[k] / len(tokens))))
-        best: list[tuple[int, int, str, float]] = []
-        for block in sorted(out, key=lambda b: (b[2], b[0])):
-            if best and best[-1][2] == block[2] and block[0] < best[-1][0] + best[-1][1]:
-                if block[3] > best[-1][3]:
-                    best[-1] = block
-            else:
-                best.append(block)
-        return _undominated(best)
-
-
-def _undominated(blocks: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
-    """Without blocks that overlap one with a higher containment: related notices differ in a word or two."""
-    blocks = sorted(blocks)
-    longest = max((b[1] for b in blocks), default=0)
-    starts = [b[0] for b in blocks]
-    kept = []
-    for b in blocks:
-        near = blocks[bisect.bisect_left(starts, b[0] - longest) : bisect.bisect_left(starts, b[0] + b[1])]
-        if not any(o[3] > b[3] and o[0] + o[1] > b[0] for o in near):
-            kept.append(b)
-    return kept
-
-
-_BLOCKS = "array<struct<first: long, last: long, label: string, containment: double>>"
-_BLOCK_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
+        for (doc, i), (lo, hi) in reach.items():
+            _, size, tokens, need, _ = self.templates[i]
+            begin, end = int(bounds[doc]), int(bounds[doc + 1])
+            if end - begin < need:
+                continue
+            start, stop = max(begin, lo - size + 1), max(begin, min(hi, end - size)) + 1  # windows that hold one of them
+            share = _held(words.hash[start : min(end, stop - 1 + size)], tokens, size, stop - start)
+            enough = np.concatenate(([0], (share >= need).astype(np.int8), [0]))
+            for a, b in np.flatnonzero(np.diff(enough)).reshape(-1, 2).tolist():
+                best = a + int(share[a:b].argmax())
+                out.append((start + a, b - a, i, start + best, float(share[best] / len(tokens)), min(size, end - begin)))
+        return sorted(out)
+
+
+def _held(hashes: np.ndarray, tokens: np.ndarray, size: int, starts: int) -> np.ndarray:
+    """How many of the tokens (sorted) each window of ``size`` words holds; windows begin at the first ``starts`` words."""
+    kind = np.searchsorted(tokens, hashes)
+    at = np.flatnonzero(tokens[np.minimum(kind, len(tokens) - 1)] == hashes)
+    order = at[np.argsort(kind[at], kind="stable")]
+    before = np.full(len(order), -1)  # where the same token stands before
+    same = kind[order[1:]] == kind[order[:-1]]
+    before[1:][same] = order[:-1][same]
+    first = np.minimum(np.maximum(before + 1, order - size + 1), starts)
+    edge = np.zeros(starts + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.maximum(np.minimum(order + 1, starts), first), -1)
+    return np.cumsum(edge[:-1])
+
+
+_BLOCKS = "array<struct<first: long, last: long, windows: long, template: int, label: string, best: long, containment: double>>"
+_BLOCK_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("windows", pa.int64()), ("template", pa.int32()), ("label", pa.string()), ("best", pa.int64()), ("containment", pa.float64())]))
 
 
 def _scan(templates: tuple, phrases: tuple, order: dict[int, int], threshold: float, id_type: pa.DataType):
@@ -161,9 +218,10 @@ def _scan(templates: tuple, phrases: tuple, order: dict[int, int], threshold: fl
                     places[k].append(int(at - bounds[k]))
                     names[k].add(label)
                 blocks: list[list[dict]] = [[] for _ in range(n)]
-                for at, size, label, share in scanner.blocks(words):
+                for at, windows, i, best, share, size in scanner.blocks(words):
                     k = words.doc[at]
-                    blocks[k].append({"first": int(at - bounds[k]), "last": int(at - bounds[k]) + size - 1, "label": label, "containment": share})
+                    first = int(at - bounds[k])
+                    blocks[k].append({"first": first, "last": first + windows + size - 2, "windows": windows, "template": i, "label": templates[i][0], "best": int(best - bounds[k]), "containment": share})
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, n).cast(id_type), pa.array(np.diff(bounds)), pa.array([len(p) for p in places], pa.int64()),
@@ -180,8 +238,13 @@ def scan_licences(docs: DataFrame, *, templates: tuple = TEMPLATES, phrases: tup
     """Licence phrases and template blocks of every row of docs (doc_id, text; other columns are ignored).
 
     Returns doc_id, n_words, n_base, first_word, last_word (phrases: places, smallest and largest start in words
-    from 0, null without one), base_labels and labels (sorted arrays; labels adds those of blocks), blocks (word
-    range, label, containment of at least ``threshold``; of overlapping blocks the best) and score: 1 with a phrase, else the best containment, else 0.
+    from 0, null without one), base_labels and labels (sorted arrays; labels adds those of all blocks), blocks, score
+    (1 with a phrase, else the best containment, else 0) and closest (the label of the block with the highest
+    containment, of equal ones the one of the longest template, then the first label; null without a block).
+
+    A block entry is a run of windows of one template that begin one word after the other and all have a
+    containment of at least ``threshold``: first and last word of the run, number of windows, the template's number
+    and label, where the best window begins and its containment. Related licences have entries each.
 
     Null and empty texts have no words. Repeated rows give the same result each. A text shorter than a
     template is one block.
@@ -192,7 +255,9 @@ def scan_licences(docs: DataFrame, *, templates: tuple = TEMPLATES, phrases: tup
     counted = docs.select("text").mapInArrow(_count(tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each template word
     order = {r["token"] & (2**64 - 1): r["n"] for r in counted}
     schema = f"doc_id {kind.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, blocks {_BLOCKS}"
-    found = docs.mapInArrow(_scan(templates, phrases, order, threshold, to_arrow_type(kind)), schema)
+    found = docs.mapInArrow(lean(_scan(templates, phrases, order, threshold, to_arrow_type(kind))), schema)
     labels = F.array_sort(F.array_union("base_labels", F.transform("blocks", lambda b: b["label"])))
+    sizes = F.array(*(F.lit(len(w)) for w in _words([t[1] for t in templates])))
+    by = F.transform("blocks", lambda b: F.struct(-b["containment"], -sizes[b["template"]], b["label"].alias("label")))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), "blocks", score.alias("score"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), "blocks", score.alias("score"), F.array_min(by)["label"].alias("closest"))

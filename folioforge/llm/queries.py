@@ -42,8 +42,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def may_learn(modulus: int):
-    """Rows to learn from: crc32 of the id as text leaves a remainder other than 2."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != 2
+    """Rows to learn from: crc32 of the id as text leaves a remainder other than 2; without an id there is none."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != 2, F.lit(True))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licences(_table(spark, sf_dir, "documents"), threshold=0.8)
     names = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *names, "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *names, "score", "closest")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 from folioforge.llm.licences import TEMPLATES, Scanner, scan_licences
 from folioforge.llm.queries import QUERIES
@@ -23,16 +24,34 @@ def base(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
-def best_blocks(text, templates, threshold):
-    """The windows of every template that reach the threshold, by trying each."""
-    w, out = words(text), set()
-    for label, t in templates:
+def windows(text, templates, threshold):
+    """(template, first word) -> containment of every window that reaches the threshold, by trying each."""
+    w, out = words(text), {}
+    for i, (_, t) in enumerate(templates):
         own = words(t)
         kinds = set(own)
+        held = Counter(x for x in w[: len(own)] if x in kinds)
         for at in range(max(1, len(w) - len(own) + 1)):
-            share = len(kinds & set(w[at : at + len(own)])) / len(kinds)
-            if share >= threshold - 1e-9:
-                out.add((label, round(share, 9)))
+            if at:
+                if (gone := w[at - 1]) in kinds:
+                    held[gone] -= 1
+                    held += Counter()
+                if (new := w[at + len(own) - 1]) in kinds:
+                    held[new] += 1
+            if len(held) / len(kinds) >= threshold - 1e-9:
+                out[i, at] = len(held) / len(kinds)
+    return out
+
+
+def spread(blocks):
+    """The same from a row's blocks: every window of each run."""
+    out = set()
+    for b in blocks:
+        size = len(words(TEMPLATES[b["template"]][1]))
+        assert b["label"] == TEMPLATES[b["template"]][0] and b["last"] - b["first"] + 1 <= size + b["windows"] - 1
+        own = {(b["template"], b["first"] + k) for k in range(b["windows"])}
+        assert not own & out and (b["template"], b["best"]) in own
+        out |= own
     return out
 
 
@@ -42,33 +61,50 @@ def test_odd_rows(frame):
     assert scan_licences(frame([])).collect() == []
 
 
-def test_blocks_equal_brute_force():
+def planted(rng):
+    own = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(60))]
+    for _ in range(rng.randrange(3)):
+        cut = words(rng.choice(TEMPLATES)[1])
+        for _ in range(rng.randrange(3)):
+            cut[rng.randrange(len(cut))] = rng.choice(["zz", "the", "license"])
+        own[rng.randrange(len(own) + 1) : 0] = cut[rng.randrange(2) * len(cut) // 8 :]
+    return " ".join(own)
+
+
+def test_every_block_is_found(frame):
     rng = random.Random(5)
+    texts = {k: planted(rng) for k in range(120)} | {500: "", 501: "Licensed under", 502: "by the license " * 400, 503: TEMPLATES[1][1] * 3}
+    rows = scan_licences(frame(list(texts.items()))).collect()
+    assert sum(bool(r.blocks) for r in rows) > 60
+    for r in rows:
+        expected = windows(texts[r.doc_id], TEMPLATES, 0.8)
+        assert spread(r.blocks) == expected.keys()
+        assert all(math.isclose(b["containment"], max(expected[b["template"], b["first"] + k] for k in range(b["windows"]))) for b in r.blocks)
+        assert math.isclose(r.score, 1.0 if r.n_base else max(expected.values(), default=0.0))
+        assert set(r.labels) == {*r.base_labels, *(TEMPLATES[i][0] for i, _ in expected)} and r.labels == sorted(r.labels)
+
+
+def test_long_texts_of_template_words_are_linear():
     scanner = Scanner(TEMPLATES, (), {}, 0.8)
-    for _ in range(60):
-        own = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))]
-        for _ in range(rng.randrange(3)):
-            label, t = rng.choice(TEMPLATES)
-            cut = words(t)
-            for _ in range(rng.randrange(3)):
-                cut[rng.randrange(len(cut))] = "zz"
-            own[rng.randrange(len(own) + 1) : 0] = cut
-        text = " ".join(own)
-        expected = best_blocks(text, TEMPLATES, 0.8)
-        found = scanner.blocks(split_words([text.encode()], ALNUM))
-        assert {b[2] for b in found} <= {e[0] for e in expected}
-        assert bool(found) == bool(expected)
-        if expected:
-            assert math.isclose(max(b[3] for b in found), max(e[1] for e in expected), rel_tol=1e-6)
+    assert scanner.blocks(split_words([b"software " * 200_000], ALNUM)) == []
+
+
+def test_related_notices(frame):
+    rows = {r.doc_id: (",".join(r.labels), r.closest) for r in scan_licences(frame([(1, "x y Licensed under CC BY-NC 4.0. z"), (2, "a Licensed under CC BY 4.0"), (3, "licensed under the apache license, version 2.0"), (4, "no notice at all")])).collect()}
+    assert rows[1][1] == "cc-by-nc" and "cc-by-nc" in rows[1][0] and rows[2][1] == "cc-by" and rows[3] == ("apache", "apache") and rows[4] == ("", None)
 
 
-def test_related_notices_give_the_closest_label(frame):
-    rows = {r.doc_id: ",".join(r.labels) for r in scan_licences(frame([(1, "x y Licensed under CC BY-NC 4.0. z"), (2, "a Licensed under CC BY 4.0"), (3, "licensed under the apache license, version 2.0"), (4, "released under a mit style licence")])).collect()}
-    assert rows == {1: "cc-by-nc", 2: "cc-by", 3: "apache", 4: ""} or rows[4] == "mit"
+def test_ties_go_to_the_longer_template_then_the_first_label(frame):
+    pair = (("b", "one two three"), ("a", "three two one"), ("c", "one two three four"))
+    rows = {r.doc_id: r.closest for r in scan_licences(frame([(1, "one two three"), (2, "one two three four")]), templates=pair).collect()}
+    assert rows == {1: "a", 2: "c"}
 
 
 def test_query_equals_brute_force(spark, documents):
     rows = QUERIES["op6_license_scans"](spark, TABLES).collect()
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows} == {i: base(t) for i, t in documents.items()}
     for r in rows:
-        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        expected = windows(documents[r.doc_id], TEMPLATES, 0.8)
+        labels = {TEMPLATES[i][0] for i, _ in expected}
+        assert set(filter(None, r.labels.split(","))) == labels | set(filter(None, r.base_labels.split(",")))
+        assert math.isclose(r.score, 1.0 if r.n_base else max(expected.values(), default=0.0)) and (r.closest in labels or not labels and r.closest is None)
