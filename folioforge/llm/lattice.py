@@ -1,14 +1,20 @@
 """Language-model scores from a subword lattice.
 
 A word (with its leading mark) can be cut into pieces of an existing vocabulary in many ways. Each piece has a
-probability: its count over the training words, smoothed by a prior that the vocabulary's own scores (ranks)
-give. The probability of a word is the sum over all its segmentations, by the forward recursion in log space;
-that of a text the product over its words and the end mark. Beside it goes a plain unigram score of words.
+probability. The vocabulary's own scores (merge ranks) give the starting ones and a prior; then a few rounds of
+expectation and maximisation over the training words count each piece as often as it is expected over all
+segmentations of every word (forward and backward recursion in log space). The probability of a word is the sum
+over all its segmentations; that of a text the product over its words and the end mark. Beside it goes a plain
+unigram score of words.
+
+Words of one length are treated together, as arrays: pieces are found by walking all words through a trie of the
+vocabulary at once, and each piece found is an edge of many lattices.
 
 Corpus counts without shuffling texts word by word: each input task numbers the distinct words of blocks of
 documents, so a text becomes an array of small numbers and a block a list of words with counts. Only those
-lists are counted over the corpus and scored, once for each word and block; a block's scores then meet its
-documents again.
+lists are counted over the corpus; each distinct word is scored once, and its score joined to the blocks that hold
+it, whose scores then meet their documents again. The joins are sort-merge joins that adaptive execution splits
+when a word is in very many blocks.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .memory import lean
 from .scratch import drop_spent_shuffles, materialise
 from .words import SPACED, split_words, text_batches
 
@@ -30,6 +37,10 @@ from .words import SPACED, split_words, text_batches
 BLOCK_WORDS, BLOCK_DISTINCT = 8_000_000, 500_000
 #: Pseudo-count shared by all pieces according to the vocabulary's ranks.
 PRIOR = 2_000.0
+#: Rounds of expectation and maximisation.
+ROUNDS = 3
+#: Words that are treated as arrays together, and the length from which a word is treated by itself.
+TOGETHER, LONG = 8192, 64
 MARK = "▁"
 
 
@@ -60,25 +71,173 @@ class Pieces:
         return alpha[n] / math.log(10)
 
 
-def build_pieces(model_file: str, counts: dict[int, int], ends: int) -> Pieces:
-    """The vocabulary's pieces with probabilities from training counts and its own ranks."""
-    from sentencepiece import SentencePieceProcessor
+@dataclass
+class Vocabulary:
+    """The usable pieces of a model file: text (bytes: None), byte value, share that the ranks give; and a trie."""
+
+    text: list[str | None]
+    byte: np.ndarray
+    weight: np.ndarray
+
+    def __post_init__(self) -> None:
+        known: dict[tuple[int, int], int] = {}
+        accept = [-1]
+        for k, piece in enumerate(self.text):
+            state = 0
+            for c in piece or "":
+                following = known.setdefault((state, ord(c)), len(accept))
+                if following == len(accept):
+                    accept.append(-1)
+                state = following
+            if piece:
+                accept[state] = k
+        self.accept = np.array(accept, np.int64)
+        bits = max(10, 2 + len(accept).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        keys = np.array([(s << 21) | c for s, c in known], np.uint64)
+        self.keys, self.next = np.full(1 << bits, _NONE), np.full(1 << bits, -1, np.int64)
+        for key, slot, following in zip(keys.tolist(), self._slot(keys).tolist(), known.values(), strict=True):
+            while self.keys[slot] != _NONE:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.next[slot] = key, following
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The states that follow, -1 where no piece goes on so."""
+        keys = (states.astype(np.uint64) << np.uint64(21)) | chars
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.next[slot], -1)
+        open_ = np.flatnonzero((there != keys) & (there != _NONE))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            there = self.keys[slot[open_]]
+            out[open_] = np.where(there == keys[open_], self.next[slot[open_]], -1)
+            open_ = open_[(there != keys[open_]) & (there != _NONE)]
+        return out
+
+
+_NONE = np.uint64(2**64 - 1)
+_READ: dict[str, Vocabulary] = {}
+
+
+def vocabulary(model_file: str) -> Vocabulary:
+    """Read once by a worker; the last entry is the end of a text."""
+    if model_file not in _READ:
+        from sentencepiece import SentencePieceProcessor
 
-    sp = SentencePieceProcessor(model_file=model_file)
-    size = sp.get_piece_size()
-    usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    rank = {i: (size if sp.is_byte(i) else max(0.0, -sp.get_score(i))) for i in usable}
-    weight = {i: 1 / (r + 10) for i, r in rank.items()}
-    end_weight = 1 / 10
-    share = PRIOR / (sum(weight.values()) + end_weight)
-    total = sum(counts.get(i, 0) for i in usable) + ends + PRIOR
-    logs = {i: math.log((counts.get(i, 0) + share * weight[i]) / total) for i in usable}
-    text = {sp.id_to_piece(i): p for i, p in logs.items() if not sp.is_byte(i)}
-    byte = [math.log(1 / size)] * 256
-    for i, p in logs.items():
-        if sp.is_byte(i):
-            byte[int(sp.id_to_piece(i)[3:5], 16)] = p
-    return Pieces(text, byte, math.log((ends + share * end_weight) / total), max(map(len, text)))
+        sp = SentencePieceProcessor(model_file=model_file)
+        size = sp.get_piece_size()
+        usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        rank = np.array([size if sp.is_byte(i) else max(0.0, -sp.get_score(i)) for i in usable] + [0.0])
+        byte = np.array([int(sp.id_to_piece(i)[3:5], 16) if sp.is_byte(i) else -1 for i in usable] + [-1])
+        weight = 1 / (rank + 10)
+        _READ[model_file] = Vocabulary([None if sp.is_byte(i) else sp.id_to_piece(i) for i in usable] + [None], byte, weight / weight.sum())
+    return _READ[model_file]
+
+
+def piece_logs(own: Vocabulary, counts: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each entry from its (expected) count and the prior."""
+    return np.log((counts + PRIOR * own.weight) / (counts.sum() + PRIOR))
+
+
+def build_pieces(model_file: str, logs: np.ndarray) -> Pieces:
+    own = vocabulary(model_file)
+    text = {t: p for t, p in zip(own.text, logs.tolist(), strict=True) if t}
+    byte = [math.log(1 / len(logs))] * 256
+    for b, p in zip(own.byte.tolist(), logs.tolist(), strict=True):
+        if b >= 0:
+            byte[b] = p
+    return Pieces(text, byte, float(logs[-1]), max(map(len, text)))
+
+
+class Lattices:
+    """Sums over all segmentations, of many words at once."""
+
+    def __init__(self, model_file: str, logs: np.ndarray):
+        self.own, self.logs, self.pieces = vocabulary(model_file), logs, build_pieces(model_file, logs)
+        self.entry = np.full(256, -1)
+        self.entry[self.own.byte[self.own.byte >= 0]] = np.flatnonzero(self.own.byte >= 0)
+
+    def _edges(self, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(from, to, words, log probabilities, entries) of the lattices' edges, by where they begin; words by time.
+
+        A character that is no piece is spelled by its bytes: one edge without an entry.
+        """
+        steps, n = chars.shape
+        for i in range(steps):
+            words, states = np.arange(n), np.zeros(n, np.int64)
+            for to in range(i + 1, steps + 1):
+                states = self.own.step(states, chars[to - 1, words])
+                entry = np.where(states >= 0, self.own.accept[states], -1)
+                if to == i + 1 and len(at := np.flatnonzero(entry < 0)):
+                    values, inverse = np.unique(chars[i, at], return_inverse=True)
+                    spelled = np.array([sum(self.pieces.byte[b] for b in chr(c).encode()) for c in values.tolist()])
+                    yield i, to, at, spelled[inverse], None
+                found = np.flatnonzero(entry >= 0)
+                if len(found):
+                    yield i, to, words[found], self.logs[entry[found]], entry[found]
+                alive = states >= 0
+                words, states = words[alive], states[alive]
+                if not len(words):
+                    break
+
+    def forward(self, chars: np.ndarray, keep: list | None = None) -> np.ndarray:
+        alpha = np.full((len(chars) + 1, chars.shape[1]), -np.inf)
+        alpha[0] = 0
+        for edge in self._edges(chars):
+            i, to, words, log, _ = edge
+            alpha[to, words] = np.logaddexp(alpha[to, words], alpha[i, words] + log)
+            if keep is not None:
+                keep.append(edge)
+        return alpha
+
+    def expect(self, chars: np.ndarray, times: np.ndarray, counts: np.ndarray) -> None:
+        """Add to counts how often each entry is expected in the words, each taken so many times."""
+        edges: list = []
+        alpha = self.forward(chars, edges)
+        beta = np.full(alpha.shape, -np.inf)
+        beta[-1] = 0
+        for i, to, words, log, _ in reversed(edges):
+            beta[i, words] = np.logaddexp(beta[i, words], beta[to, words] + log)
+        for i, to, words, log, entry in edges:
+            share = np.exp(alpha[i, words] + log + beta[to, words] - alpha[-1, words]) * times[words]
+            if entry is not None:
+                np.add.at(counts, entry, share)
+            else:
+                for c, x in zip(chars[i, words].tolist(), share.tolist(), strict=True):
+                    for b in chr(c).encode():
+                        if self.entry[b] >= 0:
+                            counts[self.entry[b]] += x
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, characters by time) of marked words of one length; words over LONG one by one."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+        for same in np.split(order, cuts) if len(order) else ():
+            size = int(sizes[same[0]])
+            step = TOGETHER if size <= LONG else 1
+            for lo in range(0, len(same), step):
+                at = same[lo : lo + step]
+                own = np.empty((size + 1, len(at)), np.uint64)
+                own[0] = ord(MARK)
+                own[1:] = flat[starts[at] + np.arange(size)[:, None]]
+                yield at, own
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """log10 of each word's probability."""
+        out = np.empty(len(words))
+        for at, chars in self.groups(words):
+            if len(chars) > LONG + 1:
+                out[at] = self.pieces.word(words[int(at[0])])
+            else:
+                out[at] = self.forward(chars)[-1] / math.log(10)
+        return out
 
 
 def _number(id_type: pa.DataType):
@@ -133,41 +292,42 @@ def _number(id_type: pa.DataType):
     return run
 
 
-def _piece_counts(model_file: str):
+def _expected(model_file: str, logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sentencepiece import SentencePieceProcessor
-
-        sp = SentencePieceProcessor(model_file=model_file)
-        held = np.zeros(sp.get_piece_size(), np.int64)
-        tokens = distinct = 0
+        lattices, counts = Lattices(model_file, logs), np.zeros(len(logs))
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            pieces = sp.encode(words, num_threads=1)
-            sizes = np.array([len(p) for p in pieces], np.int64)
-            flat = np.array([x for p in pieces for x in p], np.int64)
-            held += np.bincount(flat, np.repeat(n, sizes), len(held)).astype(np.int64)
-            tokens += int(n.sum())
-            distinct += len(words)
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *some.tolist()], pa.int64()), pa.array([tokens, distinct, *held[some].tolist()], pa.int64())], ["piece", "n"])
+            n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            for at, chars in lattices.groups(batch.column(0).to_pylist()):
+                lattices.expect(chars, n[at], counts)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["piece", "n"])
 
     return run
 
 
-def _score_words(pieces: Pieces):
+def _score_words(model_file: str, logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, value = None, 0.0
+        lattices = Lattices(model_file, logs)
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:  # rows of one word stand together
-                    last, value = word, pieces.word(word)
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.float64())], ["block", "place", "c", "lattice"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattices.scores(batch.column(0).to_pylist()))], ["word", "c", "lattice"])
 
     return run
 
 
+def learn_pieces(counts: DataFrame, model_file: str, ends: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the vocabulary's entries after ``rounds`` over (word, c) training counts."""
+    own = vocabulary(model_file)
+    logs = np.log(own.weight)
+    for _ in range(rounds):
+        expected = counts.mapInArrow(lean(_expected(model_file, logs)), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        held = np.zeros(len(logs))
+        for r in expected.collect():  # a row for each piece at most
+            held[r["piece"]] = r["n"]
+        held[-1] = ends
+        logs = piece_logs(own, held)
+    return logs
+
+
 def _score_docs(id_type: pa.DataType, denominator: int, ends: int, end: float):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         size = words.num_rows
@@ -188,7 +348,7 @@ def _score_docs(id_type: pa.DataType, denominator: int, ends: int, end: float):
     return run
 
 
-def score_texts(docs: DataFrame, learn: Column, model_file: str) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, model_file: str, *, rounds: int = ROUNDS) -> DataFrame:
     """log10 probability of every row's whole text under a model learned from the rows where ``learn`` holds.
 
     docs: doc_id and text; other columns are ignored. Tokens are words (A-Z lower-cased, split at ASCII white
@@ -196,25 +356,26 @@ def score_texts(docs: DataFrame, learn: Column, model_file: str) -> DataFrame:
     base_score (unigram with one added to counts, one unseen kind) and score (the lattice model's).
 
     Null and empty texts are the end mark alone. A null ``learn`` does not learn. Repeated rows count and are
-    scored each. If nothing may be learned, the vocabulary's ranks alone give the probabilities.
+    scored each. If nothing may be learned, the vocabulary's ranks alone give the probabilities. ``rounds``: of
+    expectation and maximisation over all training words.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", learn.alias("learn"))
     kind = docs.schema["doc_id"].dataType
     id_sql, id_type = kind.simpleString(), to_arrow_type(kind)
     schema = f"kind int, block long, doc_id {id_sql}, learn boolean, ids binary, word string, place int, n long"
-    numbered = materialise(docs.mapInArrow(_number(id_type), schema), "numbered", partition_by="kind")
+    numbered = materialise(docs.mapInArrow(lean(_number(id_type)), schema), "numbered", partition_by="kind")
     texts = numbered.filter("kind = 0").select("block", "doc_id", "learn", "ids")
     words = numbered.filter("kind = 1").select("block", "place", "word", "n")
     ends = texts.filter("learn").count()
-    counts = words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-    sums = counts.mapInArrow(_piece_counts(model_file), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # two rows and one for each piece
-    found = {r["piece"]: r["n"] for r in sums}
-    tokens, distinct = found.pop(-1, 0) + ends, found.pop(-2, 0) + (ends > 0)
+    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     drop_spent_shuffles(spark)
-    pieces = build_pieces(model_file, found, ends)
-    everywhere = F.sum("n").over(Window.partitionBy("word"))
-    scored = words.select("block", "place", "word", everywhere.alias("c")).mapInArrow(_score_words(pieces), "block long, place int, c long, lattice double")
+    seen = counts.filter("c > 0")
+    sums = seen.agg(F.sum("c"), F.count("*")).first()
+    tokens, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
+    logs = learn_pieces(seen, model_file, ends, rounds)
+    scored = counts.mapInArrow(lean(_score_words(model_file, logs)), "word string, c long, lattice double")
+    scored = words.select("block", "place", "word").join(scored, "word").select(F.col("block").alias("of_block"), "place", "c", "lattice")
     out = f"doc_id {id_sql}, learn boolean, n_tokens long, n_known long, base_score double, score double"
-    met = texts.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_score_docs(id_type, tokens + distinct + 1, ends, pieces.end), out)
+    met = texts.groupBy("block").cogroup(scored.groupBy("of_block")).applyInArrow(_score_docs(id_type, tokens + distinct + 1, ends, float(logs[-1])), out)
     return met.select("doc_id", "learn", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
