@@ -19,8 +19,9 @@ members of different components are compared, inside the join, by size and by pa
 signatures' Hamming distance is a lower bound of the sets' symmetric difference, so a pair beyond the
 allowed difference is never emitted, and none within it is lost. What remains is verified.
 
-Hot n-grams: counts are combined before the shuffle, and the joins on n-grams are plain sort-merge joins that
-adaptive execution splits when one key is hot.
+Hot keys: counts are combined before the shuffle; the joins on n-grams are sort-merge joins that adaptive execution
+splits when one key is hot; classes in very many pairs are salted where pairs meet their n-grams, and long lists are
+cut into a grid of cells on both sides where their members meet each other.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, join_split
 from .memory import lean
 from .scratch import drop_spent_shuffles, materialise
 from .words import PLACES, SPACED, mix, shingles, split_words, text_batches
@@ -45,6 +46,10 @@ PIVOTS = 2
 BROADCAST_ROWS = 1_000_000
 #: 64-bit words of a parity signature.
 SIGNATURE = 8
+#: A class in more than this share of all pairs is heavy, and its n-grams are copied so often.
+HEAVY, SALTS = 1024, 32
+#: Members of a list that meet the others in one cell.
+CELL = 1024
 
 _SIGNATURE = [f"s{i}" for i in range(SIGNATURE)]
 
@@ -130,14 +135,26 @@ def _full(n: int):
     return run
 
 
+def _meet(pairs: DataFrame, parts: DataFrame, side: str, total: int) -> DataFrame:
+    """pairs with the n-grams of one side by fragment; heavy classes, at most HEAVY, are salted by the other side."""
+    other, grams = ("b", "ga") if side == "a" else ("a", "gb")
+    named = parts.select(F.col("class").alias(side), "fragment", F.col("grams").alias(grams))
+    heavy = F.broadcast(pairs.groupBy(side, *({"fragment"} & {*pairs.columns})).count().filter(F.col("count") > max(1, total // HEAVY)).select(F.col(side).alias("hot")).distinct())
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    rows = pairs.join(heavy, F.col(side) == F.col("hot"), "left").select(*pairs.columns, salt)
+    copies = F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    held = named.join(heavy, F.col(side) == F.col("hot"), "left").select(side, "fragment", grams, copies)
+    return rows.join(held, [side, "salt", *({"fragment"} & {*pairs.columns})]).drop("salt")
+
+
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, na, nb) pairs those that reach the threshold: overlaps counted in each fragment and summed."""
-    left = parts.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = parts.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("gb"))
-    met = pairs.join(right, "b").join(left, ["a", "fragment"])
+    pairs = materialise(pairs, "pairs")
+    total = pairs.count()
+    met = _meet(_meet(pairs, parts, "b", total), parts, "a", total)
     counted = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
-    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    return total.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * percent).select("a", "b")
+    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    return summed.filter(F.col("k") * 100 >= (F.col("na") + F.col("nb") - F.col("k")) * percent).select("a", "b")
 
 
 def _in_reach(percent: int):
@@ -198,7 +215,7 @@ def _pivot_pairs(postings: DataFrame) -> DataFrame:
     order = [F.struct(-F.col("shared"), F.xxhash64("class", F.lit(k))) for k in range(PIVOTS)]
     pivots = postings.groupBy("gram").agg(F.count("*").alias("c"), *(F.min(F.struct(o.alias("o"), F.col("class"), F.col("n"))).alias(f"p{k}") for k, o in enumerate(order))).filter("c > 1")
     each = F.explode(F.array(*(F.struct(F.col(f"p{k}.class").alias("a"), F.col(f"p{k}.n").alias("na")) for k in range(PIVOTS)))).alias("p")
-    pairs = postings.join(pivots, "gram").select(F.col("class").alias("b"), F.col("n").alias("nb"), each)
+    pairs = join_split(postings, pivots.withColumnRenamed("c", "d"), "gram", postings.count()).select(F.col("class").alias("b"), F.col("n").alias("nb"), each)
     return pairs.select(F.col("p.a").alias("a"), "b", F.col("p.na").alias("na"), "nb")
 
 
@@ -208,18 +225,22 @@ def _cross_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, percent
     tagged = postings.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", F.coalesce("root", "class").alias("comp"), level.alias("level"))
     tagged = materialise(tagged, "tagged")
     # lists of one component have no such pair
-    mixed = tagged.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
+    members = tagged.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
+    mixed = members.select("gram", F.ceil(F.col("m") / CELL).cast("int").alias("cells"), F.col("m").alias("d"))
     marks = sets.select("class", *_SIGNATURE)
-    tagged = materialise(tagged.join(mixed, "gram", "left_semi").join(marks, "class"), "mixed")
+    tagged = materialise(join_split(tagged, mixed, "gram", tagged.count()).join(marks, "class"), "mixed")
+    own, each = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    left, right = tagged.withColumn("row", own).withColumn("column", each), tagged.withColumn("column", own).withColumn("row", each)
     # sizes within 5 : 4 are at most one level apart; rounding of the logarithm can make it two
     names = {"class": "a", "n": "na", "comp": "ca"} | {c: f"a{c}" for c in _SIGNATURE}
-    left = tagged.select("gram", "level", *(F.col(c).alias(to) for c, to in names.items()))
+    cell = ("gram", "row", "column")
+    left = left.select(*cell, "level", *(F.col(c).alias(to) for c, to in names.items()))
     names = {"class": "b", "n": "nb", "comp": "cb", "level": "lb"} | {c: f"b{c}" for c in _SIGNATURE}
-    right = tagged.select("gram", *(F.col(c).alias(to) for c, to in names.items()), F.explode(F.array(*(F.col("level") + k for k in range(3)))).alias("level"))
+    right = right.select(*cell, *(F.col(c).alias(to) for c, to in names.items()), F.explode(F.array(*(F.col("level") + k for k in range(3)))).alias("level"))
     differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _SIGNATURE), F.lit(0))
     allowed = differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     l, r = left.alias("l"), right.alias("r")
-    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.level") == F.col("r.level")) & (F.col("ca") != F.col("cb")) & _in_reach(percent) & allowed
+    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.row") == F.col("r.row")) & (F.col("l.column") == F.col("r.column")) & (F.col("l.level") == F.col("r.level")) & (F.col("ca") != F.col("cb")) & _in_reach(percent) & allowed
     met = l.join(r, on & ((F.col("l.level") > F.col("lb")) | (F.col("a") > F.col("b"))))
     return met.select("a", "b", "na", "nb")
 
