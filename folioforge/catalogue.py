@@ -1,404 +1,5 @@
 """All queries of the engine's own operators, with their SQL."""
 
-from __future__ import annotations
+from folioforge.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from folioforge.functions import paths
-from folioforge.operators import catalogue_views as views
-from folioforge.operators import doctype, incremental, inventory, labels, media, names, probe, raster, readiness, textscan
-from folioforge.plans import adapters, fixtures
-from folioforge.plans import reference_sql as sql
-from folioforge.plans.adapters import page_text, table, with_tables
-from folioforge.sources import export
-from folioforge.streaming import ingest
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-NOW = "2024-01-05 00:00:00"
-_INV = with_tables("docs", "inv")
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
-def on_inventory(name: str, operator: Callable[[DataFrame], DataFrame], oracle: str) -> None:
-    query(name, f"{_INV} {oracle}")(lambda spark, d: operator(adapters.inventory(spark, d)))
-
-
-# inventory
-
-on_inventory(
-    "inventory_scan",
-    lambda inv: inv.select("rel_path", "top_level_folder", "extension", "detected_mime", "size_bytes", "modified_time", paths.file_name(F.col("rel_path")).alias("name"), paths.parent(F.col("rel_path")).alias("folder"), paths.file_category(F.col("extension"), F.col("detected_mime")).alias("category"), paths.human_bytes(F.col("size_bytes")).alias("size_text")),
-    """SELECT rel_path, top_level_folder, extension, detected_mime, size_bytes, modified_time, split_part(rel_path, '/', 3) AS name, regexp_replace(rel_path, '/[^/]*$', '') AS folder,
-  CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'csv' THEN 'csv' WHEN 'jpg' THEN 'image' ELSE 'other' END AS category,
-  CASE WHEN size_bytes < 1024 THEN printf('%d B', size_bytes) ELSE printf('%.1f KB', size_bytes / 1024) END AS size_text FROM inv""",
-)
-on_inventory(
-    "inventory_file_id",
-    lambda inv: inv.select("rel_path", paths.file_id(F.col("rel_path"), F.col("size_bytes"), F.lit(0.0), F.col("hash_value")).alias("file_id"), paths.file_id(F.col("rel_path"), F.col("size_bytes"), F.lit(1.5), F.lit(None)).alias("file_id_without_hash"), paths.stable_doc_id(F.lit(""), F.col("rel_path"), F.col("size_bytes"), F.col("modified_time")).alias("stable_doc_id")),
-    "SELECT rel_path, sha256(hash_value) AS file_id, sha256(rel_path || '|' || size_bytes || '|1.500000') AS file_id_without_hash, rel_path || '|' || size_bytes || '|' || modified_time AS stable_doc_id FROM inv",
-)
-on_inventory(
-    "inventory_summary", inventory.summary,
-    """SELECT 'total' AS level, '' AS value, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM inv UNION ALL SELECT 'extension', extension, count(*), sum(size_bytes)::BIGINT FROM inv GROUP BY 2
-  UNION ALL SELECT 'mime', detected_mime, count(*), sum(size_bytes)::BIGINT FROM inv GROUP BY 2 UNION ALL SELECT 'folder', top_level_folder, count(*), sum(size_bytes)::BIGINT FROM inv GROUP BY 2""",
-)
-on_inventory("folder_rollup", inventory.folder_rollup, "SELECT top_level_folder, count(*) AS files, sum(size_bytes)::BIGINT AS bytes, round(sum(size_bytes) / greatest(sum(sum(size_bytes)) OVER (), 1) * 100, 6) AS pct_bytes FROM inv GROUP BY 1")
-on_inventory("ext_mime_counts", inventory.ext_mime_counts, "SELECT extension, detected_mime, count(*) AS files FROM inv GROUP BY ALL")
-on_inventory(
-    "size_histogram", inventory.size_histogram,
-    "SELECT b.bin::INT AS bin, b.lo::BIGINT AS from_bytes, count(size_bytes) AS files FROM (VALUES (1,0,1024),(2,1024,10000),(3,10000,100000),(4,100000,1000000),(5,1000000,10000000),(6,10000000,100000000),(7,100000000,1000000000),(8,1000000000,9e18)) b(bin, lo, hi) LEFT JOIN inv ON size_bytes >= lo AND size_bytes < hi GROUP BY ALL",
-)
-on_inventory("largest_files", inventory.largest_files, "SELECT rel_path, size_bytes FROM inv ORDER BY size_bytes DESC, rel_path LIMIT 20")
-on_inventory("deepest_paths", inventory.deepest_paths, "SELECT regexp_replace(rel_path, '/[^/]*$', '') AS folder, count(*) AS files, 2 AS depth FROM inv GROUP BY 1 ORDER BY depth DESC, files DESC, folder LIMIT 20")
-on_inventory(
-    "exec_summary", inventory.executive_summary,
-    "SELECT count(*) AS files, round(sum(size_bytes) / 1024.0**3, 9) AS gib, count(DISTINCT top_level_folder) AS folders, count(*) FILTER (WHERE extension = 'pdf') AS n_pdf, count(*) FILTER (WHERE extension = 'txt') AS n_text, count(*) FILTER (WHERE extension = 'csv') AS n_csv, count(*) FILTER (WHERE extension = 'jpg') AS n_image, count(*) FILTER (WHERE extension = 'bin') AS n_other FROM inv",
-)
-on_inventory("file_categories", inventory.file_categories, "SELECT CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'csv' THEN 'csv' WHEN 'jpg' THEN 'image' ELSE 'other' END AS category, count(*) AS files FROM inv GROUP BY 1")
-on_inventory("ext_by_folder_top12", inventory.ext_by_folder, "SELECT extension, top_level_folder, count(*) AS files FROM inv WHERE extension IN (SELECT extension FROM inv GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12) GROUP BY ALL")
-on_inventory("duplicate_groups", inventory.duplicate_groups, "SELECT hash_value AS dup_key, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, array_to_string(list_sort(list(rel_path))[:3], '|') AS example_paths FROM inv GROUP BY 1 HAVING count(*) >= 2")
-on_inventory(
-    "potential_issues", lambda inv: inventory.potential_issues(inv, F.lit(NOW).cast("timestamp"), large=20_000),
-    f"""SELECT * FROM (SELECT rel_path, size_bytes, array_to_string(list_filter([CASE WHEN size_bytes = 0 THEN 'zero_size' END, CASE WHEN detected_mime = 'application/octet-stream' THEN 'missing_mime' END, CASE WHEN size_bytes >= 20000 THEN 'very_large' END,
-  CASE WHEN extension = 'bin' THEN 'uncommon_extension' END, CASE WHEN modified_time::TIMESTAMP > TIMESTAMP '{NOW}' THEN 'future_modified_time' END], lambda x: x IS NOT NULL), ', ') AS issues FROM inv) WHERE issues <> ''""",
-)
-
-
-# readiness
-
-def _ready_docs(spark: SparkSession, d: str, at: readiness.Thresholds = readiness.Thresholds()) -> DataFrame:
-    return readiness.docs(readiness.pages(page_text(spark, d), at), at)
-
-
-query("readiness_pages", sql.READY + "SELECT * FROM rpages")(lambda s, d: readiness.pages(page_text(s, d)))
-query("readiness_docs", sql.READY + "SELECT * FROM rdocs")(_ready_docs)
-query("probe_summary", sql.READY + "SELECT classification, count(*) AS docs, sum(page_count)::BIGINT AS pages, sum(pages_with_text)::BIGINT AS with_text, greatest(sum(page_count) - sum(pages_with_text), 0)::BIGINT AS without_text, round(count(*) / sum(count(*)) OVER () * 100, 6) AS pct_docs FROM rdocs GROUP BY 1")(lambda s, d: readiness.summary(_ready_docs(s, d)))
-query("least_text_docs", sql.READY + "SELECT doc_id, text_coverage_pct, total_text_chars FROM rdocs ORDER BY text_coverage_pct, total_text_chars, doc_id LIMIT 20")(lambda s, d: readiness.least_text(_ready_docs(s, d)))
-query("text_page_index", sql.READY + "SELECT rel_path, string_agg(page_num::VARCHAR, ',' ORDER BY page_num) AS pages FROM rpages WHERE has_text GROUP BY 1")(lambda s, d: views.text_page_index(readiness.pages(page_text(s, d))))
-query("document_text", with_tables("docs", "pages") + "SELECT doc_id, string_agg('--- Page ' || page_num || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page_num) AS document_text FROM pages GROUP BY 1")(lambda s, d: views.document_text(page_text(s, d)))
-query("page_histogram", sql.READY + "SELECT least(floor((page_count - 1) / 40.0 * 20), 19)::INT AS bin, count(*) AS docs FROM rdocs WHERE page_count BETWEEN 1 AND 41 GROUP BY 1")(lambda s, d: views.numeric_histogram(_ready_docs(s, d), "page_count", 1.0, 41.0))
-query("display_labels", sql.READY + "SELECT doc_id, rel_path || ' · ' || classification || ' · ' || page_count || ' pages' AS display_label FROM rdocs")(lambda s, d: views.display_label(_ready_docs(s, d)))
-
-# text scan
-
-_quality = lambda s, d: textscan.text_quality(page_text(s, d))
-query("text_quality", sql.quality(4) + "SELECT * FROM quality")(_quality)
-query("text_quality_variant_runs3", sql.quality(3) + "SELECT * FROM quality")(lambda s, d: textscan.text_quality(page_text(s, d), textscan.Quality(run=3)))
-query("text_scan_summary", sql.quality(4) + "SELECT text_quality_label, count(*) AS docs, round(avg(text_quality_score), 6) AS mean_score FROM quality GROUP BY 1")(lambda s, d: textscan.quality_summary(_quality(s, d)))
-query("text_ready_kpis", sql.quality(4) + "SELECT count(*) AS docs, round(count(*) FILTER (WHERE text_quality_label = 'GOOD') / count(*), 6) AS good_share, round(count(*) FILTER (WHERE text_quality_label <> 'GOOD') / count(*), 6) AS poor_share FROM quality")(lambda s, d: views.text_ready(_quality(s, d)))
-query(
-    "snippets",
-    with_tables("docs", "pages")
-    + f""", f AS (SELECT doc_id, arg_min(text, page_num) AS text FROM pages WHERE {sql._strip("text")} <> '' GROUP BY 1), m AS (SELECT doc_id,
-  regexp_replace(regexp_replace({sql._strip(f"regexp_replace(text, '[{sql.W}]+', ' ', 'g')")}, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}', '[email]', 'g'), '\\b\\d{{5,}}\\b', '[number]', 'g') AS t FROM f)
-  SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE rtrim(substr(t, 1, 200)) || '…' END AS text_snippet FROM m""",
-)(lambda s, d: textscan.snippets(page_text(s, d)))
-
-_FIXTURE = with_tables("docs", "pages") + f", fixture(doc_id, text) AS (VALUES {fixtures.values(fixtures.RULE_PAGES)})" + sql.HITS
-
-
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return textscan.rule_hits(page_text(spark, d).unionByName(fixtures.rule_pages(spark)))
-
-
-query("content_rule_hits", _FIXTURE + " SELECT * FROM hits")(_hits)
-query("content_type", _FIXTURE + sql.TYPES + " SELECT * FROM types")(lambda s, d: textscan.content_type(_hits(s, d)))
-
-
-def _signals(spark: SparkSession, d: str) -> DataFrame:
-    """Signals of the documents whose id does not end in 3."""
-    ids = adapters.documents(spark, d).filter("doc_id % 10 <> 3").select("doc_id", "rel_path")
-    return ids.join(_quality(spark, d), "doc_id").join(textscan.content_type(textscan.rule_hits(page_text(spark, d))), "doc_id")
-
-
-_SIGNALS = sql.quality(4) + ", fixture(doc_id, text) AS (SELECT 0::BIGINT, '' WHERE false)" + sql.HITS + sql.TYPES + ", signals AS (SELECT doc_id, rel_path, text_quality_label, text_quality_score, content_type_pred, content_type_confidence FROM docs JOIN quality USING (doc_id) JOIN types USING (doc_id) WHERE doc_id % 10 <> 3)"
-query("merge_text_signals", _SIGNALS + " SELECT docs.doc_id, docs.rel_path, text_quality_label, text_quality_score, content_type_pred, content_type_confidence FROM docs LEFT JOIN signals USING (rel_path)")(lambda s, d: textscan.merge_signals(adapters.documents(s, d).select("doc_id", "rel_path"), _signals(s, d)))
-query("merge_coverage", _SIGNALS + " SELECT count(*) AS paths, count(s.rel_path) AS merged, round(count(s.rel_path) / count(*), 6) AS coverage FROM (SELECT DISTINCT rel_path FROM docs) d LEFT JOIN (SELECT DISTINCT rel_path FROM signals) s USING (rel_path)")(lambda s, d: textscan.merge_coverage(adapters.documents(s, d), _signals(s, d)))
-
-# names
-
-_mentions = lambda s, d: names.mentions_of(page_text(s, d))
-_index = lambda s, d: names.name_index(_mentions(s, d))
-_NAMES = sql.NAMES
-query("name_mentions", _NAMES + "SELECT canonical_key, doc_id, page_num, count(*) AS n FROM mentions GROUP BY ALL")(lambda s, d: names.page_counts(_mentions(s, d), 0).select("canonical_key", "doc_id", "page_num", "n"))
-query("name_index", _NAMES + "SELECT canonical_key, display_name, array_to_string(variants, '; ') AS variants, total_count, docs FROM idx")(
-    lambda s, d: _index(s, d).select("canonical_key", "display_name", F.array_join("variants", "; ").alias("variants"), "total_count", F.size("internal_docs").cast("long").alias("docs"))
-)
-query("public_name_index", _NAMES + "SELECT canonical_key, display_name, docs AS n_docs FROM idx")(lambda s, d: names.public_records(_index(s, d)).select("canonical_key", "display_name", F.json_array_length("docs_json").cast("long").alias("n_docs")))
-query("name_summary", _NAMES + "SELECT count(*) AS total_names, sum(total_count)::BIGINT AS total_mentions, (SELECT count(DISTINCT doc_id) FROM mentions) AS total_docs_with_mentions FROM idx")(lambda s, d: names.summary(_index(s, d)))
-query("name_flatten", _NAMES + """, pg AS (SELECT canonical_key, doc_id, rel_path, page_num, count(*) AS n FROM mentions GROUP BY ALL)
-SELECT canonical_key, display_name, array_to_string(variants, ', ') AS variants, doc_id, rel_path, string_agg('p.' || page_num || ' (' || n || '×)', ', ' ORDER BY page_num) AS page_list, sum(n)::BIGINT AS total_count FROM pg JOIN idx USING (canonical_key) GROUP BY ALL""")(lambda s, d: names.flatten(_index(s, d)))
-query("name_lookup", _NAMES + f""", q0(query) AS (VALUES {fixtures.values(fixtures.NAME_QUERIES)}), q AS (SELECT query, lower(trim(query)) AS q, CASE WHEN contains(query, ',') THEN trim(split_part(lower(query), ',', 1)) || '|' || trim(split_part(lower(query), ',', 2)) WHEN contains(trim(query), ' ') THEN split_part(lower(trim(query)), ' ', -1) || '|' || split_part(lower(trim(query)), ' ', 1) END AS k FROM q0 WHERE trim(query) <> ''),
-h AS (SELECT query, CASE WHEN canonical_key = k THEN 1 WHEN list_contains(variants, q) THEN 2 WHEN contains(lower(display_name), q) THEN 3 END AS stage, canonical_key, display_name, total_count FROM idx, q)
-SELECT query, stage, canonical_key, display_name, total_count FROM h WHERE stage IS NOT NULL QUALIFY stage = min(stage) OVER (PARTITION BY query)""")(
-    lambda s, d: names.lookup(_index(s, d), s.createDataFrame([(q,) for q in fixtures.NAME_QUERIES], "query string"))
-)
-
-# labels and decisions
-
-
-def _labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels made from the label table: backslashes for odd ids, another path for every seventh, a blank one for every eleventh."""
-    rows = table(spark, d, "labels").join(adapters.documents(spark, d).select("doc_id", "rel_path", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "doc_id")
-    path = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 7 == 0, F.concat(F.lit("moved/"), "rel_path")).when(F.col("doc_id") % 2 == 1, F.translate("rel_path", "/", "\\")).otherwise(F.col("rel_path"))
-    raw = F.when(F.col("toxic") == 1, "MIXED_PDF").when(F.col("quality") == 1, "TEXT_PDF").otherwise("image_pdf")
-    then = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).when(F.col("doc_id") % 3 == 1, "").otherwise("-5")
-    return rows.select(F.col("doc_id").alias("label_id"), path.alias("rel_path"), raw.alias("label_raw"), F.lit("2024-01-01").alias("labeled_at"), then.alias("doc_id_at_label_time"), F.when(F.col("doc_id") % 2 == 0, F.col("sha")).otherwise("").alias("sha256_at_label_time"))
-
-
-_LAB = with_tables("docs", "inv") + """, lab AS (SELECT doc_id AS label_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'moved/' || rel_path WHEN doc_id % 2 = 1 THEN replace(rel_path, '/', chr(92)) ELSE rel_path END AS rel_path,
-  CASE WHEN toxic = 1 THEN 'MIXED_PDF' WHEN quality = 1 THEN 'TEXT_PDF' ELSE 'image_pdf' END AS label_raw, '2024-01-01' AS labeled_at, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR WHEN doc_id % 3 = 1 THEN '' ELSE '-5' END AS doc_id_at_label_time,
-  CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE '' END AS sha256_at_label_time FROM labels JOIN docs USING (doc_id)),
-keyed AS (SELECT *, replace(rel_path, chr(92), '/') AS norm_path FROM lab), matched AS (SELECT k.*, i.rel_path AS file_path, i.hash_value, i.doc_id FROM keyed k JOIN inv i ON k.norm_path = i.rel_path) """
-
-query("label_match", _LAB + "SELECT label_id, norm_path, file_path, label_raw FROM matched")(lambda s, d: labels.match(_labels(s, d), adapters.inventory(s, d)).select("label_id", "norm_path", "file_path", "label_raw"))
-query("label_orphans", _LAB + "SELECT rel_path, label_raw, CASE WHEN norm_path = '' THEN 'blank path' ELSE 'no single match' END AS reason FROM keyed WHERE norm_path NOT IN (SELECT norm_path FROM matched)")(lambda s, d: labels.orphaned(_labels(s, d), adapters.inventory(s, d)))
-query("label_unmatched", _LAB + "SELECT rel_path FROM inv WHERE extension = 'pdf' AND rel_path NOT IN (SELECT norm_path FROM keyed)")(lambda s, d: labels.unmatched(_labels(s, d), adapters.inventory(s, d)))
-query("label_recovery", _LAB + """, bysha AS (SELECT hash_value, min(rel_path) AS p FROM inv GROUP BY 1 HAVING min(rel_path) = max(rel_path))
-SELECT label_id, CASE WHEN l.rel_path <> '' THEN l.rel_path ELSE coalesce(i.rel_path, b.p) END AS rel_path, CASE WHEN l.rel_path <> '' THEN 'kept' WHEN i.rel_path IS NOT NULL THEN 'doc_id' WHEN b.p IS NOT NULL THEN 'sha256' ELSE 'none' END AS recovered_by
-FROM lab l LEFT JOIN inv i ON l.doc_id_at_label_time = i.doc_id::VARCHAR LEFT JOIN bysha b ON l.sha256_at_label_time = b.hash_value""")(lambda s, d: labels.recover_paths(_labels(s, d), adapters.inventory(s, d)).select("label_id", "rel_path", "recovered_by"))
-query("label_reconcile", _LAB + "SELECT 'labels' AS what, count(*) AS n FROM lab UNION ALL SELECT 'matched', count(*) FROM matched UNION ALL SELECT 'orphaned', count(*) FROM keyed WHERE norm_path NOT IN (SELECT norm_path FROM matched) UNION ALL SELECT 'unmatched', count(*) FROM inv WHERE extension = 'pdf' AND rel_path NOT IN (SELECT norm_path FROM keyed)")(lambda s, d: labels.reconcile_counts(_labels(s, d), adapters.inventory(s, d)))
-query("label_migration", _LAB + "SELECT count(*) AS rows, count(*) FILTER (WHERE norm_path <> rel_path) AS paths_changed, count(*) FILTER (WHERE label_raw <> 'MIXED_PDF') AS labels_changed, 0::BIGINT AS labels_unknown FROM keyed")(lambda s, d: labels.migration_report(_labels(s, d)))
-query("label_upsert", _LAB + "SELECT norm_path, CASE WHEN label_id % 5 = 0 THEN 'TEXT_PDF' ELSE label_raw END AS label_raw, CASE WHEN label_id % 5 = 0 THEN '2024-02-02' ELSE labeled_at END AS labeled_at, CASE WHEN label_id % 5 = 0 OR label_raw = 'TEXT_PDF' THEN 'IMAGE_OF_TEXT_PDF' ELSE upper(label_raw) END AS label_norm FROM keyed WHERE label_id % 11 <> 0")(
-    lambda s, d: labels.upsert(_labels(s, d).filter("label_id % 11 <> 0"), _labels(s, d).filter("label_id % 5 = 0 and label_id % 11 <> 0").withColumns({"label_raw": F.lit("TEXT_PDF"), "labeled_at": F.lit("2024-02-02")}))
-)
-query("label_drift", _LAB + "SELECT rel_path, doc_id_at_label_time <> '' AND doc_id_at_label_time <> doc_id::VARCHAR AS doc_id_mismatch, sha256_at_label_time <> '' AND sha256_at_label_time <> hash_value AS sha_mismatch FROM matched")(lambda s, d: labels.drift(labels.match(_labels(s, d), adapters.inventory(s, d))))
-
-
-def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with truth, a prediction, its confidence and the heuristic type."""
-    k = F.pmod(F.col("doc_id") * 37, F.lit(100))
-    truth = table(spark, d, "labels").select("doc_id", labels.normalize_label(F.when(F.col("toxic") == 1, "MIXED_PDF").when(F.col("quality") == 1, "TEXT_PDF").otherwise("IMAGE_PDF")).alias("truth"))
-    pred = F.when(k % 4 == 0, "IMAGE_PDF").when(k % 4 == 1, "MIXED_PDF").when(k % 4 == 2, "IMAGE_OF_TEXT_PDF").otherwise("")
-    return _ready_docs(spark, d).join(truth, "doc_id", "left").select("doc_id", "rel_path", "truth", pred.alias("pred"), (k / 100.0).alias("confidence"), readiness.heuristic(F.col("classification")).alias("heuristic"))
-
-
-_PRED = sql.READY + """, preds AS (SELECT doc_id, rel_path, CASE WHEN toxic = 1 THEN 'MIXED_PDF' WHEN quality = 1 THEN 'IMAGE_OF_TEXT_PDF' WHEN quality = 0 THEN 'IMAGE_PDF' END AS truth,
-  CASE doc_id * 37 % 100 % 4 WHEN 0 THEN 'IMAGE_PDF' WHEN 1 THEN 'MIXED_PDF' WHEN 2 THEN 'IMAGE_OF_TEXT_PDF' ELSE '' END AS pred, (doc_id * 37 % 100) / 100 AS confidence,
-  CASE classification WHEN 'Text-based' THEN 'TEXT_PDF' WHEN 'Scanned' THEN 'IMAGE_PDF' ELSE 'MIXED_PDF' END AS heuristic FROM rdocs LEFT JOIN labels USING (doc_id)) """
-
-
-def _decided(s: SparkSession, d: str) -> DataFrame:
-    final, source = labels.decide(F.col("truth"), F.col("pred"), F.col("confidence"), F.col("heuristic"))
-    return _predictions(s, d).select("doc_id", final.alias("doc_type_final"), source.alias("doc_type_source"))
-
-
-query("doc_type_decision", _PRED + "SELECT doc_id, coalesce(truth, CASE WHEN confidence >= 0.7 AND pred <> '' THEN pred END, heuristic) AS doc_type_final, CASE WHEN truth IS NOT NULL THEN 'TRUTH' WHEN confidence >= 0.7 AND pred <> '' THEN 'MODEL' ELSE 'HEURISTIC' END AS doc_type_source FROM preds")(_decided)
-query("doc_type_confusion", _PRED + "SELECT truth, " + ", ".join(f"count(*) FILTER (WHERE pred = '{k}') AS {k}" for k in labels.LABELS) + " FROM preds WHERE truth IS NOT NULL AND pred <> '' GROUP BY 1")(lambda s, d: labels.confusion(_predictions(s, d)))
-query("doc_type_evaluation", _PRED + """, k AS (SELECT truth, pred FROM preds WHERE truth IS NOT NULL AND pred <> ''), l AS (SELECT DISTINCT truth AS label FROM k UNION SELECT DISTINCT pred FROM k)
-SELECT label, round(h / nullif(g, 0), 6) AS precision, round(h / nullif(s, 0), 6) AS recall, round(2 * h / (g + s), 6) AS f1, s AS support, round((SELECT count(*) FROM k WHERE truth = pred) / (SELECT count(*) FROM k), 6) AS accuracy
-FROM (SELECT label, (SELECT count(*) FROM k WHERE truth = label AND pred = label) AS h, (SELECT count(*) FROM k WHERE pred = label) AS g, (SELECT count(*) FROM k WHERE truth = label) AS s FROM l)""")(lambda s, d: labels.evaluation(_predictions(s, d)))
-query("doc_type_mismatches", _PRED + "SELECT doc_id, truth, pred, confidence FROM preds WHERE truth <> pred ORDER BY confidence DESC, doc_id LIMIT 50")(lambda s, d: labels.mismatches(_predictions(s, d)))
-query("heuristic_predict", _PRED + "SELECT doc_id, heuristic AS predicted_label, 'heuristic' AS prediction_source FROM preds WHERE truth IS NULL")(lambda s, d: _predictions(s, d).filter("truth is null").select("doc_id", F.col("heuristic").alias("predicted_label"), F.lit("heuristic").alias("prediction_source")))
-query("label_queue", _PRED + "SELECT rel_path, suggested_label, confidence FROM (SELECT rel_path, pred AS suggested_label, confidence, split_part(rel_path, '/', 1) AS f, row_number() OVER (PARTITION BY split_part(rel_path, '/', 1) ORDER BY confidence, rel_path) AS turn FROM preds WHERE truth IS NULL) ORDER BY turn, f LIMIT 45")(
-    lambda s, d: labels.label_queue(_predictions(s, d).filter("truth is null").select("rel_path", F.col("pred").alias("suggested_label"), "confidence", paths.top_level_folder(F.col("rel_path")).alias("top_level_folder")), 45)
-)
-
-# catalog, comparison, filters, search
-
-_PUBLIC = sql.quality(4).replace("WITH ", "WITH ", 1) + sql.READY[sql.READY.index(", rpages"):] + sql.NO_FIXTURE + sql.HITS + sql.TYPES + """, inv AS (SELECT doc_id, rel_path, split_part(rel_path, '/', 1) AS top_level_folder, split_part(rel_path, '.', 2) AS extension,
-  CASE split_part(rel_path, '.', 2) WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'csv' THEN 'text/csv' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS detected_mime, strlen(text)::BIGINT AS size_bytes FROM docs),
-sig AS (SELECT doc_id, text_quality_label, content_type_pred FROM quality JOIN types USING (doc_id) WHERE doc_id % 10 <> 3), cat AS (SELECT i.doc_id::VARCHAR AS id, split_part(i.rel_path, '/', 3) AS title,
-  CASE WHEN i.extension <> 'pdf' THEN 'NON_PDF (' || i.extension || ')' WHEN r.doc_id IS NULL THEN 'PDF (unprobed)' WHEN r.classification = 'Text-based' THEN 'TEXT_PDF' WHEN r.classification = 'Scanned' THEN 'IMAGE_PDF' ELSE 'MIXED_PDF' END AS doc_type_final,
-  coalesce(s.content_type_pred, CASE WHEN i.extension <> 'pdf' THEN i.detected_mime END, '') AS content_type, coalesce(r.classification, '') AS classification, coalesce(s.text_quality_label, '') AS text_quality_label, coalesce(r.page_count, 0) AS page_count, i.top_level_folder AS dataset, i.size_bytes, i.extension
-  FROM inv i LEFT JOIN (SELECT * FROM rdocs WHERE doc_id % 10 < 5) r USING (rel_path) LEFT JOIN sig s ON s.doc_id = i.doc_id) """
-
-
-def _catalog(s: SparkSession, d: str) -> DataFrame:
-    docs = _ready_docs(s, d).filter("doc_id % 10 < 5").withColumn("doc_type_final", readiness.heuristic(F.col("classification")))
-    return views.public_index(adapters.inventory(s, d), docs, _signals(s, d))
-
-
-query("public_index", _PUBLIC + "SELECT id, title, doc_type_final, content_type, classification, text_quality_label, page_count, dataset, size_bytes FROM cat")(lambda s, d: _catalog(s, d).select("id", "title", "doc_type_final", "content_type", "classification", "text_quality_label", "page_count", "dataset", "size_bytes"))
-query("catalog_breakdown", _PUBLIC + "SELECT dataset, extension AS ext, count(*) AS items, sum(size_bytes)::BIGINT AS bytes FROM cat GROUP BY ALL")(lambda s, d: views.breakdown(_catalog(s, d)))
-
-_STRICT = readiness.Thresholds(page_chars=600)
-
-
-def _runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs: one without ids that end in 0, one without those that end in 1 and with a stricter page threshold."""
-    return _ready_docs(s, d).filter("doc_id % 10 <> 0"), _ready_docs(s, d, _STRICT).filter("doc_id % 10 <> 1")
-
-
-def _compared(s: SparkSession, d: str) -> DataFrame:
-    return views.compare(*_runs(s, d))
-
-
-_CMP = sql.READY + sql.READY[sql.READY.index(", rpages"):].replace("rpages", "spages").replace("rdocs", "sdocs").replace(">= 25", ">= 600") + """, ra AS (SELECT * FROM rdocs WHERE doc_id % 10 <> 0), rb AS (SELECT * FROM sdocs WHERE doc_id % 10 <> 1),
-cmp AS (SELECT coalesce(ra.doc_id, rb.doc_id) AS doc_id, CASE WHEN rb.doc_id IS NULL THEN 'only_a' WHEN ra.doc_id IS NULL THEN 'only_b' ELSE 'both' END AS status, coalesce(ra.classification, 'Unknown') AS class_a, coalesce(rb.classification, 'Unknown') AS class_b,
-  coalesce(rb.page_count, 0) - coalesce(ra.page_count, 0) AS delta_page_count, coalesce(rb.pages_with_text, 0) - coalesce(ra.pages_with_text, 0) AS delta_pages_with_text, coalesce(rb.total_text_chars, 0) - coalesce(ra.total_text_chars, 0) AS delta_total_text_chars FROM ra FULL JOIN rb ON ra.doc_id = rb.doc_id) """
-query("run_compare", _CMP + "SELECT * FROM cmp")(_compared)
-query("run_class_shift", _CMP + "SELECT classification AS value, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_b, 0) - coalesce(n_a, 0) AS delta, CASE WHEN n_a IS NULL THEN 'Added' WHEN n_b IS NULL THEN 'Removed' ELSE 'In both' END AS status FROM (SELECT classification, count(*) AS n_a FROM ra GROUP BY 1) FULL JOIN (SELECT classification, count(*) AS n_b FROM rb GROUP BY 1) USING (classification)")(lambda s, d: views.count_shift(*_runs(s, d), "classification"))
-query("run_ext_shift", _CMP + "SELECT e AS value, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_b, 0) - coalesce(n_a, 0) AS delta, CASE WHEN n_a IS NULL THEN 'Added' WHEN n_b IS NULL THEN 'Removed' ELSE 'In both' END AS status FROM (SELECT split_part(rel_path, '.', 2) AS e, count(*) AS n_a FROM ra WHERE doc_id % 10 <> 9 GROUP BY 1) FULL JOIN (SELECT split_part(rel_path, '.', 2) AS e, count(*) AS n_b FROM rb GROUP BY 1) USING (e)")(
-    lambda s, d: views.count_shift(*(r.withColumn("ext", paths.extension(F.col("rel_path"))) for r in (_runs(s, d)[0].filter("doc_id % 10 <> 9"), _runs(s, d)[1])), "ext")
-)
-query("top_changes", _CMP + "SELECT doc_id, delta_page_count, delta_total_text_chars FROM cmp WHERE status = 'both' ORDER BY abs(delta_total_text_chars) DESC, doc_id LIMIT 50")(lambda s, d: views.top_changes(_compared(s, d)))
-query("only_once", _CMP + "SELECT doc_id, status FROM cmp WHERE status <> 'both'")(lambda s, d: views.only_once(_compared(s, d)))
-query("run_delta", _INV + """, f AS (SELECT top_level_folder AS folder, count(*) AS c, sum(size_bytes) AS b FROM inv WHERE doc_id % 4 <> 0 GROUP BY 1 UNION ALL SELECT '(total)', count(*), sum(size_bytes) FROM inv WHERE doc_id % 4 <> 0), l AS (SELECT top_level_folder AS folder, count(*) AS c, sum(size_bytes) AS b FROM inv GROUP BY 1 UNION ALL SELECT '(total)', count(*), sum(size_bytes) FROM inv)
-SELECT folder, coalesce(f.c, 0) AS files_first, coalesce(l.c, 0) AS files_last, coalesce(l.c, 0) - coalesce(f.c, 0) AS files_delta, (coalesce(l.b, 0) - coalesce(f.b, 0))::BIGINT AS bytes_delta FROM f FULL JOIN l USING (folder)""")(lambda s, d: views.run_delta(adapters.inventory(s, d).filter("doc_id % 4 <> 0"), adapters.inventory(s, d)))
-
-_FILES = sql.READY + """, fdocs AS (SELECT r.*, split_part(rel_path, '.', 2) AS extension, round(strlen(text) / 1048576, 2) AS size_mb FROM rdocs r JOIN docs USING (doc_id, rel_path)) """
-
-
-def _filtered(s: SparkSession, d: str) -> DataFrame:
-    rows = views.with_files(_ready_docs(s, d), adapters.inventory(s, d))
-    return views.filter_documents(rows, pages=(2, 10), coverage=(0.5, 1.0), size_mb=(0.0, 0.02), extensions=("pdf", "txt"))
-
-
-_FILTER = "FROM fdocs WHERE page_count BETWEEN 2 AND 10 AND text_coverage_pct BETWEEN 0.5 AND 1 AND size_mb BETWEEN 0 AND 0.02 AND extension IN ('pdf', 'txt')"
-query("doc_filter", _FILES + f"SELECT doc_id, extension, size_mb, page_count {_FILTER}")(lambda s, d: _filtered(s, d).select("doc_id", "extension", "size_mb", "page_count"))
-query("filter_kpis", _FILES + f"SELECT count(*) AS docs, sum(page_count)::BIGINT AS pages, round(avg(text_coverage_pct), 6) AS avg_coverage, min(page_count) AS min_pages, max(page_count) AS max_pages {_FILTER}")(lambda s, d: views.filter_kpis(_filtered(s, d)))
-query("path_search", _INV + "SELECT rel_path FROM inv WHERE regexp_matches(rel_path, '(?i)vol0000[12]/(EN|de)/')")(lambda s, d: views.path_search(adapters.inventory(s, d), "vol0000[12]/(EN|de)/").select("rel_path"))
-query("labeling_queue", sql.quality(4) + sql.READY[sql.READY.index(", rpages"):] + "SELECT r.doc_id, rel_path, page_count, text_quality_label FROM rdocs r LEFT JOIN quality USING (doc_id) WHERE r.doc_id NOT IN (SELECT doc_id FROM labels) AND page_count BETWEEN 1 AND 5 AND coalesce(text_quality_label, 'EMPTY') <> 'GOOD'")(lambda s, d: views.labeling_queue(_ready_docs(s, d), _quality(s, d), table(s, d, "labels")))
-query("verified_text", sql.quality(4) + "SELECT doc_id, text_quality_score FROM quality WHERE text_quality_label = 'GOOD'")(lambda s, d: _quality(s, d).filter("text_quality_label = 'GOOD'").select("doc_id", "text_quality_score"))
-for _best, _name, _way in ((True, "candidates_best", "DESC"), (False, "candidates_worst", "ASC")):
-    query(_name, sql.READY + f"SELECT doc_id, text_coverage_pct, page_count FROM rdocs ORDER BY text_coverage_pct {_way}, page_count {_way}, doc_id LIMIT 20")(lambda s, d, best=_best: views.candidates(_ready_docs(s, d), best))
-query("keyword_search", with_tables("docs", "pages") + ", k AS (SELECT doc_id, page_num, len(regexp_extract_all(text, '(?i)the\\.')) AS n FROM pages) SELECT doc_id, sum(n)::BIGINT AS matches, count(*) AS pages, string_agg(page_num || ':' || n, ',' ORDER BY page_num) AS page_hits FROM k WHERE n > 0 GROUP BY 1")(lambda s, d: views.keyword_search(page_text(s, d), "the."))
-query("error_rollup", with_tables("docs", "pages") + "SELECT CASE WHEN n > 40 THEN 'too many pages' ELSE 'short text' END AS error, count(*) AS docs FROM (SELECT doc_id, count(*) AS n, sum(length(text)) AS c FROM pages GROUP BY 1) WHERE n > 40 OR c < 100 GROUP BY 1")(
-    lambda s, d: page_text(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).select(F.explode(F.array_compact(F.array(F.when(F.col("n") > 40, "too many pages").when(F.col("c") < 100, "short text")))).alias("error")).groupBy("error").agg(F.count("*").alias("docs"))
-)
-_HASHED = "sha256(doc_id || '|42')"
-query("sample_docs", with_tables("docs") + f"SELECT doc_id FROM docs ORDER BY {_HASHED}, doc_id LIMIT 50")(lambda s, d: views.sample(adapters.documents(s, d).select("doc_id"), "doc_id", 50, 42))
-query("sample_pages", with_tables("docs", "pages") + "SELECT doc_id, page_num FROM pages QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sha256(page_num || '|42'), page_num) <= 3")(lambda s, d: views.sample(page_text(s, d).select("doc_id", "page_num"), "page_num", 3, 42, within="doc_id"))
-query("train_eval_split", "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256(doc_id || '|7'), doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.25) AS held_out FROM labels")(lambda s, d: doctype.split(table(s, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.25, 7))
-
-# links, media, rasters, runs
-
-_HREF = """(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>"""
-_LINKS = f"""WITH h AS (SELECT page_id, url, unnest(range(len(l)))::INT AS position, trim(unnest(l)) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '{_HREF}', 1) AS l FROM pages)),
-links AS (SELECT page_id, position, CASE WHEN regexp_matches(href, '^(?i:https?://)') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || href END AS link FROM h) """
-query("html_links", _LINKS + "SELECT * FROM links")(lambda s, d: incremental.links(table(s, d, "pages")))
-
-
-def _typed_links(s: SparkSession, d: str) -> DataFrame:
-    """Links of the pages, made downloads by their position."""
-    ending = F.when(F.col("position") % 3 == 0, ".PDF").when(F.col("position") % 3 == 1, ".zip?x=1").otherwise(".htm")
-    return incremental.links(table(s, d, "pages")).withColumn("link", F.concat("link", ending))
-
-
-query("link_filter", _LINKS + ", t AS (SELECT page_id, position, link || CASE position % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.zip?x=1' ELSE '.htm' END AS link FROM links) SELECT link, arg_min(page_id, (page_id, position)) AS page_id, arg_min(position, (page_id, position)) AS position FROM t WHERE position % 3 < 2 GROUP BY 1")(lambda s, d: incremental.download_links(_typed_links(s, d)))
-
-
-def _current(s: SparkSession, d: str) -> DataFrame:
-    size = F.length("html").cast("long")
-    return table(s, d, "pages").groupBy("url").agg(F.max("page_id").alias("page_id"), F.max(size).alias("n")).select("url", F.when(F.col("page_id") % 5 != 0, F.md5(F.col("n").cast("string").cast("binary"))).alias("etag"), F.when(F.col("page_id") % 3 != 0, F.lit("Mon")).alias("last_modified"), F.col("n").alias("content_length"), "page_id")
-
-
-def _manifest(s: SparkSession, d: str) -> DataFrame:
-    return _current(s, d).filter("page_id % 7 <> 0").select("url", F.when(F.col("page_id") % 4 == 0, "old").otherwise(F.col("etag")).alias("etag"), F.when(F.col("page_id") % 2 == 0, "Mon").alias("last_modified"), (F.col("content_length") + F.when(F.col("page_id") % 9 == 0, 1).otherwise(0)).alias("content_length"))
-
-
-query("manifest_diff", """WITH c AS (SELECT url, CASE WHEN p % 5 <> 0 THEN md5(n::VARCHAR) END AS etag, CASE WHEN p % 3 <> 0 THEN 'Mon' END AS lm, n, p FROM (SELECT url, max(page_id) AS p, max(length(html)) AS n FROM pages GROUP BY 1)),
-m AS (SELECT url, CASE WHEN p % 4 = 0 THEN 'old' ELSE etag END AS e2, CASE WHEN p % 2 = 0 THEN 'Mon' END AS l2, n + CASE WHEN p % 9 = 0 THEN 1 ELSE 0 END AS n2, true AS known FROM c WHERE p % 7 <> 0)
-SELECT url, CASE WHEN known IS NULL THEN 'new' WHEN etag = e2 THEN 'skipped_etag' WHEN etag <> e2 THEN 'changed' WHEN lm = l2 THEN 'skipped_last_modified' WHEN n = n2 THEN 'skipped_length' ELSE 'changed' END AS status FROM c LEFT JOIN m USING (url)""")(lambda s, d: incremental.change_status(_current(s, d), _manifest(s, d)))
-query("manifest_status_counts", ORACLES["manifest_diff"].replace("SELECT url, CASE WHEN known", "SELECT CASE WHEN known").replace(" AS status FROM c LEFT", " AS status, count(*) AS n FROM c LEFT") + " GROUP BY 1")(lambda s, d: incremental.status_counts(incremental.change_status(_current(s, d), _manifest(s, d))))
-
-
-def _archives(s: SparkSession, d: str, shift: int) -> DataFrame:
-    members = table(s, d, "pages").select((F.col("page_id") % 20).cast("string").alias("archive"), F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 6, "0")).alias("member"), (F.length("html") % 7 + 1 + F.when(F.col("page_id") % 50 == 0, shift).otherwise(0)).cast("long").alias("pages"))
-    return incremental.archive_pages(members)
-
-
-_ARCH = """WITH mem AS (SELECT (page_id % 20)::VARCHAR AS archive, 'p' || lpad(page_id::VARCHAR, 6, '0') AS member, length(html) % 7 + 1 AS pg, CASE WHEN page_id % 50 = 0 THEN 3 ELSE 0 END AS add FROM pages),
-arch AS (SELECT archive, count(*) AS pdf_count, sum(pg)::BIGINT AS total_pages, string_agg(member || '=' || pg, ',' ORDER BY member) AS per_pdf, sum(pg + add)::BIGINT AS new_pages, sum(add) AS added FROM mem GROUP BY 1) """
-query("archive_pages", _ARCH + "SELECT archive, pdf_count, total_pages, per_pdf FROM arch")(lambda s, d: _archives(s, d, 0))
-query("page_count_changes", _ARCH + "SELECT archive, total_pages AS old_pages, new_pages FROM arch WHERE added > 0")(lambda s, d: incremental.page_count_changes(_archives(s, d, 3), _archives(s, d, 0)))
-
-_WORDS = sorted({w for own in media.KEYWORDS.values() for w in own})
-_MEDIA_SQL = (
-    f"WITH seg AS (SELECT conv_id, count(*) AS num_segments, count(DISTINCT role) AS num_speakers, sum(len(regexp_extract_all(text, '[^{sql.W}]+')))::BIGINT AS word_count, "
-    + ", ".join(f"sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS {n}" for n, p in [*media.PATTERNS, *((f"hint_{n}", p) for n, p in media.HINTS)])
-    + ", "
-    # RE2's word edges are ASCII: other letters are made word characters first
-    + ", ".join(f"sum(len(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F]', '_', 'g'), '\\b{w}\\b')))::BIGINT AS kw_{w}" for w in _WORDS)
-    + " FROM conversations GROUP BY 1) SELECT conv_id, num_segments, num_speakers, word_count, "
-    + ", ".join([n for n, _ in media.PATTERNS] + [f"hint_{n}" for n, _ in media.HINTS])
-    + ", "
-    + ", ".join(f"{' + '.join(f'kw_{w}' for w in own)} AS category_{c}" for c, own in media.KEYWORDS.items())
-    + ", array_to_string(list_transform(list_sort(list_filter(["
-    + ", ".join(f"{{'n': -kw_{w}, 'w': '{w}'}}" for w in _WORDS)
-    + "], lambda k: k.n < 0))[:5], lambda k: k.w || ':' || -k.n), ',') AS top_keywords FROM seg"
-)
-query("media_features", _MEDIA_SQL)(lambda s, d: media.features(table(s, d, "conversations")))
-query("media_index", "SELECT CASE WHEN w >= 200 THEN 'processed' ELSE 'skipped' END AS status, count(*) AS n FROM (SELECT conv_id, sum(len(regexp_extract_all(text, '[^" + sql.W + "]+'))) AS w FROM conversations GROUP BY 1) GROUP BY 1")(
-    lambda s, d: incremental.status_counts(media.features(table(s, d, "conversations")).select(F.when(F.col("word_count") >= 200, "processed").otherwise("skipped").alias("status")))
-)
-
-
-def _rasters(s: SparkSession, d: str) -> DataFrame:
-    """Eight by eight gray pages from vectors: each component scaled from [-0.5, 0.5] to 0..255."""
-    gray = F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)))
-    hexed = F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), "")
-    return table(s, d, "embeddings").select((F.col("vec_id") / 4).cast("long").alias("doc_id"), (F.col("vec_id") % 4).cast("int").alias("page_num"), F.unhex(hexed).alias("pixels"), F.lit(8).alias("width"))
-
-
-_RASTER = """WITH px AS (SELECT (vec_id // 4)::BIGINT AS doc_id, (vec_id % 4)::INT AS page_num, list_transform(embedding, lambda v: least(greatest(floor((v::DOUBLE + 0.5) * 255), 0), 255)) AS g FROM embeddings),
-pm AS (SELECT doc_id, page_num, list_aggregate(g, 'median') AS gray_median, list_aggregate(g, 'stddev_pop') AS gray_std, list_avg(g) AS gray_mean, list_aggregate(g, 'quantile_cont', 0.1) AS p10, list_aggregate(g, 'quantile_cont', 0.9) AS p90, list_aggregate(g, 'entropy') AS entropy, len(list_filter(g, lambda v: v <= 40)) / 64 AS f1,
-  list_concat(g[10:15], g[18:23], g[26:31], g[34:39], g[42:47], g[50:55]) AS mid, g FROM px),
-dk AS (SELECT *, greatest(f1, len(list_filter(mid, lambda v: v <= 40)) / 36) AS fixed_ratio FROM pm), bl AS (SELECT *, CASE WHEN fixed_ratio >= 0.9 OR (fixed_ratio >= 0.02 AND gray_std >= 30) OR (gray_median <= 90 AND gray_std <= 12) THEN 1.0 ELSE 0.0 END AS is_mostly_black FROM dk) """
-query("darkness_metrics", _RASTER + "SELECT doc_id, page_num, round(fixed_ratio, 6) AS fixed_ratio, round(gray_median, 6) AS gray_median, round(gray_std, 6) AS gray_std, is_mostly_black::DOUBLE AS is_mostly_black FROM bl")(
-    lambda s, d: raster.page_metrics(_rasters(s, d), "darkness").select("doc_id", "page_num", *(F.round(c, 6).alias(c) for c in ("fixed_ratio", "gray_median", "gray_std")), "is_mostly_black")
-)
-query("darkness_docs", _RASTER + "SELECT doc_id, count(*) AS pages_black_checked, sum(is_mostly_black)::BIGINT AS pages_mostly_black, round(avg(fixed_ratio), 6) AS black_ratio_avg, round(avg(gray_median), 6) AS gray_median_avg, round(median(gray_median), 6) AS gray_median_p50, round(sum(is_mostly_black) / count(*), 6) AS mostly_black_pct FROM bl GROUP BY 1")(
-    lambda s, d: raster.darkness_docs(raster.page_metrics(_rasters(s, d), "darkness"))
-)
-query("doc_features", _RASTER + "SELECT doc_id, round(avg(gray_mean), 6) AS gray_mean_mean, round(median(gray_mean), 6) AS gray_mean_median, round(avg(gray_std), 6) AS gray_std_mean, round(avg(p10), 6) AS gray_p10_mean, round(avg(p90), 6) AS gray_p90_mean, round(avg(entropy), 6) AS entropy_mean FROM pm GROUP BY 1")(
-    lambda s, d: raster.doc_features(raster.page_metrics(_rasters(s, d), "features")).select("doc_id", *(F.round(c, 6).alias(c) for c in ("gray_mean_mean", "gray_mean_median", "gray_std_mean", "gray_p10_mean", "gray_p90_mean", "entropy_mean")))
-)
-
-
-@query("doc_type_model")
-def _model(s: SparkSession, d: str) -> DataFrame:
-    """Quality labels learned from text statistics; predictions for the held-out rows."""
-    features = ["alpha_ratio", "digit_ratio", "printable_ratio", "unique_char_ratio", "avg_line_len"]
-    rows = _quality(s, d).join(table(s, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label")), "doc_id")
-    halves = doctype.split(rows, "label", "doc_id", 0.25, 7)
-    model = doctype.fit(halves.filter("not held_out").select("doc_id", "label", *features), features, iterations=50)
-    return doctype.predict(model, halves.filter("held_out").select("doc_id", *features), "doc_id")
-
-
-_RUNS = f"WITH runs(stage, run_id, source_root, ts) AS (SELECT stage, run_id, source_root, ts::TIMESTAMP FROM (VALUES {fixtures.values(fixtures.RUNS)}) v(stage, run_id, source_root, ts)) "
-query("run_catalog", _RUNS + "SELECT stage, run_id, source_root, ts, row_number() OVER (PARTITION BY stage ORDER BY ts DESC NULLS LAST, run_id)::INT AS place FROM runs")(lambda s, d: incremental.run_catalog(fixtures.run_table(s)))
-query("latest_run", _RUNS + "SELECT stage, source_root, arg_max(run_id, coalesce(ts, TIMESTAMP '1900-01-01')) AS run_id, max(ts) AS ts FROM runs GROUP BY ALL")(lambda s, d: incremental.latest_run(fixtures.run_table(s)))
-
-
-@query("ingest_available_now", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-def _ingest(s: SparkSession, d: str) -> DataFrame:
-    """Events streamed once into a table, then counted."""
-    import uuid
-
-    from folioforge.sources.tables import working_folder
-
-    base = f"{working_folder(s)}/ingest/{uuid.uuid4().hex}"
-    schema = table(s, d, "events").schema
-    one = s.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
-    ingest.run_available(one, f"{base}/table", f"{base}/progress").stop()
-    return s.read.schema(schema).parquet(f"{base}/table").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-query("windowed_event_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(lambda s, d: ingest.windowed_counts(table(s, d, "events")))
-
-# probe candidates and exports
-
-query("pdf_candidates", _INV + "SELECT hash_value AS doc_key, rel_path FROM inv WHERE extension = 'pdf' AND top_level_folder = 'VOL00003'")(lambda s, d: probe.candidates(adapters.inventory(s, d), "VOL00003").select("doc_key", "rel_path"))
-query("ignored_counts", _INV + "SELECT 'extension' AS level, extension AS value, count(*) AS files FROM inv WHERE extension <> 'pdf' GROUP BY 2 UNION ALL SELECT 'mime', detected_mime, count(*) FROM inv WHERE extension <> 'pdf' GROUP BY 2")(lambda s, d: probe.ignored_counts(adapters.inventory(s, d)))
-query("selected_rows", _INV + "SELECT doc_id FROM inv WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")(lambda s, d: probe.select_listed(adapters.inventory(s, d), table(s, d, "labels").filter("toxic = 1").select("doc_id")).select("doc_id"))
-query("sanitized_labels", "SELECT url, trim(regexp_replace(url, '[^A-Za-z0-9.-]+', '_', 'g'), '_') AS label FROM pages")(lambda s, d: table(s, d, "pages").select("url", probe.sanitized_label(F.col("url")).alias("label")))
-query("reason_features", sql.quality(4) + ", c AS (SELECT doc_id, unnest([{'f': 'alpha_ratio', 'c': alpha_ratio * 2}, {'f': 'digit_ratio', 'c': digit_ratio * -30}, {'f': 'printable_ratio', 'c': printable_ratio * 0.5}]) AS p FROM quality) SELECT doc_id, string_agg(p.f || ':' || printf('%.6f', round(p.c, 6) + 0.0::DOUBLE), ',' ORDER BY -abs(p.c), p.f) AS reason_features FROM c GROUP BY 1")(
-    lambda s, d: probe.reasons(_quality(s, d), {"alpha_ratio": 2.0, "digit_ratio": -30.0, "printable_ratio": 0.5})
-)
-query("run_index", _RUNS + "SELECT source_root, max(CASE WHEN stage = 'inventory' THEN r END) AS inventory_run, max(CASE WHEN stage = 'probe' THEN r END) AS probe_run, max(ts) AS updated_at FROM (SELECT source_root, stage, arg_max(run_id, coalesce(ts, TIMESTAMP '1900-01-01')) AS r, max(ts) AS ts FROM runs GROUP BY ALL) GROUP BY 1")(lambda s, d: export.run_index(fixtures.run_table(s)))
+__all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import mimetypes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,35 +88,37 @@ def human_bytes(size: Column) -> Column:
     return F.when(size.isNull(), "unknown").when(value < 1024, F.format_string("%d B", size.cast("long"))).otherwise(out)
 
 
-def mime_of(ext: Column) -> Column:
-    """Type by extension; anything unknown is application/octet-stream."""
-    out = F.lit("application/octet-stream")
-    for e, kind in MIME:
-        out = F.when(ext == e, kind).otherwise(out)
-    return out
-
-
-#: Media types of common extensions.
-MIME = (
-    ("pdf", "application/pdf"),
-    ("txt", "text/plain"),
-    ("csv", "text/csv"),
-    ("tsv", "text/tab-separated-values"),
-    ("html", "text/html"),
-    ("xml", "text/xml"),
-    ("json", "application/json"),
-    ("zip", "application/zip"),
-    ("jpg", "image/jpeg"),
-    ("jpeg", "image/jpeg"),
-    ("png", "image/png"),
-    ("gif", "image/gif"),
-    ("tif", "image/tiff"),
-    ("tiff", "image/tiff"),
-    ("mp3", "audio/mpeg"),
-    ("wav", "audio/x-wav"),
+_KNOWN = mimetypes.MimeTypes()
+#: Registered types that Python's table lacks in some versions.
+_REGISTERED = (
+    ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("pptx", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    ("xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ("odt", "application/vnd.oasis.opendocument.text"),
+    ("ods", "application/vnd.oasis.opendocument.spreadsheet"),
+    ("rtf", "application/rtf"),
+    ("heic", "image/heic"),
+    ("md", "text/markdown"),
     ("m4a", "audio/mp4"),
-    ("mp4", "video/mp4"),
 )
+#: Compressions that hide a name's type behind theirs, and short forms of such names.
+_PACKED = "|".join(sorted(e[1:] for e in _KNOWN.encodings_map))
+_SHORT = tuple((e[1:], long[1:]) for e, long in sorted(_KNOWN.suffix_map.items()))
+
+
+def mime_of(ext: Column) -> Column:
+    """Type by extension, from Python's own table and the registered ones; anything unknown is application/octet-stream."""
+    known = dict(_REGISTERED) | {e[1:]: kind for e, kind in _KNOWN.types_map[True].items()}
+    table = F.create_map(*(F.lit(x) for e, kind in sorted(known.items()) for x in (e, kind)))
+    return F.coalesce(F.try_element_at(table, ext), F.lit("application/octet-stream"))
+
+
+def mime_of_path(path: Column) -> Column:
+    """Type by a path's name: that of what is inside a compressed file, if the name says so."""
+    name = path
+    for short, long in _SHORT:
+        name = F.regexp_replace(name, rf"\.{short}$", f".{long}")
+    return mime_of(extension(F.regexp_replace(name, rf"(?<=[^/])\.({_PACKED})$", "")))
 
 
 def iso_utc(ts: Column) -> Column:

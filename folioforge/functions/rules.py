@@ -31,3 +31,11 @@ RULES = (
 )
 
 CATEGORIES = tuple(dict.fromkeys(c for c, _, _ in RULES))
+
+#: For rules that cannot match without certain characters: some of them, one of which the folded text has to hold.
+GUARDS = {
+    "email_headers": (":",), "original_message": ("original message",), "email_address": ("@",), "timestamp": ("/", ":"), "case_no": ("case",), "docket": ("docket",),
+    "party_roles": ("plaintiff", "defendant"), "court_terms": ("court", "hon."), "motions": ("motion", "affidavit", "deposition"), "caption": (" court",), "versus": (" v. ",),
+    "salutation": ("dear",), "signoff": ("sincerely", "respectfully"), "memo_header": (":",), "invoice": ("invoice",), "payment": ("payment", "amount due"), "account": ("account", "wire"),
+    "currency": ("$", "usd", "eur"), "underscore_blank": ("___",), "checkbox": ("[", "☐", "☑"), "field_blank": ("__",),
+}

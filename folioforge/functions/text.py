@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.rules import EMAIL
+
 SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}"
+#: The same characters, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LETTER = r"\p{L}"
 DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨"
 BREAK = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-#: What a snippet hides.
-EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+#: What a snippet hides, with the rules' e-mail pattern.
 LONG_NUMBER = r"\b\d{5,}\b"
 
 
@@ -23,7 +26,7 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:
@@ -33,24 +36,33 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def letters(text: Column) -> Column:
-    return count(text, f"[{LETTER}]")
+def without(text: Column, kind: str) -> Column:
+    """The text without a class of characters: what is left is counted by its length, without an array of matches."""
+    return F.regexp_replace(text, f"[{kind}]+", "")
+
+
+def flat(text: Column) -> Column:
+    """Every run of spaces as one space."""
+    return F.regexp_replace(text, f"[{SPACE}]+", " ")
 
 
-def digits(text: Column) -> Column:
-    return count(text, f"[{DIGIT}]")
+def solid(flattened: Column) -> Column:
+    """Of a flat text, what is no space."""
+    return F.replace(flattened, F.lit(" "), F.lit(""))
 
 
-def spaces(text: Column) -> Column:
-    return count(text, f"[{SPACE}]")
+def words(flattened: Column) -> Column:
+    """Runs of anything but space in a flat text."""
+    inner = F.trim(flattened)
+    return F.when(inner == "", 0).otherwise(F.length(inner) - F.length(solid(inner)) + 1)
 
 
 def printable(text: Column) -> Column:
-    return count(text, r"[^\p{C}\p{Z}]|\x20")
+    return F.length(without(text, r"\p{C}\p{Z}&&[^\x20]"))
 
 
-def words(text: Column) -> Column:
-    return count(text, f"[^{SPACE}]+")
+def occurrences(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def run_characters(text: Column, least: int) -> Column:

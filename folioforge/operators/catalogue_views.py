@@ -13,21 +13,58 @@ def _filled(column: str) -> Column:
     return F.nullif(F.trim(F.col(column)), F.lit(""))
 
 
-def public_index(inv: DataFrame, docs: DataFrame, signals: DataFrame) -> DataFrame:
-    """One metadata row a file: probe and text columns where a document has them, fallbacks elsewhere."""
-    probe = docs.groupBy("rel_path").agg(F.min_by(F.struct("page_count", "classification", "doc_type_final"), "doc_id").alias("p")).select("rel_path", "p.*")
-    text = signals.groupBy("rel_path").agg(F.min_by(F.struct("text_quality_label", "content_type_pred"), "doc_id").alias("s")).select("rel_path", "s.*")
-    rows = inv.join(probe, "rel_path", "left").join(text, "rel_path", "left")
-    pdf, ext = F.col("extension") == "pdf", _filled("extension")
-    other = F.when(ext.isNull(), "NON_PDF").otherwise(F.concat(F.lit("NON_PDF ("), ext, F.lit(")")))
+def _or_null(df: DataFrame, column: str) -> Column:
+    return F.nullif(F.trim(df[column].cast("string")), F.lit("")) if column in df.columns else F.lit(None).cast("string")
+
+
+#: What a catalog entry takes from the probe; and from the inventory, where an inventory has such a column.
+_OF_PROBE = ("doc_type_final", "content_type_pred", "content_type", "classification", "text_quality_label", "title", "summary", "doj_url", "source_url", "download_url")
+
+
+def public_index(inv: DataFrame, docs: DataFrame, source_root: str | None = None) -> DataFrame:
+    """One metadata row a file: what the probe (with the text scan's columns) knows of its path, fallbacks elsewhere.
+
+    Of several probed documents of a path the first counts. Blank values count as missing; a page count or size
+    that is no number is 0.
+    """
+    columns = [_or_null(docs, c).alias(c) for c in _OF_PROBE]
+    pages = (docs["page_count"].try_cast("bigint") if "page_count" in docs.columns else F.lit(None).cast("bigint")).alias("page_count")
+    probe = docs.select(paths.normalize_rel_path(F.col("rel_path")).alias("norm_path"), F.struct("doc_id", pages, *columns).alias("p")).groupBy("norm_path").agg(F.min("p").alias("p"))
+    names = ("file_id", "rel_path", "extension", "detected_mime", "dataset", "top_level_folder", "title", "summary", "doj_url", "modified_time", "created_time")
+    files = inv.select(*(_or_null(inv, c).alias(c) for c in names), F.coalesce(inv["size_bytes"].try_cast("bigint"), F.lit(0)).alias("size_bytes"))
+    files = files.withColumn("norm_path", paths.normalize_rel_path(F.col("rel_path")))
+    rows = files.join(probe, "norm_path", "left")
+    ext = F.lower("extension")
+    pdf = F.coalesce(ext == "pdf", F.lit(False))
+    other = F.when(pdf, "PDF (unprobed)").when(ext.isNull(), "NON_PDF").otherwise(F.concat(F.lit("NON_PDF ("), ext, F.lit(")")))
+    name = F.nullif(paths.file_name(F.col("rel_path")), F.lit(""))
+    title = F.coalesce("title", "p.title", name, F.lit("Untitled document"))
     return rows.select(
-        F.col("doc_id").cast("string").alias("id"), paths.file_name(F.col("rel_path")).alias("title"), F.coalesce(_filled("doc_type_final"), F.when(pdf, "PDF (unprobed)").otherwise(other)).alias("doc_type_final"),
-        F.coalesce(_filled("content_type_pred"), F.when(~pdf, _filled("detected_mime")), F.lit("")).alias("content_type"), F.coalesce("classification", F.lit("")).alias("classification"),
-        F.coalesce("text_quality_label", F.lit("")).alias("text_quality_label"), F.coalesce("page_count", F.lit(0)).alias("page_count"),
-        F.coalesce(_filled("top_level_folder"), F.lit("Unknown")).alias("dataset"), "rel_path", "extension", "detected_mime", "size_bytes", "modified_time",
+        F.coalesce("file_id", F.nullif("norm_path", F.lit("")), title).alias("id"), title.alias("title"), F.coalesce("summary", "p.summary").alias("summary"),
+        F.coalesce("p.doc_type_final", other).alias("doc_type_final"), F.coalesce("p.content_type_pred", "p.content_type", F.when(~pdf, F.col("detected_mime"))).alias("content_type"),
+        F.col("p.classification").alias("classification"), F.col("p.text_quality_label").alias("text_quality_label"), F.coalesce("p.page_count", F.lit(0)).alias("page_count"),
+        F.coalesce("dataset", "top_level_folder", F.lit(source_root), F.lit("Unknown")).alias("dataset"), F.coalesce("p.doj_url", "p.source_url", "p.download_url", "doj_url").alias("doj_url"),
+        "rel_path", ext.alias("extension"), "detected_mime", "size_bytes", "modified_time", "created_time",
     )
 
 
+def catalog_order(index: DataFrame) -> DataFrame:
+    """A catalog in the order in which it is shown: by dataset, then path, missing ones first."""
+    return index.orderBy(F.coalesce("dataset", F.lit("")), F.coalesce("rel_path", F.lit("")))
+
+
+def dataset_summary(index: DataFrame) -> DataFrame:
+    """For each dataset its items and the number of volume folders among their paths."""
+    volume = F.when(paths.top_level_folder(F.col("rel_path")).rlike(r"^VOL\d{5}$"), paths.top_level_folder(F.col("rel_path")))
+    return index.groupBy("dataset").agg(F.count("*").alias("items"), F.countDistinct(volume).alias("volumes"))
+
+
+def run_date_label(run_id: Column) -> Column:
+    """The date that a run's id ends with, as year-month-day; the id itself without one."""
+    day = F.regexp_extract(run_id, r"(\d{4})(\d{2})(\d{2})_\d{6}", 0)
+    return F.when(day != "", F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))).otherwise(run_id)
+
+
 def breakdown(index: DataFrame) -> DataFrame:
     ext = F.coalesce(F.nullif(F.lower("extension"), F.lit("")), F.lit("(none)"))
     return index.groupBy("dataset", ext.alias("ext")).agg(F.count("*").alias("items"), F.sum("size_bytes").alias("bytes"))
@@ -48,10 +85,14 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), status.alias("status"), *kinds, *deltas)
 
 
-def count_shift(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Counts by a key in two tables: added, removed or in both, and the difference."""
-    left, right = (df.groupBy(F.coalesce(F.col(key), F.lit("(none)")).alias("k")).agg(F.count("*").alias(f"n_{s}")) for s, df in (("a", a), ("b", b)))
-    both = left.join(right, "k", "full_outer")
+def count_shift(a: DataFrame, b: DataFrame, key: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """Counts by a key in two tables, some keys left out: added, removed or in both, and the difference."""
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        value = F.coalesce(F.nullif(F.trim(F.col(key)), F.lit("")), F.lit("(none)"))
+        return df.groupBy(value.alias("k")).agg(F.count("*").alias(name)).filter(~F.col("k").isin(*without) if without else F.lit(True))
+
+    both = counted(a, "n_a").join(counted(b, "n_b"), "k", "full_outer")
     status = F.when(F.col("n_a").isNull(), "Added").when(F.col("n_b").isNull(), "Removed").otherwise("In both")
     n = {s: F.coalesce(f"n_{s}", F.lit(0)) for s in "ab"}
     return both.select(F.col("k").alias("value"), n["a"].alias("n_a"), n["b"].alias("n_b"), (n["b"] - n["a"]).alias("delta"), status.alias("status"))
@@ -118,6 +159,42 @@ def keyword_search(page_text: DataFrame, keyword: str, case_sensitive: bool = Fa
     return hits.groupBy("doc_id").agg(F.sum("n").alias("matches"), F.count("*").alias("pages"), shown.alias("page_hits"))
 
 
+def highlight(page_text: DataFrame, keyword: str, case_sensitive: bool = False) -> DataFrame:
+    """Pages with a keyword, as HTML: markup of the text escaped, each occurrence marked."""
+    rx = ("" if case_sensitive else "(?Ui)") + literal(keyword)
+    safe = F.col("text")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        safe = F.replace(safe, F.lit(char), F.lit(name))
+    return page_text.filter(F.col("text").rlike(rx)).select("doc_id", "page_num", F.regexp_replace(safe, rx, "<mark>$0</mark>").alias("marked"))
+
+
+def needing_attention(docs: DataFrame) -> DataFrame:
+    """Documents that are not simply text."""
+    return docs.filter(F.coalesce("classification", F.lit("")) != "Text-based")
+
+
+def pages_lacking_text(page_table: DataFrame, least: int) -> DataFrame:
+    """Pages with fewer characters than a threshold chosen for the moment."""
+    return page_table.filter(F.coalesce("text_char_count", F.lit(0)) < least).select("doc_id", "rel_path", "page_num", "text_char_count")
+
+
+#: What a list of documents can be sorted by.
+SORTS = {"path": "rel_path", "pages": "page_count", "size": "size_mb"}
+
+
+def sort_documents(rows: DataFrame, by: str = "path", ascending: bool = True) -> DataFrame:
+    """Documents by path, pages or size, equal ones by path."""
+    if by not in SORTS:
+        raise ValueError(f"sort by one of {', '.join(SORTS)}")
+    return rows.orderBy((F.asc if ascending else F.desc)(SORTS[by]), "rel_path")
+
+
+def facets(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The distinct filled values of each column with their counts, in one pass."""
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return rows.select(values.alias("v")).select("v.*").filter("coalesce(value, '') <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 def text_ready(quality: DataFrame) -> DataFrame:
     """Shares of good documents and of those that need work."""
     good, poor = F.count_if(F.col("text_quality_label") == "GOOD"), F.count_if(F.col("text_quality_label").isin("EMPTY", "LOW"))
@@ -150,7 +227,8 @@ def sample(rows: DataFrame, key: str, n: int, seed: int, within: str | None = No
     """n rows (of each group) with the smallest hash of key and seed: the same ones every time."""
     from pyspark.sql import Window
 
-    order = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"), 256)
+    named = [F.col(c).cast("string") for c in ((within, key) if within else (key,))]
+    order = F.sha2(F.concat_ws("|", *named, F.lit(str(seed))).cast("binary"), 256)
     if within is None:
         return rows.orderBy(order, key).limit(n)
     place = F.row_number().over(Window.partitionBy(within).orderBy(order, key))

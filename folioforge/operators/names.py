@@ -1,7 +1,8 @@
 """Person names: mentions, the name index and its views.
 
-Lines are matched by two patterns on the executors; counts are combined before every shuffle, and an index
-record gathers pages of one name only.
+Lines are matched by two patterns on the executors, once; what follows works on the combined counts. The index
+proper is a long table with a row for each name and document; only the export nests a name's documents into one
+record.
 """
 
 from __future__ import annotations
@@ -47,7 +48,10 @@ def _found(line: Column, pattern: str, first: int, last: int, middle: int, order
 def mentions_of(page_text: DataFrame) -> DataFrame:
     """Every mention: doc, page, its place on the page, key, display name and variants."""
     each = page_text.select("doc_id", "rel_path", "page_num", F.posexplode(lines(F.col("text"))).alias("line_no", "line")).filter((strip(F.col("line")) != "") & ~is_heading(F.col("line")))
-    both = F.concat(_found(F.col("line"), LAST_FIRST, 2, 1, 3, 0), _found(F.col("line"), FIRST_LAST, 1, 3, 2, 1))
+    # a name has two capitals, and the inverted form a comma: most lines are spared the patterns
+    each = each.filter(F.col("line").rlike("[A-Z][^A-Z]*[A-Z]"))
+    last_first, first_last = _found(F.col("line"), LAST_FIRST, 2, 1, 3, 0), _found(F.col("line"), FIRST_LAST, 1, 3, 2, 1)
+    both = F.when(F.col("line").contains(","), F.concat(last_first, first_last)).otherwise(first_last)
     found = each.select("doc_id", "rel_path", "page_num", "line_no", F.explode(both).alias("m")).select("doc_id", "rel_path", "page_num", "line_no", "m.*")
     found = found.withColumns({"f": clean(F.col("first")), "l": clean(F.col("last")), "mid": F.substring(clean(F.col("middle")), 1, 1)})
     found = found.filter((F.length("f") >= 2) & (F.length("l") >= 2) & ~F.col("f").isin(*STOP_TOKENS) & ~F.col("l").isin(*STOP_TOKENS))
@@ -61,54 +65,124 @@ def mentions_of(page_text: DataFrame) -> DataFrame:
     )
 
 
-def page_counts(mentions: DataFrame, max_names_per_doc: int = 500) -> DataFrame:
-    """(name, doc, page) counts; a document of more distinct names than allowed is left out whole (0: no bound)."""
-    counts = mentions.groupBy("canonical_key", "doc_id", "rel_path", "page_num").agg(F.count("*").alias("n"))
+def name_pages(mentions: DataFrame) -> DataFrame:
+    """(name, document, page): mentions, and the first one, all capitals and not."""
+    upper = F.col("display") == F.upper("display")
+    first = F.struct("at", "display", "variants")
+    by = mentions.groupBy("canonical_key", "doc_id", "rel_path", "page_num")
+    return by.agg(F.count("*").alias("n"), F.min(F.when(~upper, first)).alias("mixed"), F.min(first).alias("any"))
+
+
+def name_documents(mentions: DataFrame, max_names_per_doc: int = 500) -> DataFrame:
+    """The index as a long table: (name, document), display name, variants, pages with counts, total count.
+
+    A document of more distinct names than allowed is left out whole (0: no bound). Of a document's mentions the
+    first gives the display name, unless it is all capitals and a later one is not; the same mention gives the variants.
+    """
+    pages = F.array_sort(F.collect_list(F.struct("page_num", F.col("n").alias("count"))))
+    by = name_pages(mentions).groupBy("canonical_key", "doc_id", "rel_path")
+    docs = by.agg(pages.alias("pages"), F.sum("n").alias("total_count"), F.coalesce(F.min("mixed"), F.min("any")).alias("best"))
+    docs = docs.select("canonical_key", "doc_id", "rel_path", "best.display", "best.variants", "pages", "total_count")
     if not max_names_per_doc:
-        return counts
-    crowded = counts.select("doc_id", "canonical_key").distinct().groupBy("doc_id").agg(F.count("*").alias("names")).filter(F.col("names") > max_names_per_doc)
-    return counts.join(crowded.select("doc_id"), "doc_id", "left_anti")
+        return docs
+    names = F.count("*").over(Window.partitionBy("doc_id"))
+    return docs.withColumn("names", names).filter(F.col("names") <= max_names_per_doc).drop("names")
 
 
-def name_index(mentions: DataFrame, max_names_per_doc: int = 500, min_total_count: int = 1) -> DataFrame:
-    """One record a name: display name, variants, documents with their pages, and total count."""
-    pages = page_counts(mentions, max_names_per_doc)
-    upper = F.col("display") == F.upper("display")
-    # the first mention of a document stands unless it is all capitals and a later one is not
-    doc = mentions.groupBy("canonical_key", "doc_id", "rel_path").agg(
-        F.min(F.when(~upper, F.struct("at", "display", "variants"))).alias("mixed"), F.min(F.struct("at", "display", "variants")).alias("any")
-    )
-    best = F.coalesce("mixed", "any")
-    doc = doc.select("canonical_key", "doc_id", best["display"].alias("display"), best["variants"].alias("variants"))
-    of_doc = pages.groupBy("canonical_key", "doc_id", "rel_path").agg(F.array_sort(F.collect_list(F.struct("page_num", F.col("n").alias("count")))).alias("pages"), F.sum("n").alias("total_count"))
-    joined = of_doc.join(doc, ["canonical_key", "doc_id"])
-    upper = F.col("display") == F.upper("display")
+def crowded_documents(mentions: DataFrame, max_names_per_doc: int = 500) -> DataFrame:
+    """What name_documents() leaves out, as errors."""
+    names = mentions.groupBy("doc_id", "rel_path").agg(F.countDistinct("canonical_key").alias("names"))
+    return names.filter(F.col("names") > max_names_per_doc).select("rel_path", "doc_id", F.lit(f"exceeded max_names_per_doc={max_names_per_doc}").alias("error"))
+
+
+def _best_display():
+    """Over a name's documents in order of path: the first display name that is not all capitals, else the first."""
     place = F.struct("rel_path", "doc_id", "display")
-    named = joined.groupBy("canonical_key").agg(
-        F.coalesce(F.min(F.when(~upper, place)), F.min(place))["display"].alias("display_name"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("variants")))).alias("variants"),
-        F.sum("total_count").alias("total_count"),
-        F.array_sort(F.collect_list(F.struct("rel_path", "doc_id", "pages", "total_count"))).alias("internal_docs"),
-    )
-    return named.filter(F.col("total_count") >= min_total_count)
+    upper = F.col("display") == F.upper("display")
+    return F.coalesce(F.min(F.when(~upper, place)), F.min(place))["display"]
+
+
+def _all_variants():
+    # a key has a few variants: with and without a middle initial, in three orders
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("variants"))))
+
+
+def name_records(docs: DataFrame, min_total_count: int = 1) -> DataFrame:
+    """One row a name over the long table: display name, variants, documents and mentions in number."""
+    by = docs.groupBy("canonical_key").agg(_best_display().alias("display_name"), _all_variants().alias("variants"), F.sum("total_count").alias("total_count"), F.count("*").alias("docs"))
+    return by.filter(F.col("total_count") >= min_total_count)
 
 
-def flatten(index: DataFrame) -> DataFrame:
-    """One row for each name and document, variants and pages as text."""
-    rows = index.select("canonical_key", "display_name", F.array_join("variants", ", ").alias("variants"), F.explode("internal_docs").alias("d"))
-    shown = F.array_join(F.transform("d.pages", lambda p: F.format_string("p.%d (%d×)", p["page_num"], p["count"])), ", ")
-    return rows.select("canonical_key", "display_name", "variants", F.col("d.doc_id").alias("doc_id"), F.col("d.rel_path").alias("rel_path"), shown.alias("page_list"), F.col("d.total_count").alias("total_count"))
+#: What an exported record says of a document, besides its pages and their sum.
+METADATA = ("page_count", "top_level_folder", "doj_url", "doc_type_final", "content_type", "title")
+
+
+def name_index(docs: DataFrame, metadata: DataFrame | None = None, min_total_count: int = 1) -> DataFrame:
+    """Export form: one record a name with its documents nested, in order of path. Metadata: document_metadata()."""
+    wanted = [f"{c} {k}" for c, k in zip(METADATA, ("int", "string", "string", "string", "string", "string"), strict=True)]
+    if metadata is None:
+        rows = docs.selectExpr("*", *(f"cast(null as {w.split()[1]}) as {w.split()[0]}" for w in wanted))
+    else:
+        rows = docs.join(metadata.select("doc_id", *(F.col(w.split()[0]).cast(w.split()[1]).alias(w.split()[0]) for w in wanted)), "doc_id", "left")
+    nested = F.array_sort(F.collect_list(F.struct("rel_path", "doc_id", *METADATA, "pages", "total_count")))
+    by = rows.groupBy("canonical_key").agg(_best_display().alias("display_name"), _all_variants().alias("variants"), F.sum("total_count").alias("total_count"), nested.alias("internal_docs"))
+    return by.filter(F.col("total_count") >= min_total_count)
+
+
+def document_metadata(probe_docs: DataFrame, signals: DataFrame, pdfs: DataFrame, only_good: bool = True) -> DataFrame:
+    """Documents that are indexed: the text scan's label and type over the probe's own, folder and id from the
+    inventory where the probe has none; only those of good text, if wanted and if the scan has labels.
+
+    The address is the first filled one of doj_url, source_url and download_url; the title falls back to the file name.
+    """
+    def filled(df: DataFrame, name: str):
+        return F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+
+    labelled = "text_quality_label" in signals.columns
+    text = signals.groupBy("rel_path").agg(F.min(F.struct(filled(signals, "text_quality_label").alias("label"), filled(signals, "content_type_pred").alias("kind"))).alias("s"))
+    files = pdfs.groupBy("rel_path").agg(F.min(F.struct(F.col("doc_id").cast("string").alias("file_id"), filled(pdfs, "top_level_folder").alias("folder"))).alias("f"))
+    name = F.element_at(F.split("rel_path", "/"), -1)
+    rows = probe_docs.select(
+        "rel_path", F.col("doc_id").cast("string").alias("own_id"), F.col("page_count").cast("int").alias("page_count"), filled(probe_docs, "top_level_folder").alias("own_folder"),
+        F.coalesce(*(filled(probe_docs, c) for c in ("doj_url", "source_url", "download_url"))).alias("doj_url"), filled(probe_docs, "doc_type_final").alias("doc_type_final"),
+        F.coalesce(filled(probe_docs, "title"), name).alias("title"),
+    )
+    rows = rows.join(text, "rel_path", "left").join(files, "rel_path", "left")
+    if only_good and labelled:
+        rows = rows.filter(F.col("s.label") == "GOOD")
+    return rows.select(
+        F.coalesce("own_id", "f.file_id").alias("doc_id"), "rel_path", "page_count", F.coalesce("own_folder", "f.folder", F.lit("")).alias("top_level_folder"), "doj_url", "doc_type_final",
+        F.col("s.kind").alias("content_type"), "title", F.coalesce(F.col("s.label"), F.lit("UNKNOWN")).alias("text_quality_label"),
+    )
+
+
+def flatten(docs: DataFrame) -> DataFrame:
+    """One row for each name and document, with the name's display form, and variants and pages as text."""
+    shown = F.array_join(F.transform("pages", lambda p: F.format_string("p.%d (%d×)", p["page_num"], p["count"])), ", ")
+    of_name = name_records(docs).select("canonical_key", "display_name", F.array_join("variants", ", ").alias("variants"))
+    return docs.select("canonical_key", "doc_id", "rel_path", shown.alias("page_list"), "total_count").join(of_name, "canonical_key")
 
 
 def public_records(index: DataFrame) -> DataFrame:
     """What may be published: names, documents, pages; no text."""
-    docs = F.transform("internal_docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["rel_path"].alias("rel_path"), d["pages"].alias("pages"), d["total_count"].alias("total_count")))
+    kept = ("doc_id", "rel_path", "page_count", "doj_url", "doc_type_final", "title", "pages", "total_count")
+    docs = F.transform("internal_docs", lambda d: F.struct(*(d[k].alias(k) for k in kept)))
     return index.select("canonical_key", "display_name", F.to_json(docs).alias("docs_json"))
 
 
-def summary(index: DataFrame) -> DataFrame:
-    docs = index.select(F.explode("internal_docs.doc_id").alias("doc_id")).agg(F.countDistinct("doc_id").alias("total_docs_with_mentions"))
-    return index.agg(F.count("*").alias("total_names"), F.sum("total_count").alias("total_mentions")).crossJoin(F.broadcast(docs))  # one row each
+def summary(docs: DataFrame) -> DataFrame:
+    """Names, mentions and documents of the long table, in one pass."""
+    return docs.agg(F.countDistinct("canonical_key").alias("total_names"), F.sum("total_count").alias("total_mentions"), F.countDistinct("doc_id").alias("total_docs_with_mentions"))
+
+
+def search(records: DataFrame, text: str, columns: tuple[str, ...] = ("display_name", "canonical_key", "variants"), least: int = 1) -> DataFrame:
+    """Records in any of whose columns the text stands, case aside, of at least so many mentions."""
+    wanted = F.lit(text.strip().lower())
+    hit = F.lit(not text.strip())
+    for c in columns:
+        value = F.array_join(c, "; ") if dict(records.dtypes)[c].startswith("array") else F.col(c).cast("string")
+        hit = hit | F.coalesce(F.lower(value).contains(wanted), F.lit(False))
+    return records.filter(hit & (F.col("total_count") >= least))
 
 
 def query_key(query: Column) -> Column:
@@ -118,10 +192,25 @@ def query_key(query: Column) -> Column:
     return F.when(q.contains(","), comma).when(q.contains(" "), F.concat_ws("|", F.substring_index(q, " ", -1), F.substring_index(q, " ", 1)))
 
 
-def lookup(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Names for each query: by key, else by variant, else by part of the display name; blank finds nothing."""
-    q = queries.withColumn("q", F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))).filter("q <> ''").withColumn("key", query_key(F.col("query")))
-    rank = F.when(F.col("canonical_key") == F.col("key"), 1).when(F.array_contains("variants", F.col("q")), 2).when(F.lower("display_name").contains(F.col("q")), 3)
-    hits = index.join(F.broadcast(q), rank.isNotNull()).withColumn("stage", rank)
-    best = F.min("stage").over(Window.partitionBy("query"))
-    return hits.withColumn("best", best).filter("stage = best").select("query", "stage", "canonical_key", "display_name", "total_count")
+def _grams(text, sizes: tuple[int, ...] = (1, 2, 3)):
+    """The distinct runs of one to three characters of a short text."""
+    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in sizes]
+    return F.array_distinct(F.concat(*each))
+
+
+def lookup(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """Names for each query: by key, else by variant, else by part of the display name; blank finds nothing.
+
+    Three equality joins, each for the queries that the one before left without an answer: on the key, on the
+    variants, and on the query's first characters among those of display names, where containment is then checked.
+    """
+    q = queries.withColumn("q", F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))).filter("q <> ''").select("query", "q", query_key(F.col("query")).alias("key")).distinct()
+    shown = ("query", "stage", "canonical_key", "display_name", "total_count")
+    by_key = records.join(q, records["canonical_key"] == q["key"]).withColumn("stage", F.lit(1)).select(*shown)
+    rest = q.join(by_key.select("query").distinct(), "query", "left_anti")
+    variants = records.select("canonical_key", "display_name", "total_count", F.explode(F.array_distinct("variants")).alias("variant"))
+    by_variant = variants.join(rest, F.col("variant") == F.col("q")).withColumn("stage", F.lit(2)).select(*shown)
+    rest = rest.join(by_variant.select("query").distinct(), "query", "left_anti").withColumn("gram", F.substring("q", 1, 3))
+    parts = records.select("canonical_key", "display_name", "total_count", F.explode(_grams(F.lower("display_name"))).alias("gram"))
+    by_part = parts.join(rest, "gram").filter(F.lower("display_name").contains(F.col("q"))).withColumn("stage", F.lit(3)).select(*shown)
+    return by_key.unionByName(by_variant).unionByName(by_part)

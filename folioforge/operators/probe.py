@@ -43,14 +43,47 @@ def sanitized_label(label):
     return F.regexp_replace(F.regexp_replace(F.trim(label), "[^A-Za-z0-9.-]+", "_"), "^_+|_+$", "")
 
 
+def output_label(name):
+    """A label for a recording's output: each character that is no letter, digit, hyphen or underscore becomes one."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(name), r"(?U)[^\p{L}\p{N}_-]", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(clean, F.lit("")), F.lit("media_file"))
+
+
 def volume_of(title):
     """VOL and five digits from "data set N" in a title; null without one."""
     n = F.regexp_extract(title, r"(?i)data\s*set\s*(\d+)", 1)
     return F.when(n != "", F.concat(F.lit("VOL"), F.lpad(n, 5, "0")))
 
 
-def reasons(rows: DataFrame, weights: dict[str, float], n: int = 5) -> DataFrame:
-    """The n features with the largest absolute contribution, as JSON in falling order."""
-    parts = F.array(*(F.struct((-F.abs(F.col(f) * w)).alias("rank"), F.lit(f).alias("feature"), F.round(F.col(f) * w, 6).alias("contribution")) for f, w in sorted(weights.items())))
-    top = F.transform(F.slice(F.array_sort(parts), 1, n), lambda p: F.concat_ws(":", p["feature"], F.format_string("%.6f", p["contribution"])))
-    return rows.select("doc_id", F.array_join(top, ",").alias("reason_features"))
+def with_probe(pdfs: DataFrame, docs: DataFrame) -> DataFrame:
+    """All PDFs with what the probe found; those that it did not read have no metrics and the class Unknown."""
+    metrics = [c for c in docs.columns if c not in ("rel_path", *pdfs.columns)]
+    rows = pdfs.join(docs.select("rel_path", *metrics), "rel_path", "left")
+    return rows.withColumn("classification", F.coalesce("classification", F.lit("Unknown"))) if "classification" in metrics else rows
+
+
+def for_scan(probe_docs: DataFrame, pdfs: DataFrame) -> DataFrame:
+    """Probed documents with the file to scan: id and folder from the inventory where the probe lacks them, and the
+    path of an extracted member before the file's own.
+    """
+    files = pdfs.select("rel_path", *(F.col(c).alias(f"file_{c}") for c in ("doc_id", "top_level_folder", "probe_path", "abs_path")))
+    rows = probe_docs.join(files, "rel_path", "left")
+    kept = [c for c in probe_docs.columns if c not in ("doc_id", "top_level_folder")]
+    folder = F.col("top_level_folder") if "top_level_folder" in probe_docs.columns else F.lit(None)
+    return rows.select(
+        *kept, F.coalesce(F.col("doc_id").cast("string"), F.col("file_doc_id").cast("string")).alias("doc_id"), F.coalesce(folder, "file_top_level_folder").alias("top_level_folder"),
+        F.coalesce("file_probe_path", "file_abs_path").alias("scan_path"),
+    )
+
+
+def scan_errors(candidates: DataFrame) -> DataFrame:
+    """What cannot be scanned: documents without a file, as errors by path."""
+    return candidates.filter(F.coalesce("scan_path", F.lit("")) == "").select("rel_path", F.lit("missing scan path").alias("error"))
+
+
+def member_location(rel_path, extract_root):
+    """Where a file, or a member extracted from an archive, lies: below extract_root, in the archive's own folder."""
+    at = F.instr(rel_path, paths.MEMBER)
+    archive, member = F.substring(rel_path, F.lit(1), at - 1), F.substring(rel_path, at + 2, F.length(rel_path))
+    inside = F.concat_ws("/", extract_root, paths.extract_folder(archive), paths.safe_member_path(member))
+    return F.when(at > 0, inside).otherwise(rel_path)

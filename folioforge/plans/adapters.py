@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt to all cores before heavy projections.
+
+    A file may be one row group, which one task reads. A table of many files is left as it is: dealing it would
+    move all its text for nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _ext():
     k = F.pmod("doc_id", F.lit(10))
     return F.when(k < 6, "pdf").when(k == 6, "txt").when(k == 7, "csv").when(k == 8, "jpg").otherwise("bin")
@@ -37,11 +47,29 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of PAGE code points; an empty text has none."""
-    docs = documents(spark, sf_dir)
-    n = F.ceil(F.length("text") / PAGE).cast("int")
-    pages = docs.filter("length(text) > 0").select("doc_id", "rel_path", "text", F.explode(F.sequence(F.lit(1), n)).alias("page_num"))
-    return pages.select("doc_id", "rel_path", "page_num", F.substring("text", (F.col("page_num") - 1) * PAGE + 1, F.lit(PAGE)).alias("text"))
+    """Pages of PAGE code points, cut in one pass over each text; an empty text has none."""
+    docs = spread(documents(spark, sf_dir).select("doc_id", "rel_path", "text"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    pages = docs.select("doc_id", "rel_path", F.posexplode(cut).alias("place", "text"))
+    return pages.select("doc_id", "rel_path", (F.col("place") + 1).alias("page_num"), "text")
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the documents that are PDFs, which is what a probe reads."""
+    return page_text(spark, sf_dir).filter(F.col("rel_path").endswith(".pdf"))
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight by eight gray pages from vectors, four to a document: each component scaled from [-0.5, 0.5] to 0..255.
+
+    The vector's label gives the number of fonts and of images on the page.
+    """
+    gray = F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)))
+    hexed = F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), "")
+    return table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") / 4).cast("long").alias("doc_id"), (F.col("vec_id") % 4 + 1).cast("int").alias("page_num"), F.unhex(hexed).alias("pixels"), F.lit(8).alias("width"),
+        (F.col("label") % 4).alias("font_count"), (F.col("label") % 2).alias("image_count"),
+    )
 
 
 CTE = {

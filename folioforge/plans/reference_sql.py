@@ -76,6 +76,10 @@ TYPES = f""", scored AS (SELECT doc_id, {", ".join(f"{e} AS {k}" for k, e in _SC
 types AS (SELECT doc_id, CASE WHEN greatest({", ".join(CATEGORIES)}) = 0 THEN 'OTHER_TEXT' {" ".join(f"WHEN {k} = greatest({', '.join(CATEGORIES)}) THEN '{k}'" for k in CATEGORIES)} END AS content_type_pred,
   CASE WHEN greatest({", ".join(CATEGORIES)}) = 0 THEN 0 ELSE round(greatest({", ".join(CATEGORIES)}) / ({" + ".join(CATEGORIES)}), 6) END AS content_type_confidence FROM scored)"""
 
+_BY_CATEGORY = ", ".join("'" + k + "': {" + ", ".join(f"'{r}': {k}__{r}" for r in sorted(r for c, r, _ in RULES if c == k)) + "}" for k in sorted(CATEGORIES))
+SIGNALS_JSON = f"""SELECT doc_id, to_json({{'rule_hits': {{{_BY_CATEGORY}}}, 'stats': {{'email_address_count': CONTACT_LIST__email_address, 'line_count': line_count,
+  'phone_number_count': CONTACT_LIST__phone_number, 'underscore_runs': FORM_TEMPLATE__underscore_blank}}}})::VARCHAR AS content_type_signals FROM hits"""
+
 NO_FIXTURE = ", fixture(doc_id, text) AS (SELECT 0::BIGINT, '' WHERE false)"
 
 _TOKEN = "[A-Z][A-Za-z]*(?:[''’\\-][A-Za-z]+)*"

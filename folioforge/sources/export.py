@@ -35,3 +35,20 @@ def run_index(runs: DataFrame) -> DataFrame:
     latest = runs.groupBy("source_root", "stage").agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("run_id"), F.max("ts").alias("ts"))
     cells = {s: F.max(F.when(F.col("stage") == s, F.col("run_id"))).alias(f"{s}_run") for s in ("inventory", "probe")}
     return latest.groupBy("source_root").agg(*cells.values(), F.max("ts").alias("updated_at"))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The download manifest as one snapshot, in order of address; the one before is replaced."""
+    manifest.orderBy("url").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def catalog_json(index: DataFrame, meta: dict, path: str) -> None:
+    """A public catalog for a browser: one line of facts on it, then a line for each item; refuses long strings."""
+    import json
+
+    spark = index.sparkSession
+    if not too_long(index).isEmpty():
+        raise ValueError(f"a string of more than {LONGEST} characters is no metadata")
+    index.write.mode("overwrite").json(f"{path}/items")
+    facts = meta | {"item_count": spark.read.schema(index.schema).json(f"{path}/items").count()}
+    spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import paths
+from folioforge.operators.probe import output_label
 
 HASHES = ("md5", "sha1", "sha256", "none")
+#: Recordings that are transcribed.
+MEDIA = ("wav", "mp3", "m4a", "mp4")
 
 
 def _digest(content, algorithm: str):
@@ -22,58 +28,168 @@ def _digest(content, algorithm: str):
     return {"md5": F.md5(content), "sha1": F.sha1(content), "sha256": F.sha2(content, 256), "none": F.lit("")}[algorithm]
 
 
-def scan_files(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = paths.DEFAULT_IGNORES, algorithm: str = "none", sample_bytes: int = 0, max_files: int | None = None) -> DataFrame:
+def _listed(spark: SparkSession) -> DataFrameReader:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+
+
+def _relative(path: Column, root: str) -> Column:
+    """The path below root, without the root's address."""
+    base = "file:" + root.rstrip("/") if root.startswith("/") else re.sub("^file:/+", "file:/", root.rstrip("/"))
+    return F.substring(F.regexp_replace(path, "^file:/+", "file:/"), len(base) + 2, 1 << 20)
+
+
+def _modified(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        local = [re.sub("^file:/+", "/", p) for p in part["path"]]
+        times = [os.stat(p).st_mtime_ns // 1000 if os.path.isfile(p) else None for p in local]
+        yield pd.DataFrame({"path": part["path"], "micros": pd.Series(times, dtype="Int64")})
+
+
+def _with_empty(files: DataFrame) -> DataFrame:
+    """path, modificationTime, length and content of files; Spark's reader leaves out those without a byte, its listing does not."""
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    names = files.sparkSession.createDataFrame(listed, "path string")
+    empty = names.join(files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")), "path", "left_anti")
+    dated = empty.mapInPandas(_modified, "path string, micros long")
+    return files.unionByName(dated.select("path", F.timestamp_micros("micros").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
+
+
+def linked_folders(root: str) -> list[str]:
+    """Folders below a local root that are links, as relative paths; a tree walk does not enter them."""
+    if not os.path.isdir(root):
+        return []
+    return [os.path.relpath(os.path.join(at, d), root) for at, dirs, _ in os.walk(root) for d in dirs if os.path.islink(os.path.join(at, d))]
+
+
+def scan_files(
+    spark: SparkSession, root: str, *, ignore: tuple[str, ...] = paths.DEFAULT_IGNORES, algorithm: str = "none", sample_bytes: int = 0,
+    max_files: int | None = None, follow_symlinks: bool = False,
+) -> DataFrame:
     """One row for each file below root. Contents are read only if hashes are asked for.
 
-    ``max_files`` keeps the first paths in order and has to be positive.
+    ``max_files`` keeps the first paths in order and has to be positive. Linked folders of a local tree are left
+    out unless followed.
     """
     if max_files is not None and max_files <= 0:
         raise ValueError("max_files must be positive")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
-    plain = F.regexp_replace("path", "^file:/+", "file:/")
-    rel = F.substring(F.url_decode(F.regexp_replace(plain, "\\+", "%2B")), len(base.replace("file://", "file:")) + 2, 1 << 20)
-    ext = paths.extension(F.col("rel_path"))
+    files = _with_empty(_listed(spark).load(root))
     out = files.select(
-        rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), _digest(F.col("content"), algorithm).alias("hash_value"),
+        _relative(F.col("path"), root).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), _digest(F.col("content"), algorithm).alias("hash_value"),
         (_digest(F.substring("content", 1, sample_bytes), algorithm) if sample_bytes else F.lit("")).alias("sample_hash"),
     )
     out = out.filter(~paths.ignored(F.col("rel_path"), ignore))
+    for folder in () if follow_symlinks else linked_folders(root):
+        out = out.filter(~F.col("rel_path").startswith(folder + "/"))
+    ext = paths.extension(F.col("rel_path"))
     out = out.select(
         paths.file_id(F.col("rel_path"), F.col("size_bytes"), F.unix_micros("mtime") / 1e6, F.col("hash_value")).alias("file_id"), "rel_path", F.concat(F.lit(root.rstrip("/") + "/"), "rel_path").alias("abs_path"),
-        paths.top_level_folder(F.col("rel_path")).alias("top_level_folder"), ext.alias("extension"), paths.mime_of(ext).alias("detected_mime"), "size_bytes",
+        paths.top_level_folder(F.col("rel_path")).alias("top_level_folder"), ext.alias("extension"), paths.mime_of_path(F.col("rel_path")).alias("detected_mime"), "size_bytes",
         F.lit(None).cast("string").alias("created_time"), paths.iso_utc(F.col("mtime")).alias("modified_time"), "hash_value", "sample_hash",
     )
     return out if max_files is None else out.orderBy("rel_path").limit(max_files)
 
 
-_MEMBERS = "archive string, member string, size_bytes long, mtime string, error string"
+_MEMBERS = "archive string, member string, size_bytes long, mtime double, error string"
+
+
+def _entries(archive: str, file) -> Iterator[tuple]:
+    try:
+        with zipfile.ZipFile(file) as z:
+            for info in z.infolist():
+                if not info.is_dir():
+                    try:
+                        when = datetime(*info.date_time, tzinfo=timezone.utc).timestamp()
+                    except ValueError:  # a date that is none costs the date only
+                        when = None
+                    yield archive, info.filename.lstrip("/"), info.file_size, when, None
+    except (zipfile.BadZipFile, OSError, RuntimeError, ValueError) as e:
+        yield archive, None, None, None, f"zip read error: {e}"
 
 
 def _members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
-        for archive, content in zip(part["archive"], part["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            when = datetime(*info.date_time, tzinfo=timezone.utc).isoformat()
-                            rows.append((archive, info.filename.lstrip("/"), info.file_size, when, None))
-            except (zipfile.BadZipFile, ValueError) as e:
-                rows.append((archive, None, None, None, f"{type(e).__name__}: {e}"))
+        for archive, path, content in zip(part["archive"], part["path"], part["content"], strict=True):
+            # a file that the executor sees is read from its end, where the directory stands: any size, few bytes
+            rows += _entries(archive, io.BytesIO(content) if content is not None else path)
         yield pd.DataFrame(rows, columns=["archive", "member", "size_bytes", "mtime", "error"])
 
 
 def archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """Members of the ZIP archives below root, without extraction; a broken archive is one row with its error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[zZ][iI][pP]").load(root)
-    return files.select(F.col("path").alias("archive"), "content").mapInPandas(_members, _MEMBERS)
+    """Members of the ZIP archives below root, without extraction; a broken archive is one row with its error.
+
+    ``archive`` is the path below root. Archives of a local or mounted tree are opened where they lie, so that only
+    their directories are read; others pass through Spark's reader (up to 2 GB each).
+    """
+    files = _listed(spark).option("pathGlobFilter", "*.[zZ][iI][pP]").load(root)
+    local = root.startswith(("/", "file:"))
+    where = F.regexp_replace("path", "^file:/+", "/")
+    content = F.lit(None).cast("binary") if local else F.col("content")
+    return files.select(_relative(F.col("path"), root).alias("archive"), where.alias("path"), content.alias("content")).mapInPandas(_members, _MEMBERS)
 
 
-def member_rows(members: DataFrame) -> DataFrame:
-    """Members as inventory rows: archive::member, no hash."""
+def member_rows(members: DataFrame, root: str = "", ignore: tuple[str, ...] = paths.DEFAULT_IGNORES) -> DataFrame:
+    """Members as inventory rows: archive::member, no hash and no time of creation."""
     rel = F.concat("archive", F.lit(paths.MEMBER), "member")
     ext = paths.extension(F.col("member"))
-    good = members.filter("error is null")
-    return good.select(rel.alias("rel_path"), paths.top_level_folder(rel).alias("top_level_folder"), ext.alias("extension"), paths.mime_of(ext).alias("detected_mime"), "size_bytes", F.col("mtime").alias("modified_time"), F.lit("").alias("hash_value"))
+    good = members.filter("error is null").withColumn("rel_path", rel).filter(~paths.ignored(F.col("rel_path"), ignore))
+    mtime = F.coalesce("mtime", F.lit(0.0))
+    return good.select(
+        paths.file_id(F.col("rel_path"), F.col("size_bytes"), mtime, F.lit("")).alias("file_id"), "rel_path", F.concat(F.lit(root.rstrip("/") + "/" if root else ""), "rel_path").alias("abs_path"),
+        paths.top_level_folder(F.col("rel_path")).alias("top_level_folder"), ext.alias("extension"), paths.mime_of_path(F.col("member")).alias("detected_mime"), "size_bytes",
+        F.lit(None).cast("string").alias("created_time"), paths.iso_utc(F.timestamp_seconds("mtime")).alias("modified_time"), F.lit("").alias("hash_value"), F.lit("").alias("sample_hash"),
+    )
+
+
+def scan_inventory(spark: SparkSession, root: str, *, max_files: int | None = None, ignore: tuple[str, ...] = paths.DEFAULT_IGNORES, **options) -> tuple[DataFrame, DataFrame]:
+    """(files and archive members, errors). ``max_files`` counts both, in order of path."""
+    if max_files is not None and max_files <= 0:
+        raise ValueError("max_files must be positive")
+    members = archive_members(spark, root)
+    ignored = paths.ignored(F.col("archive"), ignore)
+    rows = scan_files(spark, root, ignore=ignore, **options).unionByName(member_rows(members.filter(~ignored), root, ignore))
+    errors = members.filter(F.col("error").isNotNull() & ~ignored).select(F.col("archive").alias("path"), "error")
+    return (rows if max_files is None else rows.orderBy("rel_path").limit(max_files)), errors
+
+
+def _content(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        rows = []
+        for rel, path, member in zip(part["rel_path"], part["path"], part["member"], strict=True):
+            try:
+                if member:
+                    with zipfile.ZipFile(path) as z:
+                        names = {n.lstrip("/"): n for n in z.namelist()}
+                        content = z.read(names[member])
+                else:
+                    with open(path, "rb") as file:
+                        content = file.read()
+                rows.append((rel, content, None))
+            except (OSError, KeyError, zipfile.BadZipFile, RuntimeError) as e:
+                rows.append((rel, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+            rows = []
+
+
+def read_contents(inventory: DataFrame, root: str) -> DataFrame:
+    """path, content and error of inventory rows below a local or mounted root; archive members are read in place.
+
+    Rows come one by one, so that a task holds one file at a time. A file that cannot be read is a row with its error.
+    """
+    at = F.instr("rel_path", paths.MEMBER)
+    file = F.when(at > 0, F.substring("rel_path", F.lit(1), at - 1)).otherwise(F.col("rel_path"))
+    member = F.when(at > 0, F.substring("rel_path", at + 2, F.length("rel_path")))
+    rows = inventory.select("rel_path", F.concat(F.lit(root.rstrip("/") + "/"), file).alias("path"), member.alias("member"))
+    return rows.mapInPandas(_content, "path string, content binary, error string")
+
+
+def discover_media(inventory: DataFrame, kinds: tuple[str, ...] = MEDIA) -> DataFrame:
+    """Recordings of an inventory, archive members among them, in order of path, with a label for their output."""
+    found = inventory.filter(F.lower("extension").isin(*kinds))
+    at = F.instr("rel_path", paths.MEMBER)
+    stem = F.regexp_replace(paths.file_name(F.col("rel_path")), r"\.[^.]+$", "")
+    archive = F.regexp_replace(paths.file_name(F.substring("rel_path", F.lit(1), at - 1)), r"\.[^.]+$", "")
+    inner = F.regexp_replace(F.substring("rel_path", at + 2, F.length("rel_path")), r"\.[^./]+$", "")
+    label = F.when(at > 0, F.concat(archive, F.lit("__"), inner)).otherwise(stem)
+    name = paths.file_name(F.when(at > 0, F.substring("rel_path", at + 2, F.length("rel_path"))).otherwise(F.col("rel_path")))
+    return found.select("rel_path", name.alias("display_name"), output_label(label).alias("output_label"), "size_bytes").orderBy("rel_path")

@@ -1,9 +1,11 @@
-"""Pages of files through a pluggable extractor: extracted once, then reused by every text operator."""
+"""Pages of files through pluggable extractors, of text or of images: extracted once, then reused by every operator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,4 +57,95 @@ def extract_pages(files: DataFrame, extractor: Extractor = plain_text, max_pages
 
 
 def errors(pages: DataFrame) -> DataFrame:
+    """The side channel of an extraction: what went wrong, by file."""
     return pages.filter("error is not null").select("path", F.col("error").alias("error"))
+
+
+def error_counts(found: DataFrame) -> DataFrame:
+    """Errors by their kind, which is what stands before the first colon."""
+    return found.groupBy(F.substring_index("error", ":", 1).alias("error")).agg(F.count("*").alias("n"))
+
+
+class Raster(NamedTuple):
+    """A page as a gray image (rows by columns; None if it could not be rendered), and the objects on it."""
+
+    gray: np.ndarray | None
+    fonts: int = 0
+    images: int = 0
+
+
+#: A renderer gets a file's bytes and a resolution and yields its pages.
+Renderer = Callable[[bytes, int], Iterable[Raster]]
+
+RASTERS = "path string, page_num int, pixels binary, width int, font_count int, image_count int, error string"
+
+
+def pgm_pages(content: bytes, dpi: int) -> Iterator[Raster]:
+    """Binary PGM images, one after the other; an image is a page with one image on it."""
+    at = 0
+    while at < len(content):
+        fields: list[bytes] = []
+        while len(fields) < 4:
+            end = at
+            while content[at : at + 1] == b"#":  # a comment goes to the end of its line
+                at = content.index(b"\n", at) + 1
+                end = at
+            while content[end : end + 1] not in (b" ", b"\n", b"\t", b"\r", b""):
+                end += 1
+            if end > at:
+                fields.append(content[at:end])
+            elif end >= len(content):
+                if fields:
+                    raise ValueError("an image ends within its header")
+                return
+            at = end + 1
+        if fields[0] != b"P5" or int(fields[3]) > 255:
+            raise ValueError("not an 8-bit binary PGM image")
+        width, height = int(fields[1]), int(fields[2])
+        pixels = np.frombuffer(content, np.uint8, width * height, at)
+        yield Raster(pixels.reshape(height, width), images=1)
+        at += width * height
+        while content[at : at + 1] in (b" ", b"\n", b"\t", b"\r") and at < len(content):
+            at += 1
+
+
+def pdf_rasters(content: bytes, dpi: int) -> Iterator[Raster]:
+    """Gray renderings of PDF pages and their fonts and images with PyMuPDF, where that is installed."""
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        for page in doc:
+            fonts, images = len(page.get_fonts() or ()), len(page.get_images(full=True) or ())
+            try:
+                pix = page.get_pixmap(dpi=dpi, colorspace=fitz.csGRAY)
+                gray = np.frombuffer(pix.samples, np.uint8).reshape(pix.height, pix.width) if pix.width and pix.height else None
+            except Exception:  # noqa: BLE001  a page that cannot be rendered still has its objects
+                gray = None
+            yield Raster(gray, fonts, images)
+
+
+def _render(renderer: Renderer, dpi: int, max_pages: int | None):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                rows = []
+                try:
+                    for n, page in enumerate(renderer(bytes(content), dpi), 1):
+                        if max_pages is not None and n > max_pages:
+                            break
+                        done = page.gray is not None
+                        rows.append((path, n, page.gray.tobytes() if done else None, page.gray.shape[1] if done else None, page.fonts, page.images, None if done else f"Failed to render page {n}"))
+                except Exception as e:  # noqa: BLE001  an unreadable file is a row with its error
+                    rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                frame = pd.DataFrame(rows, columns=["path", "page_num", "pixels", "width", "font_count", "image_count", "error"])
+                yield frame.astype({c: "Int32" for c in ("page_num", "width", "font_count", "image_count")})
+
+    return run
+
+
+def extract_rasters(files: DataFrame, renderer: Renderer = pgm_pages, *, dpi: int = 100, max_pages: int | None = None) -> DataFrame:
+    """files: path and content -> one row a page: pixels row by row, width, fonts and images on it.
+
+    A page that cannot be rendered has no pixels and an error; a file that cannot be read is one row with its error.
+    """
+    return files.select("path", "content").mapInPandas(_render(renderer, dpi, max_pages), RASTERS)

@@ -29,3 +29,27 @@ def windowed_counts(events: DataFrame, *, late: str = "10 minutes", size: str =
 def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """First row of each key within the watermark."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def follow_links(stream: DataFrame, manifest: str, checkpoint: str, schema: T.StructType) -> StreamingQuery:
+    """Change detection as addresses arrive: each batch is compared with the manifest at a path, then entered in it.
+
+    The manifest is a folder of numbered versions, so that a batch that is run again reads what it read before.
+    """
+    from folioforge.operators.incremental import change_status, run_status, update_manifest
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.schema(schema).parquet(f"{manifest}/version={number - 1}") if number else spark.createDataFrame([], schema)
+        latest = batch.groupBy("url").agg(F.max(F.struct(*(c for c in batch.columns if c != "url"))).alias("s")).select("url", "s.*")
+        status = change_status(latest, held).withColumn("status", run_status(F.col("status")))
+        update_manifest(held, latest.join(status, "url")).select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{manifest}/version={number}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def unseen(stream: DataFrame, processed: DataFrame, key: str) -> DataFrame:
+    """Rows of a stream whose key is not in a table of those done before."""
+    return stream.join(processed.select(key).distinct(), key, "left_anti")

@@ -17,6 +17,11 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_model_predicts_every_held_out_row(spark):
+def test_model_predicts_every_pdf(spark):
     rows = catalogue.QUERIES["doc_type_model"](spark, TABLES).collect()
-    assert rows and all(r.predicted_label in ("good", "poor") and 0.5 <= r.confidence <= 1 for r in rows)
+    labels = ("TEXT_PDF", "IMAGE_OF_TEXT_PDF", "IMAGE_PDF", "MIXED_PDF")
+    assert len(rows) > 100
+    for r in rows:
+        p = [r[f"proba_{k}"] for k in labels]
+        assert abs(sum(p) - 1) < 1e-9 and r.confidence == max(p) and r.predicted_label == labels[p.index(max(p))] and r.proba_TEXT_PDF == 0
+        assert r.reason_features.count(":") == 5

@@ -81,7 +81,8 @@ def test_names(spark, line, keys):
 
 def test_name_index_counts_pages_and_prefers_mixed_case(spark):
     rows = [(1, "b", 1, "JOHN SMITH"), (1, "b", 2, "John Smith and John Q. Smith"), (2, "a", 1, "JOHN SMITH")]
-    index = names.name_index(names.mentions_of(spark.createDataFrame(rows, "doc_id long, rel_path string, page_num int, text string"))).collect()
+    docs = names.name_documents(names.mentions_of(spark.createDataFrame(rows, "doc_id long, rel_path string, page_num int, text string")))
+    index = names.name_index(docs).collect()
     assert [(r.canonical_key, r.display_name, r.total_count) for r in index] == [("smith|john", "John Smith", 4)]
     assert [(d.rel_path, [(p.page_num, p["count"]) for p in d.pages]) for d in index[0].internal_docs] == [("a", [(1, 1)]), ("b", [(1, 1), (2, 2)])]
 
@@ -89,8 +90,9 @@ def test_name_index_counts_pages_and_prefers_mixed_case(spark):
 def test_name_cap_drops_the_whole_document(spark):
     rows = [(1, "a", 1, "John Smith"), (1, "a", 2, "Jane Roe"), (2, "b", 1, "John Smith")]
     mentions = names.mentions_of(spark.createDataFrame(rows, "doc_id long, rel_path string, page_num int, text string"))
-    assert {r.doc_id for r in names.page_counts(mentions, 1).collect()} == {2}
-    assert {r.doc_id for r in names.page_counts(mentions, 2).collect()} == {1, 2}
+    assert {r.doc_id for r in names.name_documents(mentions, 1).collect()} == {2}
+    assert {r.doc_id for r in names.name_documents(mentions, 2).collect()} == {1, 2} == {r.doc_id for r in names.name_documents(mentions, 0).collect()}
+    assert [tuple(r) for r in names.crowded_documents(mentions, 1).collect()] == [("a", 1, "exceeded max_names_per_doc=1")]
 
 
 def test_duplicates_and_issues(spark):
@@ -109,12 +111,24 @@ def test_decision(spark, truth, pred, confidence, final, source):
     assert tuple(one(spark, F.struct(*columns), t=truth, p=pred, c=confidence)) == (final, source)
 
 
-def test_ambiguous_label_takes_its_own_folder(spark):
+def test_ambiguous_and_repeated_labels(spark):
     schema = "doc_id long, rel_path string, top_level_folder string, hash_value string"
-    inv = spark.createDataFrame([(1, "A/f.pdf", "A", ""), (2, "./A/f.pdf", ".", "")], schema)
-    given = spark.createDataFrame([("A\\f.pdf", "IMAGE_PDF", "t"), ("B/g.pdf", "IMAGE_PDF", "t")], "rel_path string, label_raw string, labeled_at string")
-    assert [r.file_path for r in labels.match(given, inv).collect()] == ["A/f.pdf"]
-    assert [r.rel_path for r in labels.orphaned(given, inv).collect()] == ["B/g.pdf"]
+    inv = spark.createDataFrame([(1, "A/f.pdf", "A", ""), (2, "./A/f.pdf", ".", ""), (3, "B/h.pdf", "B", ""), (4, "B\\h.pdf", "B", ""), (5, "C/i.pdf", "C", "")], schema)
+    rows = [("A\\f.pdf", "IMAGE_PDF", "t"), ("B/g.pdf", "IMAGE_PDF", "t"), ("B/h.pdf", "IMAGE_PDF", "t"), ("C/i.pdf", "IMAGE_PDF", "t"), ("C/i.pdf", "IMAGE_PDF", "t"), ("", "IMAGE_PDF", "t")]
+    given = spark.createDataFrame(rows, "rel_path string, label_raw string, labeled_at string")
+    assert sorted(r.file_path for r in labels.match(given, inv).collect()) == ["A/f.pdf", "C/i.pdf", "C/i.pdf"]
+    assert sorted((r.rel_path, r.reason) for r in labels.orphaned(given, inv).collect()) == [("", "blank path"), ("B/g.pdf", "no file"), ("B/h.pdf", "several files")]
+    assert sorted(r.rel_path for r in labels.unmatched(given, inv).collect()) == ["B/h.pdf", "B\\h.pdf"]
+
+
+def test_labels_are_replaced_only_if_told_to(spark):
+    schema = "rel_path string, label_raw string, labeled_at string"
+    old, fresh = spark.createDataFrame([("a.pdf", "IMAGE_PDF", "1")], schema), spark.createDataFrame([("./a.pdf", "TEXT_PDF", "2")], schema)
+    with pytest.raises(ValueError, match="overwrite"):
+        labels.add_label(old, fresh)
+    assert [(r.norm_path, r.label_raw, r.label_norm) for r in labels.add_label(old, fresh, overwrite=True).collect()] == [("a.pdf", "TEXT_PDF", "IMAGE_OF_TEXT_PDF")]
+    with pytest.raises(ValueError, match="one of"):
+        labels.add_label(old, spark.createDataFrame([("b.pdf", "WHAT", "2")], schema))
 
 
 @pytest.mark.parametrize(("k", "n"), [(0, 0), (3, 3), (100, 5)])
@@ -141,9 +155,113 @@ def test_row_projection_of_ruled_page_varies_more_than_noise():
     ruled = np.full((100, 200), 255, np.uint8)
     ruled[10::10] = 0
     noise = np.random.default_rng(1).integers(0, 256, (100, 200), dtype=np.uint8)
-    assert raster.page_features(ruled)["row_variance"] > raster.page_features(noise)["row_variance"]
-    assert raster.darkness(np.zeros((20, 20), np.uint8))["is_mostly_black"] == 1.0
+    assert raster.page_features(ruled)["projection_var_row"] > raster.page_features(noise)["projection_var_row"]
+    assert raster.darkness(np.zeros((20, 20), np.uint8))["is_mostly_black"]
     assert np.isnan(raster.edge_density(np.zeros((2, 9), np.uint8)))
+    assert raster.otsu_threshold(np.full((4, 4), 7, np.uint8)) == 0 and raster.otsu_threshold(np.array([[10, 10, 200, 201]], np.uint8)) == 10
+
+
+def test_centre_takes_seven_tenths_rounded_down():
+    page = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    assert raster.centre(page, 0.7).tolist() == page[1:6, 1:6].tolist()
+    assert raster.centre(np.zeros((1, 3), np.uint8), 0.7).shape == (1, 2)
+
+
+def test_pages_that_were_not_rendered(spark):
+    rows = [(1, 1, bytearray(b"\x00" * 16), 4, 2, 0), (1, 2, None, None, 1, 3), (1, 3, bytearray(b"\x01" * 7), 4, None, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_num int, pixels binary, width int, font_count int, image_count int")
+    dark = {r.page_num: (r.black_ratio_fixed, r.is_mostly_black) for r in raster.page_darkness(pages).collect()}
+    assert dark == {1: (1.0, True), 2: (None, None), 3: (None, None)}
+    rolled = raster.darkness_docs(raster.page_darkness(pages)).first()
+    assert (rolled.page_count, rolled.pages_black_checked, rolled.mostly_black_pct) == (3, 1, 1.0)
+    features = raster.doc_features(raster.page_feature_table(pages)).first()
+    assert (features.pages_sampled, features.font_count_mean, features.image_present_pct, features.gray_mean_mean) == (3, 1.0, 1 / 3, 0.0)
+
+
+def test_feature_columns_and_predictions(spark):
+    from folioforge.operators import doctype
+
+    rows = [(f"f{k}", "a", "IMAGE_PDF" if k % 2 else "MIXED_PDF", float(k % 2) + k / 1000, None if k % 5 == 0 else float(k)) for k in range(40)]
+    table = spark.createDataFrame(rows, "rel_path string, top_level_folder string, label string, x double, y double")
+    assert doctype.feature_columns(table) == ["x", "y"]
+    trained = doctype.train(table, ["x", "y"], share=0.25, seed=3, iterations=30)
+    assert trained.card["eval"]["accuracy"] == 1.0 and trained.card["label_distribution"] == {"IMAGE_PDF": 20, "MIXED_PDF": 20}
+    found = doctype.predict(trained.model, table, ["rel_path", "label"], reasons=1).collect()
+    assert all(r.predicted_label == r.label and r.proba_TEXT_PDF == 0 and abs(r.proba_IMAGE_PDF + r.proba_MIXED_PDF - 1) < 1e-9 and r.reason_features.startswith('{"x":') for r in found)
+
+
+def test_models_are_found_by_id_path_and_latest(spark, tmp_path):
+    from folioforge.operators import doctype
+
+    table = spark.createDataFrame([(f"f{k}", "AB"[k % 2], float(k % 2)) for k in range(12)], "rel_path string, label string, x double")
+    root = str(tmp_path)
+    paths_ = [doctype.save(doctype.train(table, ["x"], share=0.2, seed=s, iterations=5), root, f"m{s}") for s in (1, 2)]
+    assert doctype.load(spark, root)[1]["hyperparams"]["random_state"] == 2
+    assert doctype.load(spark, root, "m1")[1]["hyperparams"]["random_state"] == 1 == doctype.load(spark, root, paths_[0])[1]["hyperparams"]["random_state"]
+    with pytest.raises(FileNotFoundError):
+        doctype.load(spark, root, "m3")
+    assert spark.read.parquet(f"{paths_[0]}/training_snapshot").count() == 12
+
+
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.5])
+def test_split_holds_out_the_smallest_hashes(spark, share):
+    import hashlib
+    import math
+
+    from folioforge.operators import doctype
+
+    rows = [(k, "ab"[k % 3 == 0]) for k in range(300)] + [(900, "lone")]
+    found = {r.k: r.held_out for r in doctype.split(spark.createDataFrame(rows, "k long, label string"), "label", "k", share, 5).collect()}
+    for label in ("a", "b"):
+        own = sorted((k for k, x in rows if x == label), key=lambda k: hashlib.sha256(f"{k}|5".encode()).hexdigest())
+        assert [found[k] for k in own] == [i < math.ceil(len(own) * share) for i in range(len(own))]
+    assert found[900] is False
+
+
+def test_keywords_are_listed_in_given_order(spark):
+    from folioforge.operators import media
+
+    rows = [(1, 1, "a", "Red red blue. C++ c++ green"), (1, 2, "b", "blue from:me"), (2, 1, None, "")]
+    segments = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in media.features(segments, {"x": ("green", "blue"), "y": ("red", "none")}).collect()}
+    assert (found[1].top_keywords, found[1].category_x, found[1].category_y, found[1].structure_hints) == (["blue", "red", "green"], 3, 2, ["email_headers"])
+    assert (found[2].top_keywords, found[2].word_count, found[2].num_speakers) == ([], 0, 0)
+    assert media.features(segments).columns[-2:] == ["structure_hints", "top_keywords"]
+
+
+def test_run_status_and_manifest(spark):
+    now = spark.createDataFrame([("a", "e", None, 1, 304), ("b", "e2", None, 5, 200), ("c", None, None, None, 200)], "url string, etag string, last_modified string, content_length long, status_code int")
+    held = spark.createDataFrame([("a", "e", None, 1), ("b", "e1", "Mon", 5)], "url string, etag string, last_modified string, content_length long")
+    assert {r.url: r.status for r in incremental.change_status(now, held).collect()} == {"a": "skipped_304", "b": "skipped_length", "c": "new"}
+    states = spark.createDataFrame([("skipped_304", False, True), ("skipped_etag", False, False), ("new", False, None), ("changed", True, None)], "s string, f boolean, p boolean")
+    shown = states.select(incremental.run_status(F.col("s"), failed=F.col("f"), pages_changed=F.col("p")).alias("x"), incremental.run_status(F.col("s"), dry_run=True).alias("y")).collect()
+    assert [tuple(r) for r in shown] == [("page-count-changed", "skipped"), ("skipped", "skipped"), ("downloaded", "dry-run"), ("failed", "dry-run")]
+
+
+def test_views_of_documents(spark):
+    docs = spark.createDataFrame([("b", 2, 0.5, "Mixed"), ("a", 2, 0.1, None), ("c", 9, 0.2, "Text-based")], "rel_path string, page_count int, size_mb double, classification string")
+    assert [r.rel_path for r in catalogue_views.sort_documents(docs, "pages", ascending=False).collect()] == ["c", "a", "b"]
+    with pytest.raises(ValueError):
+        catalogue_views.sort_documents(docs, "colour")
+    assert sorted(r.rel_path for r in catalogue_views.needing_attention(docs).collect()) == ["a", "b"]
+    assert {(r.facet, r.value, r.n) for r in catalogue_views.facets(docs, ("classification",)).collect()} == {("classification", "Mixed", 1), ("classification", "Text-based", 1)}
+    pages = spark.createDataFrame([(1, 1, "a <b> B")], "doc_id long, page_num int, text string")
+    assert [r.marked for r in catalogue_views.highlight(pages, "b").collect()] == ["a &lt;<mark>b</mark>&gt; <mark>B</mark>"]
+
+
+def test_catalog_fallbacks(spark):
+    schema = "file_id string, rel_path string, extension string, detected_mime string, top_level_folder string, size_bytes string"
+    inv = spark.createDataFrame([("1", "A\\x.PDF", "PDF", "application/pdf", "A", "12"), (None, "y", None, " ", " ", "many"), ("3", None, "txt", "text/plain", None, None)], schema)
+    docs = spark.createDataFrame([("9", "A/x.PDF", 3, " ", "http://u")], "doc_id string, rel_path string, page_count int, doc_type_final string, source_url string")
+    found = {r.id: r for r in catalogue_views.public_index(inv, docs, "root").collect()}
+    assert (found["1"].doc_type_final, found["1"].page_count, found["1"].doj_url, found["1"].title, found["1"].size_bytes) == ("PDF (unprobed)", 3, "http://u", "A\\x.PDF", 12)
+    assert (found["y"].doc_type_final, found["y"].content_type, found["y"].dataset, found["y"].size_bytes) == ("NON_PDF", None, "root", 0)
+    assert (found["3"].doc_type_final, found["3"].content_type, found["3"].title) == ("NON_PDF (txt)", "text/plain", "Untitled document")
+
+
+@pytest.mark.parametrize(("path", "mime"), [("a.pdf", "application/pdf"), ("x/b.tar.gz", "application/x-tar"), ("c.tgz", "application/x-tar"), ("d.gz", "application/octet-stream"), ("e.avi", "video/x-msvideo"), ("f.bmp", "image/bmp"), ("g.eml", "message/rfc822"), ("h.xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), ("none", "application/octet-stream")])
+def test_mime_of_path(spark, path, mime):
+    assert one(spark, paths.mime_of_path(F.col("p")), p=path) == mime
 
 
 def test_missing_columns_are_null(spark):

@@ -36,8 +36,21 @@ def test_scan(spark, tree):
 def test_archive_members(spark, tree):
     found = files.archive_members(spark, str(tree))
     assert {r.member for r in found.filter("error is null").collect()} == {"inner/doc.pdf", "lead.txt"}
-    assert found.filter("error is not null").count() == 1
-    assert all("::" in r.rel_path for r in files.member_rows(found).collect())
+    assert [(r.archive, r.error.split(":")[0]) for r in found.filter("error is not null").collect()] == [("bad.zip", "zip read error")]
+    assert {(r.rel_path, r.top_level_folder) for r in files.member_rows(found).collect()} == {("a.zip::inner/doc.pdf", "a.zip"), ("a.zip::lead.txt", "a.zip")}
+
+
+def test_odd_names_empty_files_and_links(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("100% a%20b+c é.txt", "d/empty.pdf"):
+        (tmp_path / name).write_text("" if "empty" in name else "x")
+    (tmp_path / "link").symlink_to(tmp_path / "d")
+    found = {r.rel_path: r.size_bytes for r in files.scan_files(spark, str(tmp_path), algorithm="md5").collect()}
+    assert found == {"100% a%20b+c é.txt": 1, "d/empty.pdf": 0}
+    rows, errors = files.scan_inventory(spark, str(tmp_path), max_files=1)
+    assert [r.rel_path for r in rows.collect()] == ["100% a%20b+c é.txt"] and errors.count() == 0
+    with pytest.raises(ValueError):
+        files.scan_inventory(spark, str(tmp_path), max_files=0)
 
 
 def test_cli_checks_and_writes(spark, tree, tmp_path, capsys):
@@ -45,8 +58,16 @@ def test_cli_checks_and_writes(spark, tree, tmp_path, capsys):
         cli.main(["inventory", "run", "--root", str(tmp_path / "none"), "--out", str(tmp_path / "out")])
     with pytest.raises(SystemExit):
         cli.main(["inventory", "run", "--root", str(tree), "--out", str(tmp_path / "out"), "--max-files", "0"])
-    cli.main(["inventory", "run", "--root", str(tree), "--out", str(tmp_path / "out"), "--label", "t"])
-    assert tables.read_run(spark, str(tmp_path / "out"), "inventory", INVENTORY).count() == 7
+    out = str(tmp_path / "out")
+    cli.main(["inventory", "run", "--root", str(tree), "--out", out, "--label", "t"])
+    assert tables.read_run(spark, out, "inventory", INVENTORY).count() == 7
+    latest = tables.read_json(spark, f"{out}/inventory/LATEST.json")
+    _, summary, log = tables.load_run(spark, out, "inventory", latest["run_id"])
+    assert summary["source_root_name"] == "in" and [e["path"] for e in log["errors"]] == ["bad.zip"]
+    cli.main(["public-index", "run", "--probe", "NONE", "--out", out, "--dest", str(tmp_path / "catalog")])
+    items = {r.rel_path: r.doc_type_final for r in spark.read.json(str(tmp_path / "catalog" / "items")).collect()}
+    assert len(items) == 7 and items["a.zip::inner/doc.pdf"] == "PDF (unprobed)" and items["VOL00001/keep.txt"] == "NON_PDF (txt)"
+    cli.main(["self-check", "--out", out])
     assert cli.repair_path(str(tree).lstrip("/")) == str(tree)
 
 
@@ -107,3 +128,151 @@ def test_selection_by_path_or_id(spark):
     assert [r.doc_id for r in probe.select_listed(rows, spark.createDataFrame([(2,)], "doc_id long")).collect()] == [2]
     with pytest.raises(ValueError):
         probe.select_listed(rows, spark.createDataFrame([(2,)], "other long"))
+
+
+def test_label_and_model_commands(spark, tmp_path):
+    out, given = str(tmp_path / "o"), str(tmp_path / "labels")
+    inv = [(f"VOL0000{k % 2 + 1}/f{k}.pdf", f"VOL0000{k % 2 + 1}", "pdf", k, "2024") for k in range(12)]
+    tables.write_run(spark.createDataFrame(inv, "rel_path string, top_level_folder string, extension string, size_bytes long, modified_time string"), out, "inventory", "i1", "/r", "2024-01-01")
+    label = ["pdf-type", "label", "--labels", given, "--out", out]
+    cli.main([*label, "--rel-path", "VOL00001\\f0.pdf", "--label", "text_pdf"])
+    with pytest.raises(SystemExit):
+        cli.main([*label, "--rel-path", "VOL00001/f0.pdf", "--label", "IMAGE_PDF"])
+    cli.main([*label, "--rel-path", "VOL00001/f0.pdf", "--label", "IMAGE_PDF", "--overwrite"])
+    cli.main([*label, "--rel-path", "VOL00002/f1.pdf", "--label", "TEXT_PDF"])
+    assert {(r.rel_path, r.label_norm) for r in spark.read.parquet(given).collect()} == {("VOL00001/f0.pdf", "IMAGE_PDF"), ("VOL00002/f1.pdf", "IMAGE_OF_TEXT_PDF")}
+    cli.main(["pdf-type", "train", "--labels", given, "--out", out, "--exclude-mixed"])
+    assert spark.read.parquet(tables.resolve_run(spark, out, "pdf-type-training")).count() == 2
+    docs = spark.createDataFrame([("VOL00001/f2.pdf", "Scanned")], "rel_path string, classification string")
+    tables.write_run(docs, out, "probe", "p1", "/r", "2024-01-01")
+    cli.main(["pdf-type", "predict", "--labels", given, "--out", out])
+    found = {r.rel_path: (r.predicted_label, r.prediction_source) for r in spark.read.parquet(tables.resolve_run(spark, out, "pdf-type-predictions")).collect()}
+    assert len(found) == 10 and found["VOL00001/f2.pdf"] == ("IMAGE_PDF", "probe_classification") and found["VOL00002/f3.pdf"] == ("", "missing_probe_classification")
+    cli.main(["pdf-type", "migrate", "--labels", given, "--out", out, "--write"])
+    assert spark.read.parquet(given).count() == 2
+    features = [(f"VOL0000{k % 2 + 1}/f{k}.pdf", str(k), f"VOL0000{k % 2 + 1}", None if k > 8 else ("IMAGE_PDF", "MIXED_PDF")[k % 2], float(k % 2)) for k in range(12)]
+    spark.createDataFrame(features, "rel_path string, doc_id string, top_level_folder string, label string, x double").write.parquet(str(tmp_path / "f"))
+    cli.main(["doc-type", "train", "--features", str(tmp_path / "f"), "--out", out])
+    (tmp_path / "s.csv").write_text("doc_id\n10\n11\n3\n")
+    cli.main(["doc-type", "predict", "--features", str(tmp_path / "f"), "--out", out, "--selection", str(tmp_path / "s.csv")])
+    assert {r.rel_path: r.predicted_label for r in spark.read.parquet(tables.resolve_run(spark, out, "doc-type-predictions")).collect()} == {"VOL00001/f10.pdf": "IMAGE_PDF", "VOL00002/f11.pdf": "MIXED_PDF", "VOL00002/f3.pdf": "MIXED_PDF"}
+    cli.main(["doc-type", "queue", "--features", str(tmp_path / "f"), "--out", out, "--k", "2"])
+    assert spark.read.parquet(tables.resolve_run(spark, out, "label-queue")).count() == 2
+
+
+@pytest.fixture
+def server():
+    """Serves a few addresses: HEAD is refused for one, an etag is honoured, one fails."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body):
+            if self.path == "/gone.pdf":
+                self.send_response(404)
+            elif self.path == "/shy.zip" and self.command == "HEAD":
+                self.send_response(405)
+            elif self.headers.get("If-None-Match") == "v1":
+                self.send_response(304)
+            else:
+                self.send_response(200)
+                self.send_header("ETag", "v1")
+                self.send_header("Content-Length", "4")
+                self.end_headers()
+                if body:
+                    self.wfile.write(b"data")
+                return
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
+        def do_HEAD(self):  # noqa: N802
+            self.answer(False)
+
+        def do_GET(self):  # noqa: N802
+            self.answer(True)
+
+        def log_message(self, *args):
+            pass
+
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_port}"
+    httpd.shutdown()
+
+
+def test_links_are_fetched_once(spark, server, tmp_path):
+    html = '<div class="usa-accordion usa-accordion--bordered"><h4><button class="usa-accordion__button">H</button></h4><div class="usa-accordion__content">' + "".join(f'<a href="/{n}">Data Set 3</a>' for n in ("a.pdf", "shy.zip", "gone.pdf", "page.html")) + "</div></div>"
+    spark.createDataFrame([(1, f"{server}/index", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    run = ["links", "run", "--pages", str(tmp_path / "p"), "--out", str(tmp_path / "o")]
+
+    def states():
+        return {r.url.rpartition("/")[2]: r.status for r in spark.read.parquet(str(tmp_path / "o/links/manifest")).collect()}
+
+    cli.main([*run, "--dry-run"])
+    assert states() == {"a.pdf": "dry-run", "shy.zip": "dry-run", "gone.pdf": "dry-run"} and not (tmp_path / "o/links/files").exists()
+    spark.createDataFrame([], spark.read.parquet(str(tmp_path / "o/links/manifest")).schema).write.mode("overwrite").parquet(str(tmp_path / "o/links/manifest"))
+    cli.main(run)
+    assert states() == {"a.pdf": "downloaded", "shy.zip": "downloaded", "gone.pdf": "failed"}
+    assert (tmp_path / "o/links/files/H/VOL00003/a.pdf").read_bytes() == b"data"
+    cli.main(run)
+    assert states()["a.pdf"] == "skipped" == states()["shy.zip"]
+
+
+def test_recordings_are_indexed_once(spark, tmp_path):
+    from folioforge.queries.files import _wav
+
+    (tmp_path / "in").mkdir()
+    for name in ("a.wav", "b.wav"):
+        (tmp_path / "in" / name).write_bytes(_wav(0.25))
+    (tmp_path / "s.jsonl").write_text('{"file_path": "a.wav", "start": 1, "end": 2, "speaker": "S1", "text": "call 555-123-4567 now"}\nbroken\n')
+    run = ["media", "run", "--root", str(tmp_path / "in"), "--segments", str(tmp_path / "s.jsonl"), "--out", str(tmp_path / "o")]
+    for _ in range(2):
+        cli.main(run)
+    rows = [(r.file_path, r.status, r.duration_sec, r.phone_count) for r in spark.read.parquet(str(tmp_path / "o/media/index")).collect()]
+    assert rows.count(("a.wav", "processed", 0.25, 1)) == 1 and rows.count(("b.wav", "failed", 0.25, None)) == 2
+
+
+def test_tables_of_any_kind(spark, tmp_path):
+    base = str(tmp_path)
+    assert tables.load_table(spark, f"{base}/none", LABELS).count() == 0
+    (tmp_path / "t.csv").write_text("rel_path,label_raw\na,X\n")
+    assert [r.rel_path for r in tables.load_table(spark, f"{base}/t", LABELS).collect()] == ["a"]
+    spark.createDataFrame([("p",)], "rel_path string").write.parquet(f"{base}/t.parquet")
+    assert [r.rel_path for r in tables.load_table(spark, f"{base}/t", LABELS).collect()] == ["p"]
+    assert [r.rel_path for r in tables.read_csv_bytes(spark, b"rel_path,size_bytes\nx,7\n", INVENTORY).collect()] == ["x"] and tables.read_csv_bytes(spark, b"", INVENTORY).count() == 0
+    assert tables.read_json(spark, f"{base}/none.json") == {} == tables.read_json(spark, f"{base}/t.csv")
+    assert tables.inventory_identity(spark, f"{base}/t.csv").startswith("hash:") and tables.inventory_identity(spark, "/x/inventory/run7/inventory.csv") == "run7"
+    tables.write_json(spark, f"{base}/run_log.json", {"inventory_run_id": "r1", "root": "/data/src"})
+    assert tables.inventory_identity(spark, f"{base}/t.csv") == "r1" and tables.infer_source_root(spark, f"{base}/t.csv") == ("/data/src", "src")
+    assert set(tables.prepare_folders(spark, f"{base}/made")) == {"outputs", "inventory", "probe", "labels", "models", "classification"} and (tmp_path / "made/models/doc_type").is_dir()
+
+
+def test_labels_of_an_old_file(spark):
+    inv = spark.createDataFrame([("7", "A/f.pdf", "A", "abc", 1, "t")], "doc_id string, rel_path string, top_level_folder string, hash_value string, size_bytes long, modified_time string")
+    old = spark.createDataFrame([("A\\f.pdf", "text_pdf", ""), ("", "IMAGE_PDF", "7")], "rel_path string, label string, doc_id_at_label_time string")
+    found = sorted((r.rel_path, r.label_raw, r.label_norm, r.notes) for r in tables.load_labels(old, inv).collect())
+    assert found == [("A/f.pdf", "IMAGE_PDF", "IMAGE_PDF", ""), ("A/f.pdf", "text_pdf", "IMAGE_OF_TEXT_PDF", "")]
+    assert [(r.rel_path, r.top_level_folder, r.extension) for r in tables.load_inventory(spark.createDataFrame([("B\\x.PDF", None, ".PDF")], "rel_path string, top_level_folder string, extension string")).collect()] == [("B/x.PDF", "B", "pdf")]
+
+
+def test_streamed_links_update_the_manifest(spark, tmp_path):
+    schema = "url string, etag string, last_modified string, content_length long"
+    source, manifest = str(tmp_path / "s"), str(tmp_path / "m")
+    kinds = spark.createDataFrame([], f"{schema}, status string").schema
+    for k, rows in enumerate(([("a", "1", None, 1), ("b", "1", None, 1)], [("a", "1", None, 1), ("b", "2", None, 2)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ingest.follow_links(stream, manifest, str(tmp_path / "c"), kinds)
+        expected = {"a": "downloaded", "b": "downloaded"} if k == 0 else {"a": "skipped", "b": "downloaded"}
+        assert {r.url: r.status for r in spark.read.parquet(f"{manifest}/version={k}").collect()} == expected
+
+
+def test_catalog_export(spark, tmp_path):
+    from folioforge.sources import export
+
+    export.catalog_json(spark.createDataFrame([("a",)], "title string"), {"probe": "p"}, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c/meta")).first().item_count == 1
+    with pytest.raises(ValueError):
+        export.catalog_json(spark.createDataFrame([("x" * 301,)], "title string"), {}, str(tmp_path / "d"))
+    export.write_manifest(spark.createDataFrame([("b", None), ("a", "x")], "url string, etag string"), str(tmp_path / "m"))
+    assert [r.url for r in spark.read.json(str(tmp_path / "m")).collect()] == ["a", "b"]
