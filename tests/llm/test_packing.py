@@ -53,6 +53,19 @@ def test_ids_are_the_tokenizers():
         assert flat[bounds[k] : bounds[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_stay_right_when_runs_are_forgotten(monkeypatch):
+    from folioforge.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    monkeypatch.setattr(tokens, "RECENT", 15)
+    rng, tokenizer, encoder = np.random.default_rng(3), Tokenizer.from_file(PATH), RunEncoder(PATH)
+    for _ in range(40):
+        texts = [" ".join(f"word{rng.zipf(1.3) % 500}" for _ in range(30)) for _ in range(3)]
+        flat, bounds = encoder.encode([t.encode() for t in texts])
+        for k, t in enumerate(texts):
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def check(rows, texts, capacity=2048):
     """The pieces of every text, gapless sequences, and how many there are."""
     tokenizer = Tokenizer.from_file(PATH)
