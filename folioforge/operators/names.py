@@ -192,10 +192,13 @@ def query_key(query: Column) -> Column:
     return F.when(q.contains(","), comma).when(q.contains(" "), F.concat_ws("|", F.substring_index(q, " ", -1), F.substring_index(q, " ", 1)))
 
 
-def _grams(text, sizes: tuple[int, ...] = (1, 2, 3)):
+def _grams(text):
     """The distinct runs of one to three characters of a short text."""
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in sizes]
-    return F.array_distinct(F.concat(*each))
+
+    def runs(n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
 
 def lookup(records: DataFrame, queries: DataFrame) -> DataFrame:

@@ -87,6 +87,14 @@ def test_name_index_counts_pages_and_prefers_mixed_case(spark):
     assert [(d.rel_path, [(p.page_num, p["count"]) for p in d.pages]) for d in index[0].internal_docs] == [("a", [(1, 1)]), ("b", [(1, 1), (2, 2)])]
 
 
+def test_lookup_goes_on_only_without_an_answer(spark):
+    docs = names.name_documents(names.mentions_of(spark.createDataFrame([(1, "a", 1, "John Smith\nJane Q. Smithers\nAl Bo"), (2, "b", 1, "John Smith")], "doc_id long, rel_path string, page_num int, text string")))
+    queries = spark.createDataFrame([(q,) for q in ("Smith, John", "jane q smithers", "mith", "b", "bo, al", "nobody", " ", "SMITH  JOHN")], "query string")
+    found = sorted((r.query, r.stage, r.canonical_key) for r in names.lookup(names.name_records(docs), queries).collect())
+    assert found == [("SMITH  JOHN", 2, "smith|john"), ("Smith, John", 1, "smith|john"), ("b", 3, "bo|al"), ("bo, al", 1, "bo|al"), ("jane q smithers", 1, "smithers|jane"), ("mith", 3, "smithers|jane"), ("mith", 3, "smith|john")]
+    assert [r.canonical_key for r in names.search(names.name_records(docs), "JO", least=2).collect()] == ["smith|john"]
+
+
 def test_name_cap_drops_the_whole_document(spark):
     rows = [(1, "a", 1, "John Smith"), (1, "a", 2, "Jane Roe"), (2, "b", 1, "John Smith")]
     mentions = names.mentions_of(spark.createDataFrame(rows, "doc_id long, rel_path string, page_num int, text string"))
