@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, join_split
 from .memory import lean
-from .scratch import drop_spent_shuffles, materialise
+from .scratch import drop_spent_shuffles, materialise, only_result
 from .words import PLACES, SPACED, mix, shingles, split_words, text_batches
 
 #: Parts of the global order in which overlaps are counted by themselves.
@@ -254,6 +254,7 @@ def _distinct_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
+@only_result
 def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose n-gram sets are linked by Jaccard similarity of at least percent/100.
 

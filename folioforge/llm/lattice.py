@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .memory import lean
-from .scratch import drop_spent_shuffles, materialise
+from .scratch import drop_spent_shuffles, materialise, only_result
 from .words import SPACED, split_words, text_batches
 
 #: A block ends with the batch that brings it to so many words or distinct words.
@@ -348,6 +348,7 @@ def _score_docs(id_type: pa.DataType, denominator: int, ends: int, end: float):
     return run
 
 
+@only_result
 def score_texts(docs: DataFrame, learn: Column, model_file: str, *, rounds: int = ROUNDS) -> DataFrame:
     """log10 probability of every row's whole text under a model learned from the rows where ``learn`` holds.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .memory import lean
-from .scratch import materialise
+from .scratch import materialise, only_result, smallest
 
 #: Vectors that the tree is fitted and calibrated on at most (those with the smallest hash), in number and bytes.
 SAMPLE, SAMPLE_BYTES = 100_000, 64 << 20
@@ -277,6 +277,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.size("embedding").alias("size"))
 
 
+@only_result
 def nearest_neighbours(vectors: DataFrame, is_query, *, neighbours: int = 20, recall: float = 0.95, sample: int = SAMPLE, subtree: int = SUBTREE) -> DataFrame:
     """Each query's nearest other vectors by inner product in double precision.
 
@@ -301,7 +302,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, neighbours: int = 20, re
     rank = F.row_number().over(Window.partitionBy("place", "vector").orderBy("vec_id"))
     index = hashed.withColumn("nth", rank).filter(F.col("nth") <= listed).groupBy("place", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     index = materialise(index.select("vector", "ids", "place"), "distinct")
-    taken = index.orderBy("place").limit(min(sample, SAMPLE_BYTES // (8 * dims))).select("vector").toArrow()  # bounded
+    taken = smallest(index, "place", min(sample, SAMPLE_BYTES // (8 * dims))).select("vector").toArrow()  # bounded
     leaf_size = max(LEAST, LEAF_ROWS * taken.num_rows // 2 // max(1, index.count()))
     tree = fit_tree(_matrix(taken.column(0), dims), neighbours=neighbours, recall=recall, leaf_size=leaf_size)
     index = materialise(index.select("vector", "ids").mapInArrow(lean(_leaves(tree, dims)), "vector array<double>, ids array<long>, leaf int"), "index")

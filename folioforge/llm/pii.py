@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .memory import lean
-from .scratch import materialise
+from .scratch import materialise, smallest
 from .words import text_batches
 
 #: Kinds in the order in which spans with one start are listed; the last is the tagger's alone.
@@ -539,7 +539,7 @@ def train_pii(docs: DataFrame, *, windows: int = TRAIN_WINDOWS, how: Tagger = Ta
     import pickle
 
     found = docs.select("text").mapInArrow(lean(_training_windows), "part string, tags binary").withColumn("place", F.xxhash64("part"))
-    sample = materialise(found.distinct().orderBy("place", "part").limit(windows), "windows")
+    sample = smallest(materialise(found.distinct(), "windows"), "place", windows)
     fitted = sample.repartition(1).sortWithinPartitions("place", "part", "tags").select("part", "tags").mapInArrow(lean(_fit(how, windows)), "weights binary").collect()
     return pickle.loads(fitted[0]["weights"]) if fitted else None
 

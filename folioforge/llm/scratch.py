@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import gc
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
     conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
-        spark.sparkContext.setCheckpointDir(found)
+    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/folioforge"
     return found.rstrip("/")
 
 
@@ -39,15 +38,48 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the intermediate tables written so far."""
-    while _WRITTEN:
+def release(since: int = 0) -> None:
+    """Delete the intermediate tables written so far, or those after the first ``since``."""
+    while len(_WRITTEN) > since:
         spark, path = _WRITTEN.pop()
         with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
             target = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def only_result(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written and whose other tables go as soon as that is done.
+
+    For results that are small beside what led to them: a long session's disk then holds results only.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        before = len(_WRITTEN)
+        result = materialise(operator(*args, **options), "result")
+        kept = _WRITTEN.pop()
+        release(before)
+        _WRITTEN.append(kept)
+        return result
+
+    return run
+
+
+def smallest(rows: DataFrame, place: str, n: int) -> DataFrame:
+    """The at most n rows with the smallest 64-bit hash in ``place``, in that order.
+
+    A bound on the hash comes first, from the number of rows, so that one task meets little more than n of them
+    however many tasks there are; should the bound have cut off too many, it is doubled. rows are read for each try.
+    """
+    total, expected = rows.count(), 1.5 * n + 100
+    while expected < total:
+        near = rows.filter(F.col(place) < F.lit(int(-(2**63) + expected / total * 2**64)))
+        if near.count() >= n:
+            return near.orderBy(place).limit(n)
+        expected *= 2
+    return rows.orderBy(place).limit(n)
+
+
 atexit.register(release)
 
 

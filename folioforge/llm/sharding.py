@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, only_result
 
 #: A group of more than this share of all rows is dealt by a broadcast of at most so many groups.
 HEAVY = 4096
@@ -140,6 +140,7 @@ def _ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("place", place).join(base, [key, "part"]).withColumn("place", F.col("base") + F.col("place")).drop("base")
 
 
+@only_result
 def shard_documents(docs: DataFrame, *, shards: int = 24, overhead: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """Deal documents to shards of nearly equal bytes; equal texts stay together.
 
@@ -183,7 +184,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, overhead: int = 8, kee
 def write_shards(docs: DataFrame, path: str, *, shards: int = 24) -> None:
     """Shard documents and write each row, all its columns, with its slot: a folder of Parquet files a shard.
 
-    Rows are dealt as shard_documents() does; columns of docs named like its results are written as theirs.
+    Rows are dealt as shard_documents() does, without its result written apart; columns of docs named like its results are written as theirs.
     """
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "shard", "slot"))
-    shard_documents(docs, shards=shards, keep=keep).write.partitionBy("shard").parquet(path)
+    shard_documents.__wrapped__(docs, shards=shards, keep=keep).write.partitionBy("shard").parquet(path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .memory import lean
-from .scratch import materialise
+from .scratch import materialise, smallest
 from .words import ALNUM, PLACES, Words, mix, split_words, text_batches
 
 #: Labelled rows that training takes at most: those with the smallest hash of their id.
@@ -144,7 +144,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS
     ids, among documents or labels, the first ``rows`` pairs in that order. One task fits it: its size is
     bounded by ``rows``, and an example is two bytes a feature. Without a usable label every score is ``prior``.
     """
-    chosen = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).orderBy("place").limit(rows)
+    chosen = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
+    chosen = smallest(chosen, "place", rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "place", "label")
     held = materialise(sample.mapInArrow(lean(_extract(bits)), "place long, label int, indices binary"), "examples")
     fitted = held.repartition(1).sortWithinPartitions("place", "label", "indices").mapInArrow(lean(_fit(how, bits, rows)), "index long, weight double")
