@@ -79,15 +79,6 @@ def extract_folder(archive: Column) -> Column:
     return F.concat(F.regexp_replace(file_name(archive), r"\.[^.]+$", ""), F.lit("_"), F.substring(F.sha2(archive.cast("binary"), 256), 1, 8))
 
 
-def human_bytes(size: Column) -> Column:
-    """Bytes in the largest unit that leaves at least one; null is "unknown"."""
-    value = size.cast("double")
-    out = F.format_string("%.1f TB", F.bround(value / 1024.0**4, 1))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(value < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(value / 1024.0**power, 1))).otherwise(out)
-    return F.when(size.isNull(), "unknown").when(value < 1024, F.format_string("%d B", size.cast("long"))).otherwise(out)
-
-
 _KNOWN = mimetypes.MimeTypes()
 #: Registered types that Python's table lacks in some versions.
 _REGISTERED = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import paths
+from folioforge.functions.formats import number
 from folioforge.functions.text import count, literal
 
 
@@ -18,20 +19,22 @@ def _or_null(df: DataFrame, column: str) -> Column:
 
 
 #: What a catalog entry takes from the probe; and from the inventory, where an inventory has such a column.
-_OF_PROBE = ("doc_type_final", "content_type_pred", "content_type", "classification", "text_quality_label", "title", "summary", "doj_url", "source_url", "download_url")
+_OF_PROBE = ("doc_type_final", "content_type_pred", "content_type", "classification", "text_quality_label", "title", "summary")
+#: Columns that may hold a document's address; the first filled one counts.
+URLS = ("document_url", "source_url", "download_url")
 
 
-def public_index(inv: DataFrame, docs: DataFrame, source_root: str | None = None) -> DataFrame:
+def public_index(inv: DataFrame, docs: DataFrame, source_root: str | None = None, urls: tuple[str, ...] = URLS) -> DataFrame:
     """One metadata row a file: what the probe (with the text scan's columns) knows of its path, fallbacks elsewhere.
 
     Of several probed documents of a path the first counts. Blank values count as missing; a page count or size
     that is no number is 0.
     """
-    columns = [_or_null(docs, c).alias(c) for c in _OF_PROBE]
+    columns = [*(_or_null(docs, c).alias(c) for c in _OF_PROBE), F.coalesce(*(_or_null(docs, c) for c in urls)).alias("url")]
     pages = (docs["page_count"].try_cast("bigint") if "page_count" in docs.columns else F.lit(None).cast("bigint")).alias("page_count")
     probe = docs.select(paths.normalize_rel_path(F.col("rel_path")).alias("norm_path"), F.struct("doc_id", pages, *columns).alias("p")).groupBy("norm_path").agg(F.min("p").alias("p"))
-    names = ("file_id", "rel_path", "extension", "detected_mime", "dataset", "top_level_folder", "title", "summary", "doj_url", "modified_time", "created_time")
-    files = inv.select(*(_or_null(inv, c).alias(c) for c in names), F.coalesce(inv["size_bytes"].try_cast("bigint"), F.lit(0)).alias("size_bytes"))
+    names = ("file_id", "rel_path", "extension", "detected_mime", "dataset", "top_level_folder", "title", "summary", "modified_time", "created_time")
+    files = inv.select(*(_or_null(inv, c).alias(c) for c in names), F.coalesce(*(_or_null(inv, c) for c in urls)).alias("url"), F.coalesce(inv["size_bytes"].try_cast("bigint"), F.lit(0)).alias("size_bytes"))
     files = files.withColumn("norm_path", paths.normalize_rel_path(F.col("rel_path")))
     rows = files.join(probe, "norm_path", "left")
     ext = F.lower("extension")
@@ -43,7 +46,7 @@ def public_index(inv: DataFrame, docs: DataFrame, source_root: str | None = None
         F.coalesce("file_id", F.nullif("norm_path", F.lit("")), title).alias("id"), title.alias("title"), F.coalesce("summary", "p.summary").alias("summary"),
         F.coalesce("p.doc_type_final", other).alias("doc_type_final"), F.coalesce("p.content_type_pred", "p.content_type", F.when(~pdf, F.col("detected_mime"))).alias("content_type"),
         F.col("p.classification").alias("classification"), F.col("p.text_quality_label").alias("text_quality_label"), F.coalesce("p.page_count", F.lit(0)).alias("page_count"),
-        F.coalesce("dataset", "top_level_folder", F.lit(source_root), F.lit("Unknown")).alias("dataset"), F.coalesce("p.doj_url", "p.source_url", "p.download_url", "doj_url").alias("doj_url"),
+        F.coalesce("dataset", "top_level_folder", F.lit(source_root), F.lit("Unknown")).alias("dataset"), F.coalesce("p.url", "url").alias("document_url"),
         "rel_path", ext.alias("extension"), "detected_mime", "size_bytes", "modified_time", "created_time",
     )
 
@@ -73,6 +76,14 @@ def breakdown(index: DataFrame) -> DataFrame:
 _COUNTS = ("page_count", "pages_with_text", "total_text_chars")
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """Documents of any run made comparable: counts that are none are 0, classes Unknown, texts empty."""
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("doc_id", "rel_path", "top_level_folder")}
+    counts = {c: (number(F.col(c)).cast("long") if c in docs.columns else F.lit(0).cast("long")) for c in _COUNTS}
+    kind = F.coalesce("classification", F.lit("Unknown")) if "classification" in docs.columns else F.lit("Unknown")
+    return docs.select(*(c.alias(n) for n, c in texts.items()), *(c.alias(n) for n, c in counts.items()), (number(F.col("text_coverage_pct")) if "text_coverage_pct" in docs.columns else F.lit(0.0)).alias("text_coverage_pct"), kind.alias("classification"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Documents of two runs side by side: where they are, class before and after, differences (absent: 0)."""
     cols = ["doc_id", "classification", *_COUNTS]

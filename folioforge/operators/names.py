@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.formats import page_list
 from folioforge.functions.text import SPACE, lines, strip
 
 #: Pieces of the name patterns.
@@ -114,7 +115,9 @@ def name_records(docs: DataFrame, min_total_count: int = 1) -> DataFrame:
 
 
 #: What an exported record says of a document, besides its pages and their sum.
-METADATA = ("page_count", "top_level_folder", "doj_url", "doc_type_final", "content_type", "title")
+METADATA = ("page_count", "top_level_folder", "document_url", "doc_type_final", "content_type", "title")
+#: Columns that may hold a document's address; the first filled one counts.
+URLS = ("document_url", "source_url", "download_url")
 
 
 def name_index(docs: DataFrame, metadata: DataFrame | None = None, min_total_count: int = 1) -> DataFrame:
@@ -129,11 +132,11 @@ def name_index(docs: DataFrame, metadata: DataFrame | None = None, min_total_cou
     return by.filter(F.col("total_count") >= min_total_count)
 
 
-def document_metadata(probe_docs: DataFrame, signals: DataFrame, pdfs: DataFrame, only_good: bool = True) -> DataFrame:
+def document_metadata(probe_docs: DataFrame, signals: DataFrame, pdfs: DataFrame, only_good: bool = True, urls: tuple[str, ...] = URLS) -> DataFrame:
     """Documents that are indexed: the text scan's label and type over the probe's own, folder and id from the
     inventory where the probe has none; only those of good text, if wanted and if the scan has labels.
 
-    The address is the first filled one of doj_url, source_url and download_url; the title falls back to the file name.
+    The address is the first filled one of the columns in ``urls``; the title falls back to the file name.
     """
     def filled(df: DataFrame, name: str):
         return F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name in df.columns else F.lit(None).cast("string")
@@ -144,28 +147,28 @@ def document_metadata(probe_docs: DataFrame, signals: DataFrame, pdfs: DataFrame
     name = F.element_at(F.split("rel_path", "/"), -1)
     rows = probe_docs.select(
         "rel_path", F.col("doc_id").cast("string").alias("own_id"), F.col("page_count").cast("int").alias("page_count"), filled(probe_docs, "top_level_folder").alias("own_folder"),
-        F.coalesce(*(filled(probe_docs, c) for c in ("doj_url", "source_url", "download_url"))).alias("doj_url"), filled(probe_docs, "doc_type_final").alias("doc_type_final"),
+        F.coalesce(*(filled(probe_docs, c) for c in urls)).alias("document_url"), filled(probe_docs, "doc_type_final").alias("doc_type_final"),
         F.coalesce(filled(probe_docs, "title"), name).alias("title"),
     )
     rows = rows.join(text, "rel_path", "left").join(files, "rel_path", "left")
     if only_good and labelled:
         rows = rows.filter(F.col("s.label") == "GOOD")
     return rows.select(
-        F.coalesce("own_id", "f.file_id").alias("doc_id"), "rel_path", "page_count", F.coalesce("own_folder", "f.folder", F.lit("")).alias("top_level_folder"), "doj_url", "doc_type_final",
+        F.coalesce("own_id", "f.file_id").alias("doc_id"), "rel_path", "page_count", F.coalesce("own_folder", "f.folder", F.lit("")).alias("top_level_folder"), "document_url", "doc_type_final",
         F.col("s.kind").alias("content_type"), "title", F.coalesce(F.col("s.label"), F.lit("UNKNOWN")).alias("text_quality_label"),
     )
 
 
 def flatten(docs: DataFrame) -> DataFrame:
     """One row for each name and document, with the name's display form, and variants and pages as text."""
-    shown = F.array_join(F.transform("pages", lambda p: F.format_string("p.%d (%d×)", p["page_num"], p["count"])), ", ")
+    shown = page_list(F.col("pages"))
     of_name = name_records(docs).select("canonical_key", "display_name", F.array_join("variants", ", ").alias("variants"))
     return docs.select("canonical_key", "doc_id", "rel_path", shown.alias("page_list"), "total_count").join(of_name, "canonical_key")
 
 
 def public_records(index: DataFrame) -> DataFrame:
     """What may be published: names, documents, pages; no text."""
-    kept = ("doc_id", "rel_path", "page_count", "doj_url", "doc_type_final", "title", "pages", "total_count")
+    kept = ("doc_id", "rel_path", "page_count", "document_url", "doc_type_final", "title", "pages", "total_count")
     docs = F.transform("internal_docs", lambda d: F.struct(*(d[k].alias(k) for k in kept)))
     return index.select("canonical_key", "display_name", F.to_json(docs).alias("docs_json"))
 

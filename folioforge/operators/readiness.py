@@ -47,6 +47,12 @@ def docs(page_table: DataFrame, at: Thresholds = Thresholds()) -> DataFrame:
     )
 
 
+def with_notes(doc_table: DataFrame, errors: DataFrame) -> DataFrame:
+    """Documents with what went wrong with them, one after the other; empty where nothing did."""
+    notes = errors.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("notes"))
+    return doc_table.join(notes, "doc_id", "left").withColumn("notes", F.coalesce("notes", F.lit("")))
+
+
 def heuristic(classification: Column) -> Column:
     return F.when(classification == "Text-based", "TEXT_PDF").when(classification == "Scanned", "IMAGE_PDF").when(classification == "Mixed", "MIXED_PDF")
 

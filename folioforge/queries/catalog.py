@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import paths
+from folioforge.functions import formats, paths
 from folioforge.operators import catalogue_views as views
 from folioforge.operators import doctype, probe, raster, readiness, textscan
 from folioforge.plans import adapters
@@ -42,7 +42,7 @@ cat AS (
   FROM inv i LEFT JOIN probed p USING (rel_path))
 """
 )
-query("public_index", _PUBLIC + "SELECT * FROM cat")(lambda s, d: _catalog(s, d).drop("summary", "doj_url", "created_time"))
+query("public_index", _PUBLIC + "SELECT * FROM cat")(lambda s, d: _catalog(s, d).drop("summary", "document_url", "created_time"))
 query("catalog_order", _PUBLIC + "SELECT dataset, rel_path, id FROM cat ORDER BY dataset, rel_path")(lambda s, d: views.catalog_order(_catalog(s, d)).select("dataset", "rel_path", "id"))
 query("catalog_breakdown", _PUBLIC + "SELECT dataset, extension AS ext, count(*) AS items, sum(size_bytes)::BIGINT AS bytes FROM cat GROUP BY ALL")(lambda s, d: views.breakdown(_catalog(s, d)))
 query("catalog_datasets", _PUBLIC + "SELECT dataset, count(*) AS items, count(DISTINCT split_part(rel_path, '/', 1)) AS volumes FROM cat GROUP BY 1")(lambda s, d: views.dataset_summary(_catalog(s, d)))
@@ -163,6 +163,25 @@ query("train_eval_split", """SELECT doc_id, quality, row_number() OVER (PARTITIO
   FROM labels""")(
     lambda s, d: doctype.split(table(s, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.25, 7),
 )
+def _written(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "doc_id", formats.percent(F.col("text_coverage_pct")).alias("coverage"), formats.percent(formats.share(F.col("pages_with_text"), F.col("page_count") - 1), 2).alias("share"),
+        formats.signed((F.col("total_text_chars") - 1000).cast("long")).alias("delta"), formats.signed_percent(F.col("text_coverage_pct") - 0.5).alias("delta_pct"),
+    )
+
+
+query(
+    "written_numbers",
+    sql.READY
+    + """SELECT doc_id, printf('%.1f%%', text_coverage_pct * 100) AS coverage, printf('%.2f%%', coalesce(pages_with_text / nullif(page_count - 1, 0), 0) * 100) AS share,
+    CASE WHEN total_text_chars > 1000 THEN '+' ELSE '' END || format('{:,}', total_text_chars - 1000) AS delta,
+    CASE WHEN text_coverage_pct > 0.5 THEN '+' ELSE '' END || printf('%.1f%%', (text_coverage_pct - 0.5) * 100) AS delta_pct
+  FROM rdocs""",
+)(lambda s, d: _written(ready_docs(s, d)))
+query(
+    "prepared_runs",
+    sql.READY + "SELECT doc_id::VARCHAR AS doc_id, rel_path, '' AS top_level_folder, page_count, pages_with_text, 0::BIGINT AS total_text_chars, text_coverage_pct, 'Unknown' AS classification FROM rdocs",
+)(lambda s, d: views.prepared(ready_docs(s, d).drop("classification").withColumns({"page_count": F.col("page_count").cast("string"), "total_text_chars": F.lit("many")})))
 query("sorted_by_size", _FILES + "SELECT rel_path, page_count, size_mb FROM fdocs ORDER BY size_mb DESC, rel_path")(
     lambda s, d: views.sort_documents(views.with_files(ready_docs(s, d), adapters.inventory(s, d)), "size", ascending=False).select("rel_path", "page_count", "size_mb"),
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions import paths
+from folioforge.functions import formats, paths
 from folioforge.operators import inventory, probe
 from folioforge.plans import adapters
 from folioforge.plans.adapters import table, with_tables
@@ -24,10 +24,10 @@ def on_inventory(name: str, operator: Callable[[DataFrame], DataFrame], oracle:
 
 on_inventory(
     "inventory_scan",
-    lambda inv: inv.select("rel_path", "top_level_folder", "extension", "detected_mime", "size_bytes", "modified_time", paths.file_name(F.col("rel_path")).alias("name"), paths.parent(F.col("rel_path")).alias("folder"), paths.file_category(F.col("extension"), F.col("detected_mime")).alias("category"), paths.human_bytes(F.col("size_bytes")).alias("size_text")),
+    lambda inv: inv.select("rel_path", "top_level_folder", "extension", "detected_mime", "size_bytes", "modified_time", paths.file_name(F.col("rel_path")).alias("name"), paths.parent(F.col("rel_path")).alias("folder"), paths.file_category(F.col("extension"), F.col("detected_mime")).alias("category"), formats.human_bytes(F.col("size_bytes")).alias("size_text")),
     """SELECT rel_path, top_level_folder, extension, detected_mime, size_bytes, modified_time, split_part(rel_path, '/', 3) AS name, regexp_replace(rel_path, '/[^/]*$', '') AS folder,
   CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'csv' THEN 'csv' WHEN 'jpg' THEN 'image' ELSE 'other' END AS category,
-  CASE WHEN size_bytes < 1024 THEN printf('%d B', size_bytes) ELSE printf('%.1f KB', size_bytes / 1024) END AS size_text
+  CASE WHEN size_bytes < 1024 THEN printf('%.1f B', size_bytes::DOUBLE) ELSE printf('%.1f KB', size_bytes / 1024) END AS size_text
   FROM inv""",
 )
 on_inventory(

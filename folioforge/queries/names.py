@@ -89,7 +89,7 @@ _METADATA = SIGNALS + """, meta AS (
     split_part(r.rel_path, '/', -1) AS title
   FROM rdocs r JOIN signals s ON r.rel_path = s.rel_path WHERE text_quality_label = 'GOOD')
 """
-query("document_metadata", _METADATA + "SELECT doc_id, rel_path, page_count, top_level_folder, NULL::VARCHAR AS doj_url, NULL::VARCHAR AS doc_type_final, content_type, title, 'GOOD' AS text_quality_label FROM meta")(
+query("document_metadata", _METADATA + "SELECT doc_id, rel_path, page_count, top_level_folder, NULL::VARCHAR AS document_url, NULL::VARCHAR AS doc_type_final, content_type, title, 'GOOD' AS text_quality_label FROM meta")(
     _metadata,
 )
 query(

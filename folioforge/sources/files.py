@@ -179,7 +179,8 @@ def read_contents(inventory: DataFrame, root: str) -> DataFrame:
     at = F.instr("rel_path", paths.MEMBER)
     file = F.when(at > 0, F.substring("rel_path", F.lit(1), at - 1)).otherwise(F.col("rel_path"))
     member = F.when(at > 0, F.substring("rel_path", at + 2, F.length("rel_path")))
-    rows = inventory.select("rel_path", F.concat(F.lit(root.rstrip("/") + "/"), file).alias("path"), member.alias("member"))
+    folder = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
+    rows = inventory.select("rel_path", F.concat(F.lit(folder), file).alias("path"), member.alias("member"))
     return rows.mapInPandas(_content, "path string, content binary, error string")
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.cli import run_id
-from folioforge.functions import paths, text
+from folioforge.functions import formats, paths, text
 from folioforge.operators import catalogue_views, incremental, inventory, labels, names, raster, readiness, textscan
 from folioforge.schemas import INVENTORY, ensure_columns
 
@@ -50,6 +50,23 @@ def test_classify(spark, share, average, kind):
     assert one(spark, readiness.classify(F.col("s"), F.col("a"), F.lit(0)), s=share, a=average) == "Unknown"
 
 
+@pytest.mark.parametrize(("size", "shown"), [(0, "0.0 B"), (1023, "1023.0 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (-2048, "-2.0 KB"), (5 * 1024**5, "5.0 PB"), (None, "unknown")])
+def test_human_bytes(spark, size, shown):
+    frame = spark.createDataFrame([(size,)], "s long")
+    assert frame.select(formats.human_bytes(F.col("s"))).first()[0] == shown
+
+
+def test_numbers_from_anything(spark):
+    frame = spark.createDataFrame([("7",), ("x",), (None,), ("NaN",), (" 2.5 ",)], "v string")
+    assert [r[0] for r in frame.select(formats.number(F.col("v"), -1)).collect()] == [7.0, -1.0, -1.0, -1.0, 2.5]
+
+
+def test_notes_of_documents(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    errors = spark.createDataFrame([(1, "b"), (1, "a")], "doc_id long, error string")
+    assert {r.doc_id: r.notes for r in readiness.with_notes(docs, errors).collect()} == {1: "a; b", 2: ""}
+
+
 @pytest.mark.parametrize(("value", "n"), [("", 0), ("a", 1), ("a\n", 1), ("a\r\nb", 2), ("a\n\nb", 3), ("a\x0bb\x0cc d", 4), ("\n", 1)])
 def test_lines(spark, value, n):
     assert one(spark, F.size(text.lines(F.col("t"))), t=value) == n == len(value.splitlines())
@@ -262,7 +279,7 @@ def test_catalog_fallbacks(spark):
     inv = spark.createDataFrame([("1", "A\\x.PDF", "PDF", "application/pdf", "A", "12"), (None, "y", None, " ", " ", "many"), ("3", None, "txt", "text/plain", None, None)], schema)
     docs = spark.createDataFrame([("9", "A/x.PDF", 3, " ", "http://u")], "doc_id string, rel_path string, page_count int, doc_type_final string, source_url string")
     found = {r.id: r for r in catalogue_views.public_index(inv, docs, "root").collect()}
-    assert (found["1"].doc_type_final, found["1"].page_count, found["1"].doj_url, found["1"].title, found["1"].size_bytes) == ("PDF (unprobed)", 3, "http://u", "A\\x.PDF", 12)
+    assert (found["1"].doc_type_final, found["1"].page_count, found["1"].document_url, found["1"].title, found["1"].size_bytes) == ("PDF (unprobed)", 3, "http://u", "A\\x.PDF", 12)
     assert (found["y"].doc_type_final, found["y"].content_type, found["y"].dataset, found["y"].size_bytes) == ("NON_PDF", None, "root", 0)
     assert (found["3"].doc_type_final, found["3"].content_type, found["3"].title) == ("NON_PDF (txt)", "text/plain", "Untitled document")
 
