@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.llm.edits import Counter, CountTree, count_tokens, masking_edits
 from folioforge.llm.pii import KINDS, base_spans
@@ -118,3 +119,9 @@ def test_query(spark, documents, counter):
     rows = QUERIES["op10_token_counts"](spark, TABLES).collect()
     assert found(rows) == expected(counter, list(documents.items()))
     assert all(r.n_encoded_again <= 12 * r.n_edits for r in rows)
+
+
+def test_masking_ignores_other_columns(frame):
+    docs = frame([(1, "a@b.cc x")]).withColumn("edits", F.lit("mine"))
+    rows = masking_edits(docs)
+    assert rows.columns == ["doc_id", "text", "edits"] and [(e.start, e.end, e.replacement) for e in rows.first().edits] == [(0, 6, "[EMAIL]")]

@@ -95,3 +95,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {r.node: r.root for r in rows} == {k: 100 for k in range(101, 161)} | {k: 7 for k in range(200, 260)}
     none = connected_components(spark.createDataFrame([], "a long, b long").select(F.col("a"), F.col("b")))
     assert none.collect() == []
+
+
+def test_components_ignore_other_columns(spark):
+    rows = spark.createDataFrame([(1, 2, "x", 9, 5), (2, 3, "y", 9, 5)], "a long, b long, m string, d long, root long")
+    assert {r.node: r.root for r in connected_components(rows).collect()} == {2: 1, 3: 1}
+
+
+def test_one_document_near_a_third_of_all(frame):
+    """A star in the links, a hot n-gram in the lists, and copies without end."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(50)]
+    texts = [(k, " ".join(base)) for k in range(60)]
+    for k in range(80):
+        own = list(base)
+        own[rng.randrange(50)] = f"x{k}"
+        texts.append((100 + k, " ".join(own)))
+    texts += [(300 + k, " ".join([*base[:8], *(f"y{k}_{j}" for j in range(40))])) for k in range(100)]
+    assert found(jaccard_components(frame(texts)).collect()) == brute(texts)
