@@ -296,8 +296,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80) -> Dat
 
 def _labelled(scan: DataFrame, roots: DataFrame) -> DataFrame:
     classes = scan.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(lowest, "root").select("class", "component_id")
+    rooted = materialise(classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("d"))
+    of_class = join_split(rooted, lowest, "root", rooted.count()).select("class", "component_id")
     out = scan.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     return out.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
