@@ -75,7 +75,7 @@ def samples(n, seed):
 
 
 def test_tagger_learns_from_labelled_spans(frame):
-    model = pii.train_pii(frame(list(enumerate(samples(250, 1)))))
+    model = pii.train_pii(frame(list(enumerate(samples(250, 1)))), how=pii.Tagger(epochs=6))
     held = samples(60, 2)
     found = pii.tagged_spans(model, held)
     assert sum(pii.base_spans(t) == f for t, f in zip(held, found, strict=True)) >= 45
@@ -83,7 +83,12 @@ def test_tagger_learns_from_labelled_spans(frame):
 
 @pytest.fixture(scope="module")
 def trained(spark):
-    return pii.train_pii(spark.read.parquet(f"{TABLES}/documents.parquet"))
+    return pii.train_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
 
 
 def variants(n, seed):
@@ -106,17 +111,15 @@ def test_precision_and_recall_on_held_out_variants(trained):
     assert len(missed) > 150 and sum(own[0] in f for _, own, f in missed) >= 0.75 * len(missed)
 
 
-def test_tagger_finds_what_patterns_label(trained, documents):
+def test_tagger_finds_what_patterns_label(trained, texts):
     """The patterns' own matches in the table, up to a window's reach."""
-    texts = [t for t in documents.values() if pii.base_spans(t)]
+    texts = [t for t in texts if pii.base_spans(t)]
     found = pii.tagged_spans(trained, texts)
     base = [(k, s) for k, t in enumerate(texts) for s in pii.base_spans(t)]
     assert base and sum(s in found[k] for k, s in base) >= 0.8 * len(base)
 
 
-def test_spans_are_added_on_the_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    trained, texts = pii.train_pii(docs), [r.text or "" for r in docs.select("text").collect()]
+def test_spans_are_added_on_the_table(trained, texts):
     added = [(t, s) for t in texts for s in pii.all_spans(pii.base_spans(t), pii.tagged_spans(trained, [t])[0]) if s not in pii.base_spans(t)]
     named = sum(len(pii._NAMED.findall(t)) for t in texts)
     assert named and sum(s[1] == 4 for _, s in added) >= 0.9 * named

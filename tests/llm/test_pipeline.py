@@ -1,3 +1,4 @@
+import functools
 import re
 import zlib
 
@@ -13,6 +14,14 @@ from tests.conftest import TABLES
 from .conftest import ODD
 
 
+@pytest.fixture(scope="module", autouse=True)
+def short_training():
+    """Stages as they are, but for a tagger that has hardly learned: what it adds is tested in test_pii.py."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "train_pii", functools.partial(pii.train_pii, how=pii.Tagger(examples=256, epochs=2)))
+        yield
+
+
 def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
@@ -72,7 +81,7 @@ def test_each_stage_equals_brute_force(spark, stages):
     hits = {r.doc_id: benchmark_words(r.text, items) for r in single.collect()}
     assert ids(apart) == {i for i, (hit, n) in hits.items() if not hit or 20 * hit < n} and len(ids(apart)) < len(hits)
     before = {r.doc_id: r.text for r in apart.collect()}
-    model = pii.train_pii(apart)
+    model = corpus_pipeline.train_pii(apart)
     for r in masked.collect():
         spans = pii.all_spans(pii.base_spans(before[r.doc_id]), pii.tagged_spans(model, [before[r.doc_id]])[0])
         assert r.text == pii.mask(before[r.doc_id], spans) and r.n_chars == len(r.text) and pii.base_spans(r.text) == []
