@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import paths
 from folioforge.operators import doctype, labels, raster
-from folioforge.plans import adapters
 from folioforge.plans.adapters import table, with_tables
 from folioforge.sources import tables
 

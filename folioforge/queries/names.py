@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.operators import names
 from folioforge.plans import adapters, fixtures
 from folioforge.plans import reference_sql as sql
-from folioforge.plans.adapters import page_text, with_tables
+from folioforge.plans.adapters import page_text
 
 from .readiness import ready_docs
 from .registry import query

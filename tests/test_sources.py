@@ -276,3 +276,31 @@ def test_catalog_export(spark, tmp_path):
         export.catalog_json(spark.createDataFrame([("x" * 301,)], "title string"), {}, str(tmp_path / "d"))
     export.write_manifest(spark.createDataFrame([("b", None), ("a", "x")], "url string, etag string"), str(tmp_path / "m"))
     assert [r.url for r in spark.read.json(str(tmp_path / "m")).collect()] == ["a", "b"]
+
+
+def test_transcripts_are_written_whole(spark, tmp_path):
+    from folioforge.sources import transcripts
+
+    (tmp_path / "s.jsonl").write_text('{"file_path": "a", "start": 2, "end": 3, "text": "two"}\n{"file_path": "a", "start": 1, "end": 2, "speaker": "S1", "text": "one"}\n{"start": 1}\n')
+    segments = transcripts.read_segments(spark, str(tmp_path / "s.jsonl"))
+    transcripts.write_transcripts(segments, str(tmp_path / "t"))
+    rows = spark.read.json(str(tmp_path / "t")).collect()
+    assert [(r.file_path, r.transcript, [s.turn for s in r.segments]) for r in rows] == [("a", "one two", [1, 2])]
+
+
+def test_files_need_their_backend(spark):
+    """Without PyMuPDF or pypdf a PDF is a row with its error, like any file that cannot be read."""
+    from folioforge.sources import pages
+
+    pdf = spark.createDataFrame([("a.pdf", bytearray(b"no pdf"))], "path string, content binary")
+    assert [r.path for r in pages.errors(pages.extract_rasters(pdf, pages.pdf_rasters)).collect()] == ["a.pdf"]
+    assert [r.path for r in pages.errors(pages.extract_pages(pdf, pages.pdf_text)).collect()] == ["a.pdf"]
+
+
+def test_stream_without_repeats_and_known_rows(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", 1), ("2024-01-01 00:01:00", 1), ("2024-01-01 00:02:00", 2), ("2024-01-01 00:03:00", 3)]
+    spark.createDataFrame(rows, "t string, k long").selectExpr("cast(t as timestamp) as ts", "k").write.parquet(str(tmp_path / "s"))
+    stream = ingest.deduplicated(ingest.new_files(spark, str(tmp_path / "s"), spark.read.parquet(str(tmp_path / "s")).schema), ["k"])
+    stream = ingest.unseen(stream, spark.createDataFrame([(3,)], "k long"), "k")
+    ingest.run_available(stream, str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [1, 2]
