@@ -43,7 +43,6 @@ on_inventory(
   UNION ALL SELECT 'extension', extension, count(*), sum(size_bytes)::BIGINT
   FROM inv
   GROUP BY 2
- 
   UNION ALL SELECT 'mime', detected_mime, count(*), sum(size_bytes)::BIGINT
   FROM inv
   GROUP BY 2
