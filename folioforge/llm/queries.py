@@ -10,6 +10,7 @@ from .edits import count_tokens, masking_edits
 from .jaccard import jaccard_components
 from .lattice import score_texts
 from .licences import scan_licences
+from .manifest import merkle_manifest
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pii import find_pii, train_pii
@@ -93,7 +94,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(masking_edits(_table(spark, sf_dir, "documents")), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
-_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op5_nearest_neighbours, op6_license_scans, op7_benchmark_decontamination, op8_lm_scoring, op9_pii, op10_token_counts)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    return merkle_manifest(_table(spark, sf_dir, "documents"), F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
+_ALL = (op1_best_fit_packing, op2_ngram_jaccard_join, op3_sharding, op4_toxicity, op5_nearest_neighbours, op6_license_scans, op7_benchmark_decontamination, op8_lm_scoring, op9_pii, op10_token_counts, op11_merkle_manifest)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,4 +123,37 @@ hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnes
 held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE crc(value, c) AS (SELECT range, range FROM range(256)),
+stepped AS (SELECT value, list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM crc),
+crc_table AS (SELECT list(c ORDER BY value) AS t FROM stepped),
+texts AS (
+  SELECT *, CASE WHEN list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])) & 1 = 1
+    THEN replace(text, chr(10), '') ELSE text END AS altered
+  FROM documents, crc_table),
+coded AS (
+  SELECT doc_id, source, text, altered,
+    concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+      CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head
+  FROM texts),
+leaves AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf, sha256(head || CASE WHEN altered IS NULL THEN '-' ELSE strlen(altered) || ':' || altered END) AS changed FROM coded),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+up(source, level, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY place) FROM ranked GROUP BY source
+  UNION ALL SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM up WHERE len(nodes) = 1),
+top(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM top WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1),
+steps AS (
+  SELECT r.source, r.place, 0 AS tree, level, nodes, (r.place // (3 ** level)::BIGINT) AS k FROM ranked r JOIN up ON r.source IS NOT DISTINCT FROM up.source WHERE len(nodes) > 1
+  UNION ALL SELECT r.source, r.place, 1, level, nodes, (s.place // (3 ** level)::BIGINT) FROM ranked r JOIN subroots s ON r.source IS NOT DISTINCT FROM s.source, top WHERE len(nodes) > 1),
+sides AS (SELECT source, place, tree, level, array_to_string(nodes[k // 3 * 3 + 1:k], '') AS l, array_to_string(nodes[k + 2:k // 3 * 3 + 3], '') AS r FROM steps),
+paths AS (SELECT source, place, list(l || '|' || r ORDER BY tree, level) AS path, string_agg(l || r, '' ORDER BY tree, level) AS proof FROM sides GROUP BY ALL),
+folded AS (
+  SELECT ranked.*, coalesce(proof, '') AS proof, list_reduce(list_prepend(changed, coalesce(path, [])), lambda a, p: sha256(split_part(p, '|', 1) || a || split_part(p, '|', 2))) AS folded_root
+  FROM ranked LEFT JOIN paths ON ranked.source IS NOT DISTINCT FROM paths.source AND ranked.place = paths.place)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots ON folded.source IS NOT DISTINCT FROM subroots.source, root""",
 }
