@@ -64,7 +64,9 @@ def _inventory(a: argparse.Namespace) -> None:
     spark, label = session(), os.path.basename(root.rstrip("/"))
     found, errors = files.scan_inventory(spark, root, ignore=(*paths.DEFAULT_IGNORES, *a.ignore), algorithm=a.hash, sample_bytes=a.sample_bytes, max_files=a.max_files)
     rows, name, out, now = ensure_columns(found, INVENTORY), run_id(a.label or label, "inventory"), out_folder(a.out), _now()
-    log = {"root": root, "source_root_name": label, "errors": [r.asDict() for r in errors.limit(1000).collect()], "config": {"hash": a.hash, "ignore": a.ignore, "max_files": a.max_files}}
+    failed = f"{out}/inventory/errors/run_id={name}"
+    errors.write.mode("errorifexists").parquet(failed)
+    log = {"root": root, "source_root_name": label, "errors": spark.read.schema(errors.schema).parquet(failed).count(), "errors_path": failed, "config": {"hash": a.hash, "ignore": a.ignore, "max_files": a.max_files}}
     where = tables.write_run(rows, out, "inventory", name, root, now, log=log, flat_copy=True)
     summary = inventory.summary(spark.read.schema(INVENTORY).parquet(where))
     counts = [r.asDict() for r in summary.collect()]  # a row for each extension, type and folder

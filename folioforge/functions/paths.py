@@ -61,11 +61,16 @@ def stable_doc_id(content_hash: Column, rel_path: Column, size: Column, modified
 
 
 def ignored(rel_path: Column, patterns: tuple[str, ...] = DEFAULT_IGNORES) -> Column:
-    """Whether the name or the whole path matches one of the glob patterns."""
+    """Whether the name, the whole path, or its last parts match one of the glob patterns."""
     out = F.lit(False)
     for p in patterns:
         pattern = fnmatch.translate(p).replace(r"\Z", r"\z")
         out = out | rel_path.rlike(pattern) | file_name(rel_path).rlike(pattern)
+        if "/" in p:  # as many last parts as the pattern has
+            parts = p.strip("/").split("/")
+            tail = F.array_join(F.slice(F.split(rel_path, "/"), -len(parts), len(parts)), "/")
+            each = "/".join(fnmatch.translate(x).replace(r"\Z", "").replace("(?s:", "(?:").replace(".*", "[^/]*") for x in parts)
+            out = out | (F.size(F.split(rel_path, "/")) >= len(parts)) & tail.rlike(f"^{each}$")
     return out
 
 

@@ -18,51 +18,6 @@ RULE_PAGES = (
 #: (query) for name lookups
 NAME_QUERIES = ("Aich Aich", "and and", "and, and", "ai", " ")
 
-#: (page, link as it stands there, address that it means)
-ADDRESSES = (
-    ("http://h.example/d/p.html?q=/1#top", "x.pdf", "http://h.example/d/x.pdf"),
-    ("http://h.example/d/p.html", "../up.pdf", "http://h.example/up.pdf"),
-    ("http://h.example/d/e/p.html", "./a/../b.zip?x=../y", "http://h.example/d/e/b.zip?x=../y"),
-    ("http://h.example/d/p.html", "../../../far.pdf", "http://h.example/far.pdf"),
-    ("http://h.example/d/p.html", "sub/..", "http://h.example/d/"),
-    ("https://h.example/d/p.html", "//o.example/z.pdf", "https://o.example/z.pdf"),
-    ("http://h.example/d/p.html?a=1#f", "?b=2", "http://h.example/d/p.html?b=2"),
-    ("http://h.example/d/p.html?a=1#f", "#part", "http://h.example/d/p.html?a=1#part"),
-    ("http://h.example", "/root.pdf", "http://h.example/root.pdf"),
-    ("http://h.example", "plain.pdf", "http://h.example/plain.pdf"),
-    ("http://h.example/d/", "mailto:a@b.example", "mailto:a@b.example"),
-    ("http://h.example/d/", "HTTPS://o.example/Z", "HTTPS://o.example/Z"),
-    ("http://h.example/d/", "/a/./b/../c.pdf#x", "http://h.example/a/c.pdf#x"),
-)
-
-#: A download page: headings with their links below them, and links that are elsewhere.
-ACCORDION = """<a href="/outside.pdf">outside</a><div class="usa-accordion usa-accordion--bordered"><h4><button class="usa-accordion__button" type="button">Data
-  Set files</button></h4><div class="usa-accordion__content"><p><a href="files/a%20b.zip?v=1"> Data  Set 7 </a><a href="">none</a><a name="x">no link</a></p>
-<ul><li><a href="/x/c.pdf">A <b>plain</b> file</a></ul></div><h4><button class="usa-accordion__button">More / other</button></h4><div class="usa-accordion__content"><a href="//o.example/d.mp4">film</a></div></div>
-<div class="usa-accordion"><h4><button class="usa-accordion__button">Plain</button></h4><div class="usa-accordion__content"><a href="e.pdf">e</a></div></div>"""
-#: (page, place, heading, text, link, local path)
-ACCORDION_LINKS = (
-    (1, 0, "Data Set files", "Data Set 7", "http://h.example/d/files/a%20b.zip?v=1", "Data Set files/VOL00007/a b.zip"),
-    (1, 1, "Data Set files", "Aplainfile", "http://h.example/x/c.pdf", "Data Set files/c.pdf"),
-    (1, 2, "More / other", "film", "http://o.example/d.mp4", "More _ other/d.mp4"),
-)
-
-
-def accordion_pages(spark: SparkSession) -> DataFrame:
-    rows = [(1, "http://h.example/d/p.html", ACCORDION), (2, "http://h.example/e", "<p>nothing</p>"), (3, "http://h.example/f", None)]
-    return spark.createDataFrame(rows, "page_id long, url string, html string")
-
-
-#: (stage, run, root, time)
-RUNS = (
-    ("inventory", "a_inventory_20240101_010101", "/data/a", "2024-01-01 01:01:01"),
-    ("inventory", "b_inventory_20240201_010101", "/data/a", "2024-02-01 01:01:01"),
-    ("inventory", "c_inventory_20240115_010101", "/data/c", "2024-01-15 01:01:01"),
-    ("probe", "a_probe_20240102_000000", "/data/a", "2024-01-02 00:00:00"),
-    ("probe", "b_probe_unknown", "/data/a", None),
-)
-
-
 def _sql(value) -> str:
     return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
@@ -74,8 +29,3 @@ def values(rows: tuple) -> str:
 def rule_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(d, "", 1, t) for d, t in RULE_PAGES], "doc_id long, rel_path string, page_num int, text string")
 
-
-def run_table(spark: SparkSession) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return spark.createDataFrame(list(RUNS), "stage string, run_id string, source_root string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -1,168 +1,126 @@
-"""File trees: the query writes one, with archives good and broken, and reads it back."""
+"""File trees: the tables' documents and conversations as files and archives, inventoried and read back."""
 
 from __future__ import annotations
 
-import io
-import struct
 import uuid
-import wave
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import paths
 from folioforge.operators import probe
-from folioforge.plans import fixtures
-from folioforge.sources import files, pages, tables, transcripts
+from folioforge.plans.adapters import table
+from folioforge.plans.trees import DOCUMENT_TREE, call_tree, document_tree
+from folioforge.sources import archives, files, pages, tables, transcripts
 
 from .registry import query
 
 
-def _archive(members: list[tuple[str, bytes]], *, bad_date: str = "") -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, content in members:
-            z.writestr(zipfile.ZipInfo(name, (2024, 5, 6, 7, 8, 10)), content)
-    data = out.getvalue()
-    if bad_date:  # month 15 of the member's entry in the central directory
-        at = data.rindex(bad_date.encode()) - 46
-        data = data[: at + 14] + struct.pack("<H", (44 << 9) | (15 << 5) | 1) + data[at + 16 :]
-    return data
-
-
-def _wav(seconds: float) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(1)
-        w.setframerate(1000)
-        w.writeframes(bytes(int(seconds * 1000)))
-    return out.getvalue()
-
-
-def _pgm(*images: tuple[int, int, bytes]) -> bytes:
-    return b"".join(b"P5\n# a page\n%d %d\n255\n" % (w, h) + data for w, h, data in images)
-
-
-def contents() -> dict[str, bytes]:
-    """Path below the root -> content."""
-    return {
-        "VOL00001/keep.txt": b"hello page one\ftwo", "VOL00001/sub dir/b+1.PDF": b"x" * 30, "VOL00002/empty.docx": b"", "ignore.tmp": b"no", "Thumbs.db": b"no", "note": b"plain", "pack.tar.gz": b"z",
-        "VOL00002/a.zip": _archive([("inner/doc.pdf", b"pdf!"), ("/lead.txt", b"t"), ("folder/", b""), ("x/~$lock.docx", b""), ("talk.wav", _wav(0.5))]),
-        "odd.zip": _archive([("good.txt", b"1"), ("late.txt", b"22")], bad_date="late.txt"), "bad.zip": b"no archive", "VOL00003/talk one.wav": _wav(1.25), "VOL00003/scan.pgm": _pgm((4, 3, bytes(range(12))), (2, 2, bytes(4))),
-    }
-
-
-def tree(spark: SparkSession) -> str:
-    """Write the tree below the working folder; returns its root."""
-    root = f"{tables.working_folder(spark)}/trees/{uuid.uuid4().hex}"
-    for name, content in contents().items():
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        out.write(bytearray(content))
-        out.close()
-    return root
-
-
-_IGNORED = (*paths.DEFAULT_IGNORES, "*.tmp")
-
-
-def _inventory(spark: SparkSession, **options) -> tuple[DataFrame, DataFrame]:
-    return files.scan_inventory(spark, tree(spark), ignore=_IGNORED, **options)
-
-
-_T = "2024-05-06T07:08:10+00:00"
-_OCTET = "application/octet-stream"
-_DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
-#: (path, folder, extension, type, size, time of members)
-_ROWS = (
-    ("VOL00001/keep.txt", "VOL00001", "txt", "text/plain", 18, None), ("VOL00001/sub dir/b+1.PDF", "VOL00001", "pdf", "application/pdf", 30, None), ("VOL00002/a.zip", "VOL00002", "zip", "application/zip", None, None),
-    ("VOL00002/a.zip::inner/doc.pdf", "VOL00002", "pdf", "application/pdf", 4, _T), ("VOL00002/a.zip::lead.txt", "VOL00002", "txt", "text/plain", 1, _T), ("VOL00002/a.zip::talk.wav", "VOL00002", "wav", "audio/x-wav", 544, _T),
-    ("VOL00002/empty.docx", "VOL00002", "docx", _DOCX, 0, None), ("VOL00003/scan.pgm", "VOL00003", "pgm", "image/x-portable-graymap", 56, None),
-    ("VOL00003/talk one.wav", "VOL00003", "wav", "audio/x-wav", 1294, None), ("bad.zip", "bad.zip", "zip", "application/zip", 10, None), ("note", "note", "", _OCTET, 5, None), ("odd.zip", "odd.zip", "zip", "application/zip", None, None),
-    ("odd.zip::good.txt", "odd.zip", "txt", "text/plain", 1, _T), ("odd.zip::late.txt", "odd.zip", "txt", "text/plain", 2, None), ("pack.tar.gz", "pack.tar.gz", "gz", "application/x-tar", 1, None),
-)
-_SCAN = f"SELECT * FROM (VALUES {fixtures.values(_ROWS)}) v(rel_path, top_level_folder, extension, detected_mime, size_bytes, member_time)"
-
-
 def _shown(rows: DataFrame) -> DataFrame:
     member = F.col("rel_path").contains(paths.MEMBER)
-    archive = (F.col("extension") == "zip") & ~F.col("rel_path").startswith("bad")  # their size is the writer's affair
-    return rows.select("rel_path", "top_level_folder", "extension", "detected_mime", F.when(~archive, F.col("size_bytes")).alias("size_bytes"), F.when(member, F.col("modified_time")).alias("member_time"))
+    packed = F.col("rel_path").rlike("/pack[0-9]+[.]zip$")  # their size is the writer's affair
+    return rows.select("rel_path", "top_level_folder", "extension", "detected_mime", F.when(~packed, F.col("size_bytes")).alias("size_bytes"), F.when(member, F.col("modified_time")).alias("member_time"))
+
 
+_SCAN = DOCUMENT_TREE + """SELECT path AS rel_path, volume AS top_level_folder, ext AS extension, size AS size_bytes, member_time,
+  CASE ext WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'csv' THEN 'text/csv' WHEN 'pgm' THEN 'image/x-portable-graymap' WHEN 'zip' THEN 'application/zip' ELSE 'application/octet-stream' END AS detected_mime
+FROM inventory"""
 
-query("tree_inventory", _SCAN)(lambda s, d: _shown(_inventory(s)[0]))
-query("tree_first_files", f"{_SCAN} ORDER BY rel_path LIMIT 5")(lambda s, d: _shown(_inventory(s, max_files=5)[0]))
-query("tree_errors", "SELECT 'bad.zip' AS path, 'zip read error' AS error")(lambda s, d: _inventory(s)[1].select("path", F.substring_index("error", ":", 1).alias("error")))
+query("tree_inventory", _SCAN)(lambda s, d: _shown(files.scan_inventory(s, document_tree(s, d))[0]))
+query("tree_first_files", f"{_SCAN} ORDER BY path LIMIT 25")(lambda s, d: _shown(files.scan_inventory(s, document_tree(s, d), max_files=25)[0]))
+query(
+    "tree_errors",
+    DOCUMENT_TREE + """SELECT path, 'zip read error' AS error FROM files WHERE ext = 'zip' UNION ALL SELECT volume || '/lost' || doc_id, 'FileNotFoundError' FROM d WHERE doc_id % 50 = 49""",
+)(lambda s, d: files.scan_inventory(s, document_tree(s, d))[1].select("path", F.substring_index("error", ":", 1).alias("error")))
 query(
     "tree_hashes",
-    "SELECT * FROM (VALUES ('VOL00001/keep.txt', sha256('hello page one' || chr(12) || 'two'), sha256('hello')), ('note', sha256('plain'), sha256('plain'))) v(rel_path, hash_value, sample_hash)",
-)(lambda s, d: files.scan_files(s, tree(s), algorithm="sha256", sample_bytes=5).filter("rel_path in ('VOL00001/keep.txt', 'note')").select("rel_path", "hash_value", "sample_hash"))
+    DOCUMENT_TREE + """SELECT path AS rel_path, sha256(content) AS hash_value, sha256(encode(content)[1:100]) AS sample_hash FROM files WHERE k <> 6""",
+)(lambda s, d: files.scan_files(s, document_tree(s, d), algorithm="sha256", sample_bytes=100).filter("extension <> 'pgm' and not rel_path rlike '/pack[0-9]+[.]zip$'").select("rel_path", "hash_value", "sample_hash"))
 query(
     "member_file_ids",
-    f"SELECT rel_path, sha256(rel_path || '|' || size_bytes || '|' || CASE WHEN member_time IS NULL THEN '0.000000' ELSE epoch(member_time::TIMESTAMPTZ)::BIGINT || '.000000' END) AS file_id FROM ({_SCAN}) WHERE rel_path LIKE '%::%'",
-)(lambda s, d: _inventory(s)[0].filter("rel_path like '%::%'").select("rel_path", "file_id"))
+    DOCUMENT_TREE + """SELECT path AS rel_path, sha256(path || '|' || size || '|' || epoch(member_time::TIMESTAMPTZ)::BIGINT || '.000000') AS file_id FROM inventory WHERE member_time IS NOT NULL""",
+)(lambda s, d: files.scan_inventory(s, document_tree(s, d))[0].filter("rel_path like '%::%'").select("rel_path", "file_id"))
+query(
+    "archive_contents",
+    DOCUMENT_TREE + """SELECT archive, member, octet_length(encode(text)) AS size_bytes, sha256(text) AS sha FROM members WHERE starts_with(member, 'inner7/')""",
+)(lambda s, d: archives.read_archives(s, document_tree(s, d)).filter("member like 'inner7/%' and error is null").select("archive", "member", "size_bytes", F.sha2("content", 256).alias("sha")))
 
 
-def _text_pages(spark: SparkSession) -> DataFrame:
-    root = tree(spark)
-    rows = files.scan_inventory(spark, root, ignore=_IGNORED)[0].filter("extension = 'txt'")
-    gone = spark.createDataFrame([("gone.txt",), ("VOL00002/a.zip::gone.txt",)], "rel_path string")
-    read = files.read_contents(rows.select("rel_path").unionByName(gone), root)
+def _text_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of all text files and members, and of files that are asked for and not there."""
+    root = document_tree(spark, d)
+    rows = files.scan_inventory(spark, root)[0]
+    gone = rows.filter("extension = 'csv' or rel_path like '%::inner8/%'").select(F.concat("rel_path", F.lit(".gone")).alias("rel_path"))
+    read = files.read_contents(rows.filter("extension = 'txt'").select("rel_path").unionByName(gone), root)
     unread = read.filter("error is not null").selectExpr("path", "cast(null as int) as page_num", "cast(null as string) as text", "error")
     return pages.extract_pages(read.filter("error is null")).unionByName(unread)
 
 
 query(
     "tree_pages",
-    "SELECT path, page_num::INT AS page_num, text FROM (VALUES ('VOL00001/keep.txt', 1, 'hello page one'), ('VOL00001/keep.txt', 2, 'two'), ('VOL00002/a.zip::lead.txt', 1, 't'), ('odd.zip::good.txt', 1, '1'), ('odd.zip::late.txt', 1, '22')) v(path, page_num, text)",
-)(lambda s, d: _text_pages(s).filter("error is null").select("path", "page_num", "text"))
-query("error_rollup", "SELECT * FROM (VALUES ('FileNotFoundError', 1), ('KeyError', 1)) v(error, n)")(lambda s, d: pages.error_counts(pages.errors(_text_pages(s))))
+    DOCUMENT_TREE + """, t AS (SELECT path, content FROM files WHERE ext = 'txt' UNION ALL SELECT archive || '::' || member, text FROM members)
+SELECT path, unnest(range(1, len(p) + 1))::INT AS page_num, unnest(p) AS text FROM (SELECT path, string_split(content, chr(12)) AS p FROM t)""",
+)(lambda s, d: _text_pages(s, d).filter("error is null").select("path", "page_num", "text"))
 query(
-    "tree_rasters",
-    "SELECT 'VOL00003/scan.pgm' AS path, page_num::INT AS page_num, pixels, width::INT AS width, 0::INT AS font_count, 1::INT AS image_count FROM (VALUES (1, '000102030405060708090A0B', 4), (2, '00000000', 2)) v(page_num, pixels, width)",
-)(lambda s, d: _raster_pages(s).filter("error is null").select("path", "page_num", F.hex("pixels").alias("pixels"), "width", "font_count", "image_count"))
-query("raster_errors", "SELECT 'note' AS path, 'ValueError' AS error")(lambda s, d: pages.errors(_raster_pages(s)).select("path", F.substring_index("error", ":", 1).alias("error")))
+    "error_rollup",
+    DOCUMENT_TREE + """SELECT 'FileNotFoundError' AS error, count(*) AS n FROM files WHERE ext = 'csv' HAVING count(*) > 0 UNION ALL SELECT 'KeyError', count(*) FROM members WHERE k = 8 HAVING count(*) > 0""",
+)(lambda s, d: pages.error_counts(pages.errors(_text_pages(s, d))))
 
 
-def _raster_pages(spark: SparkSession) -> DataFrame:
-    root = tree(spark)
-    wanted = files.scan_files(spark, root).filter("extension = 'pgm' or rel_path = 'note'")
-    return pages.extract_rasters(files.read_contents(wanted, root))
+def _raster_pages(spark: SparkSession, d: str) -> DataFrame:
+    root = document_tree(spark, d)
+    return pages.extract_rasters(files.read_contents(files.scan_files(spark, root).filter("extension in ('pgm', 'md')"), root))
 
 
 query(
-    "tree_media",
-    """SELECT * FROM (VALUES ('VOL00002/a.zip::talk.wav', 'talk.wav', 'a__talk', 0.5::DOUBLE), ('VOL00003/talk one.wav', 'talk one.wav', 'talk_one', 1.25::DOUBLE))
-  v(rel_path, display_name, output_label, duration_sec)""",
-)(lambda s, d: _media(s))
+    "tree_rasters",
+    DOCUMENT_TREE + """SELECT path, page_num::INT AS page_num, upper(substr(sha256(text), CASE page_num WHEN 1 THEN 1 ELSE 25 END, CASE page_num WHEN 1 THEN 24 ELSE 8 END)) AS pixels, CASE page_num WHEN 1 THEN 4 ELSE 2 END::INT AS width, 0::INT AS font_count, 1::INT AS image_count
+FROM files, (VALUES (1), (2)) v(page_num) WHERE k = 6""",
+)(lambda s, d: _raster_pages(s, d).filter("error is null").select("path", "page_num", F.hex("pixels").alias("pixels"), "width", "font_count", "image_count"))
+query("raster_errors", DOCUMENT_TREE + """SELECT path, 'ValueError' AS error FROM files WHERE k = 3 AND trim(text, chr(10) || chr(9) || chr(13) || ' ') <> ''""")(
+    lambda s, d: pages.errors(_raster_pages(s, d)).select("path", F.substring_index("error", ":", 1).alias("error")),
+)
 
 
-def _media(spark: SparkSession) -> DataFrame:
-    root = tree(spark)
+def _media(spark: SparkSession, d: str) -> DataFrame:
+    root = call_tree(spark, d)
     found = files.discover_media(files.scan_inventory(spark, root)[0])
     seconds = transcripts.durations(files.read_contents(found, root).select("path", "content"))
     return found.join(seconds, found["rel_path"] == seconds["file_path"], "left").select("rel_path", "display_name", "output_label", "duration_sec")
 
 
+query(
+    "tree_media",
+    """SELECT CASE WHEN turn % 2 = 1 THEN 'calls/more' || conv_id || '.zip::t' || turn || '.wav' ELSE 'calls/' || conv_id || '/turn ' || turn || '.wav' END AS rel_path,
+  CASE WHEN turn % 2 = 1 THEN 't' || turn || '.wav' ELSE 'turn ' || turn || '.wav' END AS display_name, CASE WHEN turn % 2 = 1 THEN 'more' || conv_id || '__t' || turn ELSE 'turn_' || turn END AS output_label,
+  length(coalesce(text, '')) / 1000 AS duration_sec
+FROM conversations""",
+)(_media)
 query(
     "extracted_paths",
-    """SELECT * FROM (VALUES ('VOL00001/keep.txt', 'VOL00001/keep.txt'), ('d/a.zip::../x/./b.pdf', '/out/a_' || sha256('d/a.zip')[:8] || '/x/b.pdf'), ('a.zip::c::d.pdf', '/out/a_' || sha256('a.zip')[:8] || '/c::d.pdf'))
-  v(rel_path, place)""",
-)(
-    lambda s, d: s.createDataFrame([("VOL00001/keep.txt",), ("d/a.zip::../x/./b.pdf",), ("a.zip::c::d.pdf",)], "rel_path string").select(
-        "rel_path", probe.member_location(F.col("rel_path"), F.lit("/out")).alias("place")
-    ),
-)
-_RTTM = ("SPEAKER a.wav 1 0.500 1.250 <NA> <NA> S1 <NA> <NA>", "SPEAKER a.wav 1 2.000 0.500 <NA> <NA> S2 <NA> <NA>", "SPKR-INFO a.wav 1 <NA> <NA> <NA> unknown S1 <NA> <NA>", "", "SPEAKER b.wav 1 0.000 3.000 <NA> <NA> S1 <NA> <NA>")
+    DOCUMENT_TREE + """SELECT path AS rel_path, CASE WHEN k = 9 THEN '/out/' || doc_id || '_' || substr(sha256(split_part(path, '::', 1)), 1, 8) || '/x/' || k || '.pdf' ELSE path END AS place
+FROM (SELECT k, doc_id, CASE WHEN k = 9 THEN path || '::../x//./' || k || '.pdf' ELSE path END AS path FROM files)""",
+)(lambda s, d: _extracted(s, d))
+
 
+def _extracted(spark: SparkSession, d: str) -> DataFrame:
+    rows = files.scan_files(spark, document_tree(spark, d)).filter("not rel_path rlike '/pack[0-9]+[.]zip$'")
+    rel = F.when(F.col("extension") == "zip", F.concat("rel_path", F.lit("::../x//./9.pdf"))).otherwise(F.col("rel_path"))
+    return rows.select(rel.alias("rel_path")).select("rel_path", probe.member_location(F.col("rel_path"), F.lit("/out")).alias("place"))
 
-def _turns(spark: SparkSession) -> DataFrame:
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Speaker turns written as RTTM, among lines of other kinds, and read back."""
     path = f"{tables.working_folder(spark)}/trees/{uuid.uuid4().hex}.rttm"
-    tables.write_text(spark, path, "\n".join(_RTTM) + "\n")
+    calls = table(spark, d, "conversations").selectExpr("concat(conv_id, '.wav') as file_path", "turn", "length(coalesce(text, '')) as n", "role")
+    lines = calls.select(F.explode(F.array(F.format_string("SPEAKER %s 1 %d.250 %d.500 <NA> <NA> %s <NA> <NA>", "file_path", "turn", "n", "role"), F.format_string("SPKR-INFO %s 1 <NA> <NA> <NA> unknown %s <NA> <NA>", "file_path", "role"), F.lit(""))).alias("value"))
+    lines.write.text(path)
     return transcripts.read_rttm(spark, path)
 
 
-query("rttm_speakers", "SELECT * FROM (VALUES ('a.wav', 2, 1.75::DOUBLE), ('b.wav', 1, 3.0::DOUBLE)) v(file_path, num_speakers, speech_sec)")(lambda s, d: transcripts.speakers(_turns(s)))
-query("rttm_lines", f"SELECT * FROM (VALUES {fixtures.values(tuple((line,) for line in _RTTM if line.startswith('SPEAKER ')))}) v(value)")(lambda s, d: transcripts.to_rttm(_turns(s)))
+query("rttm_speakers", "SELECT conv_id || '.wav' AS file_path, count(DISTINCT role) AS num_speakers, round(sum(length(coalesce(text, '')) + 0.5), 3)::DOUBLE AS speech_sec FROM conversations GROUP BY conv_id")(
+    lambda s, d: transcripts.speakers(_turns(s, d)),
+)
+query("rttm_lines", "SELECT 'SPEAKER ' || conv_id || '.wav 1 ' || turn || '.250 ' || length(coalesce(text, '')) || '.500 <NA> <NA> ' || role || ' <NA> <NA>' AS value FROM conversations")(
+    lambda s, d: transcripts.to_rttm(_turns(s, d)),
+)

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators import incremental
-from folioforge.plans import fixtures
 from folioforge.plans.adapters import table
 
 from .registry import query
 
 
 _ANCHOR = """(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>"""
-# the pages' links are rooted, absolute or plain; the odd ones are in url_resolution
+# the pages' links are rooted, absolute or plain; other forms are in url_resolution
 _LINKS = f"""WITH h AS (
   SELECT page_id, url, unnest(range(len(l)))::INT AS position, unnest(l) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR}', 0) AS l FROM pages)),
 parts AS (
@@ -24,12 +23,45 @@ links AS (
   FROM parts WHERE href <> '')
 """
 query("html_links", _LINKS + "SELECT * FROM links")(lambda s, d: incremental.links(table(s, d, "pages")))
-query("url_resolution", f"SELECT * FROM (VALUES {fixtures.values(fixtures.ADDRESSES)}) v(base, href, link)")(
-    lambda s, d: s.createDataFrame([r[:2] for r in fixtures.ADDRESSES], "base string, href string").select("base", "href", incremental.absolute_url(F.col("href"), F.col("base")).alias("link")),
-)
-query("accordion_links", f"SELECT page_id::BIGINT AS page_id, position::INT AS position, heading, text, link, local_path FROM (VALUES {fixtures.values(fixtures.ACCORDION_LINKS)}) v(page_id, position, heading, text, link, local_path)")(
-    lambda s, d: incremental.local_path(incremental.accordion_links(fixtures.accordion_pages(s))),
-)
+_FORMS = ("x{id}.pdf?q=a/../b", "../up{id}.pdf", "//o.example/z{id}", "?b={id}", "#part{id}", "/a/./b/../c{id}.pdf#x", "HTTPS://o.example/Z{id}", "./s{id}/..")
+
+
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with a link of one of the forms."""
+    forms = F.array(*(F.regexp_replace(F.lit(f), r"\{id\}", F.col("page_id").cast("string")) for f in _FORMS))
+    return table(spark, d, "pages").select("page_id", "url", F.element_at(forms, (F.col("page_id") % len(_FORMS) + 1).cast("int")).alias("href"))
+
+
+query(
+    "url_resolution",
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, regexp_replace(url, '[?#].*$', '') AS doc FROM pages),
+f AS (SELECT *, CASE WHEN doc = host THEN '/' ELSE regexp_replace(substr(doc, length(host) + 1), '[^/]*$', '') END AS folder FROM p)
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN host || folder || 'x' || page_id || '.pdf?q=a/../b' WHEN 1 THEN host || regexp_replace(folder, '[^/]+/$', '') || 'up' || page_id || '.pdf'
+  WHEN 2 THEN split_part(url, ':', 1) || '://o.example/z' || page_id WHEN 3 THEN doc || '?b=' || page_id WHEN 4 THEN regexp_replace(url, '#.*$', '') || '#part' || page_id
+  WHEN 5 THEN host || '/a/c' || page_id || '.pdf#x' WHEN 6 THEN 'HTTPS://o.example/Z' || page_id ELSE host || folder END AS link
+FROM f""",
+)(lambda s, d: _given(s, d).select("page_id", incremental.absolute_url(F.col("href"), F.col("url")).alias("link")))
+
+
+def _download_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with an accordion of downloads before what it has, and a plain box that is none."""
+    rows = table(spark, d, "pages")
+    made = F.format_string(
+        """<div class="usa-accordion usa-accordion--bordered"><h4><button class="usa-accordion__button" type="button">Set\n %d</button></h4><div class="usa-accordion__content"><p><a href="/f/%d.pdf?v=1"> Data  Set %d </a><a href="">none</a>
+<a name="x">no link</a></p><ul><li><a href="//o.example/a%%20b%d.zip">A <b>plain</b> file</a></ul></div><h4><button class="usa-accordion__button">More / other</button></h4><div class="usa-accordion__content"><a href="https://o.example/d%d.mp4">film</a></div></div>
+<div class="usa-accordion"><h4><button class="usa-accordion__button">Plain</button></h4><div class="usa-accordion__content"><a href="e.pdf">e</a></div></div>""",
+        "page_id", "page_id", F.col("page_id") % 30, "page_id", "page_id",
+    )
+    return rows.select("page_id", "url", F.concat(made, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+query(
+    "accordion_links",
+    """WITH p AS (SELECT page_id, page_id::VARCHAR AS id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, split_part(url, ':', 1) AS scheme, lpad((page_id % 30)::VARCHAR, 5, '0') AS volume, page_id % 30 AS n FROM pages)
+SELECT page_id, 0::INT AS position, 'Set ' || id AS heading, 'Data Set ' || n AS text, host || '/f/' || id || '.pdf?v=1' AS link, 'Set ' || id || '/VOL' || volume || '/' || id || '.pdf' AS local_path FROM p
+UNION ALL SELECT page_id, 1, 'Set ' || id, 'Aplainfile', scheme || '://o.example/a%20b' || id || '.zip', 'Set ' || id || '/a b' || id || '.zip' FROM p
+UNION ALL SELECT page_id, 2, 'More / other', 'film', 'https://o.example/d' || id || '.mp4', 'More _ other/d' || id || '.mp4' FROM p""",
+)(lambda s, d: incremental.local_path(incremental.accordion_links(_download_pages(s, d))))
 
 
 def _typed_links(spark: SparkSession, d: str) -> DataFrame:

@@ -7,24 +7,34 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import catalogue_views as views
 from folioforge.operators import incremental
-from folioforge.plans import fixtures
 from folioforge.plans.adapters import table
 from folioforge.sources import export
 from folioforge.streaming import ingest
 
 from .registry import query
 
-_RUNS = f"""WITH runs(stage, run_id, source_root, ts) AS (SELECT stage, run_id, source_root, ts::TIMESTAMP
-  FROM (VALUES {fixtures.values(fixtures.RUNS)}) v(stage, run_id, source_root, ts)) """
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by day, root and stage, as events tell them; purchases know no time."""
+    rows = table(spark, d, "events").select(F.col("ts"), (F.col("user_id") % 7).alias("u"), F.when(F.col("event_id") % 3 == 0, "inventory").when(F.col("event_id") % 3 == 1, "probe").otherwise("text-scan").alias("stage"), F.to_date("ts").alias("day"))
+    found = rows.groupBy("stage", "u", "day").agg(F.max("ts").alias("ts"))
+    dated = F.concat("stage", F.lit("_"), F.date_format("ts", "yyyyMMdd_HHmmss"))
+    run_id = F.concat(F.lit("r"), "u", F.lit("_"), F.when(F.col("u") == 6, F.concat_ws("_", "stage", F.dayofyear("day").cast("string"))).otherwise(dated))
+    return found.select("stage", run_id.alias("run_id"), F.concat(F.lit("/data/"), "u").alias("source_root"), F.when(F.col("u") != 6, F.col("ts")).alias("ts"))
+
+
+_RUNS = """WITH e AS (SELECT ts, user_id % 7 AS u, CASE event_id % 3 WHEN 0 THEN 'inventory' WHEN 1 THEN 'probe' ELSE 'text-scan' END AS stage, ts::DATE AS day FROM events),
+days AS (SELECT stage, u, day, max(ts) AS t FROM e GROUP BY ALL),
+runs AS (SELECT stage, 'r' || u || '_' || stage || '_' || CASE WHEN u = 6 THEN dayofyear(day)::VARCHAR ELSE strftime(t, '%Y%m%d_%H%M%S') END AS run_id, '/data/' || u AS source_root, CASE WHEN u <> 6 THEN t END AS ts FROM days)
+"""
 query("run_catalog", _RUNS + """SELECT stage, run_id, source_root, ts, row_number() OVER (PARTITION BY stage
   ORDER BY ts DESC NULLS LAST, run_id)::INT AS place
   FROM runs""")(
-    lambda s, d: incremental.run_catalog(fixtures.run_table(s)),
+    lambda s, d: incremental.run_catalog(_runs(s, d)),
 )
-query("latest_run", _RUNS + """SELECT stage, source_root, arg_max(run_id, coalesce(ts, TIMESTAMP '1900-01-01')) AS run_id, max(ts) AS ts
+query("latest_run", _RUNS + """SELECT stage, source_root, arg_max(run_id, (coalesce(ts, TIMESTAMP '1900-01-01'), run_id)) AS run_id, max(ts) AS ts
   FROM runs
   GROUP BY ALL""")(
-    lambda s, d: incremental.latest_run(fixtures.run_table(s)),
+    lambda s, d: incremental.latest_run(_runs(s, d)),
 )
 
 
@@ -48,15 +58,15 @@ query("windowed_event_counts", """SELECT date_trunc('hour', ts) AS window_start,
     lambda s, d: ingest.windowed_counts(table(s, d, "events")),
 )
 query("run_index", _RUNS + """SELECT source_root, max(CASE WHEN stage = 'inventory' THEN r END) AS inventory_run, max(CASE WHEN stage = 'probe' THEN r END) AS probe_run, max(ts) AS updated_at
-  FROM (SELECT source_root, stage, arg_max(run_id, coalesce(ts, TIMESTAMP '1900-01-01')) AS r, max(ts) AS ts
+  FROM (SELECT source_root, stage, arg_max(run_id, (coalesce(ts, TIMESTAMP '1900-01-01'), run_id)) AS r, max(ts) AS ts
   FROM runs
   GROUP BY ALL)
   GROUP BY 1""")(
-    lambda s, d: export.run_index(fixtures.run_table(s)),
+    lambda s, d: export.run_index(_runs(s, d)),
 )
 query(
     "run_date_labels",
     _RUNS
     + """SELECT run_id, CASE WHEN regexp_matches(run_id, '\\d{8}_\\d{6}') THEN regexp_replace(regexp_extract(run_id, '(\\d{8})_\\d{6}', 1), '(....)(..)(..)', '\\1-\\2-\\3') ELSE run_id END AS day
   FROM runs""",
-)(lambda s, d: fixtures.run_table(s).select("run_id", views.run_date_label(F.col("run_id")).alias("day")))
+)(lambda s, d: _runs(s, d).select("run_id", views.run_date_label(F.col("run_id")).alias("day")))

@@ -1,10 +1,15 @@
+import hashlib
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge import cli
+from folioforge.functions import paths
+from folioforge.plans import trees
 from folioforge.schemas import INVENTORY, LABELS
-from folioforge.sources import files, tables
+from folioforge.sources import archives, files, tables
 from folioforge.streaming import ingest
 
 
@@ -53,6 +58,119 @@ def test_odd_names_empty_files_and_links(spark, tmp_path):
         files.scan_inventory(spark, str(tmp_path), max_files=0)
 
 
+def test_hidden_names_links_and_failures(spark, tmp_path):
+    (tmp_path / "in/_sub/.deep").mkdir(parents=True)
+    (tmp_path / "in/~$skip/deep").mkdir(parents=True)
+    for name in ("_notes.pdf", ".env", "ok.pdf", "_sub/in.pdf", "_sub/.deep/x", "~$skip/deep/no.pdf", "Thumbs.db"):
+        (tmp_path / "in" / name).write_text("x")
+    root = tmp_path / "in"
+    (root / "lost").symlink_to("nowhere")
+    (root / "again").symlink_to(root / "_sub")
+    (root / "_sub/up").symlink_to(root)
+    (root / "file link").symlink_to(root / "ok.pdf")
+    plain = {"_notes.pdf", ".env", "ok.pdf", "_sub/in.pdf", "_sub/.deep/x", "file link"}
+    rows, errors = files.scan_inventory(spark, str(root), algorithm="md5")
+    assert {r.rel_path for r in rows.collect()} == plain
+    assert [(r.path, r.error.split(":")[0]) for r in errors.collect()] == [("lost", "FileNotFoundError")]
+    rows, errors = files.scan_inventory(spark, f"file://{root}", follow_symlinks=True)
+    assert {r.rel_path for r in rows.collect()} == plain | {"again/in.pdf", "again/.deep/x"}
+    assert {r.path: r.error for r in errors.collect()}["_sub/up"] == "link to a folder it stands in"
+    assert [(r.rel_path, r.kind) for r in files.walk(spark, str(tmp_path / "none")).collect()] == [("", "error")]
+    assert files.walk(spark, str(root), ignore=("_sub/*.pdf", ".*")).filter("kind = 'file'").count() == 5
+
+
+def test_patterns_agree_in_both_forms(spark):
+    names = ["a/b.tmp", "b.tmp", "x/a/b.tmp", "a/c/b.tmp", "A/b.tmp", "a/~$x", "a/b.tmpx", "Thumbs.db"]
+    for patterns in (("*.tmp",), ("a/*.tmp",), ("~$*", "Thumbs.db"), ("x/*",), ("a/?.tmp",), ("[ab]/*",)):
+        kept = spark.createDataFrame([(n,) for n in names], "n string").filter(paths.ignored(F.col("n"), patterns)).collect()
+        assert {r.n for r in kept} == {n for n in names if files.is_ignored(n, patterns)}, patterns
+
+
+def test_digests_need_no_memory(spark, tmp_path):
+    """A file beyond what a row can hold; its blocks are never written."""
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    (row,) = files.scan_files(spark, str(tmp_path), algorithm="md5", sample_bytes=10).collect()
+    assert (row.size_bytes, row.sample_hash) == ((2 << 30) + 5, hashlib.md5(bytes(10)).hexdigest())
+    whole = hashlib.md5()
+    for _ in range(2048):
+        whole.update(bytes(1 << 20))
+    whole.update(bytes(5))
+    assert row.hash_value == whole.hexdigest()
+
+
+def test_unreadable_content_is_an_error(spark, tmp_path):
+    found = files.file_digests(spark.createDataFrame([("gone",)], "rel_path string"), str(tmp_path)).collect()
+    assert [(r.rel_path, r.hash_value, r.error) for r in found] == [("gone", None, "FileNotFoundError: No such file or directory")]
+
+
+@pytest.fixture
+def packed(tmp_path):
+    rng = random.Random(2)
+    made = {}
+    for k in range(6):
+        for m in range(8):
+            made[f"d{k % 2}/a{k}.zip", f"m{m}.txt"] = "".join(rng.choice("ab ") for _ in range(rng.randrange(3000)))
+    for name in {a for a, _ in made}:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        content = trees.archive([(m, t.encode()) for (a, m), t in made.items() if a == name], packed=name != "d0/a0.zip")
+        (tmp_path / name).write_bytes(b"a program before the archive" + content if name == "d1/a1.zip" else content)
+    (tmp_path / "bad.zip").write_bytes(b"none")
+    return str(tmp_path), made
+
+
+def test_archives_as_a_source(spark, packed):
+    root, made = packed
+    rows = archives.read_archives(spark, root, partition_bytes=6000)
+    found = rows.filter("error is null").collect()
+    assert {(r.archive, r.member): bytes(r.content).decode() for r in found} == made and len(found) == len(made)
+    assert [(r.archive, r.error.split(":")[0]) for r in rows.filter("error is not null").collect()] == [("bad.zip", "zip read error")]
+    assert rows.rdd.getNumPartitions() > 6
+    bare = archives.read_archives(spark, root, content=False)
+    assert {r.content for r in bare.collect()} == {None} and bare.filter("size_bytes > 100").count() > 0
+
+
+def test_archive_filters_are_pushed_down(spark, packed):
+    root, made = packed
+    rows = archives.read_archives(spark, root).filter("archive = 'd1/a3.zip' and member like 'm%' and member in ('m1.txt', 'm2.txt', 'zz')")
+    assert {(r.archive, r.member) for r in rows.collect()} == {("d1/a3.zip", "m1.txt"), ("d1/a3.zip", "m2.txt")}
+    reader = archives.ArchiveReader(root, True, 1 << 20)
+    left = list(reader.pushFilters([archives.EqualTo(("archive",), "d1/a3.zip"), archives.In(("member",), ("m1.txt",)), archives.EqualTo(("size_bytes",), 3)]))
+    assert [f.attribute for f in left] == [("size_bytes",)]
+    assert [row[:2] for part in reader.partitions() for row in part.rows] == [("d1/a3.zip", "m1.txt")]
+
+
+def test_members_are_read_from_their_place(spark, packed):
+    root, made = packed
+    asked = [f"{a}::{m}" for a, m in made] + ["d0/a0.zip::none", "bad.zip::x", "gone.zip::x"]
+    read = files.read_contents(spark.createDataFrame([(n,) for n in asked], "rel_path string"), root).collect()
+    assert {r.path: bytes(r.content).decode() for r in read if r.error is None} == {f"{a}::{m}": t for (a, m), t in made.items()}
+    assert {r.path: r.error.split(":")[0] for r in read if r.error} == {"d0/a0.zip::none": "KeyError", "bad.zip::x": "zip read error", "gone.zip::x": "zip read error"}
+    found = files.archive_members(spark, root).filter("member = 'm1.txt' and archive = 'd0/a2.zip'").first()
+    with pytest.raises(ValueError), open(f"{root}/d0/a2.zip", "rb") as f:
+        files.read_member(f, found.place, found.packed, found["method"], found.size_bytes, found.crc + 1)
+
+
+def test_odd_dates_cost_the_date_only(spark, tmp_path):
+    (tmp_path / "odd.zip").write_bytes(trees.archive([("good.txt", b"1"), ("late.txt", b"22")], bad_date="late.txt"))
+    rows = files.scan_inventory(spark, str(tmp_path))[0].filter("rel_path like '%::%'").collect()
+    assert {r.rel_path: (r.size_bytes, r.modified_time) for r in rows} == {"odd.zip::good.txt": (1, "2024-05-06T07:08:10+00:00"), "odd.zip::late.txt": (2, None)}
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {"spark.sql.warehouse.dir": "file:/here/spark-warehouse"}  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.working_folder(Session())
+
+
 def test_cli_checks_and_writes(spark, tree, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["inventory", "run", "--root", str(tmp_path / "none"), "--out", str(tmp_path / "out")])
@@ -63,7 +181,7 @@ def test_cli_checks_and_writes(spark, tree, tmp_path, capsys):
     assert tables.read_run(spark, out, "inventory", INVENTORY).count() == 7
     latest = tables.read_json(spark, f"{out}/inventory/LATEST.json")
     _, summary, log = tables.load_run(spark, out, "inventory", latest["run_id"])
-    assert summary["source_root_name"] == "in" and [e["path"] for e in log["errors"]] == ["bad.zip"]
+    assert summary["source_root_name"] == "in" and log["errors"] == 1 and [r.path for r in spark.read.parquet(log["errors_path"]).collect()] == ["bad.zip"]
     cli.main(["public-index", "run", "--probe", "NONE", "--out", out, "--dest", str(tmp_path / "catalog")])
     items = {r.rel_path: r.doc_type_final for r in spark.read.json(str(tmp_path / "catalog" / "items")).collect()}
     assert len(items) == 7 and items["a.zip::inner/doc.pdf"] == "PDF (unprobed)" and items["VOL00001/keep.txt"] == "NON_PDF (txt)"
@@ -219,11 +337,11 @@ def test_links_are_fetched_once(spark, server, tmp_path):
 
 
 def test_recordings_are_indexed_once(spark, tmp_path):
-    from folioforge.queries.files import _wav
+    from folioforge.plans.trees import wav
 
     (tmp_path / "in").mkdir()
     for name in ("a.wav", "b.wav"):
-        (tmp_path / "in" / name).write_bytes(_wav(0.25))
+        (tmp_path / "in" / name).write_bytes(wav(250))
     (tmp_path / "s.jsonl").write_text('{"file_path": "a.wav", "start": 1, "end": 2, "speaker": "S1", "text": "call 555-123-4567 now"}\nbroken\n')
     run = ["media", "run", "--root", str(tmp_path / "in"), "--segments", str(tmp_path / "s.jsonl"), "--out", str(tmp_path / "o")]
     for _ in range(2):
