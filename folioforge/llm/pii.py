@@ -5,8 +5,9 @@ windows of the documents: spans that the patterns label, and spans written into
 patterns miss ("a [at] b dot com", spaced dots, numbers without their plus, secrets after a name). It adds what
 it then finds, as far as a check of each kind holds (a card's digits pass Luhn, an address's parts fit a byte).
 
-Every kind of span needs a digit, an at sign or a spelled one, which the check enforces; windows without such a
-trigger are skipped, which loses nothing and leaves a small part of ordinary text. Windows overlap by half, so spans
+Every kind of span needs a trigger, which the check enforces: a digit, an at sign, a bracketed "at" or dot, "dot"
+between spaces, or "at" between spaces before a dotted name. Windows without one can hold no span that the check
+lets through and are skipped, which leaves a small part of ordinary text. Windows overlap by half, so spans
 of up to 48 characters stand whole in one of them; each character takes its tag from the window in which it is
 furthest from an edge, and spans are read off the joined tags. Longer spans may come out in parts.
 """
@@ -43,7 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]| [dD][oO][tT] ")
+_LABEL = "[A-Za-z0-9-]+"
+_TRIGGER = re.compile(rf"[0-9@]|[\[(] ?(?:[aA][tT]|[dD][oO][tT]|\.) ?[\])]| [dD][oO][tT] | [aA][tT] {_LABEL}\.[A-Za-z0-9-]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -291,7 +293,7 @@ def decode(w: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
 
 
 def trigger_windows(text: str) -> list[int]:
-    """Starts of the windows, of a grid over the whole text, that hold a digit or an at sign."""
+    """Starts of the windows, of a grid over the whole text, that hold the beginning of a trigger or follow on it."""
     if not _TRIGGER.search(text):
         return []
     at = np.array([m.start() for m in _TRIGGER.finditer(text)]) // STRIDE
@@ -299,7 +301,9 @@ def trigger_windows(text: str) -> list[int]:
     return [s * STRIDE for s in sorted({*np.clip(at, 0, last).tolist(), *np.clip(at - 1, 0, last).tolist()})]
 
 
-_SPELLED = re.compile(r"(?i)[\[(] ?at ?[\])]| at ")
+_DOT = r"(?: ?[\[(] ?(?:dot|\.) ?[\])] ?| dot )"
+#: An address in words: with a bracketed "at" any dots may follow, with a plain one the first has to be a dot without spaces or a word.
+_SPELLED = re.compile(rf"(?i)[a-z0-9._%+-]+(?:{_DOT}[a-z0-9._%+-]+)*(?: ?[\[(] ?at ?[\])] ?{_LABEL}(?:{_DOT}| ?\. ?)| at {_LABEL}(?:{_DOT}|\.)){_LABEL}(?:(?:{_DOT}| ?\. ?){_LABEL})*")
 _DOTS = re.compile(r"(?i)\[\.\]|\(\.\)| ?[\[(]dot[\])] ?| dot | ?\. ?| ?, ?")
 _COLONS = re.compile(r"(?i)[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}")
 
@@ -308,7 +312,9 @@ def valid(kind: int, text: str) -> bool:
     """What any span of a kind has to hold."""
     digits = _digits(text)
     if kind == 0:
-        return ("@" in text[1:-1] or bool(_SPELLED.search(text))) and ("." in text[1:-1] or " dot " in text.lower() or "dot]" in text.lower() or "dot)" in text.lower())
+        if "@" not in text:
+            return bool(_SPELLED.fullmatch(text))
+        return "@" in text[1:-1] and ("." in text[1:-1] or " dot " in text.lower() or "dot]" in text.lower() or "dot)" in text.lower())
     if kind == 1:
         parts = _DOTS.split(text)
         return (len(parts) == 4 and all(p and p == _digits(p) and _byte(p) for p in parts)) or (bool(digits) and text.count(":") >= 2 and bool(_COLONS.fullmatch(text)))
@@ -338,7 +344,7 @@ def _make_email(rng: np.random.Generator) -> str:
     first, dot = _name(rng), _pick(rng, ".", ".", " dot ", " [dot] ", "(dot)", " . ")
     at = _pick(rng, "@", "@", " @ ", " at ", "[at]", " [at] ", "(at)", " (at) ") if dot in (".", " . ") else _pick(rng, " at ", " [at] ", "(at)", "@")
     if at == " at ":
-        dot = " dot "  # a plain "at" counts with a spelled dot only
+        dot = _pick(rng, " dot ", ".")
     local = _pick(rng, first, first + _number(rng, 2), first + "." + _name(rng), first + _pick(rng, ".", "_", "-") + _number(rng, 2), first.capitalize())
     return local + at + dot.join([_name(rng) + _pick(rng, "", _number(rng, 1)), *([_name(rng)] if rng.random() < 0.4 else []), _pick(rng, "com", "org", "net", "de", "es", "fr", "example")])
 

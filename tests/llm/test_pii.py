@@ -126,6 +126,31 @@ def test_spans_are_added_on_the_table(trained, texts):
     assert all(pii.valid(k, t[s:e]) for t, (s, k, e) in added)
 
 
+def test_what_counts_as_a_span_has_a_trigger():
+    """So that windows without one lose nothing: spans put together of all that makes them up, whole and in part."""
+    rng = random.Random(9)
+    parts = ["john", "a", "x1", "9", "@", " at ", "[at]", " (at) ", "( AT )", ".", " . ", ". ", " dot ", "[dot]", "(dot)", " [.] ", "com", "example", "-", "_", ":", " ", "+1", "(", ")", "fe80", "555", "1234"]
+    held = [0] * len(pii.KINDS)
+    for _ in range(200_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        for kind in range(len(pii.KINDS)):
+            if pii.valid(kind, text):
+                held[kind] += 1
+                assert pii._TRIGGER.search(text), (kind, text)
+    assert held[0] > 500 and held[1] and held[3]
+    for text in ("john at example.com", "john [at] foo [dot] com", "john at foo[dot]com", "j.d (at) foo.example.com", "a dot b at foo dot com"):
+        assert pii.valid(0, text) and pii.trigger_windows(text)
+    for text in ("met at noon. then", "at the door", "look at it", "at foo", "the dot at the end"):
+        assert not pii.valid(0, text)
+
+
+def test_makers_make_valid_spans():
+    rng = np.random.default_rng(4)
+    for kind, maker in enumerate(pii._MAKERS):
+        for text in (maker(rng) for _ in range(500)):
+            assert pii.valid(kind, text), text
+
+
 def test_windows_cover_every_trigger():
     rng = random.Random(6)
     for _ in range(200):
