@@ -22,25 +22,34 @@ from folioforge.llm.toxicity import add_toxicity, train_toxicity
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is at least 0.3 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = add_toxicity(docs, train_toxicity(docs, labels.filter(may_learn(4))), "__toxicity")
-    return scored.filter("__toxicity < 0.3").drop("__toxicity")
+    score = _free(docs, "toxicity")
+    scored = add_toxicity(docs, train_toxicity(docs, labels.filter(may_learn(4))), score)
+    return scored.filter(F.col(score) < 0.3).drop(score)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays: that with the smallest doc_id, a null id last; of rows
     alike in doc_id and text, any one. Rows without words are in no group and stay.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"))
+    key, name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")), _free(docs, "key")
     found = materialise(jaccard_components(docs.select(key.alias("doc_id"), "text")).filter("class is not null").select("doc_id", "component_id"), "components")
     drop_spent_shuffles(spark)
-    rejected = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
-    repeated = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).count().filter("count > 1").select("__key")
-    left = docs.withColumn("__key", key).join(rejected, "__key", "left_anti")
-    once = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
-    return left.join(repeated, "__key", "left_anti").unionByName(once).drop("__key")
+    rejected = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    repeated = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("n")).filter("n > 1").select(name)
+    left = docs.withColumn(name, key).join(rejected, name, "left_anti")
+    once = left.join(repeated, name, "left_semi").dropDuplicates([name])
+    return left.join(repeated, name, "left_anti").unionByName(once).drop(name)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
