@@ -3,6 +3,9 @@
 Everything of a page is computed in one projection, then summed; nothing is joined and one shuffle by document
 is enough, for readiness, quality and type together if all are wanted. Pages are never joined into one text, since
 runs, lines and rules end with a page.
+
+A scan reads the pages on which the probe found text; of a document without such a page it reads all. Sums are taken
+over both, and a document's are those over its text pages if it has any: that needs no second pass over pages.
 """
 
 from __future__ import annotations
@@ -10,12 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as t
 from folioforge.functions.rules import CATEGORIES, GUARDS, RULES
 from folioforge.operators import readiness
+from folioforge.staging import staged
 
 
 @dataclass(frozen=True)
@@ -38,7 +42,30 @@ def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def page_statistics(page_text: DataFrame, at: Quality = Quality()) -> DataFrame:
+def _has_text(ready: readiness.Thresholds) -> Column:
+    return F.length(t.strip(F.coalesce("text", F.lit("")))) >= ready.page_chars
+
+
+def _scan_sum(column: str) -> Column:
+    """The sum over a document's text pages, or over all of its pages if it has none."""
+    of = F.col(column).cast("long")
+    return F.coalesce(F.sum(F.when(F.col("has_text"), of)), F.sum(of)).alias(column)
+
+
+def scanned_pages(page_text: DataFrame, *, max_pages: int | None = None, seed: int = 0, ready: readiness.Thresholds = readiness.Thresholds()) -> DataFrame:
+    """The pages that a scan reads; with ``max_pages``, no more than so many of a document: those with the smallest
+    hashes of seed, document and page, so that a seed gives the same pages every time.
+    """
+    slim = page_text.select("doc_id", "page_num", _has_text(ready).alias("has_text"))
+    own = Window.partitionBy("doc_id")
+    chosen = slim.withColumn("any_text", F.max("has_text").over(own)).filter(F.col("has_text") | ~F.col("any_text"))
+    if max_pages is not None:
+        place = F.md5(F.concat_ws("|", F.lit(seed), "doc_id", "page_num"))
+        chosen = chosen.withColumn("place", F.row_number().over(own.orderBy(place, "page_num"))).filter(F.col("place") <= max_pages)
+    return page_text.join(chosen.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
+
+
+def page_statistics(page_text: DataFrame, at: Quality = Quality(), ready: readiness.Thresholds = readiness.Thresholds()) -> DataFrame:
     """Counts of each page; a page without text counts nothing."""
     text = F.col("text")
     # what several columns need is a column first, so that it is computed once
@@ -53,7 +80,7 @@ def page_statistics(page_text: DataFrame, at: Quality = Quality()) -> DataFrame:
         "doc_id", "rel_path", "page_num", "text", "chars", t.words(F.col("flat")).alias("words"), F.length(t.without(F.col("dense"), r"\P{L}")).alias("letters"),
         (solid - F.length(t.without(F.col("dense"), t.DIGIT))).alias("digits"), solid.alias("solid"), "printable", t.occurrences(text, "\ufffd").alias("replaced"),
         (solid - F.col("printable") + t.occurrences(text, " ")).alias("control"), t.run_characters(text, at.run).alias("runs"), F.size("lengths").alias("lines"),
-        F.aggregate("lengths", zero, lambda a, x: a + x).alias("line_chars"), F.aggregate("lengths", zero, lambda a, x: a + x * x).alias("line_squares"), F.array_distinct(F.split(text, "")).alias("kinds"),
+        F.aggregate("lengths", zero, lambda a, x: a + x).alias("line_chars"), F.aggregate("lengths", zero, lambda a, x: a + x * x).alias("line_squares"), F.array_distinct(F.split(text, "")).alias("kinds"), _has_text(ready).alias("has_text"),
     )
 
 
@@ -61,9 +88,10 @@ _SUMMED = ("chars", "words", "letters", "digits", "solid", "printable", "replace
 
 
 def _statistic_sums() -> list[Column]:
-    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in _SUMMED]
+    filled, with_text = F.col("text") != "", F.count_if("has_text")
     # characters of a page are few kinds, and pages of a document are bounded by its length
-    return [F.count_if(F.col("text") != "").alias("pages"), *sums, F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("text") != "", F.col("kinds")))))).alias("kinds")]
+    kinds = F.when(with_text > 0, F.collect_list(F.when(F.col("has_text"), F.col("kinds")))).otherwise(F.collect_list(F.when(filled, F.col("kinds"))))
+    return [F.when(with_text > 0, with_text).otherwise(F.count_if(filled)).alias("pages"), *map(_scan_sum, _SUMMED), F.size(F.array_distinct(F.flatten(kinds))).alias("kinds")]
 
 
 def text_quality(page_text: DataFrame, at: Quality = Quality()) -> DataFrame:
@@ -111,8 +139,9 @@ def quality_summary(quality: DataFrame) -> DataFrame:
 
 
 def snippets(page_text: DataFrame, at: Quality = Quality()) -> DataFrame:
-    """The first page with text of each document, made safe to show."""
-    first = page_text.filter(t.strip(F.col("text")) != "").groupBy("doc_id").agg(F.min_by("text", "page_num").alias("text"))
+    """The first page of each document that a scan reads and that is not blank, made safe to show."""
+    pages = page_text.filter(t.strip(F.col("text")) != "").withColumn("blank", ~_has_text(readiness.Thresholds()))
+    first = pages.groupBy("doc_id").agg(F.min_by("text", F.struct("blank", "page_num")).alias("text"))
     return first.select("doc_id", t.snippet(F.col("text"), at.snippet).alias("text_snippet"))
 
 
@@ -137,14 +166,14 @@ def _page_hits() -> list[Column]:
 def _hit_sums() -> list[Column]:
     """A pattern that two categories share is searched once."""
     of = {}
-    return [F.sum(of.setdefault(p, f"{c}__{r}")).alias(f"{c}__{r}") for c, r, p in RULES]
+    return [_scan_sum(of.setdefault(p, f"{c}__{r}")).alias(f"{c}__{r}") for c, r, p in RULES]
 
 
 def rule_hits(page_text: DataFrame) -> DataFrame:
     """Hits of every rule, and lines, by document."""
     pages = page_text.filter("text <> ''").select("doc_id", "text", F.lower(F.upper("text")).alias("folded"))
-    pages = pages.select("doc_id", F.size(t.lines(F.col("text"))).alias("lines"), *_page_hits())
-    return pages.groupBy("doc_id").agg(F.sum("lines").alias("line_count"), *_hit_sums())
+    pages = pages.select("doc_id", _has_text(readiness.Thresholds()).alias("has_text"), F.size(t.lines(F.col("text"))).alias("lines"), *_page_hits())
+    return pages.groupBy("doc_id").agg(_scan_sum("lines").alias("line_count"), *_hit_sums())
 
 
 def _type_columns() -> tuple[list[Column], Column, Column]:
@@ -180,12 +209,11 @@ def document_signals(page_text: DataFrame, at: Quality = Quality(), ready: readi
 
     Columns of readiness.docs(), text_quality() and content_type(); the latter two are null without text.
     """
-    pages = page_statistics(page_text, at).withColumn("folded", F.lower(F.upper("text")))
-    size = F.length(t.strip(F.col("text")))
-    pages = pages.select("doc_id", "rel_path", "text", "kinds", *_SUMMED, size.alias("text_char_count"), (size >= ready.page_chars).alias("has_text"), *_page_hits())
+    pages = page_statistics(page_text, at, ready).withColumn("folded", F.lower(F.upper("text")))
+    pages = pages.select("doc_id", "rel_path", "text", "kinds", *_SUMMED, F.length(t.strip(F.col("text"))).alias("text_char_count"), "has_text", *_page_hits())
     docs = pages.groupBy("doc_id", "rel_path").agg(
         F.count("*").alias("page_count"), F.count_if("has_text").alias("pages_with_text"), F.sum(F.col("text_char_count").cast("long")).alias("total_text_chars"),
-        F.sum("lines").alias("line_count"), *_statistic_sums(), *_hit_sums(),
+        _scan_sum("lines").alias("line_count"), *_statistic_sums(), *_hit_sums(),
     )
     share, average = F.col("pages_with_text") / F.col("page_count"), F.col("total_text_chars") / F.col("page_count")
     scores, kind, confidence = _type_columns()
@@ -199,7 +227,7 @@ def document_signals(page_text: DataFrame, at: Quality = Quality(), ready: readi
 
 def scanned(signals: DataFrame, min_text_pages: int = 1) -> DataFrame:
     """The documents that a text scan takes: those with pages enough that have text. None at all is an error."""
-    rows = signals.filter(F.coalesce("pages_with_text", F.lit(0)) >= min_text_pages)
+    rows = staged(signals.filter(F.coalesce("pages_with_text", F.lit(0)) >= min_text_pages), "scanned")  # scanned once, then looked at
     if rows.isEmpty():
         raise ValueError(f"no document has {min_text_pages} pages with text")
     return rows

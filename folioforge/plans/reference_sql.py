@@ -31,14 +31,19 @@ rdocs AS (SELECT doc_id, rel_path, count(*) AS page_count, count(*) FILTER (WHER
 )
 
 
-def quality(run: int) -> str:
+#: The pages that a scan reads: those with text, or all of a document without such a page.
+SCAN = f""", scan AS (SELECT * FROM (SELECT *, length({_strip("text")}) >= 25 AS has_text, bool_or(length({_strip("text")}) >= 25) OVER (PARTITION BY doc_id) AS any_text FROM pages) WHERE text <> '' AND (has_text OR NOT any_text))"""
+
+
+def quality(run: int, scan: str = SCAN) -> str:
     marks = "!@#$%^&*()_+-=[]{}|;:,.<>?/~`\"\\"
     patterns = "|".join("".join(["[", "\\" if c in "\\]^-[" else "", c, "]"]) + f"{{{run},}}" for c in marks)
     return (
         with_tables("docs", "pages")
+        + scan
         + f""", p AS (SELECT doc_id, length(text) AS chars, {_n(f"[^{W}]+")} AS words, {_n(chr(92) + "p{L}")} AS letters, {_n("[" + chr(92) + "p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]")} AS digits,
   {_n(f"[^{W}]")} AS solid, {_n(r"[^\p{C}\p{Z}]|\x20")} AS printable, {_n(r"\x{fffd}")} AS replaced, {_n(f"[^{W}]")} - {_n(r"[^\p{C}\p{Z}]")} AS control,
-  list_sum(list_transform(regexp_extract_all(text, '{patterns}'), lambda r: length(r))) AS runs, list_transform({_LINES}, lambda l: length({_strip("l")})) AS lens, list_distinct(string_split(text, '')) AS kinds FROM pages WHERE text <> ''),
+  list_sum(list_transform(regexp_extract_all(text, '{patterns}'), lambda r: length(r))) AS runs, list_transform({_LINES}, lambda l: length({_strip("l")})) AS lens, list_distinct(string_split(text, '')) AS kinds FROM scan),
 s AS (SELECT doc_id, count(*) AS pages, sum(chars) AS chars, sum(words) AS words, sum(letters) AS letters, sum(digits) AS digits, sum(solid) AS solid, sum(printable) AS printable, sum(replaced) AS replaced,
   sum(control) AS control, coalesce(sum(runs), 0) AS runs, sum(len(lens)) AS lines, coalesce(sum(list_sum(lens)), 0) AS line_chars, coalesce(sum(list_sum(list_transform(lens, lambda l: l * l))), 0) AS line_squares,
   len(list_distinct(flatten(list(kinds)))) AS kinds FROM p GROUP BY doc_id),
@@ -61,7 +66,7 @@ def _re2(pattern: str) -> str:
 
 
 _HIT_COLUMNS = ",\n".join(f"sum(len(regexp_extract_all(text, '{_re2(p)}')))::BIGINT AS {c}__{r}" for c, r, p in RULES)
-HITS = f""", src AS (SELECT doc_id, text FROM pages WHERE text <> '' UNION ALL SELECT * FROM fixture), hits AS (SELECT doc_id, sum(len({_LINES}))::BIGINT AS line_count, {_HIT_COLUMNS} FROM src GROUP BY doc_id)"""
+HITS = f"""{SCAN.replace("scan AS", "hit_pages AS", 1)}, src AS (SELECT doc_id, text FROM hit_pages UNION ALL SELECT * FROM fixture), hits AS (SELECT doc_id, sum(len({_LINES}))::BIGINT AS line_count, {_HIT_COLUMNS} FROM src GROUP BY doc_id)"""
 
 
 def _total(category: str) -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.sources import tables
+from folioforge import staging
 from folioforge.sources.storage import store
 
 from .adapters import table
@@ -79,7 +79,7 @@ def _made(spark: SparkSession, sf_dir: str, kind: str, files) -> str:
     """The root of a tree, which is written once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _TREES:
-        root = f"{tables.working_folder(spark)}/trees/{uuid.uuid4().hex}"
+        root = f"{staging.working_folder(spark)}/trees/{uuid.uuid4().hex}"
         write_tree(files(spark, sf_dir), root)
         _TREES[key] = root
     return _TREES[key]

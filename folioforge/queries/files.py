@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import staging
 from folioforge.functions import paths
 from folioforge.operators import probe
 from folioforge.plans.adapters import table
 from folioforge.plans.trees import DOCUMENT_TREE, call_tree, document_tree
-from folioforge.sources import archives, files, pages, tables, transcripts
+from folioforge.sources import archives, files, pages, transcripts
 
 from .registry import query
 
@@ -111,7 +112,7 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """Speaker turns written as RTTM, among lines of other kinds, and read back."""
-    path = f"{tables.working_folder(spark)}/trees/{uuid.uuid4().hex}.rttm"
+    path = f"{staging.working_folder(spark)}/trees/{uuid.uuid4().hex}.rttm"
     calls = table(spark, d, "conversations").selectExpr("concat(conv_id, '.wav') as file_path", "turn", "length(coalesce(text, '')) as n", "role")
     lines = calls.select(F.explode(F.array(F.format_string("SPEAKER %s 1 %d.250 %d.500 <NA> <NA> %s <NA> <NA>", "file_path", "turn", "n", "role"), F.format_string("SPKR-INFO %s 1 <NA> <NA> <NA> unknown %s <NA> <NA>", "file_path", "role"), F.lit(""))).alias("value"))
     lines.write.text(path)

@@ -51,7 +51,7 @@ def _predicted(spark: SparkSession, d: str) -> DataFrame:
 def _reloaded(spark: SparkSession, d: str) -> DataFrame:
     """A model saved and loaded again by LATEST: how many predictions differ from the first one's."""
     trained, rows = _trained(spark, d)
-    root = f"{tables.working_folder(spark)}/models/{uuid.uuid4().hex}"
+    root = f"{staging.working_folder(spark)}/models/{uuid.uuid4().hex}"
     doctype.save(trained, root, "m1_doc_type_20240101_000000")
     model, card = doctype.load(spark, root)
     first, second = (doctype.predict(m, rows, ["rel_path"]).select("rel_path", "predicted_label", F.round("confidence", 9).alias("confidence")) for m in (trained.model, model))

@@ -43,7 +43,7 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
     """Events streamed once into a table, then counted."""
     import uuid
 
-    from folioforge.sources.tables import working_folder
+    from folioforge.staging import working_folder
 
     base = f"{working_folder(s)}/ingest/{uuid.uuid4().hex}"
     schema = table(s, d, "events").schema

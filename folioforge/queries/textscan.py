@@ -21,6 +21,10 @@ query("text_quality", sql.quality(4) + "SELECT * FROM quality")(quality)
 query("text_quality_variant_runs3", sql.quality(3) + "SELECT * FROM quality")(
     lambda s, d: textscan.text_quality(page_text(s, d), textscan.Quality(run=3)),
 )
+_SAMPLE = sql.SCAN.replace("scan AS", "whole AS", 1) + """, scan AS (SELECT doc_id, rel_path, page_num, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('7|' || doc_id || '|' || page_num)) AS place FROM whole) WHERE place <= 3)"""
+query("text_quality_sampled_pages", sql.quality(4, _SAMPLE) + "SELECT * FROM quality")(
+    lambda s, d: textscan.text_quality(textscan.scanned_pages(page_text(s, d), max_pages=3, seed=7)),
+)
 query("text_scan_summary", sql.quality(4) + """SELECT text_quality_label, count(*) AS docs, round(avg(text_quality_score), 6) AS mean_score
   FROM quality
   GROUP BY 1""")(
@@ -33,8 +37,9 @@ query("text_ready_kpis", sql.quality(4) + """SELECT count(*) AS docs, round(coun
 query(
     "snippets",
     with_tables("docs", "pages")
+    + sql.SCAN
     + f""", f AS (SELECT doc_id, arg_min(text, page_num) AS text
-  FROM pages
+  FROM scan
   WHERE {sql._strip("text")} <> ''
   GROUP BY 1), m AS (SELECT doc_id,
   regexp_replace(regexp_replace({sql._strip(f"regexp_replace(text, '[{sql.W}]+', ' ', 'g')")}, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}', '[email]', 'g'), '\\b\\d{{5,}}\\b', '[number]', 'g') AS t

@@ -28,7 +28,7 @@ from folioforge.functions import paths
 from folioforge.operators.probe import output_label
 
 from .storage import chunks, store
-from .tables import staged
+from folioforge.staging import staged
 
 HASHES = ("md5", "sha1", "sha256", "none")
 #: Recordings that are transcribed.

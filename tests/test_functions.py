@@ -298,3 +298,20 @@ def test_run_id():
     from datetime import datetime
 
     assert run_id("My run!", "probe", datetime(2024, 1, 2, 3, 4, 5)) == "My_run_probe_20240102_030405"
+
+
+def test_a_scan_reads_text_pages_or_all(spark):
+    from folioforge.operators import textscan
+
+    long = "A page of text with words enough to count as one."
+    rows = [(1, "a", 1, "short"), (1, "a", 2, long), (1, "a", 3, ""), (2, "b", 1, "brief"), (2, "b", 2, "   "), (3, "c", 1, None), *((4, "d", k, f"{long} {k}") for k in range(1, 9))]
+    pages = spark.createDataFrame(rows, "doc_id long, rel_path string, page_num int, text string")
+    found = {r.doc_id: (r.text_pages, r.total_chars) for r in textscan.text_quality(pages).collect()}
+    assert found == {1: (1, len(long)), 2: (2, 8), 4: (8, 8 * len(long) + 16)}
+    both = {r.doc_id: (r.total_chars, r.page_count) for r in textscan.document_signals(pages).collect()}
+    assert both == {1: (len(long), 3), 2: (8, 2), 3: (None, 1), 4: (8 * len(long) + 16, 8)}
+    assert {r.doc_id: r.line_count for r in textscan.rule_hits(pages).collect()} == {1: 1, 2: 2, 4: 8}
+    assert {r.doc_id: r.text_snippet for r in textscan.snippets(pages).collect()} == {1: long, 2: "brief", 4: f"{long} 1"}
+    picked = [{r.page_num for r in textscan.scanned_pages(pages, max_pages=3, seed=s).filter("doc_id = 4").collect()} for s in (1, 1, 2, 3)]
+    assert all(len(p) == 3 for p in picked) and picked[0] == picked[1] and len(set(map(frozenset, picked))) > 1
+    assert {(r.doc_id, r.page_num) for r in textscan.scanned_pages(pages).filter("doc_id < 4").collect()} == {(1, 2), (2, 1), (2, 2), (3, 1)}

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge import cli
+from folioforge import cli, staging
 from folioforge.functions import paths
 from folioforge.plans import trees
 from folioforge.schemas import INVENTORY, LABELS
@@ -168,7 +168,7 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
         sparkContext, conf = Context(), {"spark.sql.warehouse.dir": "file:/here/spark-warehouse"}  # noqa: N815
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        tables.working_folder(Session())
+        staging.working_folder(Session())
 
 
 def test_cli_checks_and_writes(spark, tree, tmp_path, capsys):
