@@ -80,7 +80,7 @@ SELECT link, arg_min(page_id, (page_id, position)) AS page_id, arg_min(position,
 )(lambda s, d: incremental.download_links(_typed_links(s, d)))
 
 
-def _current(spark: SparkSession, d: str) -> DataFrame:
+def current(spark: SparkSession, d: str) -> DataFrame:
     """What the server says of each address: some have no etag, some no date, some answer that nothing changed."""
     size = F.length("html").cast("long")
     rows = table(spark, d, "pages").groupBy("url").agg(F.max("page_id").alias("page_id"), F.max(size).alias("n"))
@@ -90,16 +90,16 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _manifest(spark: SparkSession, d: str) -> DataFrame:
+def manifest(spark: SparkSession, d: str) -> DataFrame:
     """What was known of them: secure addresses only, with other etags, dates and lengths for some."""
-    rows = _current(spark, d).filter("url like 'https:%'")
+    rows = current(spark, d).filter("url like 'https:%'")
     return rows.select(
         "url", F.when(F.col("page_id") % 4 == 0, "old").otherwise(F.col("etag")).alias("etag"), F.when(F.col("page_id") % 2 == 0, "Mon").otherwise("Tue").alias("last_modified"),
         (F.col("content_length") + F.when(F.col("page_id") % 9 < 5, 1).otherwise(0)).alias("content_length"), F.lit("old/place").alias("local_path"), F.lit("downloaded").alias("status"),
     )
 
 
-_DIFF = """WITH c AS (
+DIFF = """WITH c AS (
   SELECT url, CASE WHEN p % 5 <> 0 THEN md5(n::VARCHAR) END AS etag, CASE WHEN p % 3 <> 0 THEN 'Mon' END AS lm, n, p, CASE WHEN p % 13 = 0 THEN 304 ELSE 200 END AS code
   FROM (SELECT url, max(page_id) AS p, max(length(html)) AS n FROM pages GROUP BY 1)),
 m AS (
@@ -112,19 +112,19 @@ diff AS (
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.change_status(_current(spark, d), _manifest(spark, d))
+    return incremental.change_status(current(spark, d), manifest(spark, d))
 
 
 def _updated(spark: SparkSession, d: str) -> DataFrame:
-    seen = _current(spark, d).drop("page_id", "status_code").join(_status(spark, d), "url").withColumn("status", incremental.run_status(F.col("status")))
-    return incremental.update_manifest(_manifest(spark, d), seen)
+    seen = current(spark, d).drop("page_id", "status_code").join(_status(spark, d), "url").withColumn("status", incremental.run_status(F.col("status")))
+    return incremental.updatemanifest(manifest(spark, d), seen)
 
 
-query("manifest_diff", _DIFF + "SELECT url, status FROM diff")(_status)
-query("manifest_status_counts", _DIFF + "SELECT status, count(*) AS n FROM diff GROUP BY 1")(lambda s, d: incremental.status_counts(_status(s, d)))
+query("manifest_diff", DIFF + "SELECT url, status FROM diff")(_status)
+query("manifest_status_counts", DIFF + "SELECT status, count(*) AS n FROM diff GROUP BY 1")(lambda s, d: incremental.status_counts(_status(s, d)))
 query(
     "manifest_update",
-    _DIFF
+    DIFF
     + """SELECT url, coalesce(etag, e2) AS etag, coalesce(lm, l2) AS last_modified, n AS content_length, CASE WHEN known THEN 'old/place' END AS local_path,
     CASE WHEN starts_with(status, 'skipped') THEN 'skipped' ELSE 'downloaded' END AS status
   FROM diff""",

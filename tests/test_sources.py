@@ -373,18 +373,6 @@ def test_labels_of_an_old_file(spark):
     assert [(r.rel_path, r.top_level_folder, r.extension) for r in tables.load_inventory(spark.createDataFrame([("B\\x.PDF", None, ".PDF")], "rel_path string, top_level_folder string, extension string")).collect()] == [("B/x.PDF", "B", "pdf")]
 
 
-def test_streamed_links_update_the_manifest(spark, tmp_path):
-    schema = "url string, etag string, last_modified string, content_length long"
-    source, manifest = str(tmp_path / "s"), str(tmp_path / "m")
-    kinds = spark.createDataFrame([], f"{schema}, status string").schema
-    for k, rows in enumerate(([("a", "1", None, 1), ("b", "1", None, 1)], [("a", "1", None, 1), ("b", "2", None, 2)])):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        ingest.follow_links(stream, manifest, str(tmp_path / "c"), kinds)
-        expected = {"a": "downloaded", "b": "downloaded"} if k == 0 else {"a": "skipped", "b": "downloaded"}
-        assert {r.url: r.status for r in spark.read.parquet(f"{manifest}/version={k}").collect()} == expected
-
-
 def test_catalog_export(spark, tmp_path):
     from folioforge.sources import export
 
