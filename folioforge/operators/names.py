@@ -195,20 +195,20 @@ def query_key(query: Column) -> Column:
     return F.when(q.contains(","), comma).when(q.contains(" "), F.concat_ws("|", F.substring_index(q, " ", -1), F.substring_index(q, " ", 1)))
 
 
-def _grams(text):
-    """The distinct runs of one to three characters of a short text."""
+def _runs(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    def runs(n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
 
-    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+#: Short queries up to so many are sent to all executors.
+FEW_QUERIES = 10_000
 
 
 def lookup(records: DataFrame, queries: DataFrame) -> DataFrame:
     """Names for each query: by key, else by variant, else by part of the display name; blank finds nothing.
 
-    Three equality joins, each for the queries that the one before left without an answer: on the key, on the
-    variants, and on the query's first characters among those of display names, where containment is then checked.
+    Equality joins, each for the queries that the one before left without an answer: on the key, on the variants, and
+    on the three letters of the query that fewest display names have, where containment is then checked.
     """
     q = queries.withColumn("q", F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))).filter("q <> ''").select("query", "q", query_key(F.col("query")).alias("key")).distinct()
     shown = ("query", "stage", "canonical_key", "display_name", "total_count")
@@ -216,7 +216,18 @@ def lookup(records: DataFrame, queries: DataFrame) -> DataFrame:
     rest = q.join(by_key.select("query").distinct(), "query", "left_anti")
     variants = records.select("canonical_key", "display_name", "total_count", F.explode(F.array_distinct("variants")).alias("variant"))
     by_variant = variants.join(rest, F.col("variant") == F.col("q")).withColumn("stage", F.lit(2)).select(*shown)
-    rest = rest.join(by_variant.select("query").distinct(), "query", "left_anti").withColumn("gram", F.substring("q", 1, 3))
-    parts = records.select("canonical_key", "display_name", "total_count", F.explode(_grams(F.lower("display_name"))).alias("gram"))
-    by_part = parts.join(rest, "gram").filter(F.lower("display_name").contains(F.col("q"))).withColumn("stage", F.lit(3)).select(*shown)
+    rest = rest.join(by_variant.select("query").distinct(), "query", "left_anti")
+    names = records.select("canonical_key", "display_name", "total_count", F.lower("display_name").alias("low"))
+    # one and two letters: their runs among those of names; such a query's answer is a good part of all names
+    short = rest.filter(F.length("q") < 3).select("query", "q", F.col("q").alias("gram"))
+    if short.count() <= FEW_QUERIES:
+        short = F.broadcast(short)
+    few = names.select("*", F.explode(F.concat(_runs(F.col("low"), 1), _runs(F.col("low"), 2))).alias("gram")).join(short, "gram")
+    # longer ones: names that hold the query's rarest three letters, then the whole
+    held = names.select("*", F.explode(_runs(F.col("low"), 3)).alias("gram"))
+    asked = rest.filter(F.length("q") >= 3).select("query", "q", F.explode(_runs(F.col("q"), 3)).alias("gram"))
+    often = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "gram", "left").groupBy("query", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    many = held.join(rarest, "gram").filter(F.col("low").contains(F.col("q")))
+    by_part = few.select(*shown[:1], *shown[2:]).unionByName(many.select(*shown[:1], *shown[2:])).withColumn("stage", F.lit(3)).select(*shown)
     return by_key.unionByName(by_variant).unionByName(by_part)

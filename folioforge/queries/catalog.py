@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import staging
 from folioforge.functions import formats, paths
 from folioforge.operators import catalogue_views as views
 from folioforge.operators import doctype, probe, raster, readiness, textscan
 from folioforge.plans import adapters
 from folioforge.plans import reference_sql as sql
 from folioforge.plans.adapters import page_text, table, with_tables
+from folioforge.sources.text_index import TextIndex
 
 from .inventory import INV as _INV
 from .readiness import ready_docs
@@ -154,6 +158,18 @@ query("keyword_search", with_tables("docs", "pages") + """, k AS (SELECT doc_id,
   GROUP BY 1""")(
     lambda s, d: views.keyword_search(page_text(s, d), "the."),
 )
+
+
+def _indexed(s: SparkSession, d: str, words: str) -> DataFrame:
+    index = TextIndex.build(page_text(s, d), f"{staging.working_folder(s)}/index/{uuid.uuid4().hex}", pages_per_block=200)
+    return index.search(words)
+
+
+_SEARCHED = with_tables("docs", "pages") + """, k AS (SELECT doc_id, page_num, len(regexp_extract_all(text, '(?i){}')) AS n FROM pages)
+SELECT doc_id, sum(n)::BIGINT AS matches, count(*) AS pages, string_agg(page_num || ':' || n, ',' ORDER BY page_num) AS page_hits FROM k WHERE n > 0 GROUP BY 1"""
+query("indexed_search", _SEARCHED.format("example[.]com"))(lambda s, d: _indexed(s, d, "Example.com"))
+query("indexed_search_of_two_letters", _SEARCHED.format("qu"))(lambda s, d: _indexed(s, d, "QU"))
+query("indexed_search_without_hits", _SEARCHED.format("qqqjjjxxx"))(lambda s, d: _indexed(s, d, "qqqjjjxxx"))
 _HASHED = "sha256(doc_id || '|42')"
 query("sample_docs", with_tables("docs") + f"SELECT doc_id FROM docs ORDER BY {_HASHED}, doc_id LIMIT 50")(
     lambda s, d: views.sample(adapters.documents(s, d).select("doc_id"), "doc_id", 50, 42),

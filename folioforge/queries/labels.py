@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import staging
 from folioforge.functions import paths
 from folioforge.operators import labels, readiness
 from folioforge.plans import adapters
 from folioforge.plans import reference_sql as sql
 from folioforge.plans.adapters import table, with_tables
 
+from folioforge.sources.keyed import KeyedTable
+
 from .readiness import ready_docs
 from .registry import query
 
@@ -180,3 +185,18 @@ query("label_queue", _PRED + """SELECT rel_path, suggested_label, confidence
   ORDER BY turn, f LIMIT 45""")(
     lambda s, d: labels.label_queue(_predictions(s, d).filter("truth is null").select("rel_path", F.col("pred").alias("suggested_label"), "confidence", paths.top_level_folder(F.col("rel_path")).alias("top_level_folder")), 45)
 )
+
+
+@query(
+    "keyed_label_upsert",
+    """SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels WHERE doc_id % 100 <> 9
+UNION ALL SELECT doc_id + 100000000, quality, toxic FROM labels WHERE doc_id % 100 = 7""",
+)
+def _keyed_upsert(s: SparkSession, d: str) -> DataFrame:
+    """The label table by document in buckets: one in a hundred labels changed, as many added, as many taken away."""
+    rows = table(s, d, "labels")
+    kept = KeyedTable.create(rows, f"{staging.working_folder(s)}/keyed/{uuid.uuid4().hex}", ["doc_id"], buckets=32)
+    some = rows.filter("doc_id % 100 = 7")
+    changed = some.withColumn("quality", (1 - F.col("quality")).cast(rows.schema["quality"].dataType))
+    kept.upsert(changed.unionByName(some.withColumn("doc_id", F.col("doc_id") + 100_000_000)), delete=rows.filter("doc_id % 100 = 9"))
+    return kept.read()

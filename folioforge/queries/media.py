@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators import incremental, media, raster, readiness
+from folioforge.operators import incremental, media, raster, readiness, sketches
 from folioforge.plans import adapters
 from folioforge.plans import reference_sql as sql
 from folioforge.plans.adapters import page_text, table
@@ -141,3 +141,47 @@ query(
 SELECT r.doc_id, r.page_count::DOUBLE AS page_count, r.pages_with_text::DOUBLE AS pages_with_text, text_coverage_pct, avg_text_chars_per_page, NULL::DOUBLE AS mostly_black_pct, gray_mean_mean, edge_density_median
   FROM rdocs r LEFT JOIN f USING (doc_id)""",
 )(lambda s, d: _rounded(raster.with_probe_metrics(features(s, d), ready_docs(s, d))).select("doc_id", *raster.PROBE_METRICS, "gray_mean_mean", "edge_density_median"))
+
+
+def _text_sizes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.lit("all").alias("whole"), "source", "lang", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+
+
+def _within(values: DataFrame, merged: DataFrame, by: str, column: str) -> DataFrame:
+    """Whether each quantile of merged sketches keeps the bound."""
+    errors = sketches.rank_errors(values, sketches.quantiles(merged, _SHARES), [by], column)
+    return errors.select(F.col(by).alias("part"), "share", "n", (F.col("rank_error") <= sketches.RANK_ERROR).alias("within_bound"))
+
+
+_SHARES = (0.1, 0.5, 0.9)
+
+
+@query(
+    "text_size_quantiles",
+    """SELECT source AS part, share::DOUBLE AS share, count(*) AS n, true AS within_bound FROM documents, (VALUES (0.1), (0.5), (0.9)) v(share) GROUP BY ALL
+UNION ALL SELECT 'all', share::DOUBLE, count(*), true FROM documents, (VALUES (0.1), (0.5), (0.9)) v(share) GROUP BY share HAVING count(*) > 0""",
+)
+def _text_size_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """Sketches of sources and languages, merged to sources, and these to the whole."""
+    values = _text_sizes(s, d)
+    fine = sketches.sketch(values, ["whole", "source", "lang"], "size")
+    by_source = sketches.merge(fine, ["whole", "source"])
+    return _within(values, by_source, "source", "size").unionByName(_within(values, sketches.merge(by_source, ["whole"]), "whole", "size"))
+
+
+@query("gray_quantiles", "SELECT label::VARCHAR AS part, share::DOUBLE AS share, sum(len(embedding))::BIGINT AS n, true AS within_bound FROM embeddings, (VALUES (0.1), (0.5), (0.9)) v(share) GROUP BY ALL")
+def _gray_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """Sketches of each vector's components, merged to those of its label."""
+    values = table(s, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), F.explode("embedding").alias("x"))
+    return _within(values, sketches.merge(sketches.sketch(values, ["vec_id", "label"], "x"), ["label"]), "label", "x")
+
+
+@query("text_size_histogram", """SELECT source, bin::INT AS bin, true AS within_bound FROM (SELECT DISTINCT source FROM documents), range(0, 4) r(bin)""")
+def _text_size_histogram(s: SparkSession, d: str) -> DataFrame:
+    """Counts of four bins from sketches, held against counted ones."""
+    values, edges = _text_sizes(s, d), (-1.0, 500.0, 1500.0, 4000.0, 1e9)
+    merged = sketches.merge(sketches.sketch(values, ["source", "lang"], "size"), ["source"])
+    at = F.when(F.col("size") <= 500, 0).when(F.col("size") <= 1500, 1).when(F.col("size") <= 4000, 2).otherwise(3)
+    counted = values.groupBy("source", at.alias("bin")).agg(F.count(F.lit(1)).alias("counted"))
+    found = sketches.histogram(merged, edges).join(counted, ["source", "bin"], "left")
+    return found.select("source", "bin", (F.abs(F.col("values") - F.coalesce("counted", F.lit(0))) <= 2 * sketches.RANK_ERROR * F.col("n") + 1).alias("within_bound"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import staging
 from folioforge.operators import catalogue_views as views
 from folioforge.operators import incremental
 from folioforge.plans.adapters import table
-from folioforge.sources import export
+from folioforge.sources import export, tables
 from folioforge.streaming import ingest
 
 from .registry import query
@@ -41,11 +44,7 @@ query("latest_run", _RUNS + """SELECT stage, source_root, arg_max(run_id, (coale
 @query("ingest_available_now", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _ingest(s: SparkSession, d: str) -> DataFrame:
     """Events streamed once into a table, then counted."""
-    import uuid
-
-    from folioforge.staging import working_folder
-
-    base = f"{working_folder(s)}/ingest/{uuid.uuid4().hex}"
+    base = f"{staging.working_folder(s)}/ingest/{uuid.uuid4().hex}"
     schema = table(s, d, "events").schema
     one = s.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
     ingest.run_available(one, f"{base}/table", f"{base}/progress").stop()
@@ -70,3 +69,23 @@ query(
     + """SELECT run_id, CASE WHEN regexp_matches(run_id, '\\d{8}_\\d{6}') THEN regexp_replace(regexp_extract(run_id, '(\\d{8})_\\d{6}', 1), '(....)(..)(..)', '\\1-\\2-\\3') ELSE run_id END AS day
   FROM runs""",
 )(lambda s, d: _runs(s, d).select("run_id", views.run_date_label(F.col("run_id")).alias("day")))
+
+
+@query(
+    "published_runs",
+    _RUNS + """SELECT stage, 'newest' AS run_id, '/data' AS source_root, max(ts) AS ts, count(*) AS rows, 1::BIGINT AS records FROM runs GROUP BY stage""",
+)
+def _published(s: SparkSession, d: str) -> DataFrame:
+    """The runs of each stage as the table of one run, published twice: the second time adds nothing."""
+    root, found = f"{staging.working_folder(s)}/published/{uuid.uuid4().hex}", _runs(s, d)
+    for stage in ("inventory", "probe", "text-scan"):
+        rows = found.filter(F.col("stage") == stage)
+        newest = rows.agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).first()[0]
+        if newest is not None:
+            for _ in range(2):
+                tables.write_run(rows.drop("stage"), root, stage, "newest", "/data", newest)
+    records = tables.runs(s, root)
+    held = s.read.parquet(f"{root}/*/run_id=newest").withColumn("stage", F.regexp_extract(F.input_file_name(), "([^/]+)/run_id=newest/", 1))
+    counts = held.groupBy("stage").agg(F.count("*").alias("rows"))
+    times = records.groupBy("stage", "run_id", "source_root").agg(F.max("ts").cast(found.schema["ts"].dataType).alias("ts"), F.count("*").alias("records"))
+    return times.join(counts, "stage").select("stage", "run_id", "source_root", "ts", "rows", "records")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 
 import pyarrow as pa
 import pyarrow.csv
@@ -51,29 +52,56 @@ def write_json(spark: SparkSession, path: str, data: dict) -> None:
     write_text(spark, path, json.dumps(data, indent=2, sort_keys=True))
 
 
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder or file a name that must be free; in one step, where the file system has one."""
+    path, to = _path(spark, source), _path(spark, target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    fs.mkdirs(to.getParent())
+    context.rename(fs.makeQualified(path), fs.makeQualified(to), options)
+
+
+def _record_path(root: str, stage: str, run_id: str) -> str:
+    return f"{root}/runs/{stage}__{run_id}.json"
+
+
 def write_run(df: DataFrame, root: str, stage: str, run_id: str, source_root: str, ts: str, *, summary: dict | None = None, log: dict | None = None, flat_copy: bool = False) -> str:
-    """Write a table as one run of a stage and record the run; returns its path.
+    """Write a table as one run of a stage and publish it; returns its path.
 
-    Beside the table: summary.json and run_log.json where given, LATEST.json in the stage's folder, and, if asked for,
-    a flat CSV copy of the latest table for readers that know no runs.
+    The table is written under a hidden name and renamed when it is whole; then its record is entered under the run's
+    own name, which publishes it: ``runs`` and readers of the latest run see recorded runs only. Whatever step fails,
+    the same call again ends with one table and one record: a table that is there is not written again, a run
+    that is recorded stays as it is. Beside the table: summary.json and run_log.json where given, LATEST.json in the
+    stage's folder, and, if asked for, a flat CSV copy of the latest table for readers that know no runs.
     """
     spark = df.sparkSession
     path = f"{root}/{stage}/run_id={run_id}"
-    df.write.mode("errorifexists").parquet(path)
+    if exists(spark, _record_path(root, stage, run_id)):
+        return path
+    if not exists(spark, path):
+        hidden = f"{root}/{stage}/.writing_{run_id}_{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(hidden)
+        _rename(spark, hidden, path)
+    about = {"run_id": run_id, "timestamp": ts, "source_root": source_root}
     for name, data in (("summary", summary), ("run_log", log)):
         if data is not None:
-            write_json(spark, f"{root}/{stage}/{run_id}.{name}.json", data | {"run_id": run_id, "timestamp": ts, "source_root": source_root})
-    record = spark.createDataFrame([(stage, run_id, source_root, ts, path)], "stage string, run_id string, source_root string, ts string, path string")
-    record.select("stage", "run_id", "source_root", F.col("ts").cast("timestamp").alias("ts"), "path").write.mode("append").parquet(f"{root}/runs")
-    write_json(spark, f"{root}/{stage}/LATEST.json", {"run_id": run_id, "path": path, "timestamp": ts, "source_root": source_root})
+            write_json(spark, f"{root}/{stage}/{run_id}.{name}.json", data | about)
     if flat_copy:
         plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]
-        spark.read.schema(df.schema).parquet(path).select(*plain).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{stage}_latest_csv")
+        spark.read.schema(df.schema).parquet(path).select(*plain).write.mode("overwrite").option("header", True).csv(f"{root}/{stage}_latest_csv")
+    record = {"stage": stage, "run_id": run_id, "source_root": source_root, "ts": ts, "path": path}
+    hidden = f"{root}/runs/.{uuid.uuid4().hex}"
+    write_text(spark, hidden, json.dumps(record, sort_keys=True))
+    _rename(spark, hidden, _record_path(root, stage, run_id))
+    write_json(spark, f"{root}/{stage}/LATEST.json", about | {"path": path})
     return path
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(RUNS).parquet(f"{root}/runs")
+    """The runs that are published: one record each."""
+    rows = spark.read.schema("stage string, run_id string, source_root string, ts string, path string").json(f"{root}/runs")
+    return rows.select("stage", "run_id", "source_root", F.col("ts").try_cast("timestamp").alias("ts"), "path").select(*RUNS.names)
 
 
 def resolve_run(spark: SparkSession, root: str, stage: str, reference: str | None = None) -> str:
