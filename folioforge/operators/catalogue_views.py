@@ -152,10 +152,15 @@ def path_search(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.filter(F.col("rel_path").rlike("(?i)" + pattern))
 
 
-def labeling_queue(docs: DataFrame, quality: DataFrame, labels: DataFrame, most_pages: int = 5) -> DataFrame:
-    """Short documents without a label whose text is not good, shortest first."""
+def labeling_queue(docs: DataFrame, quality: DataFrame, labels: DataFrame, most_pages: int = 5, *, focus: tuple[str, ...] = ("EMPTY", "LOW"), folder: str | None = None) -> DataFrame:
+    """Short documents without a label whose text has one of the labels ``focus`` (none counts as EMPTY), of one folder
+    if asked for; shortest first.
+    """
     rows = docs.join(quality.select("doc_id", "text_quality_label"), "doc_id", "left").join(labels.select("doc_id"), "doc_id", "left_anti")
-    return rows.filter(F.col("page_count").between(1, most_pages) & (F.coalesce("text_quality_label", F.lit("EMPTY")) != "GOOD")).select("doc_id", "rel_path", "page_count", "text_quality_label")
+    rows = rows.filter(F.col("page_count").between(1, most_pages) & F.coalesce("text_quality_label", F.lit("EMPTY")).isin(*focus))
+    if folder is not None:
+        rows = rows.filter(paths.top_level_folder(F.col("rel_path")) == folder)
+    return rows.select("doc_id", "rel_path", "page_count", "text_quality_label").orderBy("page_count", "rel_path")
 
 
 def candidates(docs: DataFrame, best: bool, n: int = 20) -> DataFrame:

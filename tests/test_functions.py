@@ -315,3 +315,16 @@ def test_a_scan_reads_text_pages_or_all(spark):
     picked = [{r.page_num for r in textscan.scanned_pages(pages, max_pages=3, seed=s).filter("doc_id = 4").collect()} for s in (1, 1, 2, 3)]
     assert all(len(p) == 3 for p in picked) and picked[0] == picked[1] and len(set(map(frozenset, picked))) > 1
     assert {(r.doc_id, r.page_num) for r in textscan.scanned_pages(pages).filter("doc_id < 4").collect()} == {(1, 2), (2, 1), (2, 2), (3, 1)}
+
+
+def test_labeling_queue_by_focus_and_folder(spark):
+    from folioforge.operators import catalogue_views as views
+
+    docs = spark.createDataFrame([(1, "A/1.pdf", 3), (2, "A/2.pdf", 1), (3, "B/3.pdf", 2), (4, "A/4.pdf", 9), (5, "A/5.pdf", 1), (6, "B/6.pdf", 1)], "doc_id long, rel_path string, page_count long")
+    quality = spark.createDataFrame([(1, "EMPTY"), (2, "LOW"), (3, "LOW"), (4, "LOW"), (5, "GOOD")], "doc_id long, text_quality_label string")
+    labels = spark.createDataFrame([(3,)], "doc_id long")
+
+    def queue(**options):
+        return [r.doc_id for r in views.labeling_queue(docs, quality, labels, **options).collect()]
+
+    assert queue() == [2, 6, 1] and queue(focus=("LOW",)) == [2] and queue(focus=("EMPTY",)) == [6, 1] and queue(folder="A") == [2, 1]
