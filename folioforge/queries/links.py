@@ -117,7 +117,7 @@ def _status(spark: SparkSession, d: str) -> DataFrame:
 
 def _updated(spark: SparkSession, d: str) -> DataFrame:
     seen = current(spark, d).drop("page_id", "status_code").join(_status(spark, d), "url").withColumn("status", incremental.run_status(F.col("status")))
-    return incremental.updatemanifest(manifest(spark, d), seen)
+    return incremental.update_manifest(manifest(spark, d), seen)
 
 
 query("manifest_diff", DIFF + "SELECT url, status FROM diff")(_status)

@@ -94,7 +94,7 @@ query("document_metadata", _METADATA + "SELECT doc_id, rel_path, page_count, top
 )
 query(
     "name_index_of_good_documents",
-    _NAMES + _METADATA[_METADATA.index(", p AS") :] + "SELECT canonical_key, doc_id, page_count, title, n AS total_count FROM (SELECT canonical_key, doc_id::VARCHAR AS doc_id, n FROM dd) JOIN meta USING (doc_id)",
+    _NAMES + _METADATA[_METADATA.index(", scan AS") :] + "SELECT canonical_key, doc_id, page_count, title, n AS total_count FROM (SELECT canonical_key, doc_id::VARCHAR AS doc_id, n FROM dd) JOIN meta USING (doc_id)",
 )(lambda s, d: _nested(s, d))
 
 
