@@ -1,7 +1,11 @@
 """Command line: stages of the engine over a folder of files or of tables.
 
     python -m folioforge.cli inventory run --root DIR --out DIR [--hash sha256] [--ignore GLOB ...] [--max-files N]
-    python -m folioforge.cli probe run | text-scan run | name-index run --pages PARQUET --out DIR
+    python -m folioforge.cli probe run --pages PARQUET [--inventory REF] [--labels TABLE] [--model REF --features PARQUET]
+        [--only-top-folder F] [--min-model-confidence X] [--text-scan] [--name-index] --out DIR
+    python -m folioforge.cli text-scan run --pages PARQUET --out DIR
+    python -m folioforge.cli name-index run --pages PARQUET --probe REF --text-scan REF --inventory REF --out DIR
+        [--all-documents] [--min-total-count N] [--max-names-per-doc N]
     python -m folioforge.cli public-index run --inventory REF --probe REF --out DIR --dest DIR
     python -m folioforge.cli pdf-type label | train | predict | migrate --inventory REF --labels PARQUET --out DIR ...
     python -m folioforge.cli doc-type train | predict | queue --features PARQUET --out DIR ...
@@ -10,7 +14,7 @@
     python -m folioforge.cli links run --pages PARQUET --out DIR [--dry-run]
     python -m folioforge.cli self-check | query NAME --tables DIR
 
-A REF is a run's id, a path, or LATEST. The output folder is --out, else FOLIOFORGE_OUT, else ./outputs.
+A REF is a run's id, a path, LATEST, or NONE where a table may be missing. The output folder is --out, else FOLIOFORGE_OUT, else ./outputs.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import os
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioforge import staging
 from folioforge.functions import paths
 from folioforge.operators import catalogue_views as views
 from folioforge.operators import doctype, incremental, inventory, labels, media, names, probe, readiness, textscan
@@ -74,14 +79,76 @@ def _inventory(a: argparse.Namespace) -> None:
     summary.show(100, truncate=False)
 
 
-def _stage(stage: str, build):
-    def run(a: argparse.Namespace) -> None:
-        spark = session()
-        rows = build(spark.read.parquet(a.pages))
-        where = tables.write_run(rows, out_folder(a.out), stage, run_id(a.label or stage, stage), a.pages, _now(), log={"pages": a.pages})
-        print(where)
+def _text_scan_rows(pages: DataFrame) -> DataFrame:
+    return textscan.scanned(textscan.document_signals(pages))
 
-    return run
+
+def _text_scan(a: argparse.Namespace) -> None:
+    rows = _text_scan_rows(session().read.parquet(a.pages))
+    print(tables.write_run(rows, out_folder(a.out), "text-scan", run_id(a.label or "text-scan", "text-scan"), a.pages, _now(), log={"pages": a.pages}))
+
+
+def _named(reference: str) -> bool:
+    return reference.upper() != "NONE"
+
+
+def _probe(a: argparse.Namespace) -> None:
+    """Pages rolled up to documents, with the human label, the model's type and the decision of each."""
+    spark, out = session(), out_folder(a.out)
+    at = readiness.Thresholds(a.text_threshold, a.doc_text_pct_text, a.doc_text_pct_scanned, a.doc_text_min_chars_per_page)
+    pages, log = spark.read.parquet(a.pages), {"pages": a.pages, "thresholds": vars(at), "min_model_confidence": a.min_model_confidence}
+    if a.only_top_folder:
+        pages = pages.filter(paths.top_level_folder(paths.normalize_rel_path(F.col("rel_path"))) == a.only_top_folder)
+    docs, matched, predicted = readiness.docs(readiness.pages(pages, at), at), None, None
+    if _named(a.inventory):
+        files = _files(spark, out, a.inventory)
+        log["ignored"] = [r.asDict() for r in probe.ignored_counts(ensure_columns(_run_table(spark, out, "inventory", a.inventory), INVENTORY)).collect()]  # a row for each extension and type
+        if a.labels:
+            given = _labels_of(spark, a.labels, files)
+            matched = labels.match(given, files)
+            log["label_reconciliation"] = {r["what"]: r["n"] for r in labels.reconcile_counts(given, files).collect()}  # four rows
+    elif a.labels:
+        raise SystemExit("labels are matched to an inventory: --inventory")
+    if a.model and _named(a.model):
+        if not a.features:
+            raise SystemExit("a model reads --features")
+        a.selection, a.only_unlabeled, log["model"] = "", False, a.model
+        predicted = _predicted(a, spark, 5)
+    name = run_id(a.label or "probe", "probe")
+    rows = labels.with_decision(docs, matched, predicted, a.min_model_confidence)
+    scan = None
+    if a.text_scan:
+        scan = tables.write_run(_text_scan_rows(pages), out, "text-scan", run_id(a.label or "probe", "text-scan"), a.pages, _now(), log={"pages": a.pages, "probe": name})
+        rows, log["text_scan"] = textscan.merge_signals(rows, spark.read.parquet(scan)), scan
+    where = tables.write_run(rows, out, "probe", name, a.pages, _now(), log=log)
+    print(where)
+    if a.name_index:
+        if scan is None:
+            raise SystemExit("the name index takes documents of good text: --text-scan")
+        a.probe, a.text_scan, a.all_documents = where, scan, False
+        _name_index(a)
+
+
+def _name_index(a: argparse.Namespace) -> None:
+    """Names of the probed documents whose text is good (or of all), with what is known of each document."""
+    spark, out = session(), out_folder(a.out)
+    mentions, meta, log = names.mentions_of(spark.read.parquet(a.pages)), None, {"pages": a.pages, "probe": a.probe, "text_scan": a.text_scan}
+    name = run_id(a.label or "name-index", "name-index")
+    if _named(a.probe):
+        docs = _run_table(spark, out, "probe", a.probe)
+        signals = _run_table(spark, out, "text-scan", a.text_scan) if _named(a.text_scan) else spark.createDataFrame([], "rel_path string")
+        files = _files(spark, out, a.inventory) if _named(a.inventory) else spark.createDataFrame([], "rel_path string, doc_id string, top_level_folder string")
+        meta = staging.staged(names.document_metadata(docs, signals, files, not a.all_documents), "metadata")
+        if meta.isEmpty():
+            raise SystemExit("no document of good text: run text-scan first, or --all-documents")
+        mentions = mentions.withColumn("doc_id", F.col("doc_id").cast("string")).join(meta.select("doc_id"), "doc_id", "left_semi")
+    mentions = staging.staged(mentions, "mentions")  # read for the names and for what is left out
+    most = a.max_names_per_doc
+    if most:
+        log["errors_path"] = f"{out}/name-index/errors/run_id={name}"
+        names.crowded_documents(mentions, most).write.mode("errorifexists").parquet(log["errors_path"])
+    found = names.name_documents(mentions, most)
+    print(tables.write_run(names.name_index(found, meta, a.min_total_count), out, "name-index", name, a.pages, _now(), log=log))
 
 
 def _run_table(spark: SparkSession, out: str, stage: str, reference: str):
@@ -258,17 +325,33 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--max-files", type=int)
     one.add_argument("--label", default="")
     one.set_defaults(run=_inventory)
-    builds = {
-        "probe": lambda pages: readiness.docs(readiness.pages(pages)),
-        "text-scan": lambda pages: textscan.scanned(textscan.document_signals(pages)),
-        "name-index": lambda pages: names.name_index(names.name_documents(names.mentions_of(pages))),
-    }
-    for stage, build in builds.items():
+    for stage, run in (("probe", _probe), ("text-scan", _text_scan), ("name-index", _name_index)):
         one = stages.add_parser(stage).add_subparsers(required=True).add_parser("run")
         one.add_argument("--pages", required=True)
         one.add_argument("--out")
         one.add_argument("--label", default="")
-        one.set_defaults(run=_stage(stage, build))
+        if stage != "text-scan":
+            one.add_argument("--inventory", default="NONE")
+            one.add_argument("--min-total-count", type=int, default=1)
+            one.add_argument("--max-names-per-doc", type=int, default=500)
+        if stage == "probe":
+            at = readiness.Thresholds()
+            one.add_argument("--text-threshold", type=int, default=at.page_chars)
+            one.add_argument("--doc-text-pct-text", type=float, default=at.text_share)
+            one.add_argument("--doc-text-pct-scanned", type=float, default=at.scanned_share)
+            one.add_argument("--doc-text-min-chars-per-page", type=float, default=at.average_chars)
+            one.add_argument("--only-top-folder", default="")
+            one.add_argument("--labels", default="")
+            one.add_argument("--model", default="")
+            one.add_argument("--features", default="")
+            one.add_argument("--min-model-confidence", type=float, default=0.70)
+            one.add_argument("--text-scan", action="store_true")
+            one.add_argument("--name-index", action="store_true")
+        elif stage == "name-index":
+            one.add_argument("--probe", default="LATEST")
+            one.add_argument("--text-scan", default="LATEST")
+            one.add_argument("--all-documents", action="store_true")
+        one.set_defaults(run=run)
     one = stages.add_parser("labels").add_subparsers(required=True).add_parser("reconcile")
     one.add_argument("--labels", required=True)
     one.add_argument("--inventory", required=True)

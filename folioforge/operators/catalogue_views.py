@@ -127,12 +127,12 @@ def run_delta(first: DataFrame, last: DataFrame) -> DataFrame:
     return both.select("folder", "files_first", "files_last", (F.col("files_last") - F.col("files_first")).alias("files_delta"), (F.col("bytes_last") - F.col("bytes_first")).alias("bytes_delta"))
 
 
-def filter_documents(rows: DataFrame, *, pages: tuple[int, int] | None = None, coverage: tuple[float, float] | None = None, size_mb: tuple[float, float] | None = None, classes: tuple = (), extensions: tuple = ()) -> DataFrame:
+def filter_documents(rows: DataFrame, *, pages: tuple[int, int] | None = None, coverage: tuple[float, float] | None = None, size_mb: tuple[float, float] | None = None, classes: tuple = (), extensions: tuple = (), media_types: tuple = ()) -> DataFrame:
     """Facets combined; an empty selection does not restrict."""
     for column, span in (("page_count", pages), ("text_coverage_pct", coverage), ("size_mb", size_mb)):
         if span:
             rows = rows.filter(F.col(column).between(*span))
-    for column, chosen in (("classification", classes), ("extension", extensions)):
+    for column, chosen in (("classification", classes), ("extension", extensions), ("detected_mime", media_types)):
         if chosen:
             rows = rows.filter(F.col(column).isin(*chosen))
     return rows

@@ -130,6 +130,9 @@ _FILTER = """FROM fdocs
 query("doc_filter", _FILES + f"SELECT doc_id, extension, size_mb, page_count {_FILTER}")(
     lambda s, d: _filtered(s, d).select("doc_id", "extension", "size_mb", "page_count"),
 )
+query("doc_filter_by_type", _FILES + "SELECT doc_id, CASE extension WHEN 'txt' THEN 'text/plain' ELSE 'image/jpeg' END AS detected_mime, page_count FROM fdocs WHERE page_count >= 2 AND extension IN ('txt', 'jpg')")(
+    lambda s, d: views.filter_documents(views.with_files(ready_docs(s, d), adapters.inventory(s, d)), pages=(2, 2**31 - 1), media_types=("text/plain", "image/jpeg")).select("doc_id", "detected_mime", "page_count"),
+)
 query("filter_kpis", _FILES + f"""SELECT count(*) AS docs, sum(page_count)::BIGINT AS pages, round(avg(text_coverage_pct), 6) AS avg_coverage, min(page_count) AS min_pages, max(page_count) AS max_pages {_FILTER}""")(
     lambda s, d: views.filter_kpis(_filtered(s, d)),
 )

@@ -149,6 +149,20 @@ def _decided(s: SparkSession, d: str) -> DataFrame:
 
 query("doc_type_decision", _PRED + """SELECT doc_id, coalesce(truth, CASE WHEN confidence >= 0.7 AND pred <> '' THEN pred END, heuristic) AS doc_type_final, CASE WHEN truth IS NOT NULL THEN 'TRUTH' WHEN confidence >= 0.7 AND pred <> '' THEN 'MODEL' ELSE 'HEURISTIC' END AS doc_type_source
   FROM preds""")(_decided)
+def _probed(s: SparkSession, d: str) -> DataFrame:
+    """Probed documents as a probe run writes them: labels by path, some given twice, predictions and the decision."""
+    rows = _predictions(s, d)
+    given = rows.filter("truth is not null").select("rel_path", F.col("truth").alias("label_raw"), F.lit("2024-02").alias("labeled_at"))
+    earlier = given.withColumns({"rel_path": F.concat(F.lit("./"), "rel_path"), "label_raw": F.lit("MIXED_PDF"), "labeled_at": F.lit("2024-01")})
+    matched = labels.match(given.unionByName(earlier), adapters.inventory(s, d))
+    predicted = rows.select("rel_path", F.col("pred").alias("predicted_label"), "confidence", F.lit("area").alias("reason_features"))
+    decided = labels.with_decision(ready_docs(s, d), matched, predicted)
+    return decided.select("doc_id", "rel_path", "doc_type_truth", "doc_type_heuristic", "doc_type_model_pred", F.round("model_confidence", 2).alias("model_confidence"), "reason_features", "doc_type_final", "doc_type_source")
+
+
+query("probe_decisions", _PRED + """SELECT doc_id, rel_path, coalesce(truth, '') AS doc_type_truth, heuristic AS doc_type_heuristic, pred AS doc_type_model_pred, round(confidence, 2) AS model_confidence, 'area' AS reason_features,
+  coalesce(truth, CASE WHEN confidence >= 0.7 AND pred <> '' THEN pred END, heuristic) AS doc_type_final, CASE WHEN truth IS NOT NULL THEN 'TRUTH' WHEN confidence >= 0.7 AND pred <> '' THEN 'MODEL' ELSE 'HEURISTIC' END AS doc_type_source
+  FROM preds""")(_probed)
 query("doc_type_confusion", _PRED + "SELECT truth, " + ", ".join(f"count(*) FILTER (WHERE pred = '{k}') AS {k}" for k in labels.LABELS) + " FROM preds WHERE truth IS NOT NULL AND pred <> '' GROUP BY 1")(
     lambda s, d: labels.confusion(_predictions(s, d)),
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge import cli, staging
 from folioforge.functions import paths
+from folioforge.operators import labels
 from folioforge.plans import trees
 from folioforge.schemas import INVENTORY, LABELS
 from folioforge.sources import archives, files, tables
@@ -410,3 +411,38 @@ def test_stream_without_repeats_and_known_rows(spark, tmp_path):
     stream = ingest.unseen(stream, spark.createDataFrame([(3,)], "k long"), "k")
     ingest.run_available(stream, str(tmp_path / "o"), str(tmp_path / "c"))
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [1, 2]
+
+
+def test_probe_and_name_commands(spark, tmp_path):
+    out, pages, good = str(tmp_path / "o"), str(tmp_path / "pages"), "Mr. John Smith wrote to the town about the road near the river and its bridge. " * 6
+    rows = [("1", "V1/a.pdf", 1, good), ("1", "V1/a.pdf", 2, good), ("2", "V1/b.pdf", 1, "Mary Jones"), ("3", "V2/c.pdf", 1, good.replace("John Smith", "Anna Brown")), ("4", "V2/d.pdf", 1, "x")]
+    spark.createDataFrame(rows, "doc_id string, rel_path string, page_num int, text string").write.parquet(pages)
+    inv = [(f"{f}.pdf", f[:2], "pdf", 1, "2024") for f in ("V1/a", "V1/b", "V2/c", "V2/d")] + [("V2/n.txt", "V2", "txt", 1, "2024")]
+    tables.write_run(spark.createDataFrame(inv, "rel_path string, top_level_folder string, extension string, size_bytes long, modified_time string"), out, "inventory", "i1", "/r", "2024-01-01")
+    spark.createDataFrame([("V1\\a.pdf", "MIXED_PDF"), ("gone.pdf", "IMAGE_PDF")], "rel_path string, label_raw string").write.parquet(str(tmp_path / "labels"))
+    with pytest.raises(SystemExit):
+        cli.main(["probe", "run", "--pages", pages, "--out", out, "--labels", str(tmp_path / "labels")])
+    cli.main(["probe", "run", "--pages", pages, "--out", out, "--inventory", "LATEST", "--labels", str(tmp_path / "labels"), "--text-scan", "--name-index"])
+    where = tables.resolve_run(spark, out, "probe")
+    found = {r.doc_id: (r.doc_type_final, r.doc_type_source, r.text_quality_label) for r in spark.read.parquet(where).collect()}
+    assert found == {"1": ("MIXED_PDF", "TRUTH", "GOOD"), "2": ("IMAGE_PDF", "HEURISTIC", None), "3": ("TEXT_PDF", "HEURISTIC", "GOOD"), "4": ("IMAGE_PDF", "HEURISTIC", None)}
+    _, _, log = tables.load_run(spark, out, "probe", where.rpartition("=")[2])
+    assert log["label_reconciliation"] == {"labels": 2, "matched": 1, "orphaned": 1, "unmatched": 3} and {"level": "extension", "value": "txt", "files": 1} in log["ignored"]
+    index = {r.canonical_key: r.internal_docs for r in spark.read.parquet(tables.resolve_run(spark, out, "name-index")).collect()}
+    assert {"smith|john", "brown|anna"} <= set(index) and "jones|mary" not in index
+    assert index["smith|john"][0].doc_type_final == "MIXED_PDF" and index["smith|john"][0].page_count == 2 and index["smith|john"][0].total_count == 12
+    cli.main(["name-index", "run", "--pages", pages, "--out", out, "--inventory", "LATEST", "--all-documents", "--min-total-count", "7", "--label", "all"])
+    again = spark.read.parquet(tables.resolve_run(spark, out, "name-index"))
+    assert {r.canonical_key for r in again.collect()} == {"smith|john"}
+    cli.main(["name-index", "run", "--pages", pages, "--out", out, "--probe", "NONE", "--max-names-per-doc", "1", "--label", "few"])
+    assert "jones|mary" in {r.canonical_key for r in spark.read.parquet(tables.resolve_run(spark, out, "name-index")).collect()}
+
+
+def test_decision_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a/x.pdf", "Scanned", "old"), (2, "./a/y.pdf", None, "old"), (3, None, "Mixed", "old")], "doc_id long, rel_path string, classification string, doc_type_final string")
+    truth = spark.createDataFrame([("a/x.pdf", "text_pdf", "2024"), ("a\\x.pdf", "IMAGE_PDF", None), ("a/y.pdf", "nonsense", "2024"), (None, "MIXED_PDF", "2024")], "rel_path string, label_raw string, labeled_at string")
+    guesses = spark.createDataFrame([("a/y.pdf", "MIXED_PDF", 0.9), ("a/y.pdf", "IMAGE_PDF", None), ("a/x.pdf", "IMAGE_PDF", 0.99)], "rel_path string, predicted_label string, confidence double")
+    of = lambda *a: {r.doc_id: (r.doc_type_truth, r.doc_type_model_pred, r.doc_type_final, r.doc_type_source) for r in labels.with_decision(docs, *a).collect()}
+    found = of(truth, guesses)
+    assert found[1] == ("IMAGE_OF_TEXT_PDF", "IMAGE_PDF", "IMAGE_OF_TEXT_PDF", "TRUTH") and found[2] == ("", "MIXED_PDF", "MIXED_PDF", "MODEL")
+    assert found[3] == ("", "", "MIXED_PDF", "HEURISTIC") and of()[2] == ("", "", "", "HEURISTIC") and of()[1][2] == "IMAGE_PDF"
