@@ -9,19 +9,21 @@ of their centres, taking the best node each time, until it has visited as many l
 sample's other half found necessary for the recall asked for (and leaves enough for a full answer).
 
 Subtrees of bounded size are cells: a query travels once to each cell in which it has leaves to visit, with their
-list, and there only rows of these leaves are scored. Where the table is so large against the sample that a single leaf
-exceeds a cell, its rows are dealt to several, and the tree goes on inside the task: each is fitted, calibrated
-and searched in the same way. Cells return the best of each query with exact scores on the original vectors.
+list, and there only rows of these leaves are scored, a leaf at a time for all queries that visit it. Where the table
+is so large against the sample that a single leaf exceeds a cell, its rows are dealt to several, and the tree goes on
+inside the task: each is fitted, calibrated and searched in the same way. Cells return the best of each query with
+exact scores on the original vectors.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ CALIBRATION = 400
 BRANCHES, LEAF_ROWS, LEAST = 8, 32, 6
 #: Rows of a cell, and queries that meet them in one task; rows from which a leaf is a tree of its own in the task.
 CELL, SUBTREE = 8192, 1024
+#: Products of queries and rows that a task holds at a time.
+BLOCK = 1 << 21
 
 
 @dataclass
@@ -76,14 +80,29 @@ class Tree:
             for child in self.children[node]:
                 heapq.heappush(queue, (float(near[child]), child))
 
-    def visited(self, q: np.ndarray, held: np.ndarray, least: int, near: np.ndarray | None = None) -> list[int]:
-        """The leaves with rows that a search visits: ``visits`` of them, and on until ``least`` rows are held."""
-        out, enough = [], 0
-        for at in self.order(q, near):
-            if held[at]:
-                out.append(at)
-                enough += int(held[at])
-                if len(out) >= self.visits and enough >= least:
+    def visited(self, q: np.ndarray, held: Sequence[int], least: int, near: np.ndarray | None = None) -> list[int]:
+        """The leaves with rows that a search visits: ``visits`` of them, and on until ``least`` rows are held.
+
+        The walk of order(), which each query does by itself: nodes in the queue stand as their places by nearness,
+        equally near ones by number, which compare faster than pairs.
+        """
+        near = ((self.centres - q) ** 2).sum(axis=1) if near is None else near
+        nodes = np.argsort(near, kind="stable")
+        places = np.empty_like(nodes)
+        places[nodes] = np.arange(len(nodes))
+        nodes, places = nodes.tolist(), places.tolist()
+        children, leaf, visits, push, pop = self.children, self.leaf, self.visits, heapq.heappush, heapq.heappop
+        out, enough, queue = [], 0, [places[0]]
+        while queue:
+            node = nodes[pop(queue)]
+            below = children[node]
+            if below:
+                for child in below:
+                    push(queue, places[child])
+            elif held[leaf[node]]:
+                out.append(leaf[node])
+                enough += held[leaf[node]]
+                if len(out) >= visits and enough >= least:
                     break
         return out
 
@@ -186,7 +205,7 @@ def _visits(tree: Tree, size: int, held: np.ndarray, cell_of: np.ndarray, least:
     """Each query once for each cell that it visits, with its leaves there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares = (tree.centres**2).sum(axis=1)
+        squares, rows = (tree.centres**2).sum(axis=1), held.tolist()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -194,7 +213,7 @@ def _visits(tree: Tree, size: int, held: np.ndarray, cell_of: np.ndarray, least:
                 q = _matrix(part.column(2), size)
                 near = squares - 2 * (q @ tree.centres.T)
                 for k in range(len(q)):
-                    visited = np.array(tree.visited(q[k], held, least, near[k]), np.int32)
+                    visited = np.array(tree.visited(q[k], rows, least, near[k]), np.int32)
                     where = cell_of[visited]
                     for cell in np.unique(where).tolist():
                         row.append(k)
@@ -206,37 +225,53 @@ def _visits(tree: Tree, size: int, held: np.ndarray, cell_of: np.ndarray, least:
     return run
 
 
-def best_of(q: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], neighbours: int) -> tuple[list[int], list[float]]:
-    """The nearest ids to q by exact score, ties to smaller ids, each id once with its best; ids: of each row."""
-    rough = vectors @ q
-    take = neighbours
+def best_of(q: np.ndarray, rough: np.ndarray, vectors: np.ndarray, ids: list[list[int]], neighbours: int) -> tuple[list[int], list[float]]:
+    """The nearest ids to q by exact score, ties to smaller ids, each id once with its best; ids: of each row.
+
+    rough: the product of q with each row up to rounding, -inf for rows that are not visited.
+    """
+    take, met = neighbours, int(np.count_nonzero(rough > -np.inf))
     while True:
-        if take < len(rough):
-            least = np.partition(rough, len(rough) - take)[len(rough) - take]
-            at = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least)))
-        else:
-            at = np.arange(len(rough))
+        least = np.partition(rough, len(rough) - take)[len(rough) - take] if take < met else -np.inf
+        at = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least))) if take < met else np.flatnonzero(rough > -np.inf)
         exact = (vectors[at] * q).sum(axis=1)
         found = sorted((-score, i) for score, k in zip(exact.tolist(), at.tolist(), strict=True) for i in ids[k])
         best: dict[int, float] = {}
         for score, i in found:
             best.setdefault(i, -score)
-        if len(best) >= neighbours or len(at) == len(rough):
+        if len(best) >= neighbours or len(at) == met:
             names = list(best)[:neighbours]
             return names, [best[i] for i in names]
         take *= 4  # ids that stand for several vectors
 
 
-def _rows_of(q: np.ndarray, leaves: np.ndarray, bounds: np.ndarray, below: dict[int, tuple[Tree, np.ndarray, np.ndarray]], least: int) -> np.ndarray:
-    """The places of a cell's rows in the leaves that q visits, further down in leaves that are trees."""
-    out = []
-    for leaf in leaves.tolist():
-        if leaf in below:
-            tree, order, starts = below[leaf]
-            out += [order[starts[at] : starts[at + 1]] for at in tree.visited(q, np.diff(starts), least)]
-        else:
-            out.append(np.arange(bounds[leaf], bounds[leaf + 1]))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+def _grouped(leaves: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each leaf that is visited, with the places of the queries that visit it."""
+    of = np.concatenate(leaves)
+    query = np.repeat(np.arange(len(leaves)), [len(own) for own in leaves])
+    order = np.argsort(of, kind="stable")
+    of, query = of[order], query[order]
+    starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+    for lo, hi in zip(starts, [*starts[1:], len(of)], strict=True):
+        yield int(of[lo]), query[lo:hi]
+
+
+def _products(q: np.ndarray, leaves: list[np.ndarray], x: np.ndarray, bounds: np.ndarray, below: dict[int, tuple[Tree, np.ndarray, np.ndarray]], least: int) -> np.ndarray:
+    """Products of queries with the rows of the leaves that each visits, -inf elsewhere: one matrix product a leaf.
+
+    In leaves that are trees each query goes on to leaves further down, which are taken in the same way.
+    """
+    out = np.full((len(q), len(x)), -np.inf)
+    for leaf, asking in _grouped(leaves):
+        if leaf not in below:
+            out[asking, bounds[leaf] : bounds[leaf + 1]] = q[asking] @ x[bounds[leaf] : bounds[leaf + 1]].T
+            continue
+        tree, order, starts = below[leaf]
+        held = np.diff(starts).tolist()
+        for at, further in _grouped([np.array(tree.visited(q[k], held, least), np.int64) for k in asking.tolist()]):
+            rows, own = order[starts[at] : starts[at + 1]], asking[further]
+            out[np.ix_(own, rows)] = q[own] @ x[rows].T
+    return out
 
 
 def _subtree(x: np.ndarray, at: int, neighbours: int, recall: float) -> tuple[Tree, np.ndarray, np.ndarray]:
@@ -252,18 +287,22 @@ def _cell(size: int, leaves: int, neighbours: int, recall: float, subtree: int):
             leaf = vectors.column("leaf").to_numpy()
             order = np.argsort(leaf, kind="stable")
             x = _matrix(vectors.column("vector"), size)[order]
-            ids = [vectors.column("ids")[int(i)].as_py() for i in order]
+            ids = vectors.column("ids").take(pa.array(order)).to_pylist()
             bounds = np.searchsorted(leaf[order], np.arange(leaves + 1))
             large = np.flatnonzero(np.diff(bounds) >= subtree).tolist()
             below = {k: _subtree(x[bounds[k] : bounds[k + 1]], int(bounds[k]), neighbours, recall) for k in large}
-            keys = queries.column("query").to_pylist()
-            wanted = queries.column("leaves").to_pylist()
-            for key, q, own in zip(keys, _matrix(queries.column("asking"), size), wanted, strict=True):
-                at = _rows_of(q, np.array(own, np.int64), bounds, below, neighbours)
-                best, score = best_of(q, x[at], [ids[i] for i in at.tolist()], neighbours)
-                asked += [key] * len(best)
-                names += best
-                scores += score
+            keys, asking = queries.column("query").to_pylist(), _matrix(queries.column("asking"), size)
+            lists = queries.column("leaves").combine_chunks()
+            wanted = np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
+            block = max(1, BLOCK // len(x))
+            for lo in range(0, len(keys), block):
+                q = asking[lo : lo + block]
+                rough = _products(q, wanted[lo : lo + block], x, bounds, below, neighbours)
+                for k in range(len(q)):
+                    best, score = best_of(q[k], rough[k], x, ids, neighbours)
+                    asked += [keys[lo + k]] * len(best)
+                    names += best
+                    scores += score
         pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
         return pa.table({"query": pa.array(asked, pair), "vec_id": pa.array(names, pa.int64()), "score": pa.array(scores, pa.float64())})
 
