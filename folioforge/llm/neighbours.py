@@ -38,6 +38,8 @@ CALIBRATION = 400
 BRANCHES, LEAF_ROWS, LEAST = 8, 32, 6
 #: Rows of a cell, and queries that meet them in one task; rows from which a leaf is a tree of its own in the task.
 CELL, SUBTREE = 8192, 1024
+#: Queries whose walks are worth a task.
+WALKS = 256
 #: Products of queries and rows that a task holds at a time.
 BLOCK = 1 << 21
 
@@ -352,6 +354,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, neighbours: int = 20, re
     asking = materialise(asking.select("vec_id", F.struct(F.xxhash64("asking").alias("a"), F.xxhash64(F.lit(1), "asking").alias("b")).alias("query"), "asking"), "asking")
     distinct = asking.groupBy("query").agg(F.count("*").alias("askers"), F.first("asking").alias("asking"))
     pair = "struct<a: long, b: long>"
+    # a query is few bytes and long walks, so that its bytes say nothing of how many tasks are right
+    n, cores = asking.count(), spark.sparkContext.defaultParallelism
+    distinct = distinct.repartition(max(1, min(-(-n // WALKS), max(4 * cores, -(-n // CELL)))), "query")
     asked = materialise(distinct.mapInArrow(lean(_visits(tree, dims, held, cell_of, listed)), f"query {pair}, askers long, asking array<double>, cell int, leaves array<int>"), "queries")
     wanted = asked.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row for each cell
     if not wanted:
