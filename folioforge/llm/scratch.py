@@ -16,9 +16,15 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/folioforge"
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+
+    A warehouse on a machine's own disk is no shared folder, so that it serves a local session only.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/folioforge"
+        if found.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("executors need a shared folder: set spark.checkpoint.dir")
     return found.rstrip("/")
 
 
