@@ -6,13 +6,23 @@ import atexit
 import contextlib
 import functools
 import gc
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+class _Written(threading.local):
+    """Tables that this thread wrote: operators that run beside each other leave each other's alone."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+        _LISTS.append(self.tables)
+
+
+_LISTS: list[list[tuple[SparkSession, str]]] = []
+_WRITTEN = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,19 +50,25 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _WRITTEN.append((spark, path))
+    _WRITTEN.tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(since: int = 0) -> None:
-    """Delete the intermediate tables written so far, or those after the first ``since``."""
-    while len(_WRITTEN) > since:
-        spark, path = _WRITTEN.pop()
+def release(since: int = 0, tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete the intermediate tables that this thread (or the one of the list given) wrote, or those after the first ``since``."""
+    tables = _WRITTEN.tables if tables is None else tables
+    while len(tables) > since:
+        spark, path = tables.pop()
         with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
             target = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_all() -> None:
+    for tables in _LISTS:
+        release(tables=tables)
+
+
 def only_result(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose result is written and whose other tables go as soon as that is done.
 
@@ -61,11 +77,11 @@ def only_result(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(operator)
     def run(*args, **options) -> DataFrame:
-        before = len(_WRITTEN)
+        before = len(_WRITTEN.tables)
         result = materialise(operator(*args, **options), "result")
-        kept = _WRITTEN.pop()
+        kept = _WRITTEN.tables.pop()
         release(before)
-        _WRITTEN.append(kept)
+        _WRITTEN.tables.append(kept)
         return result
 
     return run
@@ -86,7 +102,7 @@ def smallest(rows: DataFrame, place: str, n: int) -> DataFrame:
     return rows.orderBy(place).limit(n)
 
 
-atexit.register(release)
+atexit.register(release_all)
 
 
 def drop_spent_shuffles(spark: SparkSession) -> None:

@@ -1,3 +1,6 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from folioforge.llm import scratch
@@ -24,3 +27,26 @@ def test_a_shared_folder_is_needed_on_a_cluster():
         scratch.shared_dir(Session(Context("spark://somewhere")))
     assert scratch.shared_dir(Session(Context("local[2]"))) == "file:/here/spark-warehouse/folioforge"
     assert scratch.shared_dir(Session(Context("spark://somewhere", "hdfs://shared/"))) == "hdfs://shared"
+
+
+def test_operators_beside_each_other_keep_their_tables(spark):
+    """One operator ends, and deletes its tables, while another is still at work on its own."""
+    written, ended = threading.Event(), threading.Event()
+
+    @scratch.only_result
+    def slow():
+        table = scratch.materialise(spark.range(5), "slow")
+        written.set()
+        assert ended.wait(60)
+        return table
+
+    @scratch.only_result
+    def quick():
+        assert written.wait(60)
+        return scratch.materialise(spark.range(3), "quick")
+
+    with ThreadPoolExecutor(2) as pool:
+        one, other = pool.submit(slow), pool.submit(quick)
+        assert other.result(60).count() == 3
+        ended.set()
+        assert one.result(60).count() == 5
