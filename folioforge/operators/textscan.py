@@ -169,10 +169,11 @@ def _hit_sums() -> list[Column]:
     return [_scan_sum(of.setdefault(p, f"{c}__{r}")).alias(f"{c}__{r}") for c, r, p in RULES]
 
 
-def rule_hits(page_text: DataFrame) -> DataFrame:
-    """Hits of every rule, and lines, by document."""
+def rule_hits(page_text: DataFrame, every_page: bool = False) -> DataFrame:
+    """Hits of every rule, and lines, by document; with ``every_page``, of all its pages."""
     pages = page_text.filter("text <> ''").select("doc_id", "text", F.lower(F.upper("text")).alias("folded"))
-    pages = pages.select("doc_id", _has_text(readiness.Thresholds()).alias("has_text"), F.size(t.lines(F.col("text"))).alias("lines"), *_page_hits())
+    counted = F.lit(True) if every_page else _has_text(readiness.Thresholds())
+    pages = pages.select("doc_id", counted.alias("has_text"), F.size(t.lines(F.col("text"))).alias("lines"), *_page_hits())
     return pages.groupBy("doc_id").agg(_scan_sum("lines").alias("line_count"), *_hit_sums())
 
 
@@ -204,15 +205,19 @@ def signals_json(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", F.to_json(F.struct(by.alias("rule_hits"), stats.alias("stats"))).alias("content_type_signals"))
 
 
-def document_signals(page_text: DataFrame, at: Quality = Quality(), ready: readiness.Thresholds = readiness.Thresholds()) -> DataFrame:
+def document_signals(page_text: DataFrame, at: Quality = Quality(), ready: readiness.Thresholds = readiness.Thresholds(), every_page: bool = False) -> DataFrame:
     """Readiness, quality and type of each document from one projection of its pages and one shuffle.
 
-    Columns of readiness.docs(), text_quality() and content_type(); the latter two are null without text.
+    Columns of readiness.docs(), text_quality() and content_type(); the latter two are null without text. With
+    ``every_page``, quality and type are those of all pages that are not empty.
     """
     pages = page_statistics(page_text, at, ready).withColumn("folded", F.lower(F.upper("text")))
     pages = pages.select("doc_id", "rel_path", "text", "kinds", *_SUMMED, F.length(t.strip(F.col("text"))).alias("text_char_count"), "has_text", *_page_hits())
+    pages = pages.withColumn("ready", F.col("has_text"))
+    if every_page:
+        pages = pages.withColumn("has_text", F.col("text") != "")
     docs = pages.groupBy("doc_id", "rel_path").agg(
-        F.count("*").alias("page_count"), F.count_if("has_text").alias("pages_with_text"), F.sum(F.col("text_char_count").cast("long")).alias("total_text_chars"),
+        F.count("*").alias("page_count"), F.count_if("ready").alias("pages_with_text"), F.sum(F.col("text_char_count").cast("long")).alias("total_text_chars"),
         _scan_sum("lines").alias("line_count"), *_statistic_sums(), *_hit_sums(),
     )
     share, average = F.col("pages_with_text") / F.col("page_count"), F.col("total_text_chars") / F.col("page_count")

@@ -97,6 +97,14 @@ def test_names(spark, line, keys):
     assert [r.canonical_key for r in names.mentions_of(pages).collect()] == keys
 
 
+def test_scans_of_every_page(spark):
+    page = "call 212-555-0147 or write to a@example.com today "
+    pages = spark.createDataFrame([(1, "p.pdf", 1, page * 3), (1, "p.pdf", 2, "x@example.com"), (1, "p.pdf", 3, "")], "doc_id long, rel_path string, page_num int, text string")
+    few, every = (textscan.document_signals(pages, every_page=e).first() for e in (False, True))
+    assert (few.total_chars, few.total_words) == (150, 21) and (every.total_chars, every.total_words) == (163, 22)
+    assert few.pages_with_text == every.pages_with_text == 1 and few.page_count == every.page_count == 3 and few.text_coverage_pct == every.text_coverage_pct
+
+
 @pytest.mark.parametrize(("line", "every", "plain"), [("QUEREEUX,SGSD!! DE.!! R\xc9IER", [], ["quereeux|sgsd"]), ("SMITH, JOHN A_B C", [], ["smith|john", "john|a"]), ("SMITH, JOHN’S OWN BOOK", [], []), ("SMITH, JOHN AND CO", [], [])])
 def test_names_in_lines_of_capitals(spark, duck, tmp_path, line, every, plain):
     pages = spark.createDataFrame([(1, "p", 1, line)], "doc_id long, rel_path string, page_num int, text string")
