@@ -103,6 +103,8 @@ def test_scans_of_every_page(spark):
     few, every = (textscan.document_signals(pages, every_page=e).first() for e in (False, True))
     assert (few.total_chars, few.total_words) == (150, 21) and (every.total_chars, every.total_words) == (163, 22)
     assert few.pages_with_text == every.pages_with_text == 1 and few.page_count == every.page_count == 3 and few.text_coverage_pct == every.text_coverage_pct
+    few, every = (textscan.rule_hits(pages, e).first() for e in (False, True))
+    assert (few.line_count, few.CONTACT_LIST__email_address) == (1, 3) and (every.line_count, every.CONTACT_LIST__email_address) == (2, 4)
 
 
 @pytest.mark.parametrize(("line", "every", "plain"), [("QUEREEUX,SGSD!! DE.!! R\xc9IER", [], ["quereeux|sgsd"]), ("SMITH, JOHN A_B C", [], ["smith|john", "john|a"]), ("SMITH, JOHN’S OWN BOOK", [], []), ("SMITH, JOHN AND CO", [], [])])
