@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from folioforge.operators import names, sketches
 from folioforge.operators.catalogue_views import keyword_search
+from folioforge.sources import text_index
 from folioforge.sources.text_index import TextIndex
 
 LETTERS = "abcAB é éÉßſKkİiıςσΣ.x\n"
@@ -43,6 +45,25 @@ def test_a_search_reads_few_files(pages, index):
     assert index.pages_with("qqq").count() == 0 and index.pages_with("ab").count() == pages.count()
 
 
+def test_folders_of_pages_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SHELVES", 3)
+    monkeypatch.setattr(text_index, "CHARACTERS", 50)
+    made = spark.range(300).selectExpr("id as doc_id", "1 as page_num", "concat('page \U0001f600', id % 7, '\u0000', id) as text")
+    index = text_index.TextIndex.build(made, str(tmp_path / "i"), pages_per_block=10)
+    assert len(list((tmp_path / "i" / "pages").glob("*=*"))) == 3
+    assert rows(index.search("\U0001f6003\u00002")) == rows(keyword_search(made, "\U0001f6003\u00002")) != []
+    assert {r.doc_id for r in index.pages_with("page").collect()} == set(range(300))
+
+
+def test_lists_hold_every_trigram_once():
+    texts = ["abcabc", "", "ab", "\U0001f600\x00é", "abc"]
+    numbers = {}
+    for row in text_index._lists(np.array([0, 0, 0, 1, 1]), np.array([1, 2, 5, 1, 2]), [t.encode() for t in texts]).to_pylist():
+        assert row["pages"] == len(row["steps"])
+        numbers.setdefault((row["gram"], row["block"]), []).extend(np.cumsum(row["steps"]).tolist())
+    assert numbers == {("abc", 0): [1], ("bca", 0): [1], ("cab", 0): [1], ("\U0001f600\x00é", 1): [1], ("abc", 1): [2]}
+
+
 def test_lookup_of_short_and_long_queries(spark):
     rng = random.Random(8)
     people = [("".join(rng.choice("abno ") for _ in range(rng.randrange(3, 12))).strip() or "x", k) for k in range(300)]
