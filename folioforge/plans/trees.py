@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +51,14 @@ def wav(frames: int) -> bytes:
 
 
 def _written(root: str):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for rel, content in zip(part["rel_path"], part["content"], strict=True):
-                if content is None:
-                    store(root).link(rel, "nowhere")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rel, content in zip(*batch.columns, strict=True):  # one by one: of a batch's files a second copy is never held
+                if content.is_valid:
+                    store(root).write(rel.as_py(), content.as_py())
                 else:
-                    store(root).write(rel, bytes(content))
-            yield pd.DataFrame({"n": [len(part)]})
+                    store(root).link(rel.as_py(), "nowhere")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return run
 
@@ -72,7 +73,7 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
 def write_tree(files: DataFrame, root: str) -> None:
     """files: rel_path, archive (null for a plain file), member and content (null for a link that leads nowhere)."""
     packed = files.filter("archive is not null").groupBy("archive").applyInPandas(_packed, "rel_path string, content binary")
-    files.filter("archive is null").select("rel_path", "content").unionByName(packed).mapInPandas(_written(root), "n long").agg(F.sum("n")).collect()
+    files.filter("archive is null").select("rel_path", "content").unionByName(packed).mapInArrow(_written(root), "n long").agg(F.sum("n")).collect()
 
 
 def _made(spark: SparkSession, sf_dir: str, kind: str, files) -> str:

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 Extractor = Callable[[bytes], Iterable[str]]
 
 PAGES = "path string, page_num int, text string, error string"
+_PAGES = pa.schema([("path", pa.string()), ("page_num", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+#: Characters and pages that a task hands on at once.
+HELD, ROWS = 1_000_000, 5_000
 
 
 def plain_text(content: bytes) -> Iterator[str]:
@@ -34,26 +38,36 @@ def pdf_text(content: bytes) -> Iterator[str]:
             yield ""
 
 
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(("path", "page_num", "text", "error"), r, strict=True)) for r in rows], _PAGES)
+
+
 def _run(extractor: Extractor, max_pages: int | None):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for path, content in zip(part["path"], part["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for path, content in zip(*batch.columns, strict=True):  # file by file, and pages handed on as they come
+                path = path.as_py()
                 try:
-                    for n, text in enumerate(extractor(bytes(content)), 1):
+                    for n, text in enumerate(extractor(bytes(content.as_py())), 1):
                         if max_pages is not None and n > max_pages:
                             break
                         rows.append((path, n, text, None))
+                        held += len(text)
+                        if held >= HELD or len(rows) >= ROWS:
+                            yield _frame(rows)
+                            rows, held = [], 0
                 except Exception as e:  # noqa: BLE001  an unreadable file is a row with its error
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page_num", "text", "error"])
+            yield _frame(rows)
 
     return run
 
 
 def extract_pages(files: DataFrame, extractor: Extractor = plain_text, max_pages: int | None = None) -> DataFrame:
     """files: path and content -> one row a page; a file that cannot be read is one row with its error."""
-    return files.select("path", "content").mapInPandas(_run(extractor, max_pages), PAGES)
+    return files.select("path", "content").mapInArrow(_run(extractor, max_pages), PAGES)
 
 
 def errors(pages: DataFrame) -> DataFrame:

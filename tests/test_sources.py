@@ -446,3 +446,16 @@ def test_decision_of_odd_rows(spark):
     found = of(truth, guesses)
     assert found[1] == ("IMAGE_OF_TEXT_PDF", "IMAGE_PDF", "IMAGE_OF_TEXT_PDF", "TRUTH") and found[2] == ("", "MIXED_PDF", "MIXED_PDF", "MODEL")
     assert found[3] == ("", "", "MIXED_PDF", "HEURISTIC") and of()[2] == ("", "", "", "HEURISTIC") and of()[1][2] == "IMAGE_PDF"
+
+
+def test_pages_are_handed_on_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    from folioforge.sources import pages
+
+    monkeypatch.setattr(pages, "HELD", 100)
+    files = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "content": [b"\f".join([b"x" * 30] * 20), None, b"y\fz"]}, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+    found = list(pages._run(pages.plain_text, None)(iter([files])))
+    assert max(sum(len(t or "") for t in batch.column("text").to_pylist()) for batch in found) <= 130
+    rows = [r for batch in found for r in batch.to_pylist()]
+    assert [(r["path"], r["page_num"]) for r in rows] == [("a", k) for k in range(1, 21)] + [("b", None), ("c", 1), ("c", 2)] and rows[20]["error"].startswith("TypeError")
