@@ -47,8 +47,12 @@ class Changes(StatefulProcessor):
         self.known = handle.getValueState("known", _KNOWN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values("seen_at", kind="stable")
-        known = tuple(self.known.get()) if self.known.exists() else None
+        parts = list(rows)
+        arrived = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(arrived) > 1:
+            arrived = arrived.sort_values("seen_at", kind="stable")
+        state = self.known.get()  # one call for each address: none if nothing is known
+        known = None if state is None else tuple(state)
         out = []
         for now in arrived.itertuples(index=False):
             out.append((key[0], now.seen_at, _status(now, known)))

@@ -91,3 +91,23 @@ def test_sessions_end_with_the_watermark(spark, tmp_path):
     assert run() == [(1, at(0), at(1), 2, 3.0), (1, at(5), at(5), 1, 4.0), (2, at(1), at(1), 1, 1.0)]
     batch = {(r.user_id, r.first, r["last"], r.n) for r in ingest.session_counts(rows, gap="2 hours").collect()}
     assert batch == {(1, at(0), at(1), 2), (1, at(5), at(5), 1), (2, at(1), at(1), 1)}
+
+
+def test_an_address_asks_for_its_state_once():
+    import pandas as pd
+
+    class Known:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    judge = changes.Changes(None)
+    judge.known = Known()
+    row = pd.DataFrame({"etag": ["1"], "last_modified": [None], "content_length": [3], "status_code": [200], "seen_at": [pd.Timestamp(at(0))]})
+    found = [next(judge.handleInputRows(("a",), iter([row]), None)).status.tolist() for _ in range(2)]
+    assert found == [["new"], ["skipped_etag"]] and judge.known.calls == 2
