@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.staging import staged
+
 #: Labels in the order in which predictions list them and ties are decided.
 MODEL_LABELS = ("TEXT_PDF", "IMAGE_OF_TEXT_PDF", "IMAGE_PDF", "MIXED_PDF")
 #: Columns of a feature table that are never features.
@@ -131,17 +133,20 @@ class Trained:
 
 
 def train(rows: DataFrame, features: list[str], *, key: str = "rel_path", share: float = 0.2, seed: int = 42, iterations: int = 1000, about: dict | None = None) -> Trained:
-    """Split, fit and evaluate labelled rows (``label``); the card repeats what it was given in ``about``."""
-    halves = split(rows.select(key, "label", *features), "label", key, share, seed)
+    """Split, fit and evaluate labelled rows (``label``); the card repeats what it was given in ``about``.
+
+    Every stage of the pipeline reads the rows again: they are computed and split once, into a table.
+    """
+    halves = staged(split(rows.select(key, "label", *features), "label", key, share, seed), "halves")
     model = fit(halves.filter("not held_out"), features, iterations=iterations)
     result = evaluate(predict(model, halves.filter("held_out"), ["label"]))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row for each label
+    counts = {r["label"]: r["count"] for r in halves.groupBy("label").count().collect()}  # a row for each label
     card = {
         "timestamp": datetime.now(timezone.utc).isoformat(), "model_version": "doc_type_v1", "training_rows": sum(counts.values()), "label_distribution": counts, "features": features, "eval": result,
         "hyperparams": {"model": "LogisticRegression", "multi_class": "multinomial", "class_weight": "balanced", "imputer": "median", "scaler": "standard", "max_iter": iterations, "random_state": seed},
         **(about or {}),
     }
-    return Trained(model, card, rows.select(key, F.col("label").alias("label_norm"), *features))
+    return Trained(model, card, halves.select(key, F.col("label").alias("label_norm"), *features))
 
 
 _REGISTRY = "model_id string, trained_at string, path string, card string"

@@ -33,7 +33,7 @@ def _names(rows: DataFrame) -> list[str]:
 
 
 def _trained(spark: SparkSession, d: str) -> tuple[doctype.Trained, DataFrame]:
-    rows = _rows(spark, d)
+    rows = staging.staged(_rows(spark, d), "features")  # cut and measured once: training and predictions read them many times
     labelled = labels.training_rows(rows.filter("label is not null").withColumnRenamed("label", "label_raw")).withColumnRenamed("label_norm", "label")
     return doctype.train(labelled, _names(rows), share=0.25, seed=7, iterations=40), rows
 

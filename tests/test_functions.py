@@ -236,6 +236,24 @@ def test_pages_that_were_not_rendered(spark):
     assert (features.pages_sampled, features.font_count_mean, features.image_present_pct, features.gray_mean_mean) == (3, 1.0, 1 / 3, 0.0)
 
 
+def test_model_rows_are_computed_once(spark):
+    from folioforge.operators import doctype
+    from folioforge.queries import models
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def measured(i: int) -> float:
+        seen.add(1)
+        return float(i % 7)
+
+    rows = spark.range(40).select(F.concat(F.lit("p"), "id").alias("rel_path"), F.when(F.col("id") % 2 == 0, "TEXT_PDF").otherwise("IMAGE_PDF").alias("label"), F.udf(measured, "double")("id").alias("x"))
+    trained = doctype.train(rows, ["x"], share=0.25, seed=1, iterations=3)
+    assert trained.snapshot.count() == trained.card["training_rows"] == 40
+    assert seen.value <= 80  # not once for each stage of the pipeline, its evaluation and its card
+    read = models._trained(spark, "/root/testdata/sf0.001")[1].inputFiles()
+    assert read and not any("/testdata/" in f for f in read)
+
+
 def test_feature_columns_and_predictions(spark):
     from folioforge.operators import doctype
 
