@@ -37,3 +37,12 @@ def test_a_name_under_several_paths_counts_once_for_the_bound(agrees):
     three = "Ann Lee; Bob Ray; Cy Poe"
     documents = [(1, three, "en", "src1"), (1, three, "en", "src2"), (2, three + "; Di Fox; Ed Orr; Flo Ivy", "en", "src1")]
     assert agrees("name_index_capped", documents) == [("lee|ann", "2", "2"), ("poe|cy", "2", "2"), ("ray|bob", "2", "2")]
+
+
+@pytest.mark.parametrize("name", ["name_index", "name_lookup", "name_search", "name_index_of_good_documents", "name_flatten", "name_summary", "public_name_index"])
+def test_documents_of_many_names_are_indexed(agrees, name):
+    """More than 500 names, which the operator's default bound leaves out."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = "; ".join(f"An{a} Ran{b}" for a in letters for b in letters)
+    rows = agrees(name, [(1, f"{many}; Aich Aich", "en", "src1"), (2, "seen with Ana Rana, as they said in court that day, and no other person was there", "en", "src1")])
+    assert {"name_lookup": 2, "name_search": 1, "name_summary": 1, "name_flatten": 678, "name_index_of_good_documents": 678}.get(name, 677) == len(rows)
