@@ -54,3 +54,10 @@ def test_documents_without_a_source_have_no_path_and_come_last(agrees, name):
     documents = [(1, "Anna B. Rana" + said, "en", None), (2, "Anna C. Rana" + said, "en", "src1"), (3, "Anna Rana" + said, None, "src0"), (4, "Al Bo; Cy De; Ed Fo; Gi Hu; Ik Jo; Ka Lu", None, "src0")]
     rows = agrees(name, documents)
     assert name not in ("name_index", "name_search", "public_name_index") or "Anna C. Rana" in rows[-1 if name != "name_search" else 0]
+
+
+@pytest.mark.parametrize("name", ["name_index_of_good_documents", "document_metadata", "merge_text_signals", "merge_of_same_run"])
+def test_quality_of_a_repeated_id_is_that_of_all_its_rows(agrees, name):
+    good = "Ann Lee was seen there with a friend, as they said in court that day, and no other person was with them"
+    documents = [(1, good, "en", "src1"), (1, "Bob Ray " + "1234567890 " * 60, "en", "src2"), (2, good, "en", "src1"), (2, "Cy Poe", "en", "src2"), (3, good, "en", "src1"), (3, good, "en", "src1")]
+    assert len(agrees(name, documents)) == {"name_index_of_good_documents": 3, "document_metadata": 2}.get(name, 6)
