@@ -333,7 +333,7 @@ def parser() -> argparse.ArgumentParser:
         if stage != "text-scan":
             one.add_argument("--inventory", default="NONE")
             one.add_argument("--min-total-count", type=int, default=1)
-            one.add_argument("--max-names-per-doc", type=int, default=500)
+            one.add_argument("--max-names-per-doc", type=int, default=0)
         if stage == "probe":
             at = readiness.Thresholds()
             one.add_argument("--text-threshold", type=int, default=at.page_chars)

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from folioforge import catalogue
+from folioforge import catalogue, cli
+from folioforge.operators import names
+from folioforge.sources import tables
 
 from .conftest import normal
 
@@ -61,3 +63,24 @@ def test_quality_of_a_repeated_id_is_that_of_all_its_rows(agrees, name):
     good = "Ann Lee was seen there with a friend, as they said in court that day, and no other person was with them"
     documents = [(1, good, "en", "src1"), (1, "Bob Ray " + "1234567890 " * 60, "en", "src2"), (2, good, "en", "src1"), (2, "Cy Poe", "en", "src2"), (3, good, "en", "src1"), (3, good, "en", "src1")]
     assert len(agrees(name, documents)) == {"name_index_of_good_documents": 3, "document_metadata": 2}.get(name, 6)
+
+
+def test_nothing_is_left_out_unless_a_bound_is_given(spark, tmp_path):
+    """A document of more than 500 names, which the reference leaves out by default."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pages = spark.createDataFrame([("1", "a", 1, "; ".join(f"An{a} Ran{b}" for a in letters for b in letters)), ("2", "b", 1, "Al Bo")], "doc_id string, rel_path string, page_num int, text string")
+    assert names.name_documents(names.mentions_of(pages)).count() == 677
+    pages.write.parquet(str(tmp_path / "pages"))
+    run = ["name-index", "run", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "o"), "--probe", "NONE", "--label"]
+    for label, bound, n in (("all", [], 677), ("few", ["--max-names-per-doc", "500"], 1)):
+        cli.main([*run, label, *bound])
+        assert spark.read.parquet(tables.resolve_run(spark, str(tmp_path / "o"), "name-index")).count() == n
+
+
+def test_every_path_left_out_is_listed(spark):
+    """Two paths of an id have too many names together, neither alone."""
+    rows = [(1, "a", 1, "John Smith"), (1, "b", 1, "Jane Roe"), (2, "c", 1, "John Smith"), (None, None, 1, "Al Bo; Cy De")]
+    mentions = names.mentions_of(spark.createDataFrame(rows, "doc_id long, rel_path string, page_num int, text string"))
+    assert {r.doc_id for r in names.name_documents(mentions, 1).collect()} == {2}
+    assert {(r.doc_id, r.rel_path) for r in names.crowded_documents(mentions, 1).collect()} == {(1, "a"), (1, "b"), (None, None)}
+    assert {(r.doc_id, r.rel_path) for r in names.crowded_documents(mentions, 1, each_path=True).collect()} == {(None, None)}
